@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, mixing, sharding
+from . import bpe, host_rules, mixing, prefix_join, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_prefix_join": prefix_join.op2_prefix_join,
         "op5_bpe": bpe.op5_bpe,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_shard_kk": sharding.op9_shard_kk,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": mixing.SQL, "op10_host_rules": host_rules.SQL}
+    return {"op2_prefix_join": prefix_join.SQL, "op8_mix_sources": mixing.SQL, "op10_host_rules": host_rules.SQL}
