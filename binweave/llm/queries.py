@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, mixing, prefix_join, sharding
+from . import bpe, host_rules, media, mixing, prefix_join, rlz, sharding, suffix_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op2_prefix_join": prefix_join.op2_prefix_join,
+        "op3_media_columns": media.op3_media_columns,
+        "op4_warc_normalise": warc.op4_warc_normalise,
         "op5_bpe": bpe.op5_bpe,
+        "op6_rlz_dedup": rlz.op6_rlz_dedup,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_shard_kk": sharding.op9_shard_kk,
         "op10_host_rules": host_rules.op10_host_rules,
@@ -16,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_prefix_join": prefix_join.SQL, "op8_mix_sources": mixing.SQL, "op10_host_rules": host_rules.SQL}
+    return {"op2_prefix_join": prefix_join.SQL, "op6_rlz_dedup": rlz.SQL, "op8_mix_sources": mixing.SQL, "op10_host_rules": host_rules.SQL}
