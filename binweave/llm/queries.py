@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, media, mixing, prefix_join, rlz, sharding, suffix_dedup, warc
+from . import bpe, host_rules, media, mixing, prefix_join, quality_eb, rlz, sharding, suffix_dedup, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quality_eb": quality_eb.op1_quality_eb,
         "op2_prefix_join": prefix_join.op2_prefix_join,
         "op3_media_columns": media.op3_media_columns,
         "op4_warc_normalise": warc.op4_warc_normalise,
