@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,20 @@ def _write(df: DataFrame, path: str, compression: str) -> None:
     df.write.partitionBy("map", "binsize").mode("overwrite").options(partitionOverwriteMode="dynamic", compression=compression).parquet(path)
 
 
-def add_map(cells: DataFrame, path: str, method: str | None = "sum", stop: int = 500, compression: str = "zstd") -> None:
-    """Write maps with their pyramid."""
+def drop_map(spark: SparkSession, path: str, name: str) -> None:
+    """Remove a map with all its levels."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for part in (CELLS, BINS, META):
+        at = hadoop.Path(f"{path}/{part}", f"map={quote(name, safe=' -_.')}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def add_map(cells: DataFrame, path: str, method: str | None = "sum", stop: int = 500, compression: str = "zstd", replace: bool = True) -> None:
+    """Write maps with their pyramid. With ``replace`` all levels of a map of the same name go;
+    else only those that are written anew."""
+    if replace:
+        for r in cells.select("map").distinct().collect():  # names only
+            drop_map(cells.sparkSession, path, r["map"])
     write_cells(cells if method in (None, "none") else Z.pyramid(cells, method, stop), path, compression)
 
 

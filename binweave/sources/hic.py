@@ -164,9 +164,9 @@ def decode_block(data: bytes, version: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class Blocks(InputPartition):
-    def __init__(self, blocks: list[tuple[int, int]]):
+    def __init__(self, blocks: list[tuple[int, int]], version: int, swap: bool):
         super().__init__(0)
-        self.blocks = blocks
+        self.blocks, self.version, self.swap = blocks, version, swap
 
 
 class HicReader(DataSourceReader):
@@ -175,24 +175,20 @@ class HicReader(DataSourceReader):
         self.chr1, self.chr2 = options["chr1"], options.get("chr2", options["chr1"])
         self.binsize, self.unit = int(options["binsize"]), options.get("unit", "BP")
         self.per_task = int(options.get("blocks_per_task", 64))
-        self.version = 0
 
     def partitions(self):
         header = read_header(self.path)
-        self.version = header.version
         blocks = block_index(self.path, header, self.chr1, self.chr2, self.binsize, self.unit)
-        if header.number(self.chr1) > header.number(self.chr2):
-            self.swap = True  # stored by index; give bins in the order asked for
-        return [Blocks(blocks[i : i + self.per_task]) for i in range(0, len(blocks), self.per_task)]
-
-    swap = False
+        # matrices are stored by index; bins come in the order asked for
+        swap = header.number(self.chr1) > header.number(self.chr2)
+        return [Blocks(blocks[i : i + self.per_task], header.version, swap) for i in range(0, len(blocks), self.per_task)]
 
     def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
         with open(self.path, "rb") as f:
             for at, size in partition.blocks:
                 f.seek(at)
-                x, y, c = decode_block(zlib.decompress(f.read(size)), self.version)
-                if self.swap:
+                x, y, c = decode_block(zlib.decompress(f.read(size)), partition.version)
+                if partition.swap:
                     x, y = y, x
                 n = len(x)
                 yield pa.RecordBatch.from_pydict({"chr1": [self.chr1] * n, "chr2": [self.chr2] * n, "binsize": pa.array([self.binsize] * n, pa.int64()), "bin_x": x, "bin_y": y, "count": c})
