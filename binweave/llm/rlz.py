@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, unpack
 from .prefix_join import U, mix64, word_hashes
-from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, unpack, windows_to_spans, with_rows, with_spans
+from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, windows_to_spans, with_rows, with_spans
 
 WINDOW = 35
 GRAM = 6
@@ -64,7 +64,7 @@ PASSAGES = Passages(word_hashes, WINDOW, GRAM, cut, factors)
 
 
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs, text packed in __packed, with spans: the repeated word spans of each text."""
+    """docs, text packed in __packed, with __spans: the repeated word spans of each text."""
     rows = with_rows(docs, text, key)
     return with_spans(rows, repeated_spans(rows.select("__row", F.col(text).alias("text")), PASSAGES), text)
 
@@ -88,7 +88,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         return pd.Series(out, dtype=object)
 
     out = spans(docs, text, key)
-    return out.withColumn(text, F.pandas_udf(run, "string")("__packed", "spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn(text, F.pandas_udf(run, "string")("__packed", "__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_rlz_dedup(spark, sf_dir) -> DataFrame:
@@ -101,7 +101,7 @@ def op6_rlz_dedup(spark, sf_dir) -> DataFrame:
             out.append((len(words), int((s[:, 1] - s[:, 0]).sum()), hashlib.sha256(b" ".join(kept_words(words, s))).hexdigest()))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
 
-    return found.withColumn("x", F.pandas_udf(run, "n_words long, n_removed long, kept_sha256 string")("__packed", "spans")).select("doc_id", "x.*")
+    return found.withColumn("x", F.pandas_udf(run, "n_words long, n_removed long, kept_sha256 string")("__packed", "__spans")).select("doc_id", "x.*")
 
 
 SQL = r"""

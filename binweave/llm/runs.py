@@ -16,11 +16,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, packed, unpack
 from .prefix_join import STEP, U, mix64, powers
 
 
@@ -88,15 +87,6 @@ def text_runs(texts: list[str | None], symbols: Symbols, window: int, gram: int)
             begin, group, size = i + 1, [], 0
 
 
-def _packed(texts: pd.Series) -> pd.Series:
-    c = zstandard.ZstdCompressor(level=3)
-    return pd.Series([c.compress((t or "").encode()) for t in texts], dtype=object)
-
-
-def unpack(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
-
-
 def with_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     """docs with __row, a hash of key and text: rows that repeat have the same."""
     return docs.withColumn("__row", F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(":"), F.col(text)))
@@ -118,7 +108,7 @@ class Passages(NamedTuple):
 #: Contents of one gram that a task takes at once; more are split by the windows' first symbols.
 PART_CONTENTS = 4096
 #: Bytes of contents that are resolved together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
@@ -139,11 +129,12 @@ def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
                         out.append((ids[begin + i], head[a:b].ravel(), r.gram[a:b].view(np.int64), r.content[a:b].view(np.int64)))
             yield pd.DataFrame(out, columns=["row", "head", "gram", "content"])
 
-    packed = materialise(docs.select("__row", "text").mapInPandas(find, "row long, head array<int>, gram array<long>, content array<long>"), "runs")
-    grams = packed.select(F.explode(F.arrays_zip("gram", "content")).alias("x")).select("x.gram", "x.content")
+    found = materialise(docs.select("__row", "text").mapInPandas(find, "row long, head array<int>, gram array<long>, content array<long>"), "runs")
+    grams = found.select(F.explode(F.arrays_zip("gram", "content")).alias("x")).select("x.gram", "x.content")
     seen = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    seen = seen.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("edges"))
-    at = packed.select("row", "head", F.posexplode(F.arrays_zip("gram", "content")).alias("p", "x"))
+    # a table of its own: a join of two plain exchanges can be split where a gram is hot
+    seen = materialise(seen.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("edges")), "grams")
+    at = found.select("row", "head", F.posexplode(F.arrays_zip("gram", "content")).alias("p", "x"))
     each = at.select("row", F.col("head")[F.col("p") * 2].alias("first"), F.col("head")[F.col("p") * 2 + 1].alias("last"), "x.gram", "x.content")
     each = materialise(each.join(seen, "gram"), "repeated")
 
@@ -156,8 +147,8 @@ def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for packed_text, asked in zip(pdf["packed"], pdf["wanted"]):
-                pieces = how.cut(unpack(packed_text), [(x["first"], x["last"] + window) for x in asked])
+            for data, asked in zip(pdf["packed"], pdf["wanted"]):
+                pieces = how.cut(unpack(data), [(x["first"], x["last"] + window) for x in asked])
                 out += [(x["gram"], p, x["parts"], x["content"], piece) for x, piece in zip(asked, pieces) for p in range(x["parts"])]
             yield pd.DataFrame(out, columns=["gram", "part", "parts", "content", "piece"])
 
@@ -191,7 +182,7 @@ def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
         if held:
             yield close(len(held))
 
-    texts = docs.select(F.col("__row").alias("row"), F.pandas_udf(_packed, "binary")("text").alias("packed"))
+    texts = docs.select(F.col("__row").alias("row"), packed(F.col("text")).alias("packed"))
     pieces = texts.join(wanted, "row").select("packed", "wanted").mapInPandas(cut, "gram long, part int, parts int, content long, piece binary")
     pieces = pieces.repartition("gram", "part").sortWithinPartitions("gram", "part", "content")
     edges = pieces.mapInPandas(resolve, "gram long, content long, start int, end int")
@@ -214,13 +205,13 @@ def windows_to_spans(owner: np.ndarray, at: np.ndarray, window: int) -> tuple[np
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, text: str) -> DataFrame:
-    """docs, with __packed for the text and its spans (null: none). docs have __row."""
-    rows = docs.withColumn("__packed", F.pandas_udf(_packed, "binary")(F.col(text))).drop(text)
-    return rows.join(spans.withColumnRenamed("__row", "__r"), F.col("__row") == F.col("__r"), "left").drop("__r", "__row")
+    """docs, with __packed for the text and __spans (null: none). docs have __row."""
+    rows = docs.withColumn("__packed", packed(F.col(text))).drop(text)
+    return rows.join(spans.select(F.col("__row").alias("__r"), F.col("spans").alias("__spans")), F.col("__row") == F.col("__r"), "left").drop("__r", "__row")
 
 
 def span_array(spans) -> np.ndarray:
-    """Disjoint spans, in order, of a value of the column spans."""
+    """Disjoint spans, in order, of a value of the column __spans."""
     if spans is None:
         return np.zeros((0, 2), dtype=np.int64)
     return union(np.array([(x["start"], x["end"]) for x in spans], dtype=np.int64).reshape(-1, 2))

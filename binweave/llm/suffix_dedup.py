@@ -26,9 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, unpack
 from .prefix_join import U, _byte_values, mix64
-from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, unpack, windows_to_spans, with_rows, with_spans
+from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, windows_to_spans, with_rows, with_spans
 
 WINDOW = 200
 GRAM = 40
@@ -99,7 +99,7 @@ PASSAGES = Passages(byte_symbols, WINDOW, GRAM, cut, repeated_suffixes)
 
 
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs, text packed in __packed, with spans: the repeated byte spans of each text."""
+    """docs, text packed in __packed, with __spans: the repeated byte spans of each text."""
     rows = with_rows(docs, text, key)
     return with_spans(rows, repeated_spans(rows.select("__row", F.col(text).alias("text")), PASSAGES), text)
 
@@ -121,7 +121,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         return pd.Series([without(unpack(p), span_array(s)).decode("utf-8", "ignore") for p, s in zip(packed, found)], dtype=object)
 
     out = spans(docs, text, key)
-    return out.withColumn(text, F.pandas_udf(run, "string")("__packed", "spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn(text, F.pandas_udf(run, "string")("__packed", "__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_suffix_dedup(spark, sf_dir) -> DataFrame:
@@ -134,4 +134,4 @@ def op7_suffix_dedup(spark, sf_dir) -> DataFrame:
             out.append((len(data), int((s[:, 1] - s[:, 0]).sum()), len(s), hashlib.sha256(without(data, s)).hexdigest()))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.withColumn("x", F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")("__packed", "spans")).select("doc_id", "x.*")
+    return found.withColumn("x", F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")("__packed", "__spans")).select("doc_id", "x.*")
