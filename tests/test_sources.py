@@ -204,3 +204,42 @@ def test_stream(spark, tmp_path, data):
     q.stop()
     got = spark.table("live_track").agg({"n": "sum"}).first()[0]
     assert got == events.where("value > 0").count()
+
+
+def test_single_map_file(spark, tmp_path):
+    from binweave.sources import single
+
+    m = np.arange(25, dtype=float).reshape(5, 5)
+    m = m + m.T
+    p = str(tmp_path / "x.ccmap")
+    for compress in (False, True):
+        single.save_single(C.from_matrix(spark, m, "chr1", 10), p, compress)
+        got = cellset(single.read_single(spark, p, rows_per_task=2))
+        assert got == {("chr1", i, j): m[i, j] for i in range(5) for j in range(5) if m[i, j]}
+    assert (tmp_path / "#x.ccmap.1#").exists()
+    assert single.as_cells(spark, p).count() == len(got)
+
+
+def test_commands(spark, tmp_path):
+    from binweave.__main__ import run
+    from binweave.sources import container
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(1, 9, (12, 12))
+    a = a + a.T
+    body = "".join(f"{i * 10} {j * 10} {a[i, j]}\n" for i in range(12) for j in range(i, 12))
+    listing = put(tmp_path, "l.txt", put(tmp_path, "a.coo", body) + " chr1\n")
+    out = str(tmp_path / "store")
+    run(spark, ["coo", listing, out, "--resolution", "10b"])
+    assert container.load_map(spark, out, "chr1", 10).count() == 144
+    for method, extra in (("vc", ["--sqrt"]), ("mcfs", []), ("ic", ["--tolerance", "1e-3"]), ("kr", ["--occupancy", "0.2"])):
+        run(spark, ["normalise", method, out, str(tmp_path / method), *extra])
+        assert container.load_map(spark, str(tmp_path / method), "chr1", 10).count() > 100
+    run(spark, ["correlate", out, str(tmp_path / "kr"), "-k", "pearson", "-o", str(tmp_path / "corr")])
+    assert spark.read.csv(str(tmp_path / "corr"), sep="\t", header=True, inferSchema=True).first()["corr"] > 0.3
+    run(spark, ["export", out, "chr1", str(tmp_path / "coo_out")])
+    assert spark.read.csv(str(tmp_path / "coo_out"), sep="\t").count() == 78
+    bed = put(tmp_path, "x.bed", "chr1\t0\t10\tn\t0\t.\t2.5\nchr1\t5\t30\tn\t0\t.\t1\n")
+    run(spark, ["bed", bed, str(tmp_path / "tracks"), "-r", "10b", "1kb", "-m", "amean", "max"])
+    got = {(r["binsize"], r["name"], r["bin"]): r["v"] for r in container.read_track(spark, str(tmp_path / "tracks")).collect()}
+    assert got[10, "max", 0] == 2.5 and got[10, "amean", 0] == (5 * 2.5 + 5 * 1.75) / 10 and got[1000, "max", 0] == 2.5
