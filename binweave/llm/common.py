@@ -26,16 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows and bytes of texts that a Python worker gets at once, at most (a longer text is
+#: a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold, by settings of the session; lower ones stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name, None)
+        if not (now or "").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df below the shared folder and read it back: cuts the lineage so that a lost
     executor costs a reread, and lets several readers use rows that were computed once."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/binweave-{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
