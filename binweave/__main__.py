@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.resolution import to_binsize
 from .operators import masks, normalise, stats, tracks
 from .operators.cells import threshold
-from .sources import archive, container, hic, text
+from .sources import archive, bigwig, container, hic, text
 from .sources.single import as_cells
 
 
@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-c", "--chromosomes", nargs=2)
     c.add_argument("-r", "--resolution")
     c.add_argument("-n", "--norm", default="none", choices=["VC", "VC_SQRT", "KR", "none"])
-    for name in ("wig", "bed"):
+    for name in ("wig", "bed", "bigwig"):
         c = command(name, f"{name} files into a track store", "input", "output")
         c.add_argument("-r", "--resolutions", nargs="*", default=list(tracks.RESOLUTIONS))
         c.add_argument("-m", "--methods", nargs="*", default=list(tracks.METHODS), choices=tracks.METHODS)
@@ -109,8 +109,11 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     a = parser().parse_args(argv)
     if a.command in ("coo", "paircoo", "homer", "bincontact", "hic"):
         container.add_map(read_maps(spark, a), a.output, a.downsampling, compression=a.compression)
-    elif a.command in ("wig", "bed"):
-        rows = text.wig(spark, a.input, a.chrom) if a.command == "wig" else text.bed(spark, a.input, a.column, a.chrom)
+    elif a.command in ("wig", "bed", "bigwig"):
+        if a.command == "bigwig":
+            rows = bigwig.bigwig(spark, a.input, a.chrom)
+        else:
+            rows = text.wig(spark, a.input, a.chrom) if a.command == "wig" else text.bed(spark, a.input, a.column, a.chrom)
         sizes = [to_binsize(r) for r in a.resolutions]
         wide = tracks.bin_intervals(tracks.disjoint(rows, a.combine), sizes, tuple(a.methods))
         container.write_track(tracks.long_form(wide, None, tuple(a.methods)), a.output)

@@ -191,4 +191,26 @@ def encode_files(spark: SparkSession, path, assembly: str, assays: list[str] | N
     if assays is not None:
         rows = rows.where(F.col("Assay").isin(assays))
     names = {"File accession": "file", "Experiment accession": "experiment", "Assay": "assay", "Experiment target": "target", "Output type": "output", "Biological replicate(s)": "replicates", "File download URL": "url"}
-    return rows.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()]).withColumn("target", F.regexp_replace(F.coalesce("target", F.lit("")), r"-human$|-mouse$", ""))
+    rows = rows.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()])
+    return rows.withColumn("target", F.regexp_extract(F.coalesce("target", F.lit("")), "^([^-]*)", 1))
+
+
+def signal_types(files: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """encode_files rows with a column type, the kind of signal with the target or, for
+    assays without one, the date (rows (file, date), if known); what is no signal goes."""
+    dated = files.join(dates, "file", "left") if dates is not None else files.withColumn("date", F.lit(None).cast("string"))
+    date = F.coalesce("date", F.lit(""))
+    has = lambda x: F.col("output").contains(x)
+    reads = F.when(has("all reads"), "all-reads").when(has("unique reads"), "uniq-reads")
+    strand = F.when(has("plus strand"), "plus-").when(has("minus strand"), "minus-").otherwise("")
+    signal = lambda kind: F.when(kind.isNotNull(), F.concat(kind, F.lit("-signal"))).otherwise("signal")
+    raw = F.when(has("all reads"), "all-reads").when(has("raw"), "raw").when(has("unique reads"), "uniq-reads")
+    with_target = F.col("target") != ""
+    kind = (
+        F.when((F.col("assay") == "ChIP-seq") & has("signal p-value"), F.concat(F.lit("signal-"), "target"))
+        .when((F.col("assay") == "ChIP-seq") & has("fold change"), F.concat(F.lit("fold-"), "target"))
+        .when((F.col("assay") != "ChIP-seq") & has("signal") & with_target, F.concat_ws("-", signal(reads), "target"))
+        .when(F.col("assay").contains("DNase") & has("signal"), F.concat_ws("-", signal(raw), date))
+        .when((F.col("assay") != "ChIP-seq") & has("signal"), F.concat_ws("-", F.when(reads.isNotNull(), F.concat(strand, reads)).otherwise("signal"), date))
+    )
+    return dated.withColumn("type", F.regexp_replace(kind, "-$", "")).where("type IS NOT NULL").drop("date")

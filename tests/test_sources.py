@@ -90,6 +90,39 @@ def test_encode_table(spark, tmp_path):
     head = "File accession\tFile format\tOutput type\tExperiment accession\tAssay\tExperiment target\tBiological replicate(s)\tAssembly\tFile download URL\n"
     p = put(tmp_path, "m.tsv", head + "F1\tbigWig\tsignal\tE1\tChIP-seq\tCTCF-human\t1\thg19\tu\nF2\tbam\tx\tE1\tChIP-seq\tCTCF-human\t1\thg19\tu\n")
     assert [(r["file"], r["target"]) for r in text.encode_files(spark, p, "hg19").collect()] == [("F1", "CTCF")]
+    rows = [
+        ("F1", "ChIP-seq", "CTCF", "signal p-value", "signal-CTCF"), ("F2", "ChIP-seq", "CTCF", "fold change over control", "fold-CTCF"), ("F3", "ChIP-seq", "CTCF", "peaks", None),
+        ("F4", "RNA-seq", "", "plus strand signal of unique reads", "plus-uniq-reads-2013"), ("F5", "RNA-seq", "", "signal", "signal"), ("F6", "DNase-seq", "", "raw signal", "raw-signal"),
+        ("F7", "siRNA knockdown followed by RNA-seq", "ABC", "signal of all reads", "all-reads-signal-ABC"), ("F8", "DNase-seq", "", "signal of unique reads", "uniq-reads-signal"),
+    ]
+    files = spark.createDataFrame(rows, "file string, assay string, target string, output string, want string")
+    got = text.signal_types(files, spark.createDataFrame([("F4", "2013")], "file string, date string")).collect()
+    assert len(got) == 7 and all(r["type"] == r["want"] for r in got)
+
+
+def test_bigwig(spark, tmp_path):
+    from binweave.sources import bigwig
+
+    def block(number, start, kind, items, step=0, span=1):
+        return zlib.compress(struct.pack("<IIIIIBBH", number, start, 0, step, span, kind, 0, len(items)) + b"".join(struct.pack({1: "<IIf", 2: "<If", 3: "<f"}[kind], *i) for i in items))
+
+    data = [block(0, 0, 1, [(0, 5, 1.5), (7, 9, 2.0)]), block(0, 100, 2, [(100, 3.0), (120, 4.0)], span=10), block(1, 50, 3, [(5.0,), (6.0,)], step=20, span=4)]
+    tree = struct.pack("<IIIIQQ", bigwig.TREE, 2, 4, 8, 2, 0) + struct.pack("<BBH", 1, 0, 2) + b"chr1" + struct.pack("<II", 0, 1000) + b"chrX" + struct.pack("<II", 1, 500)
+    places, at = [], 64 + len(tree)
+    for d in data:
+        places.append((at, len(d)))
+        at += len(d)
+    leaf = lambda rows: struct.pack("<BBH", 1, 0, len(rows)) + b"".join(struct.pack("<IIIIQQ", c, 0, c, 999, *p) for c, p in rows)
+    one, two = leaf([(0, places[0]), (0, places[1])]), leaf([(1, places[2])])
+    root = at + 48
+    first = root + 4 + 2 * 24
+    index = struct.pack("<IIQIIIIQII", bigwig.INDEX, 2, 3, 0, 0, 1, 999, at, 1, 0) + struct.pack("<BBH", 0, 0, 2) + struct.pack("<IIIIQ", 0, 0, 0, 999, first) + struct.pack("<IIIIQ", 1, 0, 1, 999, first + len(one)) + one + two
+    p = str(tmp_path / "x.bw")
+    with open(p, "wb") as f:
+        f.write(struct.pack("<IHHQQQHHQQIQ", bigwig.MAGIC, 4, 0, 64, 64 + len(tree), at, 0, 0, 0, 0, 4096, 0) + tree + b"".join(data) + index)
+    got = [(r["chrom"], r["start"], r["end"], r["value"]) for r in bigwig.bigwig(spark, p).orderBy("seq").collect()]
+    assert sorted(got) == [("chr1", 0, 5, 1.5), ("chr1", 7, 9, 2.0), ("chr1", 100, 110, 3.0), ("chr1", 120, 130, 4.0), ("chrX", 50, 54, 5.0), ("chrX", 70, 74, 6.0)]
+    assert bigwig.bigwig(spark, p, "chrX").count() == 2 and bigwig.chromosome_sizes(p) == {"chr1": 1000, "chrX": 500}
 
 
 def test_archives(spark, tmp_path):
