@@ -16,7 +16,7 @@ from .common import WORD, documents, materialise
 MIN_WORDS = 50
 MAX_REPEAT = 50  # percent of the words in repeated 3-word windows
 MAX_SYMBOLS = 50  # symbols per 100 words
-MAX_DUP_LINES = 30  # repeated lines per 100 lines with a word
+MAX_DUP_LINES = 50  # repeated lines per 100 lines with a word
 MAX_HOST_RATE = 0.5
 
 SYMBOLS = "#*$%&|<>"
