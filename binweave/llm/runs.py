@@ -141,7 +141,7 @@ def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
     # one content of each kind, of the grams that have several
     kinds = each.where("edges").groupBy("gram", "content").agg((F.count("*") > 1).alias("whole"), F.min(F.struct("row", "first", "last")).alias("at"))
     kinds = materialise(kinds.select("gram", "content", "whole", "at.*"), "contents")
-    parts = kinds.groupBy("gram").agg(F.ceil(F.count("*") / PART_CONTENTS).cast("int").alias("parts"))
+    parts = materialise(kinds.groupBy("gram").agg(F.ceil(F.count("*") / PART_CONTENTS).cast("int").alias("parts")), "parts")
     wanted = kinds.join(parts, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "content", "first", "last", "parts")).alias("wanted"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
