@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents
+from .common import WORD, documents, materialise
 
 SOURCE_WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -153,7 +153,10 @@ def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op8_mix_sources(spark, sf_dir) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    # sizes and weights are taken from the texts once
+    rows = documents(spark, sf_dir).select("doc_id", "source", word_count().alias("words"), symbol_quality().alias("quality"))
+    mixed = mix(materialise(rows, "sizes"), F.col("words"), F.col("quality"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = rf"""
