@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import itertools
 import unicodedata
 from collections.abc import Iterator
@@ -26,13 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Slices whose merges a worker keeps; a full cache starts anew.
-CACHE = 400_000
+#: Slices whose merges a worker keeps, twice: a full generation becomes the old one, and
+#: what is used again moves to the new one.
+CACHE = 200_000
 #: Code points that one vectorised step takes; a longer text is a step of its own.
-STEP = 1 << 20
+STEP = 1 << 19
 
 # classes of code points
 LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE, BREAK = range(7)
@@ -136,18 +138,19 @@ def boundaries(points: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[before.astype(np.int32) * 9 + symbol])
 
 
-def slices(texts: list[str]) -> Iterator[list[str]]:
-    """Each text's slices; their concatenation is the text."""
+def slices(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """For some texts at a time: all their slices, and where each text's slices start (one
+    more at the end). A text's slices put together are the text."""
     group, length = [], 0
     for i, t in enumerate(texts):
         group.append(t)
         length += len(t)
         if length >= STEP or i == len(texts) - 1:
-            yield from _slices(group)
+            yield _slices(group)
             group, length = [], 0
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
+def _slices(texts: list[str]) -> tuple[list[str], list[int]]:
     # surrogates can't come from Spark; a separator goes in front of each text
     lengths = np.array([len(t) for t in texts])
     joined = "\0".join(["", *texts])
@@ -155,91 +158,189 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
     breaks = np.concatenate([[0], np.cumsum(lengths[:-1] + 1)])
     points[breaks] = 0x110000
     at = boundaries(points)
-    ends = np.append(at[1:], len(points)).tolist()
-    pieces = [joined[a:b] for a, b in zip(at.tolist(), ends)]
-    first = np.searchsorted(at, breaks)
-    for a, b in zip(first.tolist(), np.append(first[1:], len(at)).tolist()):
-        yield pieces[a + 1 : b]
+    ends = np.append(at[1:], len(points))
+    own = np.ones(len(at), dtype=bool)
+    own[first := np.searchsorted(at, breaks)] = False  # separators
+    pieces = [joined[a:b] for a, b in zip(at[own].tolist(), ends[own].tolist())]
+    return pieces, [*(first - np.arange(len(texts))).tolist(), len(pieces)]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Merge neighbours of lowest rank, leftmost first, until no pair has a rank."""
-    if (whole := ranks.get(piece)) is not None:
+def merge(piece: bytes, vocabulary: Vocabulary) -> tuple[int, ...]:
+    """Merge neighbours of lowest rank, leftmost first, until no pair has a rank. Ids are
+    ranks: what a pair merges to is its rank."""
+    if (whole := vocabulary.ranks.get(piece)) is not None:
         return (whole,)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) > 200:
-        return _merge_long(parts, ranks)
-    get = ranks.get
-    none = 1 << 60
-    pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+    ids = [*map(vocabulary.of_byte.__getitem__, piece)]
+    if len(ids) > 200:
+        return _merge_long(ids, vocabulary.pairs)
+    get = vocabulary.pairs.get
+    pairs = [get(a << 17 | b, NONE) for a, b in zip(ids, ids[1:])]
     while pairs:
         low = min(pairs)
-        if low == none:
+        if low == NONE:
             break
         i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        ids[i] = low
+        del ids[i + 1], pairs[i]
         if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
+            pairs[i] = get(low << 17 | ids[i + 1], NONE)
         if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-    return tuple(ranks[p] for p in parts)
+            pairs[i - 1] = get(ids[i - 1] << 17 | low, NONE)
+    return tuple(ids)
 
 
-def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
+def _merge_long(ids: list[int], pairs: dict[int, int]) -> tuple[int, ...]:
     """The same with a heap and links, for slices such as thousands of equal signs."""
-    import heapq
-
-    n = len(parts)
+    n = len(ids)
     left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << 17 | ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, a, b = heapq.heappop(heap)
+        merged, i, a, b = heapq.heappop(heap)
         j = right[i]
-        if parts[i] is not a or j < 0 or parts[j] is not b:
+        if ids[i] != a or j < 0 or ids[j] != b:
             continue
-        parts[i], parts[j] = a + b, None
+        ids[i], ids[j] = merged, -1
         right[i] = right[j]
         if right[j] >= 0:
             left[right[j]] = i
         for x, y in ((left[i], i), (i, right[i])):
-            if x >= 0 and y >= 0 and (r := ranks.get(parts[x] + parts[y])) is not None:
-                heapq.heappush(heap, (r, x, parts[x], parts[y]))
-    return tuple(ranks[p] for p in parts if p is not None)
-
+            if x >= 0 and y >= 0 and (r := pairs.get(ids[x] << 17 | ids[y])) is not None:
+                heapq.heappush(heap, (r, x, ids[x], ids[y]))
+    return tuple(i for i in ids if i >= 0)
+
+
+NONE = 1 << 60
+#: Longest slices, in bytes, that are merged many at a time.
+SHORT_SLICE = 32
+FREE = np.int32(2**31 - 1)
+
+
+class PairTable:
+    """Ranks of pairs of ids as an open-addressing table, for arrays of pairs."""
+
+    def __init__(self, pairs: dict[int, int]):
+        size = 1 << max(4, (4 * len(pairs)).bit_length())
+        self.mask = np.int64(size - 1)
+        self.keys, self.ranks = np.full(size, -1, dtype=np.int64), np.full(size, FREE, dtype=np.int32)
+        keys, ranks = np.fromiter(pairs, dtype=np.int64, count=len(pairs)), np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))
+        at = self.place(keys)
+        while len(keys):
+            # of those that want one free place, one gets it
+            place, first = np.unique(at, return_index=True)
+            first = first[self.keys[place] == -1]
+            self.keys[at[first]], self.ranks[at[first]] = keys[first], ranks[first]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[first] = False
+            keys, ranks, at = keys[rest], ranks[rest], (at[rest] + 1) & self.mask
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.int64(-7046029254386353131) >> np.int64(20)) & self.mask
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs (a, b); FREE where they have none."""
+        keys = a.astype(np.int64) << 17 | b
+        at = self.place(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.ranks[at], FREE)
+        todo = np.flatnonzero((found != keys) & (found != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            found = self.keys[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (found != -1)]
+        return out
+
+
+def merge_many(slices: list[bytes], vocabulary: Vocabulary) -> list[tuple[int, ...]]:
+    """merge() of many slices: each round merges one pair of every slice that has one left."""
+    out: list[tuple[int, ...] | None] = [None] * len(slices)
+    by_length: dict[int, list[int]] = {}
+    for k, s in enumerate(slices):
+        if (whole := vocabulary.ranks.get(s)) is not None:
+            out[k] = (whole,)
+        elif len(s) > SHORT_SLICE:
+            out[k] = merge(s, vocabulary)
+        else:
+            by_length.setdefault(len(s), []).append(k)
+    of_byte, find = np.array(vocabulary.of_byte, dtype=np.int32), vocabulary.table.find
+    for length, chosen in by_length.items():
+        ids = of_byte[np.frombuffer(b"".join(slices[k] for k in chosen), dtype=np.uint8).reshape(-1, length)]
+        ranks = find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(-1, length - 1)
+        owner = np.array(chosen)
+        for n in range(length, 0, -1):
+            # all slices here have n ids and n - 1 pairs
+            at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(ids), dtype=np.int64)
+            low = ranks[np.arange(len(ids)), at] if n > 1 else np.full(len(ids), FREE)
+            done = low == FREE
+            for k, row in zip(owner[done].tolist(), ids[done].tolist()):
+                out[k] = tuple(row)
+            if done.all():
+                break
+            ids, ranks, owner, at, low = ids[~done], ranks[~done], owner[~done], at[~done], low[~done]
+            row = np.arange(len(ids))
+            ids[row, at] = low
+            keep = np.ones(ids.shape, dtype=bool)
+            keep[row, at + 1] = False
+            ids = ids[keep].reshape(-1, n - 1)
+            keep = np.ones(ranks.shape, dtype=bool)
+            keep[row, at] = False
+            ranks = ranks[keep].reshape(-1, n - 2)
+            right = np.flatnonzero(at < n - 2)
+            ranks[right, at[right]] = find(ids[right, at[right]], ids[right, at[right] + 1])
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = find(ids[left, at[left] - 1], ids[left, at[left]])
+    return out
+
+
+class Vocabulary:
+    """Ranks of byte strings, and of pairs of ranks: the rank of what they merge to."""
 
-@lru_cache(4)
-def vocabulary(path: str) -> tuple[dict[bytes, int], dict[int, bytes], dict[int, str]]:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return ranks, {i: b for b, i in ranks.items()}, {i: str(i) for i in ranks.values()}
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.text_of = {i: str(i) for i in self.bytes_of}
+        self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
+        get = self.ranks.get
+        self.pairs = {a << 17 | b: i for t, i in self.ranks.items() for k in range(1, len(t)) if (a := get(t[:k])) is not None and (b := get(t[k:])) is not None}
+        self.table = PairTable(self.pairs)
 
 
 class Encoder:
     def __init__(self, path: str):
-        self.ranks, self.bytes_of, self.text_of = vocabulary(path)
+        self.vocabulary = v = Vocabulary(path)
+        self.ranks, self.bytes_of, self.text_of = v.ranks, v.bytes_of, v.text_of
         self.cache: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-        """Ids and slices of each text."""
-        for pieces in slices(texts):
-            cache = self.cache
-            try:
-                found = [cache[p] for p in pieces]
-            except KeyError:
-                if len(cache) > CACHE:
-                    cache.clear()
-                for p in pieces:
-                    if p not in cache:
-                        cache[p] = merge(p.encode(), self.ranks)
-                found = [cache[p] for p in pieces]
-            yield list(itertools.chain.from_iterable(found)), pieces
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text."""
+        for pieces, at in slices(texts):
+            if len(self.cache) > CACHE:
+                self.old, self.cache = self.cache, {}
+            cache, old, new = self.cache, self.old, []
+            for p in set(pieces).difference(cache):
+                if p in old:
+                    cache[p] = old[p]
+                else:
+                    new.append(p)
+            cache.update(zip(new, merge_many([p.encode() for p in new], self.vocabulary)))
+            found = [cache[p] for p in pieces]
+            for a, b in zip(at, at[1:]):
+                yield list(itertools.chain.from_iterable(found[a:b]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: its cache lasts from task to task."""
+    return Encoder(path)
+
+
 def default_path() -> str:
     """The vocabulary's place on this machine; asked for on the executor that reads it."""
     import public_tokenizers
@@ -252,14 +353,19 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: st
     which each token ends in the text's UTF-8 form. Null and empty texts have no tokens;
     rows that repeat are encoded alike; columns of docs with these names are replaced."""
 
-    @F.pandas_udf("struct<ids:array<int>,offsets:array<int>>")
+    small_batches(docs.sparkSession)
+    kind = "struct<ids:array<int>,offsets:array<int>>" if offsets else "struct<ids:array<int>>"
+
+    @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = Encoder(path or default_path())
+        coder = encoder(path or default_path())
         length = np.zeros(max(coder.bytes_of) + 1, dtype=np.int32)
         length[list(coder.bytes_of)] = [len(b) for b in coder.bytes_of.values()]
         for texts in batches:
-            ids = [np.array(i, dtype=np.int32) for i, _ in coder.encode([t or "" for t in texts])]
-            yield pd.DataFrame({"ids": ids, "offsets": [np.cumsum(length[i], dtype=np.int32) for i in ids]})
+            found = pd.DataFrame({"ids": [np.array(i, dtype=np.int32) for i in coder.encode([t or "" for t in texts])]})
+            if offsets:
+                found["offsets"] = [np.cumsum(length[i], dtype=np.int32) for i in found["ids"]]
+            yield found
 
     coded = docs.withColumn("__bpe", run(F.col(text))).withColumn(out, F.col("__bpe.ids"))
     if offsets:
@@ -272,7 +378,7 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, out: str
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = Encoder(path or default_path())
+        coder = encoder(path or default_path())
         for x in batches:
             yield pd.Series([None if i is None else coder.decode(i.tolist()) for i in x], dtype=object)
 
@@ -285,11 +391,11 @@ def digest(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = Encoder(path or default_path())
+        coder = encoder(path or default_path())
         as_text = coder.text_of.__getitem__
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for texts in batches:
-            rows = [(len(ids), sha(",".join(map(as_text, ids)).encode()), sha(coder.decode(ids))) for ids, _ in coder.encode([t or "" for t in texts])]
+            rows = [(len(ids), sha(",".join(map(as_text, ids)).encode()), sha(coder.decode(ids))) for ids in coder.encode([t or "" for t in texts])]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.withColumn("__bpe", run(F.col(text)))
