@@ -99,6 +99,8 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     and if a payload has no other it stays a response."""
     rows = pages.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{key}`").alias("order"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
     firsts = rows.groupBy("digest").agg(F.min("order").cast("string").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own: the join can be split where one payload has many rows
+    firsts = materialise(firsts, "firsts")
     rows = rows.join(firsts, "digest", "left").select("key", "url", "html", "first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
