@@ -7,11 +7,12 @@ hash. Two sets of Jaccard similarity t or more share one of the first
 size form one group; groups meet in the postings of prefix shingles, and only postings
 that join two groups, or groups that hold two different sets, are expanded to members.
 
-Members of a posting are not paired with each other. In rounds, each posting picks one
+Members of a large posting are not paired with each other. In rounds, each posting picks one
 hub and its members of other components are verified against that hub, by exact
 intersection of whole sets; links merge components; pairs within a component need no
 check, as they can't change it. What is left, pairs of different components in one
-posting, is verified pair by pair, so no link between components is lost.
+posting, is verified pair by pair, so no link between components is lost. Small postings,
+of which nearly all are, give their pairs at once.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, packed, unpack
 from .graph import components
 
 WORDS = 5
@@ -36,7 +37,7 @@ MOST_FREQUENT = 1 << 20
 #: Shingles of a block of documents within which repeated ones are counted.
 BLOCK = 1 << 22
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-STEP = 1 << 21
+STEP = 1 << 18
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
@@ -149,8 +150,8 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
 
     counts = docs.select(F.col(text).alias("text")).mapInPandas(count, "token long, n long")
     counts = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
-    tokens, n = top["token"].to_numpy(dtype=np.int64).view(U), top["n"].to_numpy(dtype=np.int64)
+    top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
+    tokens, n = top["token"].to_numpy().view(U), top["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], n[order]
 
@@ -201,24 +202,60 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
     return rows.mapInPandas(run, f"key {kind}, n long, node long, grp long, prefix array<long>")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: int) -> DataFrame:
-    """Rows (node, shingles) for the nodes of wanted (key, node)."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: int, hint: str | None = None) -> DataFrame:
+    """Rows (node, shingles) for wanted (key, node): the documents of the keys, if their
+    sets are the nodes'."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             nodes, sets = [], []
-            for h, at in shingle_sets(pdf["text"].tolist(), words):
+            asked = pdf["node"].to_numpy().view(U)
+            for h, at in shingle_sets([unpack(p).decode() for p in pdf["packed"]], words):
                 n = np.diff(at).astype(U)
                 whole = np.zeros(len(h) + 1, dtype=U)
                 np.cumsum(mix64(h ^ U(0x5851F42D4C957F2D)), out=whole[1:])
-                nodes.append(mix64(whole[at[1:]] - whole[at[:-1]] + n))
-                sets += [h[a:b].view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            if nodes:
-                yield pd.DataFrame({"node": np.concatenate(nodes).view(np.int64), "shingles": sets})
+                found = mix64(whole[at[1:]] - whole[at[:-1]] + n)
+                same = found == asked[len(nodes) : len(nodes) + len(found)]
+                nodes += found.tolist()
+                sets += [h[a:b].view(np.int64) if s else None for a, b, s in zip(at[:-1].tolist(), at[1:].tolist(), same.tolist())]
+            out = pd.DataFrame({"node": np.array(nodes, dtype=U).view(np.int64), "shingles": sets})
+            yield out[out["shingles"].notna()]
+
+    rows = docs.select(F.col(f"`{key}`").alias("__key"), packed(F.col(text)).alias("packed"))
+    rows = rows.join(wanted.hint(hint) if hint else wanted, F.col("__key").eqNullSafe(F.col("key"))).select("packed", "node")
+    return rows.mapInPandas(run, "node long, shingles array<long>")
+
+
+#: Bits of the map of shingles that come twice: what is sent to all executors has this size.
+BITS = 1 << 26
+
+
+def shared_tokens(sig: DataFrame) -> DataFrame:
+    """Rows (token, grp, place) of prefix shingles, without those that one document alone has
+    in its prefix, as far as a bitmap of fixed size tells. Counting takes 32 bits of each
+    shingle; where the bitmap fills up, more rows stay and none is lost."""
+    each = sig.select(F.explode("prefix").alias("token")).select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
+    twice = each.groupBy("low").count().where("count > 1")
+    bit = F.col("low").bitwiseAND(F.lit(BITS - 1))
+    words = twice.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(low & 63 AS INT))")).alias("bits"))
+    table = words.toArrow()
+    bitmap = np.zeros(BITS // 64, dtype=U)
+    bitmap[table["word"].to_numpy()] = table["bits"].to_numpy().view(U)
+    held = sig.sparkSession.sparkContext.broadcast(bitmap)
 
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(text).alias("text"))
-    rows = rows.join(wanted, rows["key"].eqNullSafe(wanted["key"]), "left_semi").select("text")
-    return rows.mapInPandas(run, "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            count = pdf["prefix"].map(len).to_numpy()
+            token = np.concatenate(pdf["prefix"].to_numpy()).astype(np.int64) if count.sum() else np.zeros(0, dtype=np.int64)
+            at = token.view(U) & U(BITS - 1)
+            keep = (held.value[at >> U(6)] >> (at & U(63))) & U(1) == 1
+            row = np.repeat(np.arange(len(pdf)), count)
+            place = np.arange(1, len(row) + 1) - (np.cumsum(count) - count)[row]
+            yield pd.DataFrame({"token": token[keep], "grp": pdf["grp"].to_numpy()[row[keep]], "place": place[keep]})
+
+    return sig.select("grp", "prefix").mapInPandas(run, "token long, grp long, place long").distinct()
 
 
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, rounds: int = 8) -> DataFrame:
@@ -230,60 +267,107 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     filled = sig.where("n > 0")
     members = materialise(filled.groupBy("grp", "node", "n").agg(F.min("key").alias("key")), "members")
     # postings that join groups, and groups of several sets
-    postings = filled.groupBy("grp", "n").agg(F.min_by("prefix", "node").alias("prefix")).select("grp", F.explode("prefix").alias("token"))
+    postings = materialise(shared_tokens(filled), "tokens")
     shared = postings.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    crowded = members.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp", F.col("grp").alias("token"))
-    posted = postings.join(shared, "token", "left_semi").select("grp", "token").unionByName(crowded)
-    posted = materialise(posted.join(members.select("grp", "node", "n"), "grp").select("token", "node", "n"), "postings")
-    wanted = members.join(posted.select("node").distinct(), "node", "left_semi").select("key", "node")
-    sets = materialise(whole_sets(docs, wanted, text, key, words), "sets")
-    labels = _link(posted, sets, percent, rounds)
+    crowded = members.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp", F.col("grp").alias("token"), F.lit(0).cast("long").alias("place"))
+    posted = postings.join(materialise(shared, "shared"), "token", "left_semi").select("grp", "token", "place").unionByName(crowded)
+    posted = materialise(posted.join(members.select("grp", "node", "n"), "grp").select("token", "node", "n", "place"), "postings")
+    labels = _link(posted, Verifier(docs, text, key, words, percent, members.select("key", "node")), percent, rounds)
     comp = F.coalesce("label", "node")
     nodes = members.join(labels, "node", "left").select("node", comp.alias("comp"), "key")
-    nodes = nodes.select("node", "comp").distinct().join(nodes.groupBy("comp").agg(F.min("key").alias("component")), "comp").select("node", "component")
-    out = sig.select("key", "n", "node").join(nodes, "node", "left")
+    least = materialise(nodes.groupBy("comp").agg(F.min("key").alias("component")), "least")
+    nodes = nodes.select("node", "comp").distinct().join(least, "comp").select("node", "component")
+    out = sig.select("key", "n", "node").join(materialise(nodes, "components"), "node", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key")).alias("component_id"))
 
 
-def _link(posted: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """Labels (node, label) of the nodes that verified links join."""
-    labels = posted.select("node").limit(0).withColumn("label", F.col("node"))
-    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    checked = links
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
+class Verifier:
+    """Verifies pairs of nodes by their whole sets, which are made from the texts when a
+    node is first met."""
+
+    def __init__(self, docs, text, key, words, percent, keys):
+        self.docs, self.text, self.key, self.words, self.percent, self.keys = docs, text, key, words, percent, keys
+        self.sets = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        # the first round needs many nodes and always goes by shuffles, alike at every size;
+        # later ones need few, and written tables, whose size is known, save the shuffles
+        hint = "merge" if self.sets is None else None
+        needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+        wanted = needed if self.sets is None else needed.join(self.sets.select("node"), "node", "left_anti")
+        keys = materialise(self.keys.join(materialise(wanted, "wanted"), "node", "left_semi"), "keys")
+        new = materialise(whole_sets(self.docs, keys, self.text, self.key, self.words, hint), "sets")
+        sets = new if self.sets is None else new.unionByName(self.sets.join(needed, "node", "left_semi"))
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-    size = posted.count()
+        a, b = (a.hint(hint), b.hint(hint)) if hint else (a, b)
+        found = pairs.join(a, "a").join(b, "b").where(100 * both >= self.percent * (F.size("sa") + F.size("sb") - both))
+        return materialise(found.select("a", "b"), "links")
+
+
+#: Members of a posting that are paired with each other at once; larger ones go by hubs.
+SMALL = 16
+
+
+def _link(posted: DataFrame, verifier: Verifier, percent: int, rounds: int) -> DataFrame:
+    """Labels (node, label) of the nodes that verified links join.
+
+    Small postings give all their pairs, at most SMALL / 2 for each of their rows, with the
+    number of postings that a pair shares: all common shingles of two prefixes are there, but
+    for those with large postings, of which a node's number is known. With the set whose
+    prefix ends first, what is common is in both prefixes or behind that prefix; pairs
+    that can't reach the similarity by this go unverified."""
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    counts = materialise(posted.groupBy("token").count(), "counts")
+    large = materialise(posted.join(counts.where(F.col("count") > SMALL), "token", "left_semi"), "large")
+    missing = materialise(large.groupBy("node").agg(F.count("*").alias("large")), "missing")
+    small = posted.join(counts.where(F.col("count") <= SMALL), "token", "left_semi").join(missing, "node", "left")
+    small = materialise(small.select("token", "node", "n", F.coalesce("large", F.lit(0)).alias("large")), "small")
+    side = lambda x: small.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("large").alias(f"l{x}"))
+    together = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & fits)
+    together = together.groupBy("a", "b", "na", "nb", "la", "lb").count()
+    behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    most = F.col("count") + F.least("la", "lb") + F.greatest(behind("na"), behind("nb"))
+    pairs = together.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    checked = materialise(pairs, "pairs")
+    links = verifier.links(checked)
+    labels = materialise(components(links), "labels")
+    large = materialise(large.select("token", "node", "n", "place").join(missing, "node"), "large")
+    # where a shingle is the first that two sets share, what follows it bounds the rest
+    rest = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    first = (100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))
+    size = large.count()
     for turn in range(rounds + 1):
-        seen = posted.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("comp"))
+        seen = large.join(labels, "node", "left").select("token", "node", "n", "place", "large", F.coalesce("label", "node").alias("comp"))
         mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        seen = materialise(seen.join(mixed, "token", "left_semi"), "open")
+        seen = materialise(seen.join(materialise(mixed, "mixed"), "token", "left_semi"), "open")
         per = seen.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
         open_pairs = per.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
         if not open_pairs:
             break
-        last = turn == rounds or open_pairs <= size + 100_000
-        left = seen.select("token", F.col("node").alias("x"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        last = turn == rounds or open_pairs <= SMALL * size
+        left = seen.select("token", F.col("node").alias("x"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("place").alias("pa"), "large")
         if not last:
-            hub = F.min_by(F.struct("x", "na", "ca"), F.xxhash64("x", F.lit(turn))).alias("hub")
-            left = left.groupBy("token").agg(hub).select("token", "hub.*")
-        right = seen.select("token", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pairs = left.join(right, "token").where((F.col("ca") != F.col("cb")) & fits)
+            # first the node that shares most, as the original of many copies does
+            rank = F.struct(-F.col("large"), "x") if turn == 0 else F.struct(F.xxhash64("x", F.lit(turn)), "x")
+            hub = F.min_by(F.struct("x", "na", "ca", "pa"), rank).alias("hub")
+            left = materialise(left.groupBy("token").agg(hub).select("token", "hub.*"), "hubs")
+        right = seen.select("token", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
+        pairs = left.join(right, "token").where((F.col("ca") != F.col("cb")) & fits & first)
         if last:
             pairs = pairs.where("x < y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(verify(pairs), "links")
-        links = links.unionByName(found)
-        if not found.isEmpty():
+        found = verifier.links(pairs)
+        if new := found.count():
+            links = links.unionByName(found)
             labels = materialise(components(links), "labels")
         if last:
             break
+        if turn and 10 * new < pairs.count():
+            rounds = turn + 1  # hubs find little more
         checked = checked.unionByName(pairs)
     return labels
 
