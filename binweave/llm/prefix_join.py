@@ -318,16 +318,18 @@ def _link(posted: DataFrame, verifier: Verifier, percent: int, rounds: int) -> D
     number of postings that a pair shares: all common shingles of two prefixes are there, but
     for those with large postings, of which a node's number is known. With the set whose
     prefix ends first, what is common is in both prefixes or behind that prefix; pairs
-    that can't reach the similarity by this go unverified."""
+    that can't reach the similarity by this go unverified. A group's members (place 0) share
+    their whole prefixes, whose shingles needn't have postings: these pairs are verified."""
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     counts = materialise(posted.groupBy("token").count(), "counts")
     large = materialise(posted.join(counts.where(F.col("count") > SMALL), "token", "left_semi"), "large")
     missing = materialise(large.groupBy("node").agg(F.count("*").alias("large")), "missing")
     small = posted.join(counts.where(F.col("count") <= SMALL), "token", "left_semi").join(missing, "node", "left")
-    small = materialise(small.select("token", "node", "n", F.coalesce("large", F.lit(0)).alias("large")), "small")
-    side = lambda x: small.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("large").alias(f"l{x}"))
-    together = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & fits)
-    together = together.groupBy("a", "b", "na", "nb", "la", "lb").count()
+    shared = F.when(F.col("place") == 0, F.col("n")).otherwise(1).alias("shared")
+    small = materialise(small.select("token", "node", "n", F.coalesce("large", F.lit(0)).alias("large"), shared), "small")
+    side = lambda x, *more: small.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("large").alias(f"l{x}"), *more)
+    together = side("a", "shared").join(side("b"), "token").where((F.col("a") < F.col("b")) & fits)
+    together = together.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.sum("shared").alias("count"))
     behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     most = F.col("count") + F.least("la", "lb") + F.greatest(behind("na"), behind("nb"))
     pairs = together.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")

@@ -1,6 +1,7 @@
 """Repeated passages and near copies against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -125,6 +126,19 @@ def test_near_chain_in_rounds(make, monkeypatch):
         assert got == brute_components(pairs)
 
 
+def test_near_groups_of_two(make):
+    # most pairs have equal prefixes and size, whose shingles no other group holds
+    rnd = random.Random(3)
+    pairs = []
+    for k in range(40):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        late = rnd.randrange(190, 200)
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:late], "other", *words[late + 1 :]]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in prefix_join.near_components(make(pairs)).collect()}
+    assert got == brute_components(pairs)
+    assert {got[2 * k + 1][1] for k in range(40)} == {2 * k for k in range(40)}
+
+
 def test_near_odd_rows(make):
     t = " ".join(f"w{k}" for k in range(50))
     docs = make([(5, t), (5, t), (None, t), (7, None), (8, ""), (9, None), (3, t.upper())])
