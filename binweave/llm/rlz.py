@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, unpack
-from .prefix_join import U, mix64, word_hashes
+from .prefix_join import word_hashes
 from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, windows_to_spans, with_rows, with_spans
 
 WINDOW = 35
@@ -34,10 +34,9 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
     return [b" ".join(words[a:b]) for a, b in spans]
 
 
-def factors(pieces: list[bytes], part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def factors(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Factors (piece, start, end), in words, of 35 words or more of the pieces against
-    the block that they form; a factor never is its own reference. Of ``parts`` shares of
-    the phrases, by their first word, the one asked for."""
+    the block that they form; a factor never is its own reference."""
     w, at = word_hashes(pieces)
     none = np.zeros(0, dtype=np.int64)
     if len(w) < WINDOW:
@@ -47,8 +46,6 @@ def factors(pieces: list[bytes], part: int = 0, parts: int = 1) -> tuple[np.ndar
         c = pair_ranks(c[:-k], c[k:])
     owner = np.repeat(np.arange(len(pieces)), np.diff(at))
     starts = np.flatnonzero(np.arange(len(w)) + WINDOW <= at[1:][owner])
-    if parts > 1:
-        starts = starts[mix64(w[starts]) % U(parts) == U(part)]
     # greedy: only where the index holds the phrase elsewhere
     starts = starts[np.bincount(c)[c[starts]] > 1]
     if not len(starts):

@@ -6,7 +6,9 @@ whose anchor's gram is found nowhere else repeat nowhere. Neighbouring windows w
 anchor form a run; a text has about two runs for each window length. Runs with equal
 gram and equal content (fingerprint) repeat as a whole; what is left are runs whose gram
 comes with different contents: the edges of repeats, which the operators then resolve by
-their own methods on the content itself.
+their own methods on the content itself. A gram with too many contents for one task (a line
+found in many documents) is never gathered: each window of its contents is a row of its own,
+by fingerprint, and grouped sums tell which of them come twice.
 """
 
 from __future__ import annotations
@@ -76,6 +78,18 @@ def find_runs(values: np.ndarray, at: np.ndarray, window: int, gram: int) -> Run
 Symbols = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
+def window_prints(values: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of texts that lie one after the other in values, and where each
+    text's windows start in them (one more at the end)."""
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=U)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    counts = np.maximum(np.diff(at) - window + 1, 0)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    first = np.arange(ends[-1]) + np.repeat(at[:-1] - ends[:-1], counts)
+    return mix64((total[first + window] - total[first]) * down[first]), ends
+
+
 def text_runs(texts: list[str | None], symbols: Symbols, window: int, gram: int) -> Iterator[tuple[int, int, Runs]]:
     """(index of the first text, number of texts, their runs), some texts at a time."""
     group, size, begin = [], 0, 0
@@ -100,12 +114,12 @@ class Passages(NamedTuple):
     gram: int
     #: (UTF-8 bytes, [(first, end), ...]) -> the contents from symbol first up to end, as bytes
     cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]]
-    #: (contents, part, parts) -> (index of the content, start, end) of each span of
-    #: windows that are found twice or more in the contents
-    resolve: Callable[[list[bytes], int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: contents -> (index of the content, start, end) of each span of windows that are
+    #: found twice or more in the contents
+    resolve: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-#: Contents of one gram that a task takes at once; more are split by the windows' first symbols.
+#: Contents of one gram that a task takes at once; of a gram with more, windows are rows.
 PART_CONTENTS = 4096
 #: Bytes of contents that are resolved together.
 CHUNK = 1 << 20
@@ -141,51 +155,75 @@ def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
     # one content of each kind, of the grams that have several
     kinds = each.where("edges").groupBy("gram", "content").agg((F.count("*") > 1).alias("whole"), F.min(F.struct("row", "first", "last")).alias("at"))
     kinds = materialise(kinds.select("gram", "content", "whole", "at.*"), "contents")
-    parts = materialise(kinds.groupBy("gram").agg(F.ceil(F.count("*") / PART_CONTENTS).cast("int").alias("parts")), "parts")
-    wanted = kinds.join(parts, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "content", "first", "last", "parts")).alias("wanted"))
+    hot = materialise(kinds.groupBy("gram").count().where(F.col("count") > PART_CONTENTS).select("gram"), "hot")
+    texts = docs.select(F.col("__row").alias("row"), packed(F.col("text")).alias("packed"))
+
+    def asked(kinds: DataFrame) -> DataFrame:
+        wanted = kinds.groupBy("row").agg(F.collect_list(F.struct("gram", "content", "first", "last")).alias("wanted"))
+        return texts.join(wanted, "row").select("packed", "wanted")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for data, asked in zip(pdf["packed"], pdf["wanted"]):
-                pieces = how.cut(unpack(data), [(x["first"], x["last"] + window) for x in asked])
-                out += [(x["gram"], p, x["parts"], x["content"], piece) for x, piece in zip(asked, pieces) for p in range(x["parts"])]
-            yield pd.DataFrame(out, columns=["gram", "part", "parts", "content", "piece"])
+            for data, wanted in zip(pdf["packed"], pdf["wanted"]):
+                pieces = how.cut(unpack(data), [(x["first"], x["last"] + window) for x in wanted])
+                out += [(x["gram"], x["content"], piece) for x, piece in zip(wanted, pieces)]
+            yield pd.DataFrame(out, columns=["gram", "content", "piece"])
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
 
-        def close(upto: int) -> pd.DataFrame:
-            found = []
-            at = 0
-            while at < upto:  # a bucket in parts is resolved alone
-                part, parts = held[at][1:3]
-                end = at
-                while end < upto and held[end][2] == parts and (parts == 1 or held[end][:2] == held[at][:2]):
-                    end += 1
-                which, start, stop = how.resolve([x[4] for x in held[at:end]], part, parts)
-                found += [(held[at + w][0], held[at + w][3], a, b) for w, a, b in zip(which.tolist(), start.tolist(), stop.tolist())]
-                at = end
-            del held[:upto]
+        def close() -> pd.DataFrame:
+            which, start, stop = how.resolve([x[2] for x in held])
+            found = [(*held[w][:2], a, b) for w, a, b in zip(which.tolist(), start.tolist(), stop.tolist())]
+            held.clear()
             return pd.DataFrame(found, columns=["gram", "content", "start", "end"])
 
         size = 0
         for pdf in batches:
-            for x in zip(pdf["gram"], pdf["part"], pdf["parts"], pdf["content"], pdf["piece"]):
-                if held and x[:4] == held[-1][:4]:
+            for x in zip(pdf["gram"], pdf["content"], pdf["piece"]):
+                if held and x[:2] == held[-1][:2]:
                     continue  # a document that repeats
-                if size > CHUNK and x[:2] != held[-1][:2]:
-                    yield close(len(held))
+                if size > CHUNK and x[0] != held[-1][0]:
+                    yield close()
                     size = 0
                 held.append(x)
-                size += len(x[4])
+                size += len(x[2])
         if held:
-            yield close(len(held))
+            yield close()
 
-    texts = docs.select(F.col("__row").alias("row"), packed(F.col("text")).alias("packed"))
-    pieces = texts.join(wanted, "row").select("packed", "wanted").mapInPandas(cut, "gram long, part int, parts int, content long, piece binary")
-    pieces = pieces.repartition("gram", "part").sortWithinPartitions("gram", "part", "content")
-    edges = pieces.mapInPandas(resolve, "gram long, content long, start int, end int")
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out, size = [], 0
+            for data, wanted in zip(pdf["packed"], pdf["wanted"]):
+                h, at = window_prints(*how.symbols(how.cut(unpack(data), [(x["first"], x["last"] + window) for x in wanted])), window)
+                h = h.view(np.int64)
+                out += [(x["gram"], x["content"], h[a:b]) for x, a, b in zip(wanted, at[:-1].tolist(), at[1:].tolist())]
+                size += len(h)
+                if size > STEP:
+                    yield pd.DataFrame(out, columns=["gram", "content", "windows"])
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["gram", "content", "windows"])
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            starts = [np.unique(s) for s in pdf["starts"]]
+            owner = np.repeat(np.arange(len(pdf)), [len(s) for s in starts])
+            o, a, b = windows_to_spans(owner, np.concatenate([np.zeros(0, dtype=np.int64), *starts]), window)
+            yield pd.DataFrame({"gram": pdf["gram"].to_numpy()[o], "content": pdf["content"].to_numpy()[o], "start": a, "end": b})
+
+    span = "gram long, content long, start int, end int"
+    any_hot = not hot.isEmpty()
+    pieces = asked(kinds.join(hot, "gram", "left_anti") if any_hot else kinds).mapInPandas(cut, "gram long, content long, piece binary")
+    edges = pieces.repartition("gram").sortWithinPartitions("gram", "content").mapInPandas(resolve, span)
+    if any_hot:
+        printed = asked(kinds.join(hot, "gram", "left_semi")).mapInPandas(prints, "gram long, content long, windows array<long>")
+        windows = materialise(printed, "windows").select("gram", "content", F.posexplode("windows").alias("start", "print"))
+        twice = windows.groupBy("gram", "print").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi")
+        windows = windows.join(materialise(twice.select("gram", "print"), "twice"), ["gram", "print"], "left_semi")
+        windows = windows.groupBy("gram", "content").agg(F.collect_list("start").alias("starts"))
+        edges = edges.unionByName(windows.mapInPandas(neighbours, span))
     wholes = kinds.where("whole").select("gram", "content", F.lit(0).alias("start"), (F.col("last") - F.col("first") + window).alias("end"))
     wholes = wholes.unionByName(edges.join(kinds.where("whole").select("gram", "content"), ["gram", "content"], "left_anti"))
     resolved = materialise(wholes, "resolved")

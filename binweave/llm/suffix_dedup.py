@@ -13,7 +13,7 @@ by its fingerprint. The others are sorted one block of buckets at a time:
   samples, and d + 169 bytes from there, with the first and last 32, are all 200.
 
 A block holds a few MB of text, its sample ranks and nothing else; a bucket with more
-contents than a task should hold is split by the suffixes' first bytes.
+contents than a task should hold isn't sorted: its windows are counted by fingerprints.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, unpack
-from .prefix_join import U, _byte_values, mix64
+from .prefix_join import U, _byte_values
 from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, windows_to_spans, with_rows, with_spans
 
 WINDOW = 200
@@ -47,9 +47,9 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
     return [text[a:b] for a, b in spans]
 
 
-def repeated_suffixes(pieces: list[bytes], part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_suffixes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (piece, start, end) covered by 200-byte strings that start twice or more in
-    the pieces. Of ``parts`` shares of the suffixes, by their first 8 bytes, the one asked for."""
+    the pieces."""
     t = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     n = len(t)
     lengths = np.array([len(p) for p in pieces])
@@ -64,8 +64,6 @@ def repeated_suffixes(pieces: list[bytes], part: int = 0, parts: int = 1) -> tup
     owner = np.repeat(np.arange(len(pieces)), lengths)
     place = np.arange(n)
     starts = place[place + WINDOW <= ends[owner]]
-    if parts > 1:
-        starts = starts[mix64(eight[starts]) % U(parts) == U(part)]
     if not len(starts):
         return none, none, none
     c = ranks(eight)

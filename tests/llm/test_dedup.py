@@ -55,6 +55,33 @@ def test_parts_of_a_hot_bucket_agree(make, corpus, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in rlz.dedup(make(corpus)).collect()} == words
 
 
+@pytest.mark.parametrize("op,window", [(suffix_dedup, 200), (rlz, 35)])
+def test_hot_gram_is_no_tasks_own(make, monkeypatch, op, window):
+    """A line in more documents than a bucket may hold: no task takes all its contents."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    line = text(20)
+    texts = [f"{text(25)} {line} {text(25)}" for _ in range(5000)]
+    texts += [f"{text(9)} {t[20:]}" for t in texts[:30]] + [f"{t[:-20]} {text(9)}" for t in texts[15:45]] + texts[50:60]
+    monkeypatch.setattr(runs, "PART_CONTENTS", 500)
+    monkeypatch.setattr(runs, "CHUNK", 1 << 14)
+    limit, resolve = 1000, op.PASSAGES.resolve
+
+    def checked(pieces, *part):
+        if len(pieces) > limit:
+            raise ValueError(f"{len(pieces)} contents in one task")
+        return resolve(pieces, *part)
+
+    monkeypatch.setattr(op, "PASSAGES", op.PASSAGES._replace(resolve=checked))
+    symbols = [t.encode() if op is suffix_dedup else tuple(t.split()) for t in texts]
+    counts = Counter(hash(s[p : p + window]) for s in symbols for p in range(len(s) - window + 1))
+    got = spans_of(op.spans(make(texts)).collect(), "")
+    for i, s in enumerate(symbols):
+        twice = [p for p in range(len(s) - window + 1) if counts[hash(s[p : p + window])] > 1]
+        assert got[i] == {q for p in twice for q in range(p, p + window)}, i
+
+
 @pytest.mark.parametrize("op", [suffix_dedup, rlz])
 def test_dedup_keeps_columns_and_rows(make, corpus, op):
     docs = make(corpus)
