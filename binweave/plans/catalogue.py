@@ -475,7 +475,7 @@ def tad_box_scores(spark, d):
 @query()
 def tad_suppress(spark, d):
     c = cells(spark, d)
-    boxes = c.where("j - i BETWEEN 5 AND 8 AND i % 5 = 0").select(*C.KEY, F.col("i").alias("a"), F.col("j").alias("b"))
+    boxes = c.where("j - i BETWEEN 5 AND 8").select(*C.KEY, F.col("i").alias("a"), F.col("j").alias("b"))
     return rounded(T.suppress_overlaps(T.box_scores(boxes, c)), column="score")
 
 

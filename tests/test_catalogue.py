@@ -1,8 +1,12 @@
 """Every registered query with SQL gives the rows that DuckDB gives."""
 
+import math
+
 import pytest
 
+from binweave.operators.structure import box_scores
 from binweave.plans import catalogue
+from binweave.plans.domain import cells
 
 from .conftest import same
 
@@ -18,6 +22,18 @@ def test_those_without_sql():
     assert sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())) == sorted(WITHOUT_SQL)
 
 
+def test_suppress_takes_all_boxes(spark, data):
+    c = cells(spark, data)
+    boxes = c.where("j - i BETWEEN 5 AND 8").select("map", "binsize", c["i"].alias("a"), c["j"].alias("b"))
+    rows = box_scores(boxes, c).collect()
+    kept = []
+    for r in sorted(rows, key=lambda r: (-math.floor(r["score"] / 0.05), r["a"] - r["b"], -r["score"], r["a"])):
+        if all(r["map"] != k["map"] or r["a"] > k["b"] or r["b"] < k["a"] for k in kept):
+            kept.append(r)
+    got = catalogue.queries()["tad_suppress"](spark, data).collect()
+    assert sorted((r["map"], r["a"], r["b"]) for r in got) == sorted((r["map"], r["a"], r["b"]) for r in kept)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
