@@ -1,13 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by fingerprints and phrase classes, in place of a relative Lempel-Ziv parse.
 
 Words covered by a window of 35 words that starts twice or more in the corpus are removed.
-A document is parsed against the reference blocks that can hold a phrase of it: blocks are
-keyed by the word gram that anchors a window (see runs.py), so a document meets every
-block that shares one of its windows, and no other. Phrases that repeat as a whole are
-factors at once. At the boundaries of such factors the parse goes on word by word: a block
-is indexed by classes of phrases of 1, 2, 4 ... 32 words, a factor is taken as long as the
-index holds a phrase of 32 words, and it is sufficiently long where the phrase 3 words on
-continues the same one, that is, 35 words from there are found elsewhere.
+Blocks are keyed by the word gram that anchors a window (see runs.py), so a document meets
+every block that shares one of its windows, and no other. Runs of windows that repeat as a
+whole are found by fingerprint. For the others a block has classes of phrases of 1, 2, 4
+... 32 words, and a window repeats where the phrases of 32 words at its start and 3 words
+on come together elsewhere. No text is parsed from left to right: windows that come twice
+define what goes, so their equality decides it.
 """
 
 from __future__ import annotations
