@@ -7,12 +7,14 @@ hash. Two sets of Jaccard similarity t or more share one of the first
 size form one group; groups meet in the postings of prefix shingles, and only postings
 that join two groups, or groups that hold two different sets, are expanded to members.
 
-Members of a large posting are not paired with each other. In rounds, each posting picks one
-hub and its members of other components are verified against that hub, by exact
-intersection of whole sets; links merge components; pairs within a component need no
-check, as they can't change it. What is left, pairs of different components in one
-posting, is verified pair by pair, so no link between components is lost. Small postings,
-of which nearly all are, give their pairs at once.
+Members of a large posting are not paired with each other. In rounds, each posting picks
+hubs, one and then four times as many, and its members of other components whose size and
+places allow it are verified against them, by exact intersection of whole sets. Links merge
+components; pairs within a component need no check, as they can't change it, and a hub
+leaves its posting, as all its pairs there are done. It ends when no posting joins two
+components, or when the pairs left are no more than a fixed multiple of the rows; these are
+verified too, so no link between components is lost. Small postings, of which nearly all
+are, give their pairs at once.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ PERCENT = 80
 FREQUENT = 32
 #: Shingles at most that are ordered by frequency: the bound of what is broadcast (16 MB).
 MOST_FREQUENT = 1 << 20
-#: Shingles of a block of documents within which repeated ones are counted.
-BLOCK = 1 << 22
+#: Shingles of a block of documents within which repeated ones are counted (8 MB).
+BLOCK = 1 << 20
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
 STEP = 1 << 18
 
@@ -55,16 +57,19 @@ def _byte_values() -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 
 
-_powers: list[np.ndarray] = []
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(size, BASE), np.full(size, BASE_INVERSE)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
+
+
+_step_powers = lru_cache(1)(_powers)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, STEP * 2)
-        up, down = np.full(size, BASE), np.full(size, BASE_INVERSE)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse, n at least. Those of a step are kept, those of
+    a longer text go with it."""
+    return _step_powers(STEP * 2) if n <= STEP * 2 else _powers(n)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,20 +137,26 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
     of shingles repeated within a block of documents. At most MOST_FREQUENT come back."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        # one buffer, sorted in place: a worker holds it and what repeats in it
+        held, size = np.empty(BLOCK, dtype=U), 0
 
-        def close():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"token": u[c > 1].view(np.int64), "n": c[c > 1]})
+        def close() -> pd.DataFrame:
+            block = held[:size]
+            block.sort()
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            n = np.diff(np.append(first, size))
+            return pd.DataFrame({"token": block[first[n > 1]].view(np.int64), "n": n[n > 1]})
 
         for pdf in batches:
             for h, _ in shingle_sets(pdf["text"].tolist(), words):
-                held.append(h)
-                size += len(h)
-                if size >= BLOCK:
-                    yield close()
-                    held, size = [], 0
-        if held:
+                while len(h):
+                    part, h = h[: BLOCK - size], h[BLOCK - size :]
+                    held[size : size + len(part)] = part
+                    size += len(part)
+                    if size == BLOCK:
+                        yield close()
+                        size = 0
+        if size:
             yield close()
 
     counts = docs.select(F.col(text).alias("text")).mapInPandas(count, "token long, n long")
@@ -159,8 +170,7 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
 def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: key, n_shingles, node (a hash of the whole set), grp (a hash of
     prefix and size) and the prefix. Null and empty texts have n_shingles 0 and no prefix."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(frequent_shingles(docs, text, words))
+    held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, counts = held.value
@@ -199,7 +209,9 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"key {kind}, n long, node long, grp long, prefix array<long>")
+    out = materialise(rows.mapInPandas(run, f"key {kind}, n long, node long, grp long, prefix array<long>"), "signatures")
+    held.destroy()
+    return out
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: int, hint: str | None = None) -> DataFrame:
@@ -255,24 +267,26 @@ def shared_tokens(sig: DataFrame) -> DataFrame:
             place = np.arange(1, len(row) + 1) - (np.cumsum(count) - count)[row]
             yield pd.DataFrame({"token": token[keep], "grp": pdf["grp"].to_numpy()[row[keep]], "place": place[keep]})
 
-    return sig.select("grp", "prefix").mapInPandas(run, "token long, grp long, place long").distinct()
+    out = materialise(sig.select("grp", "prefix").mapInPandas(run, "token long, grp long, place long").distinct(), "tokens")
+    held.destroy()
+    return out
 
 
-def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, rounds: int = 8) -> DataFrame:
+def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT, hubs: int = 1) -> DataFrame:
     """One row per document: key, n_shingles, component_id, the smallest key that links
     reach. Documents without words are linked with nothing, not even with each other;
     equal sets are linked; rows that repeat are linked with each other; a null key never
     is a component_id unless no document of the component has another. No rows, no rows."""
-    sig = materialise(signatures(docs, text, key, words, percent), "signatures")
+    sig = signatures(docs, text, key, words, percent)
     filled = sig.where("n > 0")
     members = materialise(filled.groupBy("grp", "node", "n").agg(F.min("key").alias("key")), "members")
     # postings that join groups, and groups of several sets
-    postings = materialise(shared_tokens(filled), "tokens")
+    postings = shared_tokens(filled)
     shared = postings.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     crowded = members.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp", F.col("grp").alias("token"), F.lit(0).cast("long").alias("place"))
     posted = postings.join(materialise(shared, "shared"), "token", "left_semi").select("grp", "token", "place").unionByName(crowded)
     posted = materialise(posted.join(members.select("grp", "node", "n"), "grp").select("token", "node", "n", "place"), "postings")
-    labels = _link(posted, Verifier(docs, text, key, words, percent, members.select("key", "node")), percent, rounds)
+    labels = _link(posted, Verifier(docs, text, key, words, percent, members.select("key", "node")), percent, hubs)
     comp = F.coalesce("label", "node")
     nodes = members.join(labels, "node", "left").select("node", comp.alias("comp"), "key")
     least = materialise(nodes.groupBy("comp").agg(F.min("key").alias("component")), "least")
@@ -311,7 +325,7 @@ class Verifier:
 SMALL = 16
 
 
-def _link(posted: DataFrame, verifier: Verifier, percent: int, rounds: int) -> DataFrame:
+def _link(posted: DataFrame, verifier: Verifier, percent: int, hubs: int) -> DataFrame:
     """Labels (node, label) of the nodes that verified links join.
 
     Small postings give all their pairs, at most SMALL / 2 for each of their rows, with the
@@ -341,7 +355,7 @@ def _link(posted: DataFrame, verifier: Verifier, percent: int, rounds: int) -> D
     rest = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     first = (100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))
     size = large.count()
-    for turn in range(rounds + 1):
+    while True:
         seen = large.join(labels, "node", "left").select("token", "node", "n", "place", "large", F.coalesce("label", "node").alias("comp"))
         mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         seen = materialise(seen.join(materialise(mixed, "mixed"), "token", "left_semi"), "open")
@@ -349,36 +363,51 @@ def _link(posted: DataFrame, verifier: Verifier, percent: int, rounds: int) -> D
         open_pairs = per.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
         if not open_pairs:
             break
-        last = turn == rounds or open_pairs <= SMALL * size
-        left = seen.select("token", F.col("node").alias("x"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("place").alias("pa"), "large")
+        last = open_pairs <= SMALL * size
+        side = lambda x, y, *more: seen.select("token", F.col("node").alias(x), F.col("n").alias(f"n{y}"), F.col("comp").alias(f"c{y}"), F.col("place").alias(f"p{y}"), *more)
+        left = side("x", "a", "large")
         if not last:
-            # first the node that shares most, as the original of many copies does
-            rank = F.struct(-F.col("large"), "x") if turn == 0 else F.struct(F.xxhash64("x", F.lit(turn)), "x")
+            # one hub for each share of a posting; first the node that shares most, as the
+            # original of many copies does
+            rank = F.struct(-F.col("large"), "x") if hubs == 1 else F.struct(F.xxhash64("x", F.lit(hubs)), "x")
             hub = F.min_by(F.struct("x", "na", "ca", "pa"), rank).alias("hub")
-            left = materialise(left.groupBy("token").agg(hub).select("token", "hub.*"), "hubs")
-        right = seen.select("token", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
-        pairs = left.join(right, "token").where((F.col("ca") != F.col("cb")) & fits & first)
+            left = left.withColumn("share", F.pmod(F.xxhash64("x"), F.lit(hubs))).groupBy("token", "share").agg(hub)
+            left = materialise(left.select("token", "hub.*"), "hubs")
+            # all pairs of a hub in its posting are verified now: it leaves the posting
+            large = materialise(large.join(left.select("token", F.col("x").alias("node")), ["token", "node"], "left_anti"), "large")
+            hubs *= 4
+        pairs = left.join(side("y", "b"), "token").where((F.col("ca") != F.col("cb")) & fits & first)
         if last:
             pairs = pairs.where("x < y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         found = verifier.links(pairs)
-        if new := found.count():
+        if not found.isEmpty():
             links = links.unionByName(found)
             labels = materialise(components(links), "labels")
         if last:
             break
-        if turn and 10 * new < pairs.count():
-            rounds = turn + 1  # hubs find little more
         checked = checked.unionByName(pairs)
     return labels
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """docs without all but one document of each component: that with the smallest key.
-    Documents without words all stay. Of rows that repeat a kept key all stay."""
-    found = near_components(docs, text, key, **options).where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(F.col("__gone")), "left_anti")
+    """docs without all but one document of each component: that with the smallest key, a
+    null key last. Documents without words all stay. A row is its key and text: rows of one
+    key with different texts are documents of their own, and rows that repeat the document
+    that stays, stay too. Very long texts are compared whole; columns whose names clash with
+    internal ones pass unchanged."""
+    rows = docs.withColumn("__row", F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(":"), F.col(text)))
+    found = near_components(rows.select("__row", F.col(text).alias("text")), "text", "__row", **options)
+    # the components of more than one row, and the row of each that stays
+    found = materialise(found.select("__row", F.col("component_id").alias("comp")).distinct(), "classes")
+    several = found.groupBy("comp").count().where("count > 1").select("comp")
+    keys = rows.select("__row", F.col(f"`{key}`").alias("key"))
+    members = materialise(found.join(several, "comp").join(keys, "__row").distinct(), "copies")
+    best = F.min(F.struct(F.col("key").isNull(), "key", "__row"))["__row"].alias("stays")
+    stays = materialise(members.groupBy("comp").agg(best), "stays")
+    gone = materialise(members.join(stays, "comp").where("__row <> stays").select("__row").distinct(), "gone")
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_prefix_join(spark, sf_dir) -> DataFrame:

@@ -148,8 +148,8 @@ def test_near_chain_in_rounds(make, monkeypatch):
     # each text is near the next one only: the component needs links that hubs don't give
     w = [f"w{k}" for k in range(400)]
     pairs = [(k, " ".join(w[k * 6 : k * 6 + 110])) for k in range(40)]
-    for rounds in (0, 3):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in prefix_join.near_components(make(pairs), rounds=rounds).collect()}
+    for hubs in (1, 16):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in prefix_join.near_components(make(pairs), hubs=hubs).collect()}
         assert got == brute_components(pairs)
 
 
@@ -166,6 +166,38 @@ def test_near_groups_of_two(make):
     assert {got[2 * k + 1][1] for k in range(40)} == {2 * k for k in range(40)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_pairs_of_equal_size(make, seed):
+    # 150 pairs that differ in one word: most have equal prefixes and size
+    rnd = random.Random(seed)
+    pairs = []
+    for k in range(150):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        at = rnd.randrange(200)
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:at], "other", *words[at + 1 :]]))]
+    got = {r["doc_id"]: r["component_id"] for r in prefix_join.near_components(make(pairs)).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(150))
+
+
+def test_hubs_of_unlinked_copies(make, monkeypatch):
+    # a passage that is most of each text, none of which are linked: hubs leave, all pairs are checked
+    monkeypatch.setattr(prefix_join, "SMALL", 2)
+    monkeypatch.setattr(prefix_join, "FREQUENT", 2)
+    shared = " ".join(f"s{k}" for k in range(100))
+    pairs = [(k, shared + " " + " ".join(f"w{k}x{m}" for m in range(20 + k % 3))) for k in range(24)]
+    pairs += [(100 + k, pairs[k][1] + " tail") for k in range(5)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in prefix_join.near_components(make(pairs)).collect()}
+    assert got == brute_components(pairs)
+
+
+def test_keep_one_is_by_row(make):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(3, a), (5, a + " end"), (5, b), (8, "other words here"), (None, b + " end"), (None, None), (9, None), (7, b + " last")]
+    kept = prefix_join.keep_one(make(rows))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect() if r["text"]) == sorted([("3", a), ("5", b), ("8", "other words here")])
+    assert kept.where("text IS NULL").count() == 2
+
+
 def test_near_odd_rows(make):
     t = " ".join(f"w{k}" for k in range(50))
     docs = make([(5, t), (5, t), (None, t), (7, None), (8, ""), (9, None), (3, t.upper())])
