@@ -20,7 +20,6 @@ are, give their pairs at once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialise, packed, unpack
 from .graph import components
+from .hashing import BASE, U, byte_steps, fold, mix64, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -38,73 +38,12 @@ FREQUENT = 32
 MOST_FREQUENT = 1 << 20
 #: Shingles of a block of documents within which repeated ones are counted (8 MB).
 BLOCK = 1 << 20
-#: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-STEP = 1 << 18
-
-U = np.uint64
-BASE = U(0x9E3779B97F4A7C15 | 1)
-BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
-
-
-def mix64(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(33))) * U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> U(33))
-
-
-@lru_cache(1)
-def _byte_values() -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-
-
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, BASE), np.full(size, BASE_INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
-
-
-_step_powers = lru_cache(1)(_powers)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n at least. Those of a step are kept, those of
-    a longer text go with it."""
-    return _step_powers(STEP * 2) if n <= STEP * 2 else _powers(n)
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and where each text's words start (one more at
-    the end). Words are separated by ASCII white space."""
-    joined = b"\n".join([*texts, b""])
-    a = np.frombuffer(joined, dtype=np.uint8)
-    white = (a == 32) | ((a >= 9) & (a <= 13))
-    flips = np.flatnonzero(np.diff(white, prepend=True))
-    starts, ends = flips[::2], flips[1::2]
-    up, down = powers(len(a) + 1)
-    total = np.zeros(len(a) + 1, dtype=U)
-    np.cumsum(_byte_values()[a] * up[: len(a)], out=total[1:])
-    h = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
-    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    return h, np.searchsorted(starts, offsets)
-
-
-def fold(parts: list[np.ndarray]) -> np.ndarray:
-    h = np.full(len(parts[0]), len(parts), dtype=U)
-    for p in parts:
-        h = mix64(h * BASE + p)
-    return h
-
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts: sorted distinct shingle hashes, text after text, and each
     text's start in them (one more at the end)."""
-    group, size = [], 0
-    for i, t in enumerate(texts):
-        group.append((t or "").encode().lower())
-        size += len(group[-1])
-        if size >= STEP or i == len(texts) - 1:
-            yield _sets(group, words)
-            group, size = [], 0
+    for _, group in byte_steps(texts):
+        yield _sets([t.lower() for t in group], words)
 
 
 def _sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,9 +3,10 @@
 A classifier gives each document the log odds of being of good quality and of being toxic.
 Sums over paths and hosts (grouped aggregation, combined before the shuffle) then give
 posteriors: a host's rate is shrunk to the corpus, a path's to its host, each with a beta
-prior whose strength is estimated from the spread of the rates; a sparse site stays close
-to its prior. The document's odds are moved by the odds of its path over those of the
-corpus.
+prior whose weight comes from the spread of the rates less the noise within sites (see
+shrink.py); a sparse site stays close to its prior. The document's odds are moved by the
+odds of its path over those of the corpus. Documents have no URL: a host is a source, and
+the languages within a source stand for its paths; both are parameters.
 
 The classifier is fitted on a bounded sample of labelled rows (``sample``, the rows of least
 hash); everything else covers all documents.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialise
 from .host_rules import SPACES, SYMBOLS
 from .mixing import uniform
+from .shrink import posterior, prior_weight
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 4000
@@ -67,17 +69,14 @@ class Model:
         self.lexicons, self.weights = lexicons, weights or {}
 
     def rows(self, texts) -> dict[str, np.ndarray]:
-        held = [(shape(t), distinct_words(t)) for t in texts]
-        out = {}
-        for head in HEADS:
-            lexicon = self.lexicons[head]
-            keys = lexicon.keys()
-            x = []
-            for s, words in held:
-                odds = [lexicon[w] for w in keys & words]
-                x.append([1.0, *s, max(-6.0, min(6.0, sum(odds))), max(odds, key=abs, default=0.0)])
-            out[head] = np.array(x, dtype=float).reshape(-1, FEATURES + 3)
-        return out
+        out: dict[str, list] = {head: [] for head in HEADS}
+        for t in texts:
+            form, words = shape(t), distinct_words(t)
+            for head in HEADS:
+                lexicon = self.lexicons[head]
+                odds = [lexicon[w] for w in lexicon.keys() & words]
+                out[head].append([1.0, *form, max(-6.0, min(6.0, sum(odds))), max(odds, key=abs, default=0.0)])
+        return {head: np.array(x, dtype=float).reshape(-1, FEATURES + 3) for head, x in out.items()}
 
     def score(self, texts) -> dict[str, np.ndarray]:
         return {h: np.clip(x @ self.weights[h], -12, 12) for h, x in self.rows(texts).items()}
@@ -98,43 +97,50 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30)
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, lexicon: int = LEXICON) -> Model:
     """A model fitted on at most ``sample`` labelled documents: rows (key, quality, toxic) of
-    least hash. Rows whose key or labels are null don't count; without labels the model
-    gives log odds 0."""
+    least hash. Rows whose key or labels are null don't count; labels that repeat a key count
+    once, the larger of each; of documents that repeat a key the least text counts; equal
+    hashes go by key; without labels the model gives log odds 0. Lexicons and weights are
+    fitted on the same rows: fitting each half's weights with the other half's lexicons gave
+    no better results on held-out labels."""
     chosen = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     chosen = chosen.groupBy(F.col(key).alias("__k")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(uniform(F.col("__k"), "fit"), "__k").limit(sample)
     # at most ``sample`` rows
     chosen = docs.select(F.col(f"`{key}`").alias("__k"), F.col(text).alias("text")).join(F.broadcast(chosen), "__k").where("text is not null")
+    chosen = chosen.groupBy("__k").agg(F.min("text").alias("text"), F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = materialise(chosen, "labelled")
-
-    words = F.pandas_udf(lambda ts: pd.Series([sorted(w.decode("utf-8", "ignore") for w in distinct_words(t)) for t in ts], dtype=object), "array<string>")
-    total = chosen.agg(F.count("*"), F.sum("quality"), F.sum("toxic")).first()
-    n = total[0]
-    seen = chosen.select("quality", "toxic", F.explode(words("text")).alias("word"))
-    seen = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).where("n >= 4")
-    lexicons: dict[str, dict[bytes, float]] = {}
-    for i, head in enumerate(HEADS):
-        good = total[i + 1] or 0
-        a, b = F.col(head) + 0.5, F.col("n") - F.col(head) + 0.5
-        odds = F.ln(a / F.lit(good + 1.0)) - F.ln(b / F.lit(n - good + 1.0))
-        top = seen.select("word", odds.alias("odds"), (F.abs(odds) / F.sqrt(1 / a + 1 / b)).alias("z")).where("z > 3")
-        lexicons[head] = {r["word"].encode(): r["odds"] for r in top.orderBy(F.desc("z"), "word").limit(lexicon).collect()}
-    model = Model(lexicons)
+    model = Model(_lexicons(chosen, lexicon))
 
     def numbers(batches):
         for pdf in batches:
             x = model.rows(pdf["text"])
             yield pd.DataFrame({"q": pdf["quality"], "t": pdf["toxic"], "xq": list(x["quality"]), "xt": list(x["toxic"])})
 
-    held = chosen.select("text", "quality", "toxic").mapInPandas(numbers, "q double, t double, xq array<double>, xt array<double>").toPandas()
+    held = chosen.select("text", "quality", "toxic").mapInPandas(numbers, "q double, t double, xq array<double>, xt array<double>").toPandas()  # at most ``sample`` rows
     for head, x, y in (("quality", "xq", "q"), ("toxic", "xt", "t")):
         both = held[y].nunique() > 1
         model.weights[head] = logistic(np.stack(held[x].to_numpy()), held[y].to_numpy()) if both else np.zeros(FEATURES + 3)
     return model
 
 
+def _lexicons(rows: DataFrame, size: int) -> dict[str, dict[bytes, float]]:
+    """For each head the log odds of the words that tell its labels apart most surely."""
+    words = F.pandas_udf(lambda ts: pd.Series([sorted(w.decode("utf-8", "ignore") for w in distinct_words(t)) for t in ts], dtype=object), "array<string>")
+    n, *good = rows.agg(F.count("*"), *[F.coalesce(F.sum(h), F.lit(0)) for h in HEADS]).first()
+    seen = rows.select(*HEADS, F.explode(words("text")).alias("word"))
+    seen = seen.groupBy("word").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS]).where("n >= 4")
+    out = {}
+    for head, g in zip(HEADS, good):
+        a, b = F.col(head) + 0.5, F.col("n") - F.col(head) + 0.5
+        odds = F.ln(a / F.lit(g + 1.0)) - F.ln(b / F.lit(n - g + 1.0))
+        top = seen.select("word", odds.alias("odds"), (F.abs(odds) / F.sqrt(1 / a + 1 / b)).alias("z")).where("z > 3")
+        out[head] = {r["word"].encode(): r["odds"] for r in top.orderBy(F.desc("z"), "word").limit(size).collect()}
+    return out
+
+
 def scores(model: Model, text: Column) -> Column:
-    """A struct of probabilities; of null and empty texts too, as their form has it."""
+    """A struct of probabilities; of null and empty texts too, as their form has it. Texts
+    that repeat score alike; very long ones are scored whole."""
 
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({h: 1 / (1 + np.exp(-x)) for h, x in model.score(texts).items()})
@@ -142,54 +148,56 @@ def scores(model: Model, text: Column) -> Column:
     return F.pandas_udf(run, "quality double, toxic double")(text)
 
 
-def strength(rates: DataFrame, rate: Column, mean: Column) -> float:
-    """Moments estimate of a beta prior's weight: from the variance of the rates about
-    their prior means, in 1 to 1e6; 1 where there is nothing to compare."""
-    n, v, m = rates.agg(F.count("*"), F.avg((rate - mean) * (rate - mean)), F.avg(mean)).first()
-    if not n or n < 2 or m is None or not 0 < m < 1:
-        return 1.0
-    return 1e6 if v <= 0 else min(1e6, max(1.0, m * (1 - m) / v - 1))
-
-
 def logit(p: Column) -> Column:
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
     return F.ln(p / (1 - p))
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """docs with a struct __quality: for each head the document's own probability, the
-    posteriors of host and path, and the combined probability; and kept: quality at least
-    one half and toxicity below it. A null host or path is one of its own; an empty table
-    stays empty; rows that repeat count as often as they come."""
-    site = docs.select(F.col(f"`{host}`").alias("__h"), F.col(f"`{path}`").alias("__p"), scores(model, F.col(text)).alias("s"))
-    paths = site.groupBy("__h", "__p").agg(F.count("*").alias("n"), *[F.sum(f"s.{h}").alias(h) for h in HEADS])
-    paths = materialise(paths, "paths")
-    hosts = materialise(paths.groupBy("__h").agg(F.sum("n").alias("hn"), *[F.sum(h).alias(f"h_{h}") for h in HEADS]), "sites")
+def site_posteriors(scored: DataFrame, host: str = "source", path: str = "lang", score: str = "__s") -> tuple[DataFrame, dict[str, float]]:
+    """Rows (__h, __p, host_quality, host_toxic, path_quality, path_toxic) for the sites of rows
+    that hold a struct of probabilities, and the corpus's mean of each."""
+    sums = [x for h in HEADS for x in (F.sum(f"{score}.{h}").alias(h), F.sum(F.col(f"{score}.{h}") * F.col(f"{score}.{h}")).alias(f"{h}_2"))]
+    paths = materialise(scored.groupBy(F.col(f"`{host}`").alias("__h"), F.col(f"`{path}`").alias("__p")).agg(F.count("*").alias("n"), *sums), "paths")
+    sums = [F.sum(c).alias(f"h_{c}") for h in HEADS for c in (h, f"{h}_2")]
+    hosts = materialise(paths.groupBy("__h").agg(F.sum("n").alias("hn"), *sums), "sites")
     totals = hosts.agg(F.sum("hn"), *[F.sum(f"h_{h}") for h in HEADS]).first()
     everything = {h: (totals[i + 1] / totals[0] if totals[0] else 0.5) for i, h in enumerate(HEADS)}
-    for h in HEADS:
-        m = F.lit(everything[h])
-        w = strength(hosts, F.col(f"h_{h}") / F.col("hn"), m)
-        hosts = hosts.withColumn(f"host_{h}", (F.col(f"h_{h}") + m * w) / (F.col("hn") + w))
-    hosts = hosts.withColumnRenamed("__h", "__hh")
-    paths = paths.join(hosts, F.col("__h").eqNullSafe(F.col("__hh")))
-    for h in HEADS:
-        w = strength(paths, F.col(h) / F.col("n"), F.col(f"host_{h}"))
-        paths = paths.withColumn(f"path_{h}", (F.col(h) + F.col(f"host_{h}") * w) / (F.col("n") + w))
-    posts = paths.select(F.col("__hh").alias("__h"), "__p", *[f"{x}_{h}" for x in ("host", "path") for h in HEADS])
+    host_weight = {h: prior_weight(hosts, "hn", f"h_{h}", f"h_{h}_2") for h in HEADS}
+    path_weight = {h: prior_weight(paths, "n", h, f"{h}_2", ["__h"]) for h in HEADS}
+    by_host = [posterior(F.col(f"h_{h}"), F.col("hn"), F.lit(everything[h]), host_weight[h]).alias(f"host_{h}") for h in HEADS]
+    hosts = hosts.select(F.col("__h").alias("__hh"), *by_host)
+    by_path = [posterior(F.col(h), F.col("n"), F.col(f"host_{h}"), path_weight[h]).alias(f"path_{h}") for h in HEADS]
+    posts = paths.join(hosts, F.col("__h").eqNullSafe(F.col("__hh"))).select("__h", "__p", *[f"host_{h}" for h in HEADS], *by_path)
+    return posts, everything
+
+
+def classified(scored: DataFrame, host: str = "source", path: str = "lang", score: str = "__s") -> DataFrame:
+    """Rows that hold a struct of probabilities, with the struct __quality in its place. They
+    are read twice: pass a written table."""
+    posts, everything = site_posteriors(scored, host, path, score)
     posts = posts.select("__h", "__p", F.struct(*posts.columns[2:]).alias("__post"))
-    rows = docs.withColumn("__s", scores(model, F.col(text)))
-    rows = rows.join(posts, F.col(f"`{host}`").eqNullSafe(F.col("__h")) & F.col(f"`{path}`").eqNullSafe(F.col("__p")), "left")
+    rows = scored.join(posts, F.col(f"`{host}`").eqNullSafe(F.col("__h")) & F.col(f"`{path}`").eqNullSafe(F.col("__p")), "left")
     combined = {}
     for h in HEADS:
-        z = logit(F.col(f"__s.{h}")) + logit(F.coalesce(F.col(f"__post.path_{h}"), F.lit(everything[h]))) - logit(F.lit(everything[h]))
+        z = logit(F.col(f"{score}.{h}")) + logit(F.coalesce(F.col(f"__post.path_{h}"), F.lit(everything[h]))) - logit(F.lit(everything[h]))
         combined[h] = 1 / (1 + F.exp(-z))
-    fields = [F.col(f"__s.{h}").alias(f"doc_{h}") for h in HEADS] + [F.col(f"__post.{x}_{h}").alias(f"{x}_{h}") for x in ("host", "path") for h in HEADS]
+    fields = [F.col(f"{score}.{h}").alias(f"doc_{h}") for h in HEADS] + [F.col(f"__post.{x}_{h}").alias(f"{x}_{h}") for x in ("host", "path") for h in HEADS]
     fields += [combined[h].alias(h) for h in HEADS] + [((combined["quality"] >= 0.5) & (combined["toxic"] < 0.5)).alias("kept")]
-    return rows.withColumn("__quality", F.struct(*fields)).drop("__s", "__h", "__p", "__post")
+    return rows.withColumn("__quality", F.struct(*fields)).drop(score, "__h", "__p", "__post")
+
+
+def classify(docs: DataFrame, model: Model, text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
+    """docs with a struct __quality: for each head the document's own probability, the
+    posteriors of host and path, and the combined probability; and kept: quality at least
+    one half and toxicity below it. A null host or path is one of its own; an empty table
+    stays empty; rows that repeat count as often as they come; columns whose names clash
+    with internal ones pass unchanged. Texts are scored once: the rows are written and read
+    again."""
+    return classified(materialise(docs.withColumn("__s", scores(model, F.col(text))), "scored"), host, path)
 
 
 def op1_quality_eb(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classify(docs.select("doc_id", "source", "lang", "text"), model).select("doc_id", "__quality.*")
+    scored = materialise(docs.select("doc_id", "source", "lang", scores(model, F.col("text")).alias("__s")), "scored")
+    return classified(scored).select("doc_id", "__quality.*")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, packed, unpack
-from .prefix_join import STEP, U, mix64, powers
+from .hashing import STEP, U, byte_steps, mix64, powers
 
 
 class Runs(NamedTuple):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, unpack
-from .prefix_join import U, _byte_values
+from .hashing import U, byte_values
 from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, windows_to_spans, with_rows, with_spans
 
 WINDOW = 200
@@ -40,7 +40,7 @@ SAMPLE = WINDOW - PERIOD
 
 
 def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return _byte_values()[np.frombuffer(b"".join(texts), dtype=np.uint8)], np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    return byte_values()[np.frombuffer(b"".join(texts), dtype=np.uint8)], np.concatenate([[0], np.cumsum([len(t) for t in texts])])
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:

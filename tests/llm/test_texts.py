@@ -231,7 +231,13 @@ def brute_measure(t):
 @settings(max_examples=200, deadline=None)
 @given(st.none() | st.lists(st.sampled_from(["a", "b", " ", "\n", "#", "é", "\xa0", "\x1f", "\t", "a b a b"]), max_size=40).map("".join))
 def test_measures(t):
-    assert host_rules.measure(t) == brute_measure(t)
+    assert [tuple(x) for x in host_rules.measure([(t or "").encode()]).tolist()] == [brute_measure(t)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", " ", "\n", "#", "é", "a b a b\n"]), max_size=30).map("".join), max_size=8))
+def test_measures_of_many_texts(texts):
+    assert [tuple(x) for x in host_rules.measure([t.encode() for t in texts]).tolist()] == [brute_measure(t) for t in texts]
 
 
 def test_host_verdicts(make):
@@ -247,6 +253,47 @@ def test_host_verdicts(make):
     assert {r["doc_id"] for r in rows if r["__rules"]["kept"]} == set(range(60)) - {58}
 
 
+def brute_weight(sites):
+    """Moments of (parent, n, s, q) rows, written out."""
+    n = sum(x[1] for x in sites)
+    sigma2 = sum(q - s * s / k for _, k, s, q in sites) / (n - len(sites))
+    up = {p: (sum(x[1] for x in sites if x[0] == p), sum(x[2] for x in sites if x[0] == p)) for p in {x[0] for x in sites}}
+    between = sum(k * (s / k - up[p][1] / up[p][0]) ** 2 for p, k, s, q in sites)
+    tau2 = (between - (len(sites) - len(up)) * sigma2) / (n - sum(k * k / up[p][0] for p, k, _, _ in sites))
+    return 1e6 if tau2 <= sigma2 / 1e6 else max(2.0, sigma2 / tau2)
+
+
+def test_prior_weight(spark):
+    from binweave.llm import shrink
+
+    rnd = random.Random(2)
+    sites = []
+    for h in range(40):
+        rate = rnd.betavariate(2, 3)
+        n = rnd.randint(1, 200)
+        x = sum(rnd.random() < rate for _ in range(n))
+        sites.append((h % 7, n, float(x), float(x)))
+    df = spark.createDataFrame(sites, "p int, n long, s double, q double")
+    assert np.isclose(shrink.prior_weight(df, "n", "s", "q", ["p"]), brute_weight(sites))
+    flat = shrink.prior_weight(df, "n", "s", "q")
+    assert np.isclose(flat, brute_weight([(0, *x[1:]) for x in sites])) and 2 <= flat <= 12  # the true weight is 5
+    same = spark.createDataFrame([(20, 10.0, 10.0)] * 9, "n long, s double, q double")
+    assert shrink.prior_weight(same, "n", "s", "q") == 1e6
+    ones = spark.createDataFrame([(1, float(k % 2), float(k % 2)) for k in range(9)], "n long, s double, q double")
+    assert shrink.prior_weight(ones, "n", "s", "q") == 1e6 and shrink.prior_weight(ones.limit(0), "n", "s", "q") == 1e6
+
+
+def test_one_document_hosts_are_drawn_to_the_prior(spark):
+    # half of 1,000 hosts' only documents fail, as do half of a large host's: chance
+    rows = [(f"h{k}", 1, k % 2) for k in range(1000)] + [("big", 1000, 500)]
+    rates = {r["__host"]: r["rate"] for r in host_rules.host_rates(spark.createDataFrame(rows, "__host string, n long, failed long")).collect()}
+    assert all(abs(v - 0.5) < 0.01 for v in rates.values())
+    # where the large host is clean, one failure doesn't condemn a host
+    rows = [(f"h{k}", 1, int(k < 100)) for k in range(1000)] + [("big", 5000, 0), ("bad", 400, 390)]
+    rates = {r["__host"]: r["rate"] for r in host_rules.host_rates(spark.createDataFrame(rows, "__host string, n long, failed long")).collect()}
+    assert rates["h0"] < 0.5 < rates["bad"] and rates["big"] < 0.01
+
+
 def test_rules_odd_rows(make):
     docs = make([(1, None), (1, None), (None, ""), (2, "x " * 60_000)], sources={k: None for k in range(4)})
     rows = host_rules.judge(docs).collect()
@@ -276,6 +323,32 @@ def test_classifier_odd_rows(spark, make):
     assert quality_eb.classify(docs, empty).count() == 5 and quality_eb.classify(docs.limit(0), empty).count() == 0
 
 
+def test_site_posteriors_by_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(f"h{rnd.randrange(6)}" if rnd.random() < 0.9 else None, f"p{rnd.randrange(3)}", (rnd.random(), rnd.random() ** 3)) for _ in range(700)] + [("lone", None, (0.9, 0.1))]
+    scored = spark.createDataFrame(rows, "source string, lang string, __s struct<quality:double,toxic:double>")
+    posts, mean = quality_eb.site_posteriors(scored)
+    got = {(r["__h"], r["__p"]): r for r in posts.collect()}
+    for k, head in enumerate(quality_eb.HEADS):
+        paths, hosts = {}, {}
+        for h, p, s in rows:
+            for table, key in ((paths, (h, p)), (hosts, h)):
+                n, x, q = table.get(key, (0, 0.0, 0.0))
+                table[key] = (n + 1, x + s[k], q + s[k] ** 2)
+        m = sum(x[1] for x in hosts.values()) / len(rows)
+        w, v = brute_weight([(0, *x) for x in hosts.values()]), brute_weight([(key[0], *x) for key, x in paths.items()])
+        assert np.isclose(mean[head], m)
+        for (h, p), (n, x, _) in paths.items():
+            host = (hosts[h][1] + m * w) / (hosts[h][0] + w)
+            assert np.isclose(got[h, p][f"host_{head}"], host) and np.isclose(got[h, p][f"path_{head}"], (x + host * v) / (n + v))
+
+
+def test_classifier_very_long_text(spark, make):
+    model = quality_eb.Model({h: {b"bad": -3.0} for h in quality_eb.HEADS}, {h: np.array([0.0] * 10 + [1.0, 0.0]) for h in quality_eb.HEADS})
+    rows = {r["doc_id"]: r["__quality"] for r in quality_eb.classify(make(["good " * 300_000 + "bad", "good", "good"]), model).collect()}
+    assert rows[0]["doc_quality"] < 0.1 and rows[1]["doc_quality"] == 0.5
+
+
 def test_sites_shrink(spark, make):
     model = quality_eb.Model({"quality": {}, "toxic": {}}, {h: np.array([0.0, *[0.0] * 3, -8.0, *[0.0] * 7]) for h in quality_eb.HEADS})
     texts = ["a b c"] * 60 + ["a# b# c#"] * 60 + ["a b c"]
