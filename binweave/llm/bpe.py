@@ -19,7 +19,7 @@ import hashlib
 import heapq
 import itertools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Slices whose merges a worker keeps, twice: a full generation becomes the old one, and
-#: what is used again moves to the new one.
-CACHE = 200_000
-#: Code points that one vectorised step takes; a longer text is a step of its own.
+#: Bytes, about, of slices and merges that a worker keeps, twice: a full generation becomes
+#: the old one, and what is used again moves to the new one.
+CACHE = 16 << 20
+#: Bytes of a cached slice and its ids besides its characters and 8 for each id.
+ENTRY = 250
+#: Code points that one vectorised step takes. Longer texts are cut in front of a single space
+#: between other characters, which always starts a slice.
 STEP = 1 << 19
 
 # classes of code points
@@ -45,6 +48,7 @@ IN_L, IN_N, IN_O, JOIN, WHITE, CLOSED, ONE, TWO = range(8)
 
 #: White space of the pattern: fixed values (the Unicode property White_Space).
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+BLANKS = frozenset(map(chr, WHITE_SPACE))
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -138,16 +142,37 @@ def boundaries(points: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[before.astype(np.int32) * 9 + symbol])
 
 
-def slices(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
-    """For some texts at a time: all their slices, and where each text's slices start (one
-    more at the end). A text's slices put together are the text."""
-    group, length = [], 0
+def parts(text: str) -> Iterator[str]:
+    """A text in parts of about STEP code points whose slices are the text's. Where a stretch
+    has no place to cut, the part is longer."""
+    begin = 0
+    while len(text) - begin > STEP:
+        at = text.find(" ", begin + STEP)
+        while at >= 0 and (at + 1 >= len(text) or text[at - 1] in BLANKS or text[at + 1] in BLANKS):
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        yield text[begin:at]
+        begin = at
+    yield text[begin:] if begin else text
+
+
+def slices(texts: Iterable[str]) -> Iterator[tuple[list[str], list[tuple[int, int, int]]]]:
+    """For some texts, or parts of long ones, at a time: all their slices, and (text, start,
+    end) for each part's slices. A text's slices put together are the text."""
+    group, owner, length = [], [], 0
     for i, t in enumerate(texts):
-        group.append(t)
-        length += len(t)
-        if length >= STEP or i == len(texts) - 1:
-            yield _slices(group)
-            group, length = [], 0
+        for part in parts(t):
+            group.append(part)
+            owner.append(i)
+            length += len(part)
+            if length >= STEP:
+                found, at = _slices(group)
+                yield found, list(zip(owner, at, at[1:]))
+                group, owner, length = [], [], 0
+    if group:
+        found, at = _slices(group)
+        yield found, list(zip(owner, at, at[1:]))
 
 
 def _slices(texts: list[str]) -> tuple[list[str], list[int]]:
@@ -314,22 +339,39 @@ class Encoder:
         self.ranks, self.bytes_of, self.text_of = v.ranks, v.bytes_of, v.text_of
         self.cache: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+        self.own = dict(zip(v.bytes_of, v.bytes_of))  # one object for each id
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts all pieces into the cache."""
+        if self.held > CACHE:
+            self.old, self.cache, self.held = self.cache, {}, 0
+        cache, old, new, own = self.cache, self.old, [], self.own.__getitem__
+        for p in set(pieces).difference(cache):
+            if p in old:
+                cache[p] = old[p]
+                self.held += ENTRY + len(p) + 8 * len(cache[p])
+            else:
+                new.append(p)
+        for p, ids in zip(new, merge_many([p.encode() for p in new], self.vocabulary)):
+            cache[p] = tuple(map(own, ids))
+            self.held += ENTRY + len(p) + 8 * len(ids)
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text."""
-        for pieces, at in slices(texts):
-            if len(self.cache) > CACHE:
-                self.old, self.cache = self.cache, {}
-            cache, old, new = self.cache, self.old, []
-            for p in set(pieces).difference(cache):
-                if p in old:
-                    cache[p] = old[p]
-                else:
-                    new.append(p)
-            cache.update(zip(new, merge_many([p.encode() for p in new], self.vocabulary)))
-            found = [cache[p] for p in pieces]
-            for a, b in zip(at, at[1:]):
-                yield list(itertools.chain.from_iterable(found[a:b]))
+        ids: list[int] = []
+        now = 0
+        for pieces, spans in slices(texts):
+            self._learn(pieces)
+            cache = self.cache
+            for i, a, b in spans:
+                while now < i:
+                    yield ids
+                    ids, now = [], now + 1
+                ids.extend(itertools.chain.from_iterable(map(cache.__getitem__, pieces[a:b])))
+        for _ in range(now, len(texts)):
+            yield ids
+            ids = []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -351,7 +393,8 @@ def default_path() -> str:
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: str = "ids", offsets: str | None = "offsets") -> DataFrame:
     """docs with an array column of token ids and, unless None, one of the byte offsets at
     which each token ends in the text's UTF-8 form. Null and empty texts have no tokens;
-    rows that repeat are encoded alike; columns of docs with these names are replaced."""
+    very long ones are encoded whole, part by part; rows that repeat are encoded alike;
+    columns of docs with these names are replaced; an empty table stays empty."""
 
     small_batches(docs.sparkSession)
     kind = "struct<ids:array<int>,offsets:array<int>>" if offsets else "struct<ids:array<int>>"
@@ -361,11 +404,24 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: st
         coder = encoder(path or default_path())
         length = np.zeros(max(coder.bytes_of) + 1, dtype=np.int32)
         length[list(coder.bytes_of)] = [len(b) for b in coder.bytes_of.values()]
-        for texts in batches:
-            found = pd.DataFrame({"ids": [np.array(i, dtype=np.int32) for i in coder.encode([t or "" for t in texts])]})
+
+        def close(rows: list[np.ndarray]) -> pd.DataFrame:
+            found = pd.DataFrame({"ids": rows})
             if offsets:
-                found["offsets"] = [np.cumsum(length[i], dtype=np.int32) for i in found["ids"]]
-            yield found
+                found["offsets"] = [np.cumsum(length[i], dtype=np.int32) for i in rows]
+            return found
+
+        for texts in batches:
+            # rows go back as soon as they hold a step's ids
+            rows, size = [], 0
+            for ids in coder.encode([t or "" for t in texts]):
+                rows.append(np.array(ids, dtype=np.int32))
+                size += len(ids)
+                if size >= STEP:
+                    yield close(rows)
+                    rows, size = [], 0
+            if rows:
+                yield close(rows)
 
     coded = docs.withColumn("__bpe", run(F.col(text))).withColumn(out, F.col("__bpe.ids"))
     if offsets:

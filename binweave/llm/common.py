@@ -18,9 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where the session names none (tests in local mode) one is made and set."""
+    Where the session names none one is made and set, but only for executors on the driver's
+    machine; others would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"binweave-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -28,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows and bytes of texts that a Python worker gets at once, at most (a longer text is
 #: a batch of its own).
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -51,6 +51,26 @@ def test_bpe_long_slices(coders):
     assert list(own.encode(texts)) == [library.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_long_texts_in_parts(coders, monkeypatch):
+    own, library = coders
+    monkeypatch.setattr(bpe, "STEP", 40)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randrange(400))) for _ in range(60)] + ["", "x" * 300, "it's we're " * 90, ""]
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    assert max(len(list(bpe.parts(t))) for t in texts) > 5
+    assert list(own.encode(texts)) == [library.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_cache_is_bounded(coders, monkeypatch):
+    own = bpe.Encoder(bpe.default_path())
+    monkeypatch.setattr(bpe, "CACHE", 50_000)
+    rnd = random.Random(6)
+    for _ in range(30):
+        texts = [" ".join("".join(rnd.choice("qxzvkjw") for _ in range(12)) for _ in range(40))]
+        assert list(own.encode(texts)) == [coders[1].encode_ordinary(t) for t in texts]
+        assert len(own.cache) + len(own.old) < 500
+
+
 def test_bpe_columns(make, coders, corpus):
     docs = make(corpus)
     rows = bpe.decode(bpe.encode(docs)).collect()
