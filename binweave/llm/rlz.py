@@ -1,12 +1,17 @@
-"""Substring dedup by fingerprints and phrase classes, in place of a relative Lempel-Ziv parse.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
 Words covered by a window of 35 words that starts twice or more in the corpus are removed.
-Blocks are keyed by the word gram that anchors a window (see runs.py), so a document meets
-every block that shares one of its windows, and no other. Runs of windows that repeat as a
-whole are found by fingerprint. For the others a block has classes of phrases of 1, 2, 4
-... 32 words, and a window repeats where the phrases of 32 words at its start and 3 words
-on come together elsewhere. No text is parsed from left to right: windows that come twice
-define what goes, so their equality decides it.
+Reference blocks are keyed by the word gram that anchors a window (see runs.py), so a document
+meets every block that shares one of its windows, and no other. A block holds the pieces of
+documents around its grams, each different piece once, and indexes them: a suffix array
+over words with classes of phrases of 1, 2, 4 ... words, by which the longest phrase that
+starts at a place and also elsewhere in the block is found.
+
+Each piece is parsed from left to right: a factor is the longest phrase at its place that
+the block holds elsewhere, and the next starts behind it. Factors of 35 words or more are
+duplicate spans. A window that isn't inside one factor straddles a factor's boundary; these
+windows are looked up by themselves, and are duplicate spans if the block holds them
+elsewhere. So a word goes if and only if a window that repeats covers it.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, windo
 
 WINDOW = 35
 GRAM = 6
-PHRASE = 32
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
@@ -33,30 +37,79 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
     return [b" ".join(words[a:b]) for a, b in spans]
 
 
-def factors(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Factors (piece, start, end), in words, of 35 words or more of the pieces against
-    the block that they form; a factor never is its own reference."""
-    w, at = word_hashes(pieces)
-    none = np.zeros(0, dtype=np.int64)
-    if len(w) < WINDOW:
-        return none, none, none
-    c = ranks(w)
-    for k in (1, 2, 4, 8, 16):
-        c = pair_ranks(c[:-k], c[k:])
-    owner = np.repeat(np.arange(len(pieces)), np.diff(at))
-    starts = np.flatnonzero(np.arange(len(w)) + WINDOW <= at[1:][owner])
-    # greedy: only where the index holds the phrase elsewhere
-    starts = starts[np.bincount(c)[c[starts]] > 1]
-    if not len(starts):
-        return none, none, none
-    # the boundary: the phrase that ends the window continues the same reference
-    whole = pair_ranks(c[starts], c[starts + WINDOW - PHRASE])
-    starts = starts[np.bincount(whole)[whole] > 1]
-    o = owner[starts]
-    return windows_to_spans(o, starts - at[o], WINDOW)
-
-
-PASSAGES = Passages(word_hashes, WINDOW, GRAM, cut, factors)
+class Block:
+    """The index of a reference block: pieces one after the other, each closed by a symbol of
+    its own, so that no phrase crosses an end and all suffixes differ."""
+
+    def __init__(self, pieces: list[bytes], twice: np.ndarray):
+        w, at = word_hashes(pieces)
+        n, lengths = len(pieces), np.diff(at)
+        self.starts = at[:-1] + np.arange(n)
+        self.ends = self.starts + lengths
+        symbols = np.empty(len(w) + n, dtype=np.int64)
+        inside = np.ones(len(symbols), dtype=bool)
+        inside[self.ends] = False
+        symbols[inside] = ranks(w)
+        symbols[self.ends] = len(w) + np.arange(n)
+        #: which pieces the corpus holds twice or more: the whole of such a piece is elsewhere
+        self.twice = twice
+        #: classes of phrases of 2 ** k symbols, until all suffixes differ
+        self.classes = [ranks(symbols)]
+        while self.classes[-1].max(initial=0) < len(symbols) - 1:
+            c, k = self.classes[-1], 1 << (len(self.classes) - 1)
+            behind = np.zeros(len(c), dtype=np.int64)
+            behind[:-k] = c[k:] + 1
+            self.classes.append(pair_ranks(c, behind))
+        self.rank = self.classes[-1]
+        self.order = np.argsort(self.rank)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Symbols that the suffixes at a and b have in common."""
+        n, length = len(self.rank), np.zeros(len(a), dtype=np.int64)
+        for k in range(len(self.classes) - 1, -1, -1):
+            x, y = a + length, b + length
+            inside = (x < n) & (y < n)
+            same = np.zeros(len(a), dtype=bool)
+            same[inside] = self.classes[k][x[inside]] == self.classes[k][y[inside]]
+            length[same] += 1 << k
+        return length
+
+    def longest(self, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """The length of the longest phrase that starts at each place and also elsewhere."""
+        r, last = self.rank[at], len(self.order) - 1
+        before = np.where(r > 0, self.common(at, self.order[np.maximum(r - 1, 0)]), 0)
+        after = np.where(r < last, self.common(at, self.order[np.minimum(r + 1, last)]), 0)
+        return np.maximum(np.maximum(before, after), np.where(self.twice[piece], self.ends[piece] - at, 0))
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, start, end) of all factors of the greedy parse, pieces side by side."""
+        piece, at = np.arange(len(self.starts)), self.starts.copy()
+        out = []
+        while len(piece := piece[at[piece] < self.ends[piece]]):
+            length = np.maximum(self.longest(at[piece], piece), 1)
+            out.append((piece, at[piece], at[piece] + length))
+            at[piece] += length
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (piece, piece, piece)
+
+
+def parse(pieces: list[bytes], twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Duplicate spans (piece, start, end), in words, of a block's pieces."""
+    block = Block(pieces, twice)
+    piece, start, end = block.factors()
+    long = end - start >= WINDOW
+    # windows inside long factors, as a difference array; all others straddle a boundary
+    steps = np.zeros(len(block.rank) + 1, dtype=np.int64)
+    np.add.at(steps, start[long], 1)
+    np.add.at(steps, end[long] - WINDOW + 1, -1)
+    held = np.cumsum(steps)[:-1] > 0
+    owner = np.repeat(np.arange(len(pieces)), block.ends - block.starts + 1)
+    at = np.flatnonzero(~held & (np.arange(len(owner)) + WINDOW <= block.ends[owner]))
+    held[at[block.longest(at, owner[at]) >= WINDOW]] = True
+    at = np.flatnonzero(held)
+    return windows_to_spans(owner[at], at - block.starts[owner[at]], WINDOW)
+
+
+PASSAGES = Passages(word_hashes, WINDOW, GRAM, cut, parse)
 
 
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -74,7 +127,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """docs with every repeated passage of 35 words or more taken out of the texts, its
     first place included; what stays of such a text is joined by single spaces, other texts
     stay as they are. Null texts become empty; rows that repeat lose their texts if these
-    have 35 words; other columns pass; an empty table stays empty."""
+    have 35 words; very long texts are searched whole, and a period is one row; other
+    columns pass, whatever their names; an empty table stays empty."""
 
     def run(packed: pd.Series, found: pd.Series) -> pd.Series:
         out = []

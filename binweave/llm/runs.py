@@ -3,12 +3,15 @@
 A text is a sequence of symbols (bytes or words). Among the grams of a window the one of
 least hash is its anchor. Equal windows have equal anchors at equal places, so windows
 whose anchor's gram is found nowhere else repeat nowhere. Neighbouring windows with one
-anchor form a run; a text has about two runs for each window length. Runs with equal
-gram and equal content (fingerprint) repeat as a whole; what is left are runs whose gram
-comes with different contents: the edges of repeats, which the operators then resolve by
-their own methods on the content itself. A gram with too many contents for one task (a line
-found in many documents) is never gathered: each window of its contents is a row of its own,
-by fingerprint, and grouped sums tell which of them come twice.
+anchor form a run; a text has about two runs for each window length, and neighbouring
+runs of equal content, as periods make them, are one row. Runs whose gram comes again go to
+that gram's bucket; equal contents (by fingerprint) go there once, with a mark that they
+repeat. The operators resolve buckets, some of them in a block, by their own methods on
+the content itself, and every repeated span comes from there.
+
+A gram with too many contents for one task (a line found in many documents) has its
+windows anchored anew, by the least gram besides it, which parts its bucket; what is still
+too large is parted again. After LEVELS of that each window is a bucket of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, packed, unpack
-from .hashing import STEP, U, byte_steps, mix64, powers
+from .hashing import U, byte_steps, fold, mix64, powers, span_hashes
 
 
 class Runs(NamedTuple):
@@ -43,9 +46,10 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (width - have)], a[width - have :]) if width > have else a
 
 
-def find_runs(values: np.ndarray, at: np.ndarray, window: int, gram: int) -> Runs:
+def find_runs(values: np.ndarray, at: np.ndarray, window: int, gram: int, used: np.ndarray | None = None) -> Runs:
     """Runs of texts that lie one after the other in values (hashes of symbols); at has
-    each text's start and the end of the last."""
+    each text's start and the end of the last. used: for each text the grams (a row each)
+    that can't be anchors; a window without another gram is a run, and a gram, of its own."""
     n = len(values)
     empty = np.zeros(0, dtype=np.int64)
     s, e = at[:-1], at[1:]
@@ -56,11 +60,21 @@ def find_runs(values: np.ndarray, at: np.ndarray, window: int, gram: int) -> Run
     up, down = powers(n + 1)
     total = np.zeros(n + 1, dtype=U)
     np.cumsum(values * up[:n], out=total[1:])
-    grams = (total[gram:] - total[:-gram]) * down[: n - gram + 1]
+    grams = mix64((total[gram:] - total[:-gram]) * down[: n - gram + 1])
     bits = U(int(n).bit_length())
     low = U((1 << int(bits)) - 1)
-    place = sliding_min((grams & ~low) | np.arange(len(grams), dtype=U), window - gram + 1) & low
+    chosen = grams
+    if used is not None:
+        owner = np.searchsorted(at, np.arange(len(grams)), side="right") - 1
+        banned = np.zeros(len(grams), dtype=bool)
+        for k in range(used.shape[1]):
+            banned |= grams == used[owner, k]
+        chosen = np.where(banned, ~U(0), grams)
+    place = sliding_min((chosen & ~low) | np.arange(len(grams), dtype=U), window - gram + 1) & low
     change = np.flatnonzero(place[1:] != place[:-1]) + 1
+    if used is not None:
+        alone = banned[place.astype(np.int64)]
+        change = np.union1d(change, np.flatnonzero(alone))
     cuts = np.unique(np.concatenate([change, s, e - window + 1]))
     first, last = cuts[:-1], cuts[1:] - 1
     owner = np.searchsorted(s, first, side="right") - 1
@@ -69,8 +83,23 @@ def find_runs(values: np.ndarray, at: np.ndarray, window: int, gram: int) -> Run
     anchor = place[first].astype(np.int64)
     end = last + window
     content = mix64((total[end] - total[first]) * down[first] + (end - first).astype(U))
+    key = grams[anchor]
+    if used is not None:
+        key = np.where(banned[anchor], content, key)
     start = s[owner]
-    return Runs(long[owner], first - start, last - start, anchor - start, mix64(grams[anchor]), content)
+    return Runs(long[owner], first - start, last - start, anchor - start, key, content)
+
+
+def joined_runs(r: Runs) -> tuple[Runs, np.ndarray]:
+    """Neighbouring runs of one text with equal gram and content as one, and how far the
+    first window of the last of them is from the first's: 0 for a run that is alone."""
+    n = len(r.text)
+    if not n:
+        return r, r.first
+    new = np.ones(n, dtype=bool)
+    new[1:] = (r.text[1:] != r.text[:-1]) | (r.gram[1:] != r.gram[:-1]) | (r.content[1:] != r.content[:-1]) | (r.first[1:] != r.last[:-1] + 1)
+    at = np.flatnonzero(new)
+    return Runs(*(x[at] for x in r)), r.first[np.append(at[1:], n) - 1] - r.first[at]
 
 
 #: What splits a run of texts into symbols: hashes of all symbols, and where each text's
@@ -78,27 +107,10 @@ def find_runs(values: np.ndarray, at: np.ndarray, window: int, gram: int) -> Run
 Symbols = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
-def window_prints(values: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of texts that lie one after the other in values, and where each
-    text's windows start in them (one more at the end)."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    counts = np.maximum(np.diff(at) - window + 1, 0)
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    first = np.arange(ends[-1]) + np.repeat(at[:-1] - ends[:-1], counts)
-    return mix64((total[first + window] - total[first]) * down[first]), ends
-
-
 def text_runs(texts: list[str | None], symbols: Symbols, window: int, gram: int) -> Iterator[tuple[int, int, Runs]]:
     """(index of the first text, number of texts, their runs), some texts at a time."""
-    group, size, begin = [], 0, 0
-    for i, t in enumerate(texts):
-        group.append((t or "").encode())
-        size += len(group[-1])
-        if size >= STEP or i == len(texts) - 1:
-            yield begin, len(group), find_runs(*symbols(group), window, gram)
-            begin, group, size = i + 1, [], 0
+    for begin, group in byte_steps(texts):
+        yield begin, len(group), find_runs(*symbols(group), window, gram)
 
 
 def with_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -114,15 +126,17 @@ class Passages(NamedTuple):
     gram: int
     #: (UTF-8 bytes, [(first, end), ...]) -> the contents from symbol first up to end, as bytes
     cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]]
-    #: contents -> (index of the content, start, end) of each span of windows that are
-    #: found twice or more in the contents
-    resolve: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: (contents, which of them come twice or more) -> (index of the content, start, end) of
+    #: each span of windows that are found twice or more
+    resolve: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-#: Contents of one gram that a task takes at once; of a gram with more, windows are rows.
-PART_CONTENTS = 4096
-#: Bytes of contents that are resolved together.
-CHUNK = 1 << 20
+#: Contents of one bucket that a task takes at once.
+PART_CONTENTS = 1024
+#: Bytes of contents after which a block is closed.
+CHUNK = 1 << 18
+#: Times that a hot gram's windows are anchored anew before each is a bucket of its own.
+LEVELS = 6
 
 
 def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
@@ -133,103 +147,128 @@ def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids = pdf["__row"].to_numpy()
-            out = []
             for begin, count, r in text_runs(pdf["text"].tolist(), how.symbols, window, how.gram):
+                r, reach = joined_runs(r)
                 cut = np.searchsorted(r.text, np.arange(count + 1))
-                head = np.stack([r.first, r.last], axis=1).astype(np.int32)
+                head = np.stack([r.first, r.last, reach], axis=1).astype(np.int32)
+                out = []
                 for i in range(count):
                     a, b = cut[i], cut[i + 1]
                     if a < b:
                         out.append((ids[begin + i], head[a:b].ravel(), r.gram[a:b].view(np.int64), r.content[a:b].view(np.int64)))
-            yield pd.DataFrame(out, columns=["row", "head", "gram", "content"])
+                yield pd.DataFrame(out, columns=["row", "head", "gram", "content"])
 
     found = materialise(docs.select("__row", "text").mapInPandas(find, "row long, head array<int>, gram array<long>, content array<long>"), "runs")
-    grams = found.select(F.explode(F.arrays_zip("gram", "content")).alias("x")).select("x.gram", "x.content")
-    seen = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+    place = lambda k: F.col("head")[F.col("p") * 3 + k]
+    at = found.select("row", "head", F.posexplode("gram").alias("p", "gram"))
+    again = F.count("*") + F.count_if(place(2) > 0) > 1
     # a table of its own: a join of two plain exchanges can be split where a gram is hot
-    seen = materialise(seen.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("edges")), "grams")
+    seen = materialise(at.groupBy("gram").agg(again.alias("again")).where("again").select("gram"), "grams")
     at = found.select("row", "head", F.posexplode(F.arrays_zip("gram", "content")).alias("p", "x"))
-    each = at.select("row", F.col("head")[F.col("p") * 2].alias("first"), F.col("head")[F.col("p") * 2 + 1].alias("last"), "x.gram", "x.content")
+    each = at.select("row", place(0).alias("first"), place(1).alias("last"), place(2).alias("reach"), "x.gram", "x.content")
     each = materialise(each.join(seen, "gram"), "repeated")
 
-    # one content of each kind, of the grams that have several
-    kinds = each.where("edges").groupBy("gram", "content").agg((F.count("*") > 1).alias("whole"), F.min(F.struct("row", "first", "last")).alias("at"))
+    # one content of each kind
+    kinds = each.groupBy("gram", "content").agg((F.count("*") + F.count_if(F.expr("reach > 0")) > 1).alias("whole"), F.min(F.struct("row", "first", "last")).alias("at"))
     kinds = materialise(kinds.select("gram", "content", "whole", "at.*"), "contents")
-    hot = materialise(kinds.groupBy("gram").count().where(F.col("count") > PART_CONTENTS).select("gram"), "hot")
     texts = docs.select(F.col("__row").alias("row"), packed(F.col("text")).alias("packed"))
+    resolved = _resolved(_pieces(kinds, texts, how), how)
+    spans = each.join(resolved, ["gram", "content"]).select("row", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("reach") + F.col("end")).alias("end"))
+    return spans.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+PIECES = "gram long, content long, whole boolean, used array<long>, piece binary"
 
-    def asked(kinds: DataFrame) -> DataFrame:
-        wanted = kinds.groupBy("row").agg(F.collect_list(F.struct("gram", "content", "first", "last")).alias("wanted"))
-        return texts.join(wanted, "row").select("packed", "wanted")
+
+def _pieces(kinds: DataFrame, texts: DataFrame, how: Passages) -> DataFrame:
+    """The contents of kinds, cut out of the texts: a written table."""
+    hot = kinds.groupBy("gram").count().where(F.col("count") > PART_CONTENTS).select("gram", F.lit(True).alias("hot"))
+    wanted = kinds.groupBy("row").agg(F.collect_list(F.struct("gram", "content", "whole", "first", "last")).alias("wanted"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for data, wanted in zip(pdf["packed"], pdf["wanted"]):
-                pieces = how.cut(unpack(data), [(x["first"], x["last"] + window) for x in wanted])
-                out += [(x["gram"], x["content"], piece) for x, piece in zip(wanted, pieces)]
-            yield pd.DataFrame(out, columns=["gram", "content", "piece"])
+                pieces = how.cut(unpack(data), [(x["first"], x["last"] + how.window) for x in wanted])
+                out += [(x["gram"], x["content"], x["whole"], [x["gram"]], piece) for x, piece in zip(wanted, pieces)]
+            yield pd.DataFrame(out, columns=["gram", "content", "whole", "used", "piece"])
+
+    pieces = materialise(texts.join(wanted, "row").select("packed", "wanted").mapInPandas(cut, PIECES), "pieces")
+    hot = materialise(hot, "hot")
+    return pieces.join(hot, "gram", "left") if not hot.isEmpty() else pieces.withColumn("hot", F.lit(None).cast("boolean"))
+
+
+def _resolved(pieces: DataFrame, how: Passages) -> DataFrame:
+    """Rows (gram, content, start, end): the repeated spans of each content."""
+    span = "gram long, content long, start int, end int"
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come bucket by bucket; a block is some buckets, none of them in parts
         held: list[tuple] = []
+        size = 0
 
         def close() -> pd.DataFrame:
-            which, start, stop = how.resolve([x[2] for x in held])
-            found = [(*held[w][:2], a, b) for w, a, b in zip(which.tolist(), start.tolist(), stop.tolist())]
+            which, start, stop = how.resolve([x[3] for x in held], np.array([x[2] for x in held], dtype=bool))
+            ids = np.array([x[:2] for x in held], dtype=np.int64)[which]
             held.clear()
-            return pd.DataFrame(found, columns=["gram", "content", "start", "end"])
+            return pd.DataFrame({"gram": ids[:, 0], "content": ids[:, 1], "start": start.astype(np.int32), "end": stop.astype(np.int32)})
 
-        size = 0
         for pdf in batches:
-            for x in zip(pdf["gram"], pdf["content"], pdf["piece"]):
+            for x in zip(pdf["gram"].tolist(), pdf["content"].tolist(), pdf["whole"].tolist(), pdf["piece"]):
                 if held and x[:2] == held[-1][:2]:
                     continue  # a document that repeats
                 if size > CHUNK and x[0] != held[-1][0]:
                     yield close()
                     size = 0
                 held.append(x)
-                size += len(x[2])
+                size += len(x[3])
         if held:
             yield close()
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out, size = [], 0
-            for data, wanted in zip(pdf["packed"], pdf["wanted"]):
-                h, at = window_prints(*how.symbols(how.cut(unpack(data), [(x["first"], x["last"] + window) for x in wanted])), window)
-                h = h.view(np.int64)
-                out += [(x["gram"], x["content"], h[a:b]) for x, a, b in zip(wanted, at[:-1].tolist(), at[1:].tolist())]
-                size += len(h)
-                if size > STEP:
-                    yield pd.DataFrame(out, columns=["gram", "content", "windows"])
-                    out, size = [], 0
-            if out:
-                yield pd.DataFrame(out, columns=["gram", "content", "windows"])
-
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            starts = [np.unique(s) for s in pdf["starts"]]
-            owner = np.repeat(np.arange(len(pdf)), [len(s) for s in starts])
-            o, a, b = windows_to_spans(owner, np.concatenate([np.zeros(0, dtype=np.int64), *starts]), window)
-            yield pd.DataFrame({"gram": pdf["gram"].to_numpy()[o], "content": pdf["content"].to_numpy()[o], "start": a, "end": b})
-
-    span = "gram long, content long, start int, end int"
-    any_hot = not hot.isEmpty()
-    pieces = asked(kinds.join(hot, "gram", "left_anti") if any_hot else kinds).mapInPandas(cut, "gram long, content long, piece binary")
-    edges = pieces.repartition("gram").sortWithinPartitions("gram", "content").mapInPandas(resolve, span)
-    if any_hot:
-        printed = asked(kinds.join(hot, "gram", "left_semi")).mapInPandas(prints, "gram long, content long, windows array<long>")
-        windows = materialise(printed, "windows").select("gram", "content", F.posexplode("windows").alias("start", "print"))
-        twice = windows.groupBy("gram", "print").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi")
-        windows = windows.join(materialise(twice.select("gram", "print"), "twice"), ["gram", "print"], "left_semi")
-        windows = windows.groupBy("gram", "content").agg(F.collect_list("start").alias("starts"))
-        edges = edges.unionByName(windows.mapInPandas(neighbours, span))
-    wholes = kinds.where("whole").select("gram", "content", F.lit(0).alias("start"), (F.col("last") - F.col("first") + window).alias("end"))
-    wholes = wholes.unionByName(edges.join(kinds.where("whole").select("gram", "content"), ["gram", "content"], "left_anti"))
-    resolved = materialise(wholes, "resolved")
-    spans = each.where("not edges").select("row", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
-    spans = spans.unionByName(each.where("edges").join(resolved, ["gram", "content"]).select("row", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end")))
-    return spans.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    def anchored(level: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                data = pdf["piece"].tolist()
+                values, at = how.symbols(data)
+                used = np.array(pdf["used"].tolist(), dtype=np.int64).reshape(len(pdf), -1).view(U)
+                parents = pdf["gram"].to_numpy().view(U)
+                if level < LEVELS:
+                    r = find_runs(values, at, how.window, how.gram, used)
+                else:  # each window by itself
+                    text = np.repeat(np.arange(len(pdf)), np.maximum(np.diff(at) - how.window + 1, 0))
+                    first = np.arange(len(text)) - np.searchsorted(text, text)
+                    h = span_hashes(values)(at[text] + first, at[text] + first + how.window)
+                    r = Runs(text, first, first, first, h, h)
+                key = fold([parents[r.text], r.gram]).view(np.int64)
+                out = {"parent": parents[r.text].view(np.int64), "of": pdf["content"].to_numpy()[r.text], "first": r.first, "gram": key, "content": r.content.view(np.int64), "whole": pdf["whole"].to_numpy()[r.text]}
+                cut = [how.cut(d, [(a, b + how.window) for a, b in zip(r.first[i:j].tolist(), r.last[i:j].tolist())]) for d, i, j in zip(data, *(np.searchsorted(r.text, np.arange(len(pdf)) + k) for k in (0, 1)))]
+                chain = np.concatenate([used[r.text], r.gram[:, None]], axis=1).view(np.int64)
+                yield pd.DataFrame(out | {"used": list(chain), "piece": [x for c in cut for x in c]})
+
+        return run
+
+    level, links, resolved = 0, [], []
+    while True:
+        blocks = pieces.where("hot IS NULL").drop("used").repartition("gram").sortWithinPartitions("gram", "content")
+        resolved.append(materialise(blocks.mapInPandas(resolve, span), "resolved"))
+        hot = pieces.where("hot")
+        if hot.isEmpty():
+            break
+        level += 1
+        subs = materialise(hot.mapInPandas(anchored(level), f"parent long, of long, first int, {PIECES}"), "anchored")
+        links.append(subs.select("parent", "of", "first", "gram", "content"))
+        kinds = subs.groupBy("gram", "content").agg((F.bool_or("whole") | (F.count("*") > 1)).alias("whole"), F.min("used").alias("used"), F.min("piece").alias("piece"))
+        kinds = materialise(kinds, "pieces")
+        sizes = kinds.groupBy("gram").agg(F.count("*").alias("n"), F.bool_or("whole").alias("any")).where("n > 1 OR any")
+        sizes = materialise(sizes.select("gram", F.when(F.col("n") > PART_CONTENTS, True).alias("hot")), "sizes")
+        pieces = kinds.join(sizes, "gram")
+    spans = resolved.pop()
+    while links:
+        # spans of the parts are spans of what they are parts of
+        link = links.pop().join(spans, ["gram", "content"])
+        up = link.select(F.col("parent").alias("gram"), F.col("of").alias("content"), (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
+        spans = materialise(resolved.pop().unionByName(up), "resolved")
+    return spans
 
 
 def windows_to_spans(owner: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,7 +308,7 @@ def union(spans: np.ndarray) -> np.ndarray:
 
 def ranks(values: np.ndarray) -> np.ndarray:
     """The class of each value, numbered in order."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     s = values[order]
     new = np.zeros(len(s), dtype=np.int64)
     new[1:] = s[1:] != s[:-1]

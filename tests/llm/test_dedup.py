@@ -50,6 +50,7 @@ def test_parts_of_a_hot_bucket_agree(make, corpus, monkeypatch):
     whole = {r["doc_id"]: r["text"] for r in suffix_dedup.dedup(make(corpus)).collect()}
     monkeypatch.setattr(runs, "PART_CONTENTS", 2)
     assert {r["doc_id"]: r["text"] for r in suffix_dedup.dedup(make(corpus)).collect()} == whole
+    monkeypatch.setattr(runs, "LEVELS", 1)
     words = {r["doc_id"]: r["text"] for r in rlz.dedup(make(corpus)).collect()}
     monkeypatch.undo()
     assert {r["doc_id"]: r["text"] for r in rlz.dedup(make(corpus)).collect()} == words
@@ -214,11 +215,90 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 8: 4, 9: 4, 10: 4} | {k: 100 for k in range(100, 141)}
 
 
-def test_digests(spark, data):
+@pytest.mark.parametrize("name,window", [("op6_rlz_dedup", 35), ("op7_suffix_dedup", 200)])
+def test_digests(spark, data, name, window):
+    """Every row of the queries, cut documents included, against brute force."""
     from binweave.llm.queries import queries
 
-    got = queries()["op7_suffix_dedup"](spark, data).collect()
+    words = name.startswith("op6")
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    assert len(got) == len(docs) and all(r["n_bytes"] == len(docs[r["doc_id"]]) for r in got)
-    clean = [r for r in got if r["n_removed"] == 0]
-    assert clean and all(r["kept_sha256"] == hashlib.sha256(docs[r["doc_id"]]).hexdigest() and r["n_spans"] == 0 for r in clean)
+    symbols = {k: t.split() if words else t for k, t in docs.items()}
+    part = (lambda s, p: hash(tuple(s[p : p + window]))) if words else (lambda s, p: hash(s[p : p + window]))
+    counts = Counter(part(s, p) for s in symbols.values() for p in range(len(s) - window + 1))
+    cut = 0
+    for r in queries()[name](spark, data).collect():
+        s = symbols[r["doc_id"]]
+        gone = np.zeros(len(s) + window, dtype=bool)
+        for p in range(len(s) - window + 1):
+            if counts[part(s, p)] > 1:
+                gone[p : p + window] = True
+        gone = gone[: len(s)]
+        kept = b" ".join(w for w, g in zip(s, gone) if not g) if words else bytes(b for b, g in zip(s, gone) if not g)
+        assert r["n_words" if words else "n_bytes"] == len(s) and r["n_removed"] == gone.sum() and r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+        if not words:
+            assert r["n_spans"] == (np.diff(gone.astype(int), prepend=0) == 1).sum()
+        cut += bool(gone.any() and not gone.all())
+    assert cut > 10
+
+
+@pytest.mark.parametrize("op", [suffix_dedup, rlz])
+def test_very_long_periodic_text(make, op):
+    texts = ["ab " * 120_000, "x" + "ab " * 200 + "clean end", "lone words " * 3]
+    docs = make(texts)
+    rows = runs.with_rows(docs, "text", "doc_id").select("__row", "text")
+    longest = max(len(r["spans"]) for r in runs.repeated_spans(rows, op.PASSAGES).collect())
+    assert longest < 50  # a period is one row
+    out = {r["doc_id"]: r["text"] for r in op.dedup(docs).collect()}
+    assert out[0].strip() == "" and out[2] == texts[2] and out[1].endswith("clean end") and len(out[1]) < 40
+
+
+def test_resolvers_on_random_blocks():
+    rnd = random.Random(1)
+
+    def brute(pieces, twice, window):
+        c = Counter()
+        for p, t in zip(pieces, twice):
+            for i in range(len(p) - window + 1):
+                c[p[i : i + window]] += 2 if t else 1
+        return [{q for i in range(len(p) - window + 1) if c[p[i : i + window]] > 1 for q in range(i, i + window)} for p in pieces]
+
+    def got(found, n):
+        out = [set() for _ in range(n)]
+        for w, a, b in zip(*found):
+            out[w] |= set(range(a, b))
+        return out
+
+    for _ in range(15):
+        base = bytes(rnd.choice(b"ab") for _ in range(700))
+        pieces = set()
+        for _ in range(rnd.randint(1, 30)):
+            a = rnd.randrange(400)
+            x = bytearray(base[a : a + rnd.randint(150, 400)])
+            x[rnd.randrange(len(x))] = rnd.choice(b"abc")
+            pieces.add(bytes(x) if rnd.random() < 0.8 else b"a" * rnd.randint(190, 400))
+        pieces = sorted(pieces)
+        twice = np.array([rnd.random() < 0.2 for _ in pieces])
+        for most in (1 << 16, 50):
+            suffix_dedup.SORTED, before = most, suffix_dedup.SORTED
+            assert got(suffix_dedup.repeated_suffixes(pieces, twice), len(pieces)) == brute(pieces, twice, 200)
+            suffix_dedup.SORTED = before
+        words = {tuple(rnd.choice("ab") if rnd.random() < 0.03 else "xyz"[k % 3] for k in range(rnd.randint(20, 64))) for _ in range(rnd.randint(1, 12))}
+        words = sorted(words)
+        twice = np.array([rnd.random() < 0.2 for _ in words])
+        assert got(rlz.parse([" ".join(x).encode() for x in words], twice), len(words)) == brute(words, twice, 35)
+
+
+def test_suffix_order():
+    rnd = random.Random(4)
+    text = bytes(rnd.choice(b"ab") for _ in range(300)) * 2 + b"b" * 400 + bytes(rnd.choice(b"ab") for _ in range(500))
+    found = suffix_dedup.Suffixes(np.frombuffer(text, dtype=np.uint8)).ordered(np.arange(len(text) - 40))
+    padded = text + bytes(300)
+    assert found.tolist() == sorted(range(len(text) - 40), key=lambda i: padded[i:])
+
+
+def test_factors_are_greedy():
+    pieces = [b"a b c d e f x y", b"q a b c d e z", b"d e f x q"]
+    block = rlz.Block(pieces, np.zeros(3, dtype=bool))
+    piece, start, end = block.factors()
+    parsed = [[(s - block.starts[p], e - block.starts[p]) for p2, s, e in zip(piece, start, end) if p2 == p] for p in range(3)]
+    assert parsed[0] == [(0, 5), (5, 7), (7, 8)] and parsed[1] == [(0, 1), (1, 6), (6, 7)] and parsed[2] == [(0, 4), (4, 5)]
