@@ -225,7 +225,8 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     crowded = members.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp", F.col("grp").alias("token"), F.lit(0).cast("long").alias("place"))
     posted = postings.join(materialise(shared, "shared"), "token", "left_semi").select("grp", "token", "place").unionByName(crowded)
     posted = materialise(posted.join(members.select("grp", "node", "n"), "grp").select("token", "node", "n", "place"), "postings")
-    labels = _link(posted, Verifier(docs, text, key, words, percent, members.select("key", "node")), percent, hubs)
+    verifier = Verifier(docs, text, key, words, percent, members.select("key", "node"))
+    labels = _link(posted, filled.select("node", "prefix"), verifier, percent, hubs)
     comp = F.coalesce("label", "node")
     nodes = members.join(labels, "node", "left").select("node", comp.alias("comp"), "key")
     least = materialise(nodes.groupBy("comp").agg(F.min("key").alias("component")), "least")
@@ -264,7 +265,7 @@ class Verifier:
 SMALL = 16
 
 
-def _link(posted: DataFrame, verifier: Verifier, percent: int, hubs: int) -> DataFrame:
+def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: int, hubs: int) -> DataFrame:
     """Labels (node, label) of the nodes that verified links join.
 
     Small postings give all their pairs, at most SMALL / 2 for each of their rows, with the
@@ -290,6 +291,16 @@ def _link(posted: DataFrame, verifier: Verifier, percent: int, hubs: int) -> Dat
     links = verifier.links(checked)
     labels = materialise(components(links), "labels")
     large = materialise(large.select("token", "node", "n", "place").join(missing, "node"), "large")
+    prefixes = prefixes.join(missing.select("node"), "node", "left_semi").groupBy("node").agg(F.first("prefix").alias("prefix"))
+    prefixes = materialise(prefixes, "prefixes")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        of = lambda x: prefixes.select(F.col("node").alias(x), F.col("prefix").alias(f"p{x}"))
+        common = F.size(F.array_intersect("pa", "pb"))
+        most = common + F.greatest(behind("na"), behind("nb"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
     # where a shingle is the first that two sets share, what follows it bounds the rest
     rest = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     first = (100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))
@@ -318,15 +329,17 @@ def _link(posted: DataFrame, verifier: Verifier, percent: int, hubs: int) -> Dat
         pairs = left.join(side("y", "b"), "token").where((F.col("ca") != F.col("cb")) & fits & first)
         if last:
             pairs = pairs.where("x < y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        swap = F.col("x") > F.col("y")
+        ends = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in (("x", "y", "a"), ("y", "x", "b"), ("na", "nb", "na"), ("nb", "na", "nb"))]
+        pairs = materialise(pairs.select(*ends).distinct().join(checked, ["a", "b"], "left_anti"), "candidates")
+        checked = checked.unionByName(pairs.select("a", "b"))
+        pairs = materialise(near(pairs), "pairs")
         found = verifier.links(pairs)
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = materialise(components(links), "labels")
         if last:
             break
-        checked = checked.unionByName(pairs)
     return labels
 
 
