@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -100,26 +101,107 @@ def test_media_round_trip(make, corpus):
 
 
 def test_media_other_files():
-    assert media.read_media(b"") is None and media.read_media(b"\0\0\0\x08free") is None
+    assert media.read_media(b"") == ([], None) and media.read_media(b"\0\0\0\x08free") == ([], None)
     f = media.write_media(b"x" * 64 * 200)
-    assert media.read_media(f[:300]) is None
     # a second container level, 64-bit sizes, unknown boxes in front
-    assert media.read_media(media.box(b"free", b"abc") + f)["samples"].shape == (200, 2)
+    tracks, error = media.read_media(media.box(b"free", b"abc") + f)
+    assert tracks[0].samples.shape == (200, 2) and error is None
     paths = {p[-1] for p, _, _ in media.walk(f)}
     assert {b"ftyp", b"moov", b"trak", b"mdia", b"minf", b"stbl", b"stsz", b"stss", b"mdat"} <= paths
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    assert media.read_media(deep) == ([], None)
 
 
-def test_media_variable_samples():
-    import struct
+def test_media_damaged_files(spark):
+    f = media.write_media(bytes(range(256)) * 50)
+    rnd = random.Random(3)
+    broken = [f[:k] for k in range(0, len(f), 37)]
+    for _ in range(600):
+        g = bytearray(f)
+        for _ in range(rnd.choice((1, 1, 3))):
+            g[rnd.randrange(700)] = rnd.choice((0, 1, 0x7F, 0xFF, rnd.randrange(256)))
+        broken.append(bytes(g))
+    said = 0
+    for g in broken:
+        tracks, error = media.read_media(g)
+        said += error is not None
+        assert all(t.samples.min() >= 0 and t.samples.max() <= len(g) for t in tracks)
+    assert said > 100
+    rows = spark.createDataFrame([(k, g) for k, g in enumerate([*broken[::40], None, f])], "id long, media binary")
+    got = {r["id"]: r["track"] for r in media.media_columns(rows).collect()}
+    assert got[len(got) - 1]["error"] is None and got[len(got) - 1]["samples"] == 200 and got[len(got) - 2]["media_bytes"] is None
+    assert any(t["error"] and t["tracks"] == [] and t["media_bytes"] for t in got.values() if t["media_bytes"])
+
+
+def track_box(number, handler, tables, timescale=90):
+    return media.box(
+        b"trak",
+        media.full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0)),
+        media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, timescale, 400, 0, 0)), media.full(b"hdlr", bytes(4), handler, bytes(13)), media.box(b"minf", media.box(b"stbl", *tables))),
+    )
+
+
+def test_media_tracks_and_compact_sizes(spark):
+    def tables(codec, sizes, at, sync):
+        stz2 = media.full(b"stz2", bytes([0, 0, 0, 4]), struct.pack(">I", len(sizes)), bytes((a << 4) | b for a, b in zip(sizes[::2], [*sizes[1::2], 0])))
+        return [
+            media.full(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(70))), media.full(b"stts", struct.pack(">III", 1, len(sizes), 10)), media.full(b"stss", struct.pack(">I", len(sync)), *[struct.pack(">I", k) for k in sync]),
+            media.full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1)), stz2, media.full(b"stco", struct.pack(">II", 1, at)),
+        ]
+
+    make = lambda at: media.box(b"moov", track_box(1, b"soun", tables(b"mp4a", [2, 2, 2], at, [1, 2, 3])), track_box(2, b"vide", tables(b"avc1", [3, 1, 4], at + 6, [2])))
+    at = len(make(0)) + 8
+    f = make(at) + media.box(b"mdat", bytes(range(14)))
+    tracks, error = media.read_media(f)
+    assert error is None and [(t.id, t.handler, t.codec, t.duration) for t in tracks] == [(1, "soun", "mp4a", 30), (2, "vide", "avc1", 30)]
+    assert (tracks[1].samples - at).tolist() == [[6, 9], [9, 10], [10, 14]] and (tracks[1].keyframes - at).tolist() == [[9, 10]]
+    row = media.media_columns(spark.createDataFrame([(f,)], "media binary")).first()["track"]
+    assert row["codec"] == "avc1" and row["payload_sha256"] == hashlib.sha256(bytes(range(6, 14))).hexdigest() and [t["codec"] for t in row["tracks"]] == ["mp4a", "avc1"]
+
+
+def test_media_fragments():
+    empty = [media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(70))), media.full(b"stts", bytes(4)), media.full(b"stsc", bytes(4)), media.full(b"stsz", bytes(8)), media.full(b"stco", bytes(4))]
+    moov = media.box(b"moov", track_box(7, b"vide", empty), media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 7, 1, 20, 4, 0x10000))))
+
+    def moof(offset):
+        head = media.full(b"tfhd", struct.pack(">I", 7), flags=0x20000)
+        runs = [media.full(b"trun", struct.pack(">IiIII", 2, offset, 0, 5, 6), flags=0x205), media.full(b"trun", struct.pack(">I", 3), flags=0)]
+        return media.box(b"moof", media.full(b"mfhd", struct.pack(">I", 1)), media.box(b"traf", head, *runs))
+
+    size = len(moof(0))
+    f = moov + moof(size + 8) + media.box(b"mdat", bytes(23))
+    tracks, error = media.read_media(f)
+    at = len(moov) + size + 8
+    assert error is None and tracks[0].codec == "avc1" and tracks[0].duration == 100
+    assert (tracks[0].samples - at).tolist() == [[0, 5], [5, 11], [11, 15], [15, 19], [19, 23]] and (tracks[0].keyframes - at).tolist() == [[0, 5]]
+
+
+def test_media_query(spark, data):
+    rows = {r["doc_id"]: r for r in queries()["op3_media_columns"](spark, data).collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert rows.keys() == docs.keys()
+    for k, r in rows.items():
+        p, f = media.pad(docs[k]), media.write_media(media.pad(docs[k]))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((docs[k] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(f), hashlib.sha256(f).hexdigest())
+        n = len(p) // 64
+        assert r["feature"].startswith(f"raw ;rate=8000;duration={len(p)};samples={n};keyframes={-(-n // 16)};ranges=")
+    by_text = {}
+    for k, r in rows.items():
+        assert by_text.setdefault(docs[k] or "", r["feature"]) == r["feature"]
 
+
+def test_media_variable_samples():
     sizes, data = [3, 5, 2, 7], bytes(range(17))
     tables = lambda at: media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 90, 400, 0, 0)), media.box(b"minf", media.box(b"stbl",
         media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(70))), media.full(b"stts", struct.pack(">IIIII", 2, 3, 100, 1, 50)), media.full(b"stss", struct.pack(">III", 2, 1, 3)),
         media.full(b"stsc", struct.pack(">I", 2), struct.pack(">III", 1, 1, 1), struct.pack(">III", 2, 3, 1)), media.full(b"stsz", struct.pack(">II", 0, 4), struct.pack(">4I", *sizes)), media.full(b"co64", struct.pack(">I", 2), struct.pack(">2Q", at, at + 3)))))))
     at = len(tables(0)) + 8
-    t = media.read_media(tables(at) + media.box(b"mdat", data))
-    assert (t["codec"], t["timescale"], t["duration"]) == ("avc1", 90, 350)
-    assert (t["samples"] - at).tolist() == [[0, 3], [3, 8], [8, 10], [10, 17]] and (t["keyframes"] - at).tolist() == [[0, 3], [8, 10]]
+    (t,), error = media.read_media(tables(at) + media.box(b"mdat", data))
+    assert error is None and (t.codec, t.timescale, t.duration) == ("avc1", 90, 350)
+    assert (t.samples - at).tolist() == [[0, 3], [3, 8], [8, 10], [10, 17]] and (t.keyframes - at).tolist() == [[0, 3], [8, 10]]
 
 
 def pages(spark, rows):
