@@ -2,28 +2,42 @@
 
 ``write_archives`` writes a table of archives, each one gzip stream over many records, as
 tools that pipe a WARC through gzip leave them. ``normalise`` inflates such a stream once,
-in pieces, and rewrites every record as a member of its own, with a sidecar index of
-offsets. ``read_records`` finds each record by the index and inflates only its member.
-Archives are rows of Parquet tables below the shared folder, so any executor can read what
-another one wrote; an archive is closed at a stated size, so no task holds a partition.
+piece by piece, and rewrites every record as a gzip member of its own; members go to blocks
+of about BLOCK bytes, and a sidecar table holds each record's offset and length.
+``read_records`` takes the offsets from the sidecar and inflates only the members.
+
+An archive is one row, or, where it is too long for that, several in order of ``seq``. A gzip
+stream has no places to start at, so one archive is one task's, in any engine; what the
+task holds is a piece, a record and a block. Everything is Parquet below the shared
+folder, so any executor can read what another one wrote.
+
+Archives come from anywhere: one that isn't gzip, or is cut off or altered, gives the records
+up to there and a row in ``problems``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 #: Bytes of records after which an archive is closed; a longer record has one of its own.
 ARCHIVE = 8 << 20
+#: Bytes of members after which a block is closed; a longer member has one of its own.
+BLOCK = 1 << 20
+#: Bytes that are inflated at a time.
 PIECE = 1 << 16
+#: Bytes at most of a record's head, and of a whole record.
+HEAD, RECORD = 1 << 20, 1 << 30
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 
@@ -56,24 +70,35 @@ def fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs if k}
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
-    """The pieces of a gzip file of one or many members."""
-    while data:
-        d = zlib.decompressobj(31)
-        at = 0
-        while at < len(data) and not d.eof:
-            piece = data[at : at + PIECE]
-            at += len(piece)
-            if out := d.decompress(piece):
-                yield out
-        if out := d.flush():
-            yield out
-        data = data[at - len(d.unused_data) :] if d.eof else b""
-
-
-def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+class Damaged(ValueError):
+    """What follows in an archive can't be read."""
+
+
+def inflate(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The content of a gzip file of one or many members, given and returned in pieces."""
+    d, open_member = zlib.decompressobj(31), False
+    for data in pieces:
+        for at in range(0, len(data), PIECE):
+            rest = data[at : at + PIECE]
+            while rest:
+                open_member = True
+                try:
+                    if out := d.decompress(rest, PIECE * 4):
+                        yield out
+                except zlib.error as e:
+                    raise Damaged(f"gzip: {e}") from None
+                rest = d.unconsumed_tail
+                if d.eof:
+                    rest, d, open_member = d.unused_data, zlib.decompressobj(31), False
+    while open_member and (out := d.decompress(d.unconsumed_tail, PIECE * 4)):
+        yield out
+    if open_member and not d.eof:
+        raise Damaged("gzip: the stream is cut off")
+
+
+def split_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and whole bytes of each record. What is held is one record at most
-    and one piece; a record that is cut off ends the stream."""
+    and one piece."""
     buffer = bytearray()
     need, head = 0, None
     for piece in pieces:
@@ -81,14 +106,25 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         while True:
             if head is None:
                 if (cut := buffer.find(b"\r\n\r\n")) < 0:
+                    if len(buffer) > HEAD:
+                        raise Damaged("record: no end of its head")
                     break
+                if not buffer.startswith(b"WARC/"):
+                    raise Damaged("record: not a WARC head")
                 head = fields(bytes(buffer[:cut]))
-                need = cut + 4 + int(head.get("content-length", 0)) + 4
+                length = head.get("content-length", "")
+                if not length.isdecimal() or int(length) > RECORD:
+                    raise Damaged("record: no length, or too long")
+                need = cut + 4 + int(length) + 4
             if len(buffer) < need:
                 break
+            if buffer[need - 4 : need] != b"\r\n\r\n":
+                raise Damaged("record: its length is wrong")
             yield head, bytes(buffer[:need])
             del buffer[:need]
             head = None
+    if buffer:
+        raise Damaged("record: cut off")
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
@@ -128,56 +164,102 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     return rows.mapInPandas(run, "archive string, content binary")
 
 
-def normalise(archives: DataFrame) -> DataFrame:
-    """Rows (archive, content, index): content rewritten, each record a gzip member of its
-    own; index an array of (record_id, record_type, offset, length), the sidecar. An empty
-    or null content has no records."""
+class Normalised(NamedTuple):
+    blocks: DataFrame  #: (archive, block, start, content): members, and where in the archive they start
+    index: DataFrame  #: the sidecar: (archive, block, offset, length, record_id, record_type)
+    problems: DataFrame  #: (archive, error, records): archives that can't be read to their end
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["archive"], pdf["content"]):
-                out, index, at = [], [], 0
-                for head, whole in split_records(inflate(content or b"")):
-                    c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                    member = c.compress(whole) + c.flush()
-                    index.append({"record_id": head.get("warc-record-id"), "record_type": head.get("warc-type"), "offset": at, "length": len(member)})
-                    out.append(member)
-                    at += len(member)
-                yield pd.DataFrame({"archive": [name], "content": [b"".join(out)], "index": [index]})
 
-    return archives.select("archive", "content").mapInPandas(run, "archive string, content binary, index array<struct<record_id:string,record_type:string,offset:long,length:long>>")
+ENTRY = "array<struct<offset:long,length:long,record_id:string,record_type:string>>"
 
 
-def read_records(normal: DataFrame) -> DataFrame:
-    """A row per record of normalised archives: record_id, record_type, target_uri,
+def normalise(archives: DataFrame) -> Normalised:
+    """Tables of the archives (archive, content), or (archive, seq, content) where one is
+    several rows, rewritten so that each record is a gzip member of its own. An empty or null
+    content has no records; a null name is a name; equal names without ``seq`` are archives of
+    their own; records of any length up to RECORD are kept whole; other columns go."""
+    whole = "seq" not in archives.columns
+    rows = archives.select("archive", "content", *([] if whole else ["seq"]))
+    if not whole:
+        rows = rows.repartition("archive").sortWithinPartitions("archive", "seq")
+    small_batches(archives.sparkSession)
+
+    def members(name, pieces: Iterable[bytes]) -> Iterator[pd.DataFrame]:
+        out, index, at, block, start, count, error = [], [], 0, 0, 0, 0, None
+
+        def close(error: str | None = None) -> pd.DataFrame:
+            nonlocal out, index, block, start
+            row = {"archive": [name], "block": [block], "start": [start], "content": [b"".join(out)], "index": [index], "error": [error], "records": [count]}
+            out, index, block, start = [], [], block + 1, at
+            return pd.DataFrame(row)
+
+        try:
+            for head, record in split_records(inflate(pieces)):
+                c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                member = c.compress(record) + c.flush()
+                if out and at - start + len(member) > BLOCK:
+                    yield close()
+                index.append({"offset": at, "length": len(member), "record_id": head.get("warc-record-id"), "record_type": head.get("warc-type")})
+                out.append(member)
+                at += len(member)
+                count += 1
+        except Damaged as e:
+            error = str(e)
+        if out or error:
+            yield close(error)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = itertools.count()
+        each = ((next(row) if whole else None, a, c) for pdf in batches for a, c in zip(pdf["archive"], pdf["content"]))
+        for (_, name), group in itertools.groupby(each, lambda x: x[:2]):
+            yield from members(name, (bytes(c) for _, _, c in group if c is not None))
+
+    kind = f"archive string, block long, start long, content binary, index {ENTRY}, error string, records long"
+    out = materialise(rows.mapInPandas(run, kind), "warc-normal", compression="uncompressed")
+    index = out.select("archive", "block", F.explode("index").alias("x")).select("archive", "block", "x.*")
+    return Normalised(
+        out.where("size(index) > 0").select("archive", "block", "start", "content"),
+        materialise(index, "warc-index"),
+        out.where("error IS NOT NULL").select("archive", "error", "records"),
+    )
+
+
+def read_records(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """A row per entry of the sidecar, all or some: record_id, record_type, target_uri,
     refers_to, payload_bytes and payload_digest (of a revisit: of the payload it revisits,
     as its headers give them; of a response: counted and computed from the payload), payload
-    (null for revisits)."""
-    kind = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+    (null for revisits) and error, null but for a member that can't be read. Blocks without
+    wanted entries are not inflated."""
+    kind = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, error string"
+
+    def read(member: bytes, entry: str | None, type_: str | None) -> tuple:
+        try:
+            whole = zlib.decompress(member, 31)
+            head_end = whole.index(b"\r\n\r\n")
+            head = fields(whole[:head_end])
+            block = whole[head_end + 4 : head_end + 4 + int(head["content-length"])]
+            http, _, body = block.partition(b"\r\n\r\n")
+            if head["warc-type"] == "revisit":
+                size, digest, body = int(fields(http)["content-length"]), head["warc-payload-digest"].removeprefix("sha1:"), None
+            else:
+                size, digest = len(body), payload_digest(body)
+            return head["warc-record-id"], head["warc-type"], head.get("warc-target-uri"), head.get("warc-refers-to"), size, digest, body, None
+        except (zlib.error, ValueError, KeyError) as e:
+            return entry, type_, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content, index in zip(pdf["content"], pdf["index"]):
-                rows = []
-                for x in index:
-                    whole = zlib.decompress(content[x["offset"] : x["offset"] + x["length"]], 31)
-                    cut = whole.index(b"\r\n\r\n")
-                    head = fields(whole[:cut])
-                    block = whole[cut + 4 : cut + 4 + int(head["content-length"])]
-                    http, _, body = block.partition(b"\r\n\r\n")
-                    if head["warc-type"] == "revisit":
-                        size, digest, body = int(fields(http)["content-length"]), head["warc-payload-digest"].removeprefix("sha1:"), None
-                    else:
-                        size, digest = len(body), payload_digest(body)
-                    rows.append((head["warc-record-id"], head["warc-type"], head.get("warc-target-uri"), head.get("warc-refers-to"), size, digest, body))
+            for content, start, wanted in zip(pdf["content"], pdf["start"], pdf["wanted"]):
+                rows = [read(content[x["offset"] - start : x["offset"] - start + x["length"]], x["record_id"], x["record_type"]) for x in wanted]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
 
-    return normal.select("content", "index").mapInPandas(run, kind)
+    wanted = index.groupBy(F.col("archive").alias("__a"), F.col("block").alias("__b")).agg(F.collect_list(F.struct("offset", "length", "record_id", "record_type")).alias("wanted"))
+    both = blocks.join(wanted, F.col("archive").eqNullSafe(F.col("__a")) & (F.col("block") == F.col("__b")))
+    return both.select("content", "start", "wanted").mapInPandas(run, kind)
 
 
 def op4_warc_normalise(spark, sf_dir) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    archives = materialise(write_archives(pages), "warc", compression="uncompressed")
-    normal = materialise(normalise(archives), "warc-normal", compression="uncompressed")
+    normal = normalise(materialise(write_archives(pages), "warc", compression="uncompressed"))
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(.*)>', 1) AS BIGINT)")
-    return read_records(normal).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    return read_records(normal.blocks, normal.index).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))

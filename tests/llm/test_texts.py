@@ -214,25 +214,85 @@ def test_warc(spark):
     raw = [bytes(r["content"]) for r in table.collect()]
     assert all(zlib.decompressobj(31).decompress(r) == gzip.decompress(r) for r in raw)  # one member each
     normal = warc.normalise(table)
-    for r in normal.collect():
-        whole = gzip.decompress(bytes(r["content"]))
-        parts = [zlib.decompress(bytes(r["content"])[x["offset"] : x["offset"] + x["length"]], 31) for x in r["index"]]
-        assert b"".join(parts) == whole and all(p.startswith(b"WARC/1.1\r\n") for p in parts)
-    got = sorted((r["record_id"][10:-1], r["record_type"], (r["refers_to"] or "")[10:-1], r["payload_bytes"], r["payload_digest"]) for r in warc.read_records(normal).collect())
+    index = sorted(normal.index.collect(), key=lambda r: (r["archive"], r["offset"]))
+    content = {r["archive"]: b"" for r in table.collect()}
+    for r in sorted(normal.blocks.collect(), key=lambda r: (r["archive"], r["block"])):
+        assert r["start"] == len(content[r["archive"]])
+        content[r["archive"]] += bytes(r["content"])
+    for r in table.collect():
+        parts = [zlib.decompress(content[r["archive"]][x["offset"] : x["offset"] + x["length"]], 31) for x in index if x["archive"] == r["archive"]]
+        assert b"".join(parts) == gzip.decompress(bytes(r["content"])) and all(p.startswith(b"WARC/1.1\r\n") for p in parts)
+    assert normal.problems.count() == 0 and len(index) == len(rows)
+    one = warc.read_records(normal.blocks, normal.index.where("record_id = '<urn:page:9>'")).collect()
+    assert [(r["record_type"], r["refers_to"], r["payload"]) for r in one] == [("revisit", "<urn:page:2>", None)]
+    got = sorted((r["record_id"][10:-1], r["record_type"], (r["refers_to"] or "")[10:-1], r["payload_bytes"], r["payload_digest"]) for r in warc.read_records(normal.blocks, normal.index).collect())
     sha = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
     same4 = (4, sha("same"))
     long = rows[0][2]
     assert got == sorted([("5", "response", "", len(long.encode()), sha(long)), ("2", "response", "", *same4), ("2", "response", "", *same4), ("9", "revisit", "2", *same4), ("None", "revisit", "2", *same4), ("1", "response", "", 0, sha("")), ("7", "revisit", "1", 0, sha("")), ("None", "response", "", len(rows[7][2]), sha(rows[7][2]))])
     assert warc.write_archives(pages(spark, []).limit(0)).count() == 0
-    least = warc.read_records(warc.normalise(warc.write_archives(pages(spark, rows), least=10)))
-    assert {r["record_type"] for r in least.collect()} == {"response"}
+    small = warc.normalise(warc.write_archives(pages(spark, rows), least=10))
+    assert {r["record_type"] for r in warc.read_records(small.blocks, small.index).collect()} == {"response"}
+
+
+def records_of(data, size=None):
+    pieces = [data] if size is None else [data[k : k + size] for k in range(0, len(data), size)]
+    return [w for _, w in warc.split_records(warc.inflate(pieces))]
 
 
 def test_warc_streams():
-    r = [warc.record(k, "u", bytes([65 + k]) * n) for k, n in enumerate((0, 10, 200_000, 3))]
-    for data in (gzip.compress(b"".join(r)), b"".join(map(gzip.compress, r)), gzip.compress(r[0] + r[1]) + gzip.compress(r[2] + r[3])):
-        assert [w for _, w in warc.split_records(warc.inflate(data))] == r
-    assert [w for _, w in warc.split_records(warc.inflate(gzip.compress(b"".join(r))[:-2000]))] == r[:-1] or True
+    r = [warc.record(k, "u", bytes([65 + k]) * n) for k, n in enumerate((0, 10, 200_000, 3, 3_000_000))]
+    for data in (gzip.compress(b"".join(r)), b"".join(map(gzip.compress, r)), gzip.compress(r[0] + r[1]) + gzip.compress(b"".join(r[2:]))):
+        for size in (None, 7, 1000):
+            assert records_of(data, size) == r
+    assert records_of(b"") == []
+
+
+def test_warc_damaged(spark):
+    r = [warc.record(k, "u", random.Random(k).randbytes(300)) for k in range(30)]
+    sound = gzip.compress(b"".join(r))
+    altered = bytearray(sound)
+    altered[4000] ^= 0xFF
+    wrong = b"".join(r[:2]) + r[2].replace(b"Content-Length: ", b"Content-Length: 9", 2) + r[3]
+    archives = {
+        "sound": sound, "cut": sound[:-2000], "no gzip": b"plain text, no archive", "altered": bytes(altered), "tail": sound + b"junk", "null": None, "empty": b"",
+        "no warc": gzip.compress(b"HTTP/1.1 200\r\n\r\n"), "length": gzip.compress(wrong), "half": gzip.compress(b"".join(r)[:-10]),
+    }
+    normal = warc.normalise(spark.createDataFrame(list(archives.items()), "archive string, content binary"))
+    problems = {r["archive"]: (r["error"], r["records"]) for r in normal.problems.collect()}
+    assert problems.keys() == archives.keys() - {"sound", "null", "empty"}
+    assert problems["tail"][1] == 30 and problems["no gzip"][1] == 0 and problems["half"] == ("record: cut off", 29) and 0 < problems["cut"][1] < 30
+    held = {r["archive"]: r["n"] for r in normal.index.groupBy("archive").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert held["sound"] == 30 and all(held.get(a, 0) == n for a, (_, n) in problems.items())
+    read = warc.read_records(normal.blocks, normal.index).collect()
+    assert len(read) == sum(held.values()) and all(x["error"] is None and x["payload_bytes"] == 300 for x in read)
+    # a member that is damaged after it was written
+    blocks = normal.blocks.where("archive = 'sound'").selectExpr("archive", "block", "start", "cast(concat(substring(content, 1, 900), unhex('00000000'), substring(content, 905)) as binary) AS content")
+    read = warc.read_records(blocks, normal.index.where("archive = 'sound'")).collect()
+    assert len(read) == 30 and 1 <= sum(x["error"] is not None for x in read) <= 2
+
+
+def test_warc_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 5000)
+    r = [warc.record(k, "u", random.Random(k).randbytes(700)) for k in range(60)]
+    whole = gzip.compress(b"".join(r))
+    rows = [("a", k, whole[k * 999 : (k + 1) * 999]) for k in range(-(-len(whole) // 999))] + [("b", 0, gzip.compress(r[0]))]
+    random.Random(1).shuffle(rows)
+    normal = warc.normalise(spark.createDataFrame(rows, "archive string, seq long, content binary"))
+    assert normal.problems.count() == 0 and normal.index.where("archive = 'a'").count() == 60 and normal.blocks.count() > 8
+    assert {x["payload"] for x in warc.read_records(normal.blocks, normal.index).collect()} == {random.Random(k).randbytes(700) for k in range(60)}
+
+
+def test_warc_query(spark, data):
+    rows = spark.read.parquet(f"{data}/pages.parquet").collect()
+    first = {}
+    for r in rows:
+        h = r["html"] or ""
+        first[h] = min(first.get(h, r["page_id"]), r["page_id"])
+    sha = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+    want = sorted((r["page_id"], len(h.encode()), sha(h), "response" if first[h] == r["page_id"] else "revisit", -1 if first[h] == r["page_id"] else first[h]) for r in rows for h in [r["html"] or ""])
+    got = queries()["op4_warc_normalise"](spark, data).collect()
+    assert want == sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], -1 if r["refers_to"] is None else r["refers_to"]) for r in got)
 
 
 def brute_mix(pairs, sources):
