@@ -6,9 +6,11 @@ sizes are prefix-summed to the source's budget. A budget above the source's own
 is first served by complete epochs, the fraction that remains by the ordered prefix.
 
 A source may hold most of the rows, so nothing is ordered source by source in one task:
-keys are cut into ``buckets`` ranges, the ranges' sizes are summed (with map-side
-combining), and only the one range per source in which the budget ends is ordered.
-Rows, with whatever wide columns they carry, are not shuffled except those of that range.
+keys are cut into ``buckets`` ranges, even in the keys' logarithm so that no weight gathers
+its documents in one, the ranges' sizes are summed (with map-side combining), and only the
+one range per source in which the budget ends is ordered. The list of sources is broadcast
+if it has no more than MOST_BROADCAST rows. Rows, with whatever wide columns they carry, are
+written once with their sizes and keys, and not shuffled except those of that range.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ SOURCE_WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
+#: Sources up to which their targets are sent to all executors.
+MOST_BROADCAST = 20_000
+#: Octaves that the ranges of keys span, and the least one; keys beyond go to the ends.
+OCTAVES, LEAST_OCTAVE = 32, -24
 
 
 def word_count(text: str = "text") -> Column:
@@ -85,7 +91,7 @@ def mix(
     share: float = SHARE,
     most: float = MOST,
     seed: str = SEED,
-    buckets: int = 4096,
+    buckets: int = 1 << 16,
 ) -> DataFrame:
     """All rows of docs with four more columns: size, source_size, target and taken, the
     number of words that the mix takes of the row, repeats counted. Columns of docs with
@@ -94,13 +100,16 @@ def mix(
     Each source's taken words add up to the whole part of its target. The document at which
     the budget ends gives the words that are still missing. Null text: size 0, taken 0. A
     null source is a source of its own. A null key draws one fixed number. Rows that repeat
-    count as often as they come. An empty table gives an empty result."""
+    count as often as they come; very long texts count whole. Equal keys go by the row's
+    key, then by size. An empty table gives an empty result."""
+    octave = (F.log2("__key") - LEAST_OCTAVE) * (buckets / OCTAVES)
     rows = (
         docs.withColumn("__size", word_count() if size is None else size)
         .withColumn("__src", F.col(source))
         .withColumn("__key", -F.ln(uniform(F.col(key), seed)) / (symbol_quality() if quality is None else quality))
-        .withColumn("__cell", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+        .withColumn("__cell", F.greatest(F.lit(0), F.least(F.floor(octave), F.lit(buckets - 1))).cast("int"))
     )
+    rows = materialise(rows, "sizes")
     cells = rows.groupBy("__src", "__cell").agg(F.sum("__size").alias("__size"))
     targets = source_targets(cells.groupBy("__src").agg(F.sum("__size").alias("__size")), weights, share, most)
     epochs = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0)
@@ -118,7 +127,9 @@ def mix(
         .withColumn("__end", F.coalesce("__end", F.lit(buckets)))
         .withColumnRenamed("__src", "__t")
     )
-    rows = rows.join(ends, F.col("__src").eqNullSafe(F.col("__t")))
+    ends = materialise(ends, "ends")
+    few = ends.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = rows.join(F.broadcast(ends) if few else ends, F.col("__src").eqNullSafe(F.col("__t")))
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     out = lambda df, extra: df.select(
         *[F.col(f"`{c}`") for c in kept],
@@ -153,9 +164,9 @@ def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op8_mix_sources(spark, sf_dir) -> DataFrame:
-    # sizes and weights are taken from the texts once
+    # texts are left behind once their sizes and weights are taken
     rows = documents(spark, sf_dir).select("doc_id", "source", word_count().alias("words"), symbol_quality().alias("quality"))
-    mixed = mix(materialise(rows, "sizes"), F.col("words"), F.col("quality"))
+    mixed = mix(rows, F.col("words"), F.col("quality"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -338,6 +338,22 @@ def test_mix_ties_and_empty_texts(make):
     assert sum(r["taken"] for r in mixing.mix(make([(1, None), (2, "")])).collect()) == 0
 
 
+def test_light_documents_share_no_range(make, monkeypatch):
+    # two thirds weigh 1/21: their keys spread over the ranges as those of others do
+    texts = [("### " * 30 if k % 3 else "word " * 30) for k in range(3000)]
+    seen = {}
+    monkeypatch.setattr(mixing, "materialise", lambda df, name, **o: seen.setdefault(name, df))
+    mixing.mix(make(texts, sources={k: "s" for k in range(3000)}))
+    assert max(r["count"] for r in seen["sizes"].groupBy("__cell").count().collect()) < 12
+
+
+def test_mix_without_broadcast(make, corpus, monkeypatch):
+    docs = make(corpus)
+    want = sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert want == sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect())
+
+
 def test_better_documents_are_taken_more(make):
     clean, dirty = "word " * 20, "word### " * 20
     docs = make([clean if k % 2 else dirty for k in range(600)], sources={k: "s" for k in range(600)})
