@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import before_range, in_ranges, null_safe
+
 KEY = ("map", "binsize")
 CELL = ("map", "binsize", "i", "j", "v")
 
 
 def infer_binsize(rows: DataFrame, position: str, order: str, by: str = "map") -> DataFrame:
-    """Rows (by, binsize): the least positive step between neighbours in input order."""
-    step = F.abs(F.col(position) - F.lag(position).over(Window.partitionBy(by).orderBy(order)))
+    """Rows (by, binsize): the least positive step between neighbours in input order. Lines
+    are ordered in ranges; a range's first line meets the last of the ranges before it."""
+    rows = in_ranges(rows.select(by, F.col(position).alias("__at"), F.col(order).alias("__order")), [by], ["__order"])
+    last = F.max_by(F.struct("__order", "__at"), "__order")
+    rows = null_safe(rows, before_range(rows, [by], last, F.max), [by, "__range"])
+    previous = F.coalesce(F.lag("__at").over(Window.partitionBy("__range", by).orderBy("__order")), F.col("before.__at"))
+    step = F.abs(F.col("__at") - previous)
     return rows.select(by, step.alias("step")).groupBy(by).agg(F.min(F.when(F.col("step") > 0, F.col("step"))).alias("binsize"))
 
 
+#: Values of one place that a running mean takes, the last ones: one before them would count
+#: 2 to the -900th.
+FOLDED = 900
+
+
+def last_of(rows: DataFrame, keys: list[str], order: str, unless: Column | None = None) -> DataFrame:
+    """The last FOLDED rows of each place in input order. Each task keeps no more of a place
+    before rows are shuffled, so a place that many rows hit is never gathered whole."""
+    rows = rows if unless is None else rows.where(~unless)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
+    return rows.withColumn("__k", number).where(F.col("__k") <= FOLDED).drop("__k")
+
+
 def running_mean(value: str = "v", order: str = "seq") -> Column:
     """Aggregate: duplicates combined as (old + new) / 2 in input order; a stored zero is
     overwritten."""
@@ -30,7 +50,10 @@ def bin_contacts(contacts: DataFrame, binsize: int, combine: str = "fold", symme
     rows = contacts.select("map", b("pos_i").alias("a"), b("pos_j").alias("b"), F.col("value").cast("double").alias("v"), *(["seq"] if combine == "fold" else []))
     i, j = (F.least("a", "b"), F.greatest("a", "b")) if symmetric else (F.col("a"), F.col("b"))
     how = {"fold": running_mean, "sum": lambda: F.sum("v"), "avg": lambda: F.avg("v"), "max": lambda: F.max("v")}[combine]()
-    rows = rows.groupBy("map", i.alias("i"), j.alias("j")).agg(how.alias("v")).where("v <> 0")
+    rows = rows.select("*", i.alias("i"), j.alias("j"))
+    if combine == "fold":
+        rows = last_of(rows, ["map", "i", "j"], "seq")
+    rows = rows.groupBy("map", "i", "j").agg(how.alias("v")).where("v <> 0")
     rows = rows.select("map", F.lit(binsize).cast("long").alias("binsize"), "i", "j", "v")
     return mirror(rows) if symmetric else rows
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from .cells import KEY, shape
 
 
@@ -41,12 +42,13 @@ def coarse_bins(n: int, level: int) -> int:
 def pyramid(cells: DataFrame, method: str = "sum", stop: int = 500, sides: dict[str, int] | None = None) -> DataFrame:
     """The map and ever coarser ones, each from the one before, until no side has more than
     ``stop`` bins. sides: bins per side of each map, else counted. Sums and maxima of blocks
-    are associative, so a level is read from the level below, which has a quarter of the cells."""
+    are associative, so a level is read from the level below, which has a quarter of the
+    cells and is written once for this and for the result."""
     if sides is None:
         sides = {r["map"]: max(r["nx"], r["ny"]) for r in shape(cells).collect()}  # one row a map
     out, level = cells, cells
     while left := {m: n for m, n in sides.items() if n > stop}:
-        level = coarsen(level.where(F.col("map").isin(list(left))), 2, method)
+        level = written(coarsen(level.where(F.col("map").isin(list(left))), 2, method), "level")
         out = out.unionByName(level)
         sides = {m: coarse_bins(n, 2) for m, n in left.items()}
     return out

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .cells import CELL, KEY
 
+#: Bins of all maps together up to which a vector is sent to every executor.
+MOST_BROADCAST = 2_000_000
+
 
 def row_sums(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*KEY, "i").agg(F.sum("v").alias("r"))
@@ -77,11 +80,13 @@ def _frame(spark, index: Vectors, x: Vectors, name: str, of: str = "i") -> DataF
 
 
 def _times(cells: DataFrame, index: Vectors) -> Callable[[Vectors], Vectors]:
-    """x -> A x for every map at once: one job. The vector has one number per bin; whether
-    it is sent to every executor is left to the optimiser, which knows its size."""
+    """x -> A x for every map at once: one job. The vector has one number per bin; it is sent
+    to every executor if there are no more than MOST_BROADCAST of them."""
+    few = sum(map(len, index.values())) <= MOST_BROADCAST
 
     def run(x: Vectors) -> Vectors:
         v = _frame(cells.sparkSession, index, x, "x", "j")
+        v = F.broadcast(v) if few else v
         pdf = cells.join(v, [*KEY, "j"]).groupBy(*KEY, "i").agg(F.sum(F.col("v") * F.col("x")).alias("s")).toPandas()
         out = {k: np.zeros(len(index[k])) for k in index}
         for k, g in pdf.groupby(list(KEY)):
@@ -95,31 +100,33 @@ def correction_bias(cells: DataFrame, tol: float = 1e-4, iterations: int = 500)
     """Iterative correction: the bias B of each bin, for which v / (B_i B_j) has even row
     sums and the original total. A sweep: s = row sums of the corrected map, d = s over the
     mean of its non-zero entries, B times d, rescaled to the total. It ends when the
-    L1 change of B is below tol, tested after the sweep, or after iterations + 2 sweeps."""
+    L1 change of B is below tol, tested after the sweep, or after iterations + 2 sweeps.
+    A sweep is one job: its row sums also give the total after the sweep before, and with
+    it that sweep's scale."""
     index = _numbered(cells)
     times = _times(cells.persist(), index)
     b = {k: np.ones(len(v)) for k, v in index.items()}
-    open_maps, total, count = set(index), {}, 0
-    while open_maps:
+    total: dict[tuple, float] = {}
+    moving, scaled = set(index), set()
+    for sweep in range(iterations + 3):
         inverse = {k: 1 / v for k, v in b.items()}
         sums = times(inverse)
-        done = set()
-        for k in open_maps:
+        for k in [k for k in index if k not in scaled]:
             s = sums[k] * inverse[k]
-            total.setdefault(k, s.sum())
+            now = s.sum()
+            # the scale of the sweep before; row sums change by its square
+            scale = np.sqrt(now / total.setdefault(k, now)) if total.get(k, now) else 1.0
+            b[k] = b[k] * scale
+            if k not in moving or sweep == iterations + 2:
+                scaled.add(k)
+                continue
+            s = s / (scale * scale) if scale else s
             d = s / s[s != 0].mean() if (s != 0).any() else np.ones(len(s))
             d[d == 0] = 1
             b[k], old = b[k] * d, b[k]
-            # the total after division by d_i d_j, for the scale, comes with the next sweep
-            done |= {k} if np.abs(b[k] - old).sum() < tol else set()
-        inverse = {k: 1 / v for k, v in b.items()}
-        sums = times(inverse)
-        for k in open_maps:
-            now = (sums[k] * inverse[k]).sum()
-            b[k] *= np.sqrt(now / total[k]) if total[k] else 1.0
-        count += 1
-        open_maps -= done
-        if count > iterations + 1:
+            if np.abs(b[k] - old).sum() < tol:
+                moving.discard(k)
+        if len(scaled) == len(index):
             break
     cells.unpersist()
     return _frame(cells.sparkSession, index, b, "b")

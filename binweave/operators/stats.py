@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import correlation_p
+from ..functions.tables import before_range, in_ranges, null_safe
 from .cells import KEY
 
 
@@ -52,11 +53,15 @@ def paired(a: DataFrame, b: DataFrame, offset: int | None = 1, cutoff: float | N
 
 def mean_ranks(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Values replaced by their ranks within the keys, ties by the mean rank. Ranks of the
-    distinct values come from running sums of their counts."""
+    distinct values come from running sums of their counts: within ranges of values, and over
+    the ranges' sums, so no task orders all values."""
     for c in names:
-        counts = rows.groupBy(*keys, c).count()
-        order = Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(*keys, F.col(c), (F.coalesce(F.sum("count").over(order), F.lit(0)) + (F.col("count") + 1) / 2).alias("__rank"))
+        counts = in_ranges(rows.groupBy(*keys, c).count(), keys, [c])
+        before = before_range(counts, keys, F.sum("count"), F.sum)
+        order = Window.partitionBy("__range", *keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+        counts = null_safe(counts, before, [*keys, "__range"])
+        below = F.coalesce("before", F.lit(0)) + F.coalesce(F.sum("count").over(order), F.lit(0))
+        ranks = counts.select(*keys, F.col(c), (below + (F.col("count") + 1) / 2).alias("__rank"))
         rows = rows.join(ranks, [*keys, c]).drop(c).withColumnRenamed("__rank", c)
     return rows
 

@@ -4,21 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from .cells import KEY, shape
 
-
-def row_vectors(cells: DataFrame) -> DataFrame:
-    """Rows (map, binsize, i, x): each row of a map as a dense array, as long as its side."""
-    size = shape(cells).select(*KEY, F.greatest("nx", "ny").cast("int").alias("n"))
-    held = cells.groupBy(*KEY, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m")).join(size, list(KEY))
-    at = F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"))
-    return held.select(*KEY, "i", F.transform(at, lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("x"))
+#: Vectors of the subspace that is iterated for the first principal component, and rounds.
+VECTORS, ROUNDS = 4, 40
+#: Bins per side of a map that Ward's clustering, which needs all distances at once, takes.
+WARD_SIDE = 4096
 
 
 def orient(labels: DataFrame, cells: DataFrame, value: str) -> DataFrame:
@@ -28,31 +23,122 @@ def orient(labels: DataFrame, cells: DataFrame, value: str) -> DataFrame:
     return labels.join(top, list(KEY)).select(*KEY, "i", (F.col(value) * F.when(F.col("__top") < 0, -1).otherwise(1)).alias(value))
 
 
-def compartments(cells: DataFrame, method: str = "PCA", seed: int = 1) -> DataFrame:
-    """(map, binsize, i, score) of one map: first principal component, or -1 / +1 by k-means
-    or Ward's clustering in two."""
-    rows = row_vectors(cells)
-    if method == "hierarchical":
-        size = rows.withColumn("k", F.lit(1))
-        out = size.groupBy(*KEY).applyInPandas(_ward, "map string, binsize long, i long, score double")
-        return orient(out, cells, "score")
-    rows = rows.withColumn("features", array_to_vector("x")).persist()
+def compartments(cells: DataFrame, method: str = "PCA", tol: float = 1e-9) -> DataFrame:
+    """(map, binsize, i, score) of every map and level at once: the first principal component
+    of the rows, or -1 / +1 by two means or by Ward's clustering in two. Bins without cells
+    have no score; absent cells are 0. Cells stay as they are and are joined with vectors of
+    one number per bin; no row is made dense, except by Ward's clustering, which takes one
+    map in a task and refuses maps of over WARD_SIDE bins."""
+    cells = written(cells.select(*KEY, "i", "j", "v"), "cells")
     if method == "PCA":
-        found = PCA(k=1, inputCol="features", outputCol="pc").fit(rows).transform(rows)
-        mean = found.select(*KEY, "i", vector_to_array("pc")[0].alias("s"))
-        centre = mean.groupBy(*KEY).agg(F.avg("s").alias("m"))
-        out = mean.join(centre, list(KEY)).select(*KEY, "i", (F.col("s") - F.col("m")).alias("score"))
+        out = first_component(cells, tol)
+    elif method == "k-means":
+        out = two_means(cells)
+    elif method == "hierarchical":
+        sides = shape(cells).agg(F.max(F.greatest("nx", "ny"))).first()[0] or 0
+        if sides > WARD_SIDE:
+            raise ValueError(f"hierarchical clustering takes maps of {WARD_SIDE} bins per side; use PCA or k-means")
+        out = cells.groupBy(*KEY).applyInPandas(_ward, "map string, binsize long, i long, score double")
     else:
-        found = KMeans(k=2, seed=seed, featuresCol="features", predictionCol="c").fit(rows).transform(rows)
-        out = found.select(*KEY, "i", F.when(F.col("c") == 0, -1.0).otherwise(1.0).alias("score"))
+        raise ValueError(f"unknown method {method}: PCA, k-means or hierarchical")
     return orient(out, cells, "score")
 
 
+def _small(spark, matrices: dict[tuple, np.ndarray], names: list[str]) -> DataFrame:
+    """Rows (map, binsize, names...) of a few numbers for each map."""
+    rows = [(*k, *map(float, m.ravel())) for k, m in matrices.items()]
+    return F.broadcast(spark.createDataFrame(rows, "map string, binsize long, " + ", ".join(f"{n} double" for n in names)))
+
+
+def first_component(cells: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """Scores of the rows on their first principal component: subspace iteration on the rows
+    less the column means. Each half step is one join of the cells with a table of VECTORS
+    numbers per bin; the driver gets a VECTORS x VECTORS matrix for each map."""
+    spark, n = cells.sparkSession, VECTORS
+    v, y = [f"v{k}" for k in range(n)], [f"y{k}" for k in range(n)]
+    pairs = [(a, b) for a in range(n) for b in range(a + 1)]
+    rows = cells.groupBy(*KEY).agg(F.countDistinct("i").alias("rows"))
+    mean = cells.groupBy(*KEY, "j").agg(F.sum("v").alias("s")).join(rows, list(KEY)).select(*KEY, "j", (F.col("s") / F.col("rows")).alias("mean"))
+    start = [(F.pmod(F.xxhash64(*KEY, "j", F.lit(k)), F.lit(1 << 20)) / (1 << 20) - 0.5).alias(c) for k, c in enumerate(v)]
+    right = written(mean.select(*KEY, "j", "mean", *start), "vectors")
+
+    def gram(df: DataFrame, names: list[str]) -> dict[tuple, np.ndarray]:
+        sums = [F.sum(F.col(names[a]) * F.col(names[b])).alias(f"g{a}_{b}") for a, b in pairs]
+        out = {}
+        for r in df.groupBy(*KEY).agg(*sums).collect():  # a few numbers for each map
+            m = np.zeros((n, n))
+            for a, b in pairs:
+                m[a, b] = m[b, a] = r[f"g{a}_{b}"] or 0.0
+            out[r["map"], r["binsize"]] = m
+        return out
+
+    def turned(df: DataFrame, names: list[str], by: dict[tuple, np.ndarray], keep: list[str], to: list[str]) -> DataFrame:
+        """The table's vectors times a small matrix for each map."""
+        flat = [f"m{a}_{b}" for a in range(n) for b in range(len(to))]
+        each = [sum((F.col(names[a]) * F.col(f"m{a}_{b}") for a in range(n)), F.lit(0.0)).alias(c) for b, c in enumerate(to)]
+        return df.join(_small(spark, by, flat), list(KEY)).select(*KEY, *keep, *each)
+
+    last: dict[tuple, float] = {}
+    for _ in range(ROUNDS):
+        # an orthonormal basis; directions that vanish become 0
+        basis = {}
+        for key, g in gram(right, v).items():
+            w, u = np.linalg.eigh(g)
+            basis[key] = u @ np.diag([1 / np.sqrt(x) if x > 1e-12 * max(w.max(), 1e-300) else 0.0 for x in w])
+        right = written(turned(right, v, basis, ["j", "mean"], v), "vectors")
+        centre = right.groupBy(*KEY).agg(*[F.sum(F.col("mean") * F.col(c)).alias(f"c_{c}") for c in v])
+        left = cells.join(right, [*KEY, "j"]).groupBy(*KEY, "i").agg(*[F.sum(F.col("v") * F.col(c)).alias(f"s_{c}") for c in v])
+        left = written(left.join(centre, list(KEY)).select(*KEY, "i", *[(F.col(f"s_{a}") - F.col(f"c_{a}")).alias(b) for a, b in zip(v, y)]), "vectors")
+        spread = gram(left, y)
+        top = {k: float(np.linalg.eigvalsh(g)[-1]) for k, g in spread.items()}
+        if all(abs(top[k] - last.get(k, 0.0)) <= tol * top[k] for k in top):
+            break
+        last = top
+        total = left.groupBy(*KEY).agg(*[F.sum(c).alias(f"t_{c}") for c in y])
+        back = cells.join(left, [*KEY, "i"]).groupBy(*KEY, "j").agg(*[F.sum(F.col("v") * F.col(c)).alias(f"s_{c}") for c in y])
+        back = back.join(right.select(*KEY, "j", "mean"), [*KEY, "j"]).join(total, list(KEY))
+        right = written(back.select(*KEY, "j", "mean", *[(F.col(f"s_{b}") - F.col("mean") * F.col(f"t_{b}")).alias(a) for a, b in zip(v, y)]), "vectors")
+    main = {k: np.linalg.eigh(g)[1][:, -1:] for k, g in spread.items()}
+    return turned(left, y, main, ["i"], ["score"])
+
+
+def two_means(cells: DataFrame, rounds: int = 50) -> DataFrame:
+    """Rows in two clusters by Lloyd's steps. They start from the row of largest norm and the
+    one farthest from it (the first of equals); a step is two joins with one pair of
+    numbers per bin, and it ends when no row moves."""
+    norms = written(cells.groupBy(*KEY, "i").agg(F.sum(F.col("v") * F.col("v")).alias("norm")), "norms")
+    first = lambda c: F.max_by("i", F.struct(F.col(c), (-F.col("i")).alias("k")))
+    a = norms.groupBy(*KEY).agg(first("norm").alias("a"))
+    row = cells.join(a, list(KEY)).where("i = a").select(*KEY, "j", F.col("v").alias("w0"))
+    dots = cells.join(row, [*KEY, "j"]).groupBy(*KEY, "i").agg(F.sum(F.col("v") * F.col("w0")).alias("dot"))
+    far = norms.join(dots, [*KEY, "i"], "left").withColumn("d", F.col("norm") - 2 * F.coalesce("dot", F.lit(0.0)))
+    b = far.groupBy(*KEY).agg(first("d").alias("b"))
+    other = cells.join(b, list(KEY)).where("i = b").select(*KEY, "j", F.col("v").alias("w1"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    centres = written(row.join(other, [*KEY, "j"], "full").select(*KEY, "j", zero("w0"), zero("w1")), "centres")
+    labels = None
+    for _ in range(rounds):
+        size = centres.groupBy(*KEY).agg(*[F.sum(F.col(f"w{k}") * F.col(f"w{k}")).alias(f"n{k}") for k in (0, 1)])
+        dots = cells.join(centres, [*KEY, "j"]).groupBy(*KEY, "i").agg(*[F.sum(F.col("v") * F.col(f"w{k}")).alias(f"d{k}") for k in (0, 1)])
+        near = norms.join(dots, [*KEY, "i"], "left").join(size, list(KEY))
+        distance = [F.col(f"n{k}") - 2 * F.coalesce(f"d{k}", F.lit(0.0)) for k in (0, 1)]
+        new = written(near.select(*KEY, "i", F.when(distance[0] <= distance[1], 0).otherwise(1).alias("c")), "labels")
+        if labels is not None and new.exceptAll(labels).isEmpty():
+            break
+        labels = new
+        held = labels.groupBy(*KEY).agg(*[F.count_if(F.col("c") == k).alias(f"k{k}") for k in (0, 1)])
+        sums = cells.join(labels, [*KEY, "i"]).groupBy(*KEY, "j").agg(*[F.sum(F.when(F.col("c") == k, F.col("v"))).alias(f"s{k}") for k in (0, 1)])
+        centres = written(sums.join(held, list(KEY)).select(*KEY, "j", *[F.coalesce(F.col(f"s{k}") / F.nullif(F.col(f"k{k}"), F.lit(0)), F.lit(0.0)).alias(f"w{k}") for k in (0, 1)]), "centres")
+    return new.select(*KEY, "i", F.when(F.col("c") == 0, -1.0).otherwise(1.0).alias("score"))
+
+
 def _ward(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ward's clustering of one map's rows into two: nearest pairs by the Lance-Williams
     update of squared distances. A map's side bounds the work."""
-    x = np.stack(pdf["x"].to_numpy())
-    n = len(x)
+    bins = np.unique(pdf["i"])
+    n = len(bins)
+    x = np.zeros((n, int(max(pdf["i"].max(), pdf["j"].max())) + 1))
+    x[np.searchsorted(bins, pdf["i"]), pdf["j"]] = pdf["v"]
     sq = (x * x).sum(1)
     d = np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0)
     np.fill_diagonal(d, np.inf)
@@ -68,18 +154,23 @@ def _ward(pdf: pd.DataFrame) -> pd.DataFrame:
         label[label == label[b]] = label[a]
         label[label == b] = a
         left -= 1
-    out = pdf[["map", "binsize", "i"]].copy()
-    out["score"] = np.where(label == label[0], 1.0, -1.0)
-    return out
+    return pd.DataFrame({"map": pdf["map"].iloc[0], "binsize": pdf["binsize"].iloc[0], "i": bins, "score": np.where(label == label[0], 1.0, -1.0)})
 
 
 def correct_peaks(scores: DataFrame, cells: DataFrame, factor: float = 1.0) -> DataFrame:
     """A bin whose median contact with the bins of the other sign exceeds ``factor`` times
-    that with its own changes sign. Groups are those before any change."""
+    that with its own changes sign. Medians are over all bins of a sign: absent cells count
+    as zeros, by their number. Groups are those before any change."""
     sign = scores.select(*KEY, "i", F.signum("score").alias("s"))
-    both = cells.join(sign, [*KEY, "i"]).join(sign.select(*KEY, F.col("i").alias("j"), F.col("s").alias("t")), [*KEY, "j"])
-    m = both.groupBy(*KEY, "i").agg(F.median(F.when(F.col("s") == F.col("t"), F.col("v"))).alias("own"), F.median(F.when(F.col("s") == -F.col("t"), F.col("v"))).alias("other"))
-    flip = F.coalesce(F.col("other") > factor * F.col("own"), F.lit(False))
+    of_j = sign.select(*KEY, F.col("i").alias("j"), F.col("s").alias("t")).where("t <> 0")
+    held = cells.join(sign.select(*KEY, "i"), [*KEY, "i"], "left_semi").join(of_j, [*KEY, "j"]).select(*KEY, "i", "t", "v", F.lit(1).cast("long").alias("n"))
+    sizes = of_j.groupBy(*KEY, "t").agg(F.count("*").alias("bins"))
+    every = sign.select(*KEY, "i").join(sizes, list(KEY)).join(held.groupBy(*KEY, "i", "t").agg(F.count("*").alias("k")), [*KEY, "i", "t"], "left")
+    zeros = every.select(*KEY, "i", "t", F.lit(0.0).alias("v"), (F.col("bins") - F.coalesce("k", F.lit(0))).alias("n"))
+    m = held.unionByName(zeros).groupBy(*KEY, "i", "t").agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("m"))
+    m = m.groupBy(*KEY, "i").agg(F.max(F.when(F.col("t") > 0, F.col("m"))).alias("positive"), F.max(F.when(F.col("t") < 0, F.col("m"))).alias("negative"))
+    own, other = (F.when(F.col("score") > 0, F.col(a)).otherwise(F.col(b)) for a, b in (("positive", "negative"), ("negative", "positive")))
+    flip = F.coalesce((F.col("score") != 0) & (other > factor * own), F.lit(False))
     return scores.join(m, [*KEY, "i"], "left").select(*KEY, "i", F.when(flip, -F.col("score")).otherwise(F.col("score")).alias("score"))
 
 
@@ -100,30 +191,80 @@ def off_diagonal_peaks(peaks: DataFrame, distance: int = 4) -> DataFrame:
     return peaks.where(F.col("j") - F.col("i") > distance)
 
 
+#: Bins by which boxes are near each other, and cells of a box's corner that don't count.
+NEAR = 4
+
+
 def box_scores(boxes: DataFrame, cells: DataFrame, factor: float = 1.0) -> DataFrame:
-    """Score of each box (map, binsize, a, b): -factor times the mean natural logarithm of
-    the cells on its two inner edges, row a and column b."""
-    keyed = cells.where("v > 0 AND j >= i")
-    rows = boxes.join(keyed.withColumnRenamed("i", "a"), [*KEY, "a"]).where("j <= b").select(*boxes.columns, F.ln("v").alias("l"))
-    columns = boxes.join(keyed.withColumnRenamed("j", "b"), [*KEY, "b"]).where("i > a").select(*boxes.columns, F.ln("v").alias("l"))
-    return rows.unionByName(columns).groupBy(*boxes.columns).agg((-factor * F.avg("l")).alias("score"))
+    """Score of each box (map, binsize, a, b): -factor times the mean natural logarithm of the
+    cells of the row and the column behind it, (b + 1, a) to (b + 1, b) and (a, b + 1) to
+    (b, b + 1), without those within NEAR bins of the corner. Zero cells make it infinite; a
+    box of NEAR bins or fewer, or one that ends where the map does, has none (null)."""
+    side = shape(cells).select(*KEY, F.greatest("nx", "ny").alias("__n"))
+    names = [c for c in boxes.columns if c not in KEY]
+    edge = lambda at, along: cells.where("v > 0").select(*KEY, (F.col(at) - 1).alias("b"), F.col(along).alias("__k"), F.ln("v").alias("__l"))
+    on_edge = (F.col("__k") >= F.col("a")) & (F.col("__k") <= F.col("b") - NEAR)
+    both = edge("j", "i").unionByName(edge("i", "j"))
+    found = boxes.join(both, [*KEY, "b"]).where(on_edge).groupBy(*KEY, "a", "b").agg(F.count("*").alias("__held"), F.sum("__l").alias("__sum"))
+    rows = boxes.join(side, list(KEY)).join(found, [*KEY, "a", "b"], "left")
+    cells_of = 2 * (F.col("b") - NEAR - F.col("a") + 1)
+    score = F.when((cells_of <= 0) | (F.col("b") + 1 >= F.col("__n")), None).when(F.coalesce("__held", F.lit(0)) < cells_of, factor * float("inf")).otherwise(-factor * F.col("__sum") / F.col("__held"))
+    return rows.select(*KEY, *names, score.alias("score"))
 
 
-def suppress_overlaps(boxes: DataFrame, near: float = 0.05) -> DataFrame:
-    """Of overlapping boxes (a, b, score), the best stays; among scores within ``near``, the
-    largest. Overlapping chains of one map are settled together: greedy in that order."""
-    ordered = Window.partitionBy(*KEY).orderBy("a")
-    reach = F.max("b").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    chained = boxes.withColumn("__new", F.when(F.col("a") > F.coalesce(reach, F.lit(-1)), 1).otherwise(0)).withColumn("__chain", F.sum("__new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def near_boxes(boxes: DataFrame, near: float = 0.05) -> DataFrame:
+    """Pairs (map, binsize, x, y), x < y, of numbered boxes (a, b, score, id) whose starts or
+    whose ends lie within NEAR bins and whose scores differ by at most ``near``."""
+    shift = F.explode(F.sequence(F.lit(-NEAR), F.lit(NEAR))).alias("__shift")
+    left = boxes.where("score IS NOT NULL").select(*KEY, F.col("id").alias("x"), "a", "b", F.col("score").alias("s"))
+    right = boxes.where("score IS NOT NULL").select(*KEY, F.col("id").alias("y"), "a", "b", F.col("score").alias("t"))
+    by = lambda c: left.select(*KEY, c, "x", "s", shift).select(*KEY, (F.col(c) + F.col("__shift")).alias(c), "x", "s").join(right, [*KEY, c]).where((F.col("x") < F.col("y")) & (F.abs(F.col("s") - F.col("t")) <= near)).select(*KEY, "x", "y")
+    return by("a").unionByName(by("b")).distinct()
+
+
+def suppress_overlaps(boxes: DataFrame, near: float = 0.05, order: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """Boxes (a, b, score) in order: each is held against the boxes before it that are left and
+    near it, of nearly its score (see near_boxes), in order; a smaller one of these goes,
+    and at the first that isn't smaller the box itself goes. Boxes without a score go. Only
+    boxes that such pairs join, directly or through others, meet in a task."""
+    number = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order, "a", "b"))
+    boxes = written(boxes.where("score IS NOT NULL").withColumn("id", number.cast("long")), "boxes")
+    pairs = written(near_boxes(boxes, near), "near")
+    group = _groups(pairs)
+    later = pairs.groupBy(*KEY, F.col("y").alias("id")).agg(F.array_sort(F.collect_list("x")).alias("before"))
+    rows = boxes.join(group, [*KEY, "id"], "left").join(later, [*KEY, "id"], "left")
+    rows = rows.withColumn("group", F.coalesce("group", "id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(size=pdf["b"] - pdf["a"], level=np.floor(pdf["score"] / near))
-        kept: list[tuple] = []
-        for r in pdf.sort_values(["level", "size", "score", "a"], ascending=[False, False, False, True]).itertuples():
-            if all(r.a > k.b or r.b < k.a for k in kept):
-                kept.append(r)
-        return pd.DataFrame(kept)[list(names)] if kept else pdf.iloc[:0][list(names)]
+        pdf = pdf.sort_values("id")
+        size = dict(zip(pdf["id"], pdf["b"] - pdf["a"]))
+        left = set()
+        for box, before in zip(pdf["id"], pdf["before"]):
+            left.add(box)
+            for other in before if before is not None else ():
+                if other in left:
+                    if size[box] > size[other]:
+                        left.remove(other)
+                    else:
+                        left.remove(box)
+                        break
+        return pdf[pdf["id"].isin(left)][names]
+
+    names = [f.name for f in boxes.schema if f.name != "id"]
+    return rows.groupBy(*KEY, "group").applyInPandas(run, boxes.drop("id").schema)
 
-    names = [f.name for f in boxes.schema]
-    return chained.groupBy(*KEY, "__chain").applyInPandas(run, boxes.schema)
 
+def _groups(pairs: DataFrame) -> DataFrame:
+    """Rows (map, binsize, id, group): the least id that pairs reach. Labels take the least
+    label of their neighbours, then the label of their label, until none moves."""
+    both = pairs.select(*KEY, F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p")).select(*KEY, "p.x", "p.y")
+    edges = written(both, "edges")
+    labels = written(edges.groupBy(*KEY, F.col("x").alias("id")).agg(F.least("x", F.min("y")).alias("group")), "labels")
+    while True:
+        near = edges.join(labels.withColumnRenamed("id", "y"), [*KEY, "y"]).groupBy(*KEY, F.col("x").alias("id")).agg(F.min("group").alias("least"))
+        new = labels.join(near, [*KEY, "id"]).select(*KEY, "id", F.least("group", "least").alias("group"), (F.col("least") < F.col("group")).alias("moved"))
+        new = written(new, "labels")
+        if new.where("moved").isEmpty():
+            return new.drop("moved")
+        jump = new.select(*KEY, F.col("id").alias("group"), F.col("group").alias("next"))
+        labels = written(new.select(*KEY, "id", "group").join(jump, [*KEY, "group"]).select(*KEY, "id", F.col("next").alias("group")), "labels")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import before_range, in_ranges, null_safe
+from .cells import last_of
+
 #: Bin sizes that tracks are stored at, and ways to combine values: fixed values.
 RESOLUTIONS = ("1kb", "2kb", "4kb", "5kb", "8kb", "10kb", "20kb", "40kb", "80kb", "100kb", "160kb", "200kb", "320kb", "500kb", "640kb", "1mb")
 METHODS = ("min", "max", "amean", "hmean", "gmean", "median")
@@ -49,11 +52,16 @@ def bin_intervals(signal: DataFrame, binsizes: list[int], methods: tuple[str, ..
 def disjoint(signal: DataFrame, method: str = "mean") -> DataFrame:
     """Overlapping intervals (chrom, start, end, value, seq) cut where others begin or end;
     what overlaps is combined by the running mean in input order, by max or by min.
-    Chains of overlapping intervals are the groups, so a chromosome isn't one task's."""
-    order = Window.partitionBy("chrom").orderBy("start", "seq")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = signal.withColumn("new", F.when(F.col("start") >= F.coalesce(reach, F.lit(-1)), 1).otherwise(0))
-    rows = rows.withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    Chains of overlapping intervals are found within ranges of starts and over the ranges'
+    ends and numbers, so a chromosome isn't one task's; a chain is."""
+    rows = in_ranges(signal, ["chrom"], ["start", "seq"])
+    order = Window.partitionBy("__range", "chrom").orderBy("start", "seq")
+    rows = null_safe(rows, before_range(rows, ["chrom"], F.max("end"), F.max), ["chrom", "__range"])
+    reach = F.greatest(F.coalesce("before", F.lit(-1)), F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    rows = rows.withColumn("new", F.when(F.col("start") >= reach, 1).otherwise(0)).drop("before")
+    rows = null_safe(rows, before_range(rows, ["chrom"], F.sum("new"), F.sum), ["chrom", "__range"])
+    chain = F.coalesce("before", F.lit(0)) + F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("chain", chain).drop("new", "before", "__range")
     ends = rows.select("chrom", "chain", F.explode(F.array("start", "end")).alias("at")).distinct()
     cuts = ends.withColumn("to", F.lead("at").over(Window.partitionBy("chrom", "chain").orderBy("at"))).where("to IS NOT NULL")
     both = cuts.join(rows, ["chrom", "chain"]).where("start <= at AND to <= end")
@@ -74,6 +82,8 @@ def combined(method: str, value: str = "value", order: str = "seq") -> Column:
 
 def combine(tracks: DataFrame, method: str = "mean") -> DataFrame:
     """Tracks of several inputs (chrom, bin, value, seq) as one."""
+    if method == "mean":
+        tracks = last_of(tracks, ["chrom", "bin"], "seq", unless=F.col("value") == 0)
     return tracks.groupBy("chrom", "bin").agg(combined(method).alias("v"))
 
 

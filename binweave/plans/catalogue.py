@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.resolution import binsize_of, natural_key, resolution_of
+from ..functions.tables import shared_path, written
 from ..operators import cells as C
 from ..operators import coarsen as Z
 from ..operators import markov as M
@@ -15,6 +19,8 @@ from ..operators import normalise as NM
 from ..operators import stats as S
 from ..operators import structure as T
 from ..operators import tracks as R
+from ..sources import container as K_
+from ..sources import text as X
 from .domain import SQL_CELLS, SQL_TRACK, cells, signal, table, upper
 
 QUERIES: dict = {}
@@ -107,8 +113,6 @@ def cm_resolutions(spark, d):
 
 @query("SELECT name, row_number() OVER (ORDER BY CAST(substr(name, 4) AS INT))::INT AS rank FROM (SELECT DISTINCT source AS name FROM documents)", "z AS (SELECT 1)")
 def cm_natural_sort(spark, d):
-    from pyspark.sql import Window
-
     names = table(spark, d, "documents").select(F.col("source").alias("name")).distinct()
     return names.withColumn("rank", F.row_number().over(Window.orderBy(natural_key(F.col("name")))))
 
@@ -190,13 +194,13 @@ def cm_coarsen_mean(spark, d):
     return rounded(Z.coarsen(cells(spark, d), 2, "mean"))
 
 
+_UNION = " UNION ALL ".join(f"SELECT map, binsize, i, j, v FROM l{k}" for k in range(8))
 _LEVEL = "SELECT map, binsize * 2, CAST(ceil(i / 2.0) AS BIGINT) AS i, CAST(ceil(j / 2.0) AS BIGINT) AS j, sum(v) AS v, CAST(ceil((n - 1) / 2.0) AS BIGINT) + 1 AS n FROM {0} WHERE i > 0 AND j > 0 AND n > 12 GROUP BY 1, 2, 3, 4, n"
 
 
-@query(", l0 AS (SELECT cells.*, n FROM cells JOIN size USING (map)), " + ", ".join(f"l{k} AS MATERIALIZED (SELECT * FROM ({_LEVEL.format(f'l{k - 1}')}) t(map, binsize, i, j, v, n))" for k in range(1, 8)) + " " + " UNION ALL ".join(f"SELECT map, binsize, i, j, v FROM l{k}" for k in range(8)))
+@query(", l0 AS (SELECT cells.*, n FROM cells JOIN size USING (map)), " + ", ".join(f"l{k} AS MATERIALIZED (SELECT * FROM ({_LEVEL.format(f'l{k - 1}')}) t(map, binsize, i, j, v, n))" for k in range(1, 8)) + " " + _UNION)
 def cm_pyramid(spark, d):
-    c = cells(spark, d).persist()
-    return Z.pyramid(c, "sum", 12)
+    return Z.pyramid(written(cells(spark, d), "cells"), "sum", 12)
 
 
 @query("SELECT map, 50::BIGINT AS base, 150::BIGINT AS target FROM (SELECT DISTINCT map FROM cells)")
@@ -443,17 +447,18 @@ def cm_smooth(spark, d):
 
 @query()
 def cm_compartment_pca_sign(spark, d):
-    c = one(cells(spark, d), "F").persist()
-    return T.compartments(c).select("map", "i", F.signum("score").cast("int").alias("side"))
+    return T.compartments(cells(spark, d)).select("map", "i", F.signum("score").cast("int").alias("side"))
 
 
 @query()
 def cm_compartment_kmeans(spark, d):
-    c = one(cells(spark, d), "F").persist()
-    return T.compartments(c, "k-means").select("map", "i", F.col("score").cast("int").alias("side"))
+    return T.compartments(cells(spark, d), "k-means").select("map", "i", F.col("score").cast("int").alias("side"))
 
 
-@query(", sg AS (SELECT DISTINCT map, i, CASE WHEN i % 3 = 0 THEN -1.0 ELSE 1.0 END AS s FROM cells), pm AS (SELECT c.map, c.i, a.s, median(v) FILTER (WHERE a.s = b.s) AS own, median(v) FILTER (WHERE a.s <> b.s) AS other FROM cells c JOIN sg a ON a.map = c.map AND a.i = c.i JOIN sg b ON b.map = c.map AND b.i = c.j GROUP BY 1, 2, 3) SELECT map, 50::BIGINT AS binsize, i, CASE WHEN other > own THEN -s ELSE s END AS score FROM pm")
+@query(""", sg AS (SELECT DISTINCT map, i, CASE WHEN i % 3 = 0 THEN -1.0 ELSE 1.0 END AS s FROM cells),
+dn AS (SELECT a.map, a.i, a.s, b.s AS t, coalesce(c.v, 0.0) AS v FROM sg a JOIN sg b ON a.map = b.map LEFT JOIN cells c ON c.map = a.map AND c.i = a.i AND c.j = b.i),
+pm AS (SELECT map, i, s, median(v) FILTER (WHERE t > 0) AS pos, median(v) FILTER (WHERE t < 0) AS neg FROM dn GROUP BY 1, 2, 3)
+SELECT map, 50::BIGINT AS binsize, i, CAST(CASE WHEN (s < 0 AND pos > neg) OR (s > 0 AND neg > pos) THEN -s ELSE s END AS DOUBLE) AS score FROM pm""")
 def cm_peak_correct(spark, d):
     c = cells(spark, d)
     scores = c.select(*C.KEY, "i").distinct().withColumn("score", F.when(F.col("i") % 3 == 0, -1.0).otherwise(1.0))
@@ -465,10 +470,13 @@ def tad_diag_filter(spark, d):
     return T.off_diagonal_peaks(cells(spark, d).where("v > 1200"))
 
 
-@query(", bx AS (SELECT map, i AS a, j AS b FROM cells WHERE j - i BETWEEN 5 AND 8 AND i % 5 = 0), eg AS (SELECT bx.*, v FROM bx JOIN cells c ON c.map = bx.map AND c.i = bx.a AND c.j >= c.i AND c.j <= bx.b UNION ALL SELECT bx.*, v FROM bx JOIN cells c ON c.map = bx.map AND c.j = bx.b AND c.j >= c.i AND c.i > bx.a) SELECT map, 50::BIGINT AS binsize, a, b, round(-avg(ln(v)), 9) AS score FROM eg GROUP BY 1, 3, 4")
+@query(""", bx AS (SELECT map, i AS a, j AS b, n FROM cells JOIN size USING (map) WHERE j - i BETWEEN 5 AND 8),
+eg AS (SELECT bx.map, a, b, count(*) AS held, sum(ln(v)) AS l FROM bx JOIN cells c ON c.map = bx.map AND v > 0 AND ((c.j = b + 1 AND c.i BETWEEN a AND b - 4) OR (c.i = b + 1 AND c.j BETWEEN a AND b - 4)) GROUP BY 1, 2, 3)
+SELECT bx.map, 50::BIGINT AS binsize, bx.a, bx.b, CASE WHEN bx.b + 1 >= n THEN NULL WHEN coalesce(held, 0) < 2 * (bx.b - 3 - bx.a) THEN 'Infinity'::DOUBLE ELSE round(-l / held, 9) END AS score
+FROM bx LEFT JOIN eg ON eg.map = bx.map AND eg.a = bx.a AND eg.b = bx.b""")
 def tad_box_scores(spark, d):
     c = cells(spark, d)
-    boxes = c.where("j - i BETWEEN 5 AND 8 AND i % 5 = 0").select(*C.KEY, F.col("i").alias("a"), F.col("j").alias("b"))
+    boxes = c.where("j - i BETWEEN 5 AND 8").select(*C.KEY, F.col("i").alias("a"), F.col("j").alias("b"))
     return rounded(T.box_scores(boxes, c), column="score")
 
 
@@ -575,6 +583,272 @@ def trk_intervals(spark, d):
     return rounded(R.bin_intervals(iv, [100, 250], ("amean", "max")), 6, "amean")
 
 
+# -- sources: the tables' rows, written in a format below the shared folder and read again
+
+
+def put_lines(rows: DataFrame, name: str, *by: str) -> str:
+    """Text files of column value; those of each value of ``by`` in a folder of its own."""
+    path = shared_path(rows.sparkSession, name)
+    rows.select("value", *by).write.partitionBy(*by).text(path) if by else rows.select("value").write.text(path)
+    return path
+
+
+def maps_of(df: DataFrame) -> list[str]:
+    return sorted(r["map"] for r in df.select("map").distinct().collect())  # names only
+
+
+def joined_text(*parts, by: str = " "):
+    return F.concat_ws(by, *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value")
+
+
+@query("SELECT * FROM cells")
+def src_coo(spark, d):
+    c = written(upper(spark, d), "cells")
+    path = put_lines(c.select("map", joined_text(F.col("i") * 50, F.col("j") * 50, F.col("v"))), "coo", "map")
+    return X.coo_list(spark, [(f"{path}/map={m}", m) for m in maps_of(c)], resolution="50b")
+
+
+@query("SELECT map, 1000::BIGINT AS binsize, i, j, v FROM cells")
+def src_coo_index(spark, d):
+    c = written(upper(spark, d), "cells")
+    path = put_lines(c.select("map", joined_text(F.col("j"), F.col("i"), F.col("v"), by="\t")), "coo", "map")
+    return X.coo_list(spark, [(f"{path}/map={m}", m) for m in maps_of(c)], resolution="1kb", coordinate="index")
+
+
+@query("SELECT * FROM cells")
+def src_paired_coo(spark, d):
+    at = lambda c: (F.col("map"), F.col(c) * 50 - 15, F.col(c) * 50)
+    path = put_lines(upper(spark, d).select(joined_text(*at("i"), *at("j"), F.col("v"), by="\t")), "paircoo")
+    return X.paired_coo(spark, path, 50)
+
+
+@query("SELECT 'chr' || map AS map, binsize, i, j, v FROM cells")
+def src_matrix_file(spark, d):
+    c = written(cells(spark, d), "cells")
+    # the header has as many entries as the maps have bins
+    bins = c.select("map", "i").distinct().select(F.concat_ws("-", "map", F.col("i") * 50).alias("x"))
+    head = bins.agg(F.array_sort(F.collect_list("x")).alias("head"))
+    held = c.groupBy("map", "i").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "map", F.col("j") * 50), F.col("v").cast("string")))).alias("m"))
+    body = held.crossJoin(F.broadcast(head)).select(joined_text(F.lit("row"), F.concat_ws("-", "map", F.col("i") * 50), F.array_join(F.transform("head", lambda x: F.coalesce(F.try_element_at("m", x), F.lit("0"))), "\t"), by="\t"))
+    first = head.select(joined_text(F.lit("HiCMatrix"), F.lit("Regions"), F.array_join("head", "\t"), by="\t"))
+    return X.homer(spark, put_lines(first.unionByName(body), "homer"), 50)
+
+
+@query("SELECT 'chr' || map AS map, binsize, i + 1 AS i, j + 1 AS j, v FROM cells")
+def src_bins_and_contacts(spark, d):
+    c = written(upper(spark, d), "cells")
+    number = F.dense_rank().over(Window.orderBy("map")) * 1_000_000 + F.col("i")
+    bins = C.axis(C.mirror(c)).select("map", "i").withColumn("cbin", number)  # one row per bin
+    bins = written(bins, "bins")
+    one = put_lines(bins.select(joined_text(F.col("cbin"), F.col("map"), F.col("i") * 50, F.col("i") * 50 + 50, F.lit(1), by="\t")), "bins")
+    ends = lambda x, n: bins.select("map", F.col("i").alias(x), F.col("cbin").alias(n))
+    both = c.join(ends("i", "b1"), ["map", "i"]).join(ends("j", "b2"), ["map", "j"])
+    two = put_lines(both.select(joined_text(F.col("b1"), F.col("b2"), F.lit(1.5), F.col("v"), by="\t")), "contacts")
+    return X.bins_and_contacts(spark, one, two)
+
+
+def intervals(spark, d):
+    """Disjoint intervals of ten bases: a user's first event of each kind."""
+    first = signal(spark, d).where("value > 0").groupBy("chrom", "pos").agg(F.min_by("value", "seq").alias("value"))
+    return first.select("chrom", (F.col("pos") * 10).alias("start"), (F.col("pos") * 10 + 10).alias("end"), "value")
+
+
+_IV = "iv AS (SELECT event_type AS chrom, user_id * 10 AS start, user_id * 10 + 10 AS \"end\", arg_min(value, event_id) AS value FROM events WHERE value > 0 GROUP BY 1, 2) "
+
+
+@query("SELECT * FROM iv", _IV)
+def src_bed(spark, d):
+    rows = intervals(spark, d)
+    path = put_lines(rows.select(joined_text(F.col("chrom"), F.col("start"), F.col("end"), F.lit("name"), F.lit(0), F.lit("."), F.col("value"), by="\t")), "bed")
+    return X.bed(spark, path).drop("seq")
+
+
+def sections(rows: DataFrame, head: Callable, line: Callable) -> DataFrame:
+    """Lines of a format in which a head says what the lines behind it are about: some of a
+    chromosome's rows make a section, so a chromosome isn't one task's."""
+
+    def run(batches):
+        last = None
+        for pdf in batches:
+            out = []
+            for chrom, start, end, value in zip(pdf["chrom"], pdf["start"], pdf["end"], pdf["value"]):
+                if chrom != last:
+                    out.append(head(chrom, start))
+                    last = chrom
+                out.append(line(chrom, start, end, value))
+            yield pd.DataFrame({"value": out})
+
+    return rows.repartition("chrom", F.floor(F.col("start") / 400)).sortWithinPartitions("chrom", "start").mapInPandas(run, "value string")
+
+
+@query("SELECT * FROM iv", _IV)
+def src_wig_variable(spark, d):
+    lines = sections(intervals(spark, d), lambda c, s: f"variableStep chrom={c} span=10", lambda c, s, e, v: f"{s + 1} {v!r}")
+    return X.wig(spark, put_lines(lines, "wig")).drop("seq")
+
+
+@query("SELECT * FROM iv", _IV)
+def src_wig_bedgraph(spark, d):
+    lines = sections(intervals(spark, d), lambda c, s: f"#bedGraph section {c}:{s}-", lambda c, s, e, v: f"{c}\t{s}\t{e}\t{v!r}")
+    return X.wig(spark, put_lines(lines, "wig")).drop("seq")
+
+
+@query("SELECT chrom, 10::BIGINT AS binsize, 'text' AS name, start // 10 AS bin, value AS v FROM iv", _IV)
+def src_text_track(spark, d):
+    rows = written(intervals(spark, d), "intervals")
+    path = put_lines(rows.select("chrom", joined_text(F.col("start"), F.col("value"))), "track", "chrom")
+    out = None
+    for r in rows.select("chrom").distinct().orderBy("chrom").collect():  # names only
+        one = X.text_track(spark, f"{path}/chrom={r['chrom']}", r["chrom"], 10, check=False)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# -- the container and what works on it
+
+_PYRAMID = SQL["cm_pyramid"].removesuffix(_UNION)
+_UP = f"{_PYRAMID}, up AS (SELECT * FROM ({_UNION}))"
+
+
+def stored(spark, d, stop: int = 12) -> str:
+    """A container of the maps with their pyramids."""
+    path = shared_path(spark, "container")
+    K_.add_map(cells(spark, d), path, stop=stop)
+    return path
+
+
+def raw(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@raw(f"{_UP} SELECT * FROM up")
+def cont_maps(spark, d):
+    return K_.read_cells(spark, stored(spark, d))
+
+
+@raw(f"{_UP} SELECT map, binsize, max(i) + 1 AS nx, max(j) + 1 AS ny, min(v) AS minvalue, max(v) AS maxvalue FROM up GROUP BY 1, 2")
+def cont_meta(spark, d):
+    return K_.read_meta(spark, stored(spark, d)).select(*C.KEY, "nx", "ny", "minvalue", "maxvalue")
+
+
+@raw(f"{_UP} SELECT * FROM up WHERE map = 'O' AND binsize = 100")
+def cont_load(spark, d):
+    return K_.load_map(spark, stored(spark, d), "O", 100)
+
+
+@raw(f"{_UP} SELECT * FROM up")
+def cont_recompress(spark, d):
+    target = shared_path(spark, "container")
+    K_.recompress(spark, stored(spark, d), target, "gzip")
+    return K_.read_cells(spark, target)
+
+
+@raw(f"{_PYRAMID}, l3x AS (SELECT map, 150::BIGINT AS binsize, CAST(ceil(i / 3.0) AS BIGINT) AS i, CAST(ceil(j / 3.0) AS BIGINT) AS j, sum(v) AS v FROM cells WHERE i > 0 AND j > 0 GROUP BY 1, 3, 4) SELECT * FROM l3x")
+def cont_coarsen(spark, d):
+    path = stored(spark, d)
+    K_.coarsen_stored(spark, path, 150)
+    return K_.read_cells(spark, path, binsize=150)
+
+
+@raw(SQL["cm_coo_export"].replace("SELECT * FROM cells WHERE", "SELECT i, j, v FROM cells WHERE map = 'F' AND"))
+def cont_export(spark, d):
+    out = shared_path(spark, "export")
+    K_.export_coo(K_.load_map(spark, stored(spark, d), "F"), out)
+    return spark.read.schema("i long, j long, v double").csv(out, sep="\t")
+
+
+def normalised(method: str, **options):
+    def f(spark, d):
+        target = shared_path(spark, "container")
+        K_.normalise_container(spark, stored(spark, d), target, method, **options)
+        return rounded(K_.read_cells(spark, target), 6, scale=1e6 if method == "vc" else None)
+
+    return f
+
+
+_UP_R = f"{_UP}, r AS (SELECT map, binsize, i, sum(v) AS r FROM up GROUP BY 1, 2, 3)"
+for _f, _name, _sql in (
+    (normalised("vc"), "cont_vc", f"{_UP_R} SELECT c.map, c.binsize, c.i, c.j, round(v / (a.r * b.r) * 1e6, 6) AS v FROM up c JOIN r a ON a.map = c.map AND a.binsize = c.binsize AND a.i = c.i JOIN r b ON b.map = c.map AND b.binsize = c.binsize AND b.i = c.j"),
+    (normalised("mcfs", vmin=20.0), "cont_mcfs", f"{_UP}, e AS (SELECT map, binsize, abs(i - j) AS d, median(v) AS m FROM up WHERE v > 20 GROUP BY 1, 2, 3) SELECT c.map, c.binsize, i, j, round(v / m, 6) AS v FROM up c JOIN e ON e.map = c.map AND e.binsize = c.binsize AND e.d = abs(i - j) WHERE v > 20"),
+    (normalised("ic", tol=0.0, iterations=1, stop=10**9), "cont_ic", SQL["cm_ic_k"]),
+):
+    _f.__name__ = _name
+    raw(_sql)(_f)
+
+
+@raw(f"{_UP}, f AS (SELECT map, binsize FROM up GROUP BY 1, 2 HAVING binsize = 50) SELECT f.map, f.binsize, i, 1.0::DOUBLE AS total FROM f JOIN (SELECT DISTINCT map, i FROM cells) USING (map)")
+def cont_kr_row_sums(spark, d):
+    target = shared_path(spark, "container")
+    K_.normalise_container(spark, stored(spark, d), target, "kr")
+    return rounded(NM.row_sums(K_.read_cells(spark, target, binsize=50)).withColumnRenamed("r", "total"), 9, "total")
+
+
+_COV_UP = ", cv AS (SELECT a.map, a.binsize, a.i AS i1, b.i AS i2, covar_pop(a.v, b.v) AS cov FROM up a JOIN up b ON a.map = b.map AND a.binsize = b.binsize AND a.j = b.j AND a.i > b.i WHERE a.binsize >= 100 GROUP BY 1, 2, 3, 4 HAVING count(*) > 3), va AS (SELECT map, binsize, i, var_pop(v) AS x FROM up GROUP BY 1, 2, 3), cr AS (SELECT cv.map, cv.binsize, i1, i2, round(cov / sqrt(a.x * b.x), 4) AS v FROM cv JOIN va a ON a.map = cv.map AND a.binsize = cv.binsize AND a.i = i1 JOIN va b ON b.map = cv.map AND b.binsize = cv.binsize AND b.i = i2 WHERE a.x * b.x > 0)"
+
+
+@raw(f"{_UP}{_COV_UP} SELECT map, binsize, i1 AS i, i2 AS j, v FROM cr WHERE v <> 0 UNION ALL SELECT map, binsize, i2, i1, v FROM cr WHERE v <> 0")
+def cont_correlations(spark, d):
+    # the finest level is in cm_corrmat
+    source, coarse, target = stored(spark, d), shared_path(spark, "container"), shared_path(spark, "container")
+    K_.write_cells(K_.read_cells(spark, source).where("binsize >= 100"), coarse)
+    K_.correlate_container(spark, coarse, target)
+    return K_.read_cells(spark, target)
+
+
+@raw(f"{_UP} SELECT map, binsize, i, j, round(v / sum(v) OVER (PARTITION BY map, binsize, i), 9) AS v FROM up WHERE binsize >= 100")
+def cont_transition(spark, d):
+    target = shared_path(spark, "container")
+    K_.transition_container(spark, stored(spark, d), target, 100)
+    return rounded(K_.read_cells(spark, target))
+
+
+@raw("")
+def cont_stationary(spark, d):
+    chain = shared_path(spark, "container")
+    K_.transition_container(spark, stored(spark, d), chain, 50)
+    return rounded(K_.stationary_container(spark, chain, shared_path(spark, "tracks"), 50, least=10))
+
+
+@raw("")
+def cont_compartments(spark, d):
+    return rounded(K_.compartment_container(spark, stored(spark, d), shared_path(spark, "tracks"), 50, "k-means", 1.0))
+
+
+SQL.pop("cont_stationary"), SQL.pop("cont_compartments")
+
+_LEVELS = "".join(
+    f" UNION ALL SELECT map, binsize * {b}, '{n}', CAST(ceil(i / {b}.0) AS BIGINT), round({a}(w), 9) FROM w WHERE i > 0 AND {'true' if p is None else f'ceil((n - 1) / {p}.0) + 1 >= 10'} GROUP BY map, binsize, 4"
+    for n, a in (("maximum", "max"), ("average", "avg"), ("sum", "sum"))
+    for p, b in zip((None, 2, 4, 5, 8, 10, 16, 20, 32), (2, 4, 5, 8, 10, 16, 20, 32, 64))
+)
+
+
+@query(", w AS (SELECT map, binsize, i, n, sum(v) / 1000 AS w FROM cells JOIN size USING (map) GROUP BY 1, 2, 3, 4) SELECT map AS chrom, binsize, name, i AS bin, round(w, 9) AS v FROM w, (VALUES ('maximum'), ('average'), ('sum')) t(name)" + _LEVELS)
+def cont_distribution_levels(spark, d):
+    w = NM.row_sums(cells(spark, d)).select(*C.KEY, "i", (F.col("r") / 1000).alias("w"))
+    return rounded(K_.distribution_levels(w, 10))
+
+
+@track_query(_LONG.strip() + " SELECT chrom, 10::BIGINT AS binsize, 'max' AS name, bin, v FROM t")
+def cont_track(spark, d):
+    path = shared_path(spark, "tracks")
+    K_.write_track(_long(spark, d), path)
+    return K_.read_track(spark, path)
+
+
+@query(", q AS (SELECT s AS start FROM (SELECT unnest(range(0, (SELECT min(n) FROM size WHERE map IN ('F', 'O')) - 10, 2)) AS s)) SELECT count(*) AS n FROM q")
+def cont_blocks(spark, d):
+    # every block of these maps has a correlation that isn't 0
+    out = shared_path(spark, "blocks")
+    K_.write_blocks(S.correlate_blocks(*_fo(spark, d), 10, 2, binsize=50), out)
+    return spark.read.schema("centre double, corr double").csv(out, sep="\t").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

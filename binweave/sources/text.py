@@ -170,12 +170,13 @@ def wig(spark: SparkSession, path, chrom: str | None = None) -> DataFrame:
     return out if chrom is None else out.where(F.col("chrom") == chrom)
 
 
-def text_track(spark: SparkSession, path, name: str, binsize: int, bins: int | None = None) -> DataFrame:
+def text_track(spark: SparkSession, path, name: str, binsize: int, bins: int | None = None, check: bool = True) -> DataFrame:
     """Track of lines ``position value``; the last line of a bin counts. With ``bins``, what
-    lies beyond is dropped. A step smaller than binsize, if positive, is an error."""
+    lies beyond is dropped. A least step of the lines other than binsize is an error, unless
+    ``check`` is off, as for lines in no order."""
     c = lines(spark, path).withColumn("c", columns())
     rows = c.select(_long(F.get("c", F.lit(0))).alias("pos"), F.get("c", F.lit(1)).try_cast("double").alias("v"), "seq").where("pos IS NOT NULL AND v IS NOT NULL")
-    found = C.infer_binsize(rows.withColumn("map", F.lit(0)), "pos", "seq").first()
+    found = C.infer_binsize(rows.withColumn("map", F.lit(0)), "pos", "seq").first() if check else None
     if found and found["binsize"] and found["binsize"] != binsize:
         raise ValueError(f"the file has steps of {found['binsize']}, not of {binsize}")
     out = rows.groupBy(F.floor(F.col("pos") / binsize).cast("long").alias("bin")).agg(F.max_by("v", "seq").alias("v"))

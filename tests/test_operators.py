@@ -205,11 +205,117 @@ def test_compartments(spark, method):
 
 
 def test_overlapping_boxes(spark):
-    rows = [("m", 1, 0, 10, 1.0), ("m", 1, 5, 12, 3.0), ("m", 1, 11, 20, 1.01), ("m", 1, 30, 40, 0.5)]
+    # starts near and scores near: the smaller goes; scores apart or places apart: both stay
+    rows = [("m", 1, 0, 10, 1.0), ("m", 1, 3, 30, 1.04), ("m", 1, 3, 12, 3.0), ("m", 1, 11, 20, 1.01), ("m", 1, 40, 60, 0.5), ("m", 1, 50, 63, 0.52), ("n", 1, 0, 9, 1.0), ("m", 1, 70, 80, None)]
     boxes = spark.createDataFrame(rows, "map string, binsize long, a long, b long, score double")
-    assert sorted(r["a"] for r in T.suppress_overlaps(boxes).collect()) == [5, 30]
-    near = spark.createDataFrame([("m", 1, 0, 10, 1.01), ("m", 1, 2, 20, 1.0)], boxes.schema)
-    assert [r["a"] for r in T.suppress_overlaps(near).collect()] == [2]
+    got = sorted((r["map"], r["a"], r["b"]) for r in T.suppress_overlaps(boxes).collect())
+    assert got == [("m", 3, 12), ("m", 3, 30), ("m", 11, 20), ("m", 40, 60), ("n", 0, 9)]
+
+
+def sequential(boxes):
+    """The rule, box after box."""
+    left = dict(enumerate(boxes))
+    for i, (a, b, s) in enumerate(boxes):
+        for j in range(i):
+            if j not in left:
+                continue
+            c, d, t = boxes[j]
+            if (abs(a - c) <= 4 or abs(b - d) <= 4) and abs(s - t) <= 0.05:
+                if b - a > d - c:
+                    del left[j]
+                else:
+                    del left[i]
+                    break
+    return sorted(left.values())
+
+
+def test_overlapping_boxes_in_order(spark):
+    rng = np.random.default_rng(5)
+    starts = sorted(rng.integers(0, 120, 60).tolist())
+    boxes = sorted({(a, a + int(rng.integers(5, 30))) for a in starts})
+    boxes = [(a, b, float(rng.integers(0, 30)) / 100) for a, b in boxes]
+    rows = spark.createDataFrame([("m", 1, *b) for b in boxes], "map string, binsize long, a long, b long, score double")
+    assert sorted((r["a"], r["b"], r["score"]) for r in T.suppress_overlaps(rows).collect()) == sequential(boxes)
+
+
+def test_box_scores(spark, matrix):
+    c = C.from_matrix(spark, np.where(matrix > 0, matrix, 1.0), "m", 1)
+    m = np.where(matrix > 0, matrix, 1.0)
+    boxes = spark.createDataFrame([("m", 1, 0, 6), ("m", 1, 2, 9), ("m", 1, 3, 6), ("m", 1, 4, 11)], "map string, binsize long, a long, b long")
+    got = {(r["a"], r["b"]): r["score"] for r in T.box_scores(boxes, c).collect()}
+    for a, b in ((0, 6), (2, 9)):
+        edge = [m[i, b + 1] for i in range(a, b - 3)] + [m[b + 1, j] for j in range(a, b - 3)]
+        assert math.isclose(got[a, b], -np.log(edge).mean())
+    assert got[3, 6] is None and got[4, 11] is None
+    holes = c.where("NOT (i = 2 AND j = 10)")
+    assert {r["b"]: r["score"] for r in T.box_scores(boxes, holes).collect()}[9] == math.inf
+
+
+def test_peak_correction_counts_zeros(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 9, (13, 13)) * (rng.random((13, 13)) < 0.5)
+    a = (a + a.T + np.eye(13)).astype(float)
+    side = np.where(rng.random(13) < 0.5, -1.0, 1.0) * rng.random(13)
+    side[3] = 0.0
+    want = side.copy()
+    for i in range(13):
+        plus, minus = np.median(a[i][side > 0]), np.median(a[i][side < 0])
+        if (plus > minus * 1.1 and side[i] < 0) or (minus > plus * 1.1 and side[i] > 0):
+            want[i] = -side[i]
+    scores = spark.createDataFrame([("m", 1, i, float(x)) for i, x in enumerate(side)], "map string, binsize long, i long, score double")
+    got = T.correct_peaks(scores, C.from_matrix(spark, a, "m", 1), 1.1).orderBy("i").toPandas()["score"].to_numpy()
+    assert np.allclose(got, want) and not np.allclose(want, side)
+
+
+def test_first_component_of_several_maps(spark):
+    rng = np.random.default_rng(9)
+    maps = {}
+    for name in "ab":
+        f = rng.normal(size=15)
+        m = 6 * np.outer(f, f) + rng.normal(size=(15, 15))
+        maps[name] = np.abs(m + m.T) + 1
+    cells = C.from_matrix(spark, maps["a"], "a", 1).unionByName(C.from_matrix(spark, maps["b"], "b", 1))
+    got = T.compartments(cells).toPandas()
+    for name, m in maps.items():
+        x = m - m.mean(0)
+        u, s, _ = np.linalg.svd(x)
+        want = u[:, 0] * s[0]
+        want = want * np.sign(want[m.sum(1).argmax()])
+        assert np.allclose(got[got["map"] == name].sort_values("i")["score"], want, atol=1e-3)
+    both = T.compartments(cells, "k-means")
+    assert both.count() == 30 and both.groupBy("map", "score").count().count() == 4
+
+
+def test_running_means_of_a_hot_place(spark):
+    values = [float(k % 7 + 1) for k in range(3000)]
+    rows = spark.createDataFrame([("c", 1, x, k) for k, x in enumerate(values)] + [("c", 2, 4.0, 0), ("c", 2, 0.0, 1), ("c", 2, 8.0, 2)], "chrom string, bin long, value double, seq long").repartition(5)
+    want = values[0]
+    for x in values[1:]:
+        want = (want + x) / 2
+    got = {r["bin"]: r["v"] for r in R.combine(rows, "mean").collect()}
+    assert math.isclose(got[1], want) and got[2] == 6.0
+
+
+def test_ranges_agree_with_one_window(spark):
+    rng = np.random.default_rng(1)
+    pos = np.cumsum(rng.integers(0, 9, 500) * 5)
+    rows = spark.createDataFrame([(None if k % 3 else "m", int(p), k) for k, p in enumerate(pos)], "map string, at long, seq long").repartition(3)
+    got = {r["map"]: r["binsize"] for r in C.infer_binsize(rows, "at", "seq").collect()}
+    for name, part in ((None, [p for k, p in enumerate(pos) if k % 3]), ("m", pos[::3])):
+        step = np.abs(np.diff(part))
+        assert got[name] == step[step > 0].min()
+    iv = [("c" if k % 2 else "d", int(s), int(s + rng.integers(1, 40)), float(k % 5 + 1), k) for k, s in enumerate(rng.integers(0, 3000, 300))]
+    df = spark.createDataFrame(iv, "chrom string, start long, end long, value double, seq long")
+    found = {(r["chrom"], r["start"]): (r["end"], r["value"]) for r in R.disjoint(df, "max").collect()}
+    for chrom in "cd":
+        mine = [x for x in iv if x[0] == chrom]
+        cuts = sorted({p for x in mine for p in x[1:3]})
+        want = {}
+        for a, b in zip(cuts, cuts[1:]):
+            over = [x[3] for x in mine if x[1] <= a and b <= x[2]]
+            if over:
+                want[chrom, a] = (b, max(over))
+        assert {k: v for k, v in found.items() if k[0] == chrom} == want
 
 
 def test_tracks(spark):
