@@ -8,7 +8,7 @@ size form one group; groups meet in the postings of prefix shingles, and only po
 that join two groups, or groups that hold two different sets, are expanded to members.
 
 Members of a large posting are not paired with each other. In rounds, each posting picks
-hubs, one and then four times as many, and its members of other components whose size and
+hubs, one and then GROWTH times as many, and its members of other components whose size and
 places allow it are verified against them, by exact intersection of whole sets. Links merge
 components; pairs within a component need no check, as they can't change it, and a hub
 leaves its posting, as all its pairs there are done. It ends when no posting joins two
@@ -226,15 +226,21 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     posted = postings.join(materialise(shared, "shared"), "token", "left_semi").select("grp", "token", "place").unionByName(crowded)
     posted = materialise(posted.join(members.select("grp", "node", "n"), "grp").select("token", "node", "n", "place"), "postings")
     verifier = Verifier(docs, text, key, words, percent, members.select("key", "node"))
-    labels = _link(posted, filled.select("node", "prefix"), verifier, percent, hubs)
-    comp = F.coalesce("label", "node")
-    nodes = members.join(labels, "node", "left").select("node", comp.alias("comp"), "key")
+    nodes = members.select("node", F.col("node").alias("comp"), "key")
+    for label in _link(posted, filled.select("node", "prefix"), verifier, percent, hubs):
+        nodes = relabelled(nodes, label)
     least = materialise(nodes.groupBy("comp").agg(F.min("key").alias("component")), "least")
     nodes = nodes.select("node", "comp").distinct().join(least, "comp").select("node", "component")
     out = sig.select("key", "n", "node").join(materialise(nodes, "components"), "node", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key")).alias("component_id"))
 
 
+def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with column comp replaced by its label (node, label), where it has one."""
+    to = labels.select(F.col("node").alias("comp"), F.col("label").alias("__label"))
+    return rows.join(to, "comp", "left").select(*[F.coalesce("__label", "comp").alias("comp") if c == "comp" else c for c in rows.columns])
+
+
 class Verifier:
     """Verifies pairs of nodes by their whole sets, which are made from the texts when a
     node is first met."""
@@ -249,7 +255,7 @@ class Verifier:
         hint = "merge" if self.sets is None else None
         needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
         wanted = needed if self.sets is None else needed.join(self.sets.select("node"), "node", "left_anti")
-        keys = materialise(self.keys.join(materialise(wanted, "wanted"), "node", "left_semi"), "keys")
+        keys = materialise(self.keys.join(wanted, "node", "left_semi"), "keys")
         new = materialise(whole_sets(self.docs, keys, self.text, self.key, self.words, hint), "sets")
         sets = new if self.sets is None else new.unionByName(self.sets.join(needed, "node", "left_semi"))
         self.sets = new if self.sets is None else self.sets.unionByName(new)
@@ -262,18 +268,25 @@ class Verifier:
 
 
 #: Members of a posting that are paired with each other at once; larger ones go by hubs.
-SMALL = 16
+SMALL = 8
+#: Times as many hubs a posting has in the next round.
+GROWTH = 8
 
 
-def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: int, hubs: int) -> DataFrame:
-    """Labels (node, label) of the nodes that verified links join.
+def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: int, hubs: int) -> list[DataFrame]:
+    """Tables (node, label), one for each round: a node's component is its label by the first,
+    that label's label by the second, and so on; what has no label keeps its own.
 
     Small postings give all their pairs, at most SMALL / 2 for each of their rows, with the
     number of postings that a pair shares: all common shingles of two prefixes are there, but
     for those with large postings, of which a node's number is known. With the set whose
     prefix ends first, what is common is in both prefixes or behind that prefix; pairs
     that can't reach the similarity by this go unverified. A group's members (place 0) share
-    their whole prefixes, whose shingles needn't have postings: these pairs are verified."""
+    their whole prefixes, whose shingles needn't have postings: these pairs are verified.
+
+    Of pairs from large postings the prefixes themselves are compared first: what they have in
+    common and what is behind the one that ends first bounds the rest. Only pairs that pass
+    are verified by whole sets."""
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     counts = materialise(posted.groupBy("token").count(), "counts")
     large = materialise(posted.join(counts.where(F.col("count") > SMALL), "token", "left_semi"), "large")
@@ -288,9 +301,7 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
     most = F.col("count") + F.least("la", "lb") + F.greatest(behind("na"), behind("nb"))
     pairs = together.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
     checked = materialise(pairs, "pairs")
-    links = verifier.links(checked)
-    labels = materialise(components(links), "labels")
-    large = materialise(large.select("token", "node", "n", "place").join(missing, "node"), "large")
+    labels = [materialise(components(verifier.links(checked)), "labels")]
     prefixes = prefixes.join(missing.select("node"), "node", "left_semi").groupBy("node").agg(F.first("prefix").alias("prefix"))
     prefixes = materialise(prefixes, "prefixes")
 
@@ -299,21 +310,22 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
         common = F.size(F.array_intersect("pa", "pb"))
         most = common + F.greatest(behind("na"), behind("nb"))
         both = pairs.join(of("a"), "a").join(of("b"), "b")
-        return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+        return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "ca", "cb")
 
     # where a shingle is the first that two sets share, what follows it bounds the rest
     rest = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     first = (100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))
-    size = large.count()
+    seen = large.join(missing, "node").select("token", "node", "n", "place", "large", F.col("node").alias("comp"))
     while True:
-        seen = large.join(labels, "node", "left").select("token", "node", "n", "place", "large", F.coalesce("label", "node").alias("comp"))
-        mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        seen = materialise(seen.join(materialise(mixed, "mixed"), "token", "left_semi"), "open")
-        per = seen.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        open_pairs = per.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
-        if not open_pairs:
+        # postings that join components, with the components so far
+        seen = materialise(relabelled(seen, labels[-1]), "seen")
+        mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+        mixed = materialise(mixed.select("token", "size"), "mixed")
+        rows, most_pairs = mixed.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
+        if not rows:
             break
-        last = open_pairs <= SMALL * size
+        seen = seen.join(mixed.select("token"), "token", "left_semi")
+        last = most_pairs <= SMALL * rows
         side = lambda x, y, *more: seen.select("token", F.col("node").alias(x), F.col("n").alias(f"n{y}"), F.col("comp").alias(f"c{y}"), F.col("place").alias(f"p{y}"), *more)
         left = side("x", "a", "large")
         if not last:
@@ -323,23 +335,23 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
             hub = F.min_by(F.struct("x", "na", "ca", "pa"), rank).alias("hub")
             left = left.withColumn("share", F.pmod(F.xxhash64("x"), F.lit(hubs))).groupBy("token", "share").agg(hub)
             left = materialise(left.select("token", "hub.*"), "hubs")
-            # all pairs of a hub in its posting are verified now: it leaves the posting
-            large = materialise(large.join(left.select("token", F.col("x").alias("node")), ["token", "node"], "left_anti"), "large")
-            hubs *= 4
+            hubs *= GROWTH
         pairs = left.join(side("y", "b"), "token").where((F.col("ca") != F.col("cb")) & fits & first)
         if last:
             pairs = pairs.where("x < y")
         swap = F.col("x") > F.col("y")
-        ends = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in (("x", "y", "a"), ("y", "x", "b"), ("na", "nb", "na"), ("nb", "na", "nb"))]
-        pairs = materialise(pairs.select(*ends).distinct().join(checked, ["a", "b"], "left_anti"), "candidates")
+        sides = (("x", "y", "a"), ("y", "x", "b"), ("na", "nb", "na"), ("nb", "na", "nb"), ("ca", "cb", "ca"), ("cb", "ca", "cb"))
+        pairs = pairs.select(*[F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in sides]).distinct()
+        pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"), "candidates")
         checked = checked.unionByName(pairs.select("a", "b"))
         pairs = materialise(near(pairs), "pairs")
-        found = verifier.links(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = materialise(components(links), "labels")
+        found = verifier.links(pairs.select("a", "b")).join(pairs, ["a", "b"])
+        # links between components merge them
+        labels.append(materialise(components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "labels"))
         if last:
             break
+        # all pairs of a hub in its posting are verified now: it leaves the posting
+        seen = seen.join(left.select("token", F.col("x").alias("node")), ["token", "node"], "left_anti")
     return labels
 
 
