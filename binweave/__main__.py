@@ -8,8 +8,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.resolution import to_binsize
+from .functions.tables import clean_scratch
 from .operators import masks, normalise, stats, tracks
-from .operators.cells import threshold
+from .operators.cells import scale_up, threshold
 from .sources import archive, bigwig, container, hic, text
 from .sources.single import as_cells
 
@@ -53,6 +54,15 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--combine", default="mean", choices=["mean", "max", "min"])
         c.add_argument("--chrom")
         c.add_argument("--column", type=int, default=7)
+    c = command("encode", "bigWig files that an ENCODE metadata table lists, each into a track store of its own", "input", "output")
+    c.add_argument("--files", required=True, help="the folder of the files, named accession.bigWig")
+    c.add_argument("--assembly", default="hg19")
+    c.add_argument("--assays", nargs="*")
+    c.add_argument("-r", "--resolutions", nargs="*", default=list(tracks.RESOLUTIONS))
+    c.add_argument("-m", "--methods", nargs="*", default=list(tracks.METHODS), choices=tracks.METHODS)
+    c.add_argument("--combine", default="mean", choices=["mean", "max", "min"])
+    c = command("config", "settings in use; removes tables that runs have left")
+    c.add_argument("--clean-scratch", action="store_true")
     c = command("normalise", "a container or map, normalised", "method", "input", "output")
     c.add_argument("--vmin", type=float)
     c.add_argument("--vmax", type=float)
@@ -61,6 +71,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--stats", default="median", choices=["median", "mean"])
     c.add_argument("--kind", default="o/e", choices=["o/e", "o-e"])
     c.add_argument("--sqrt", action="store_true")
+    c.add_argument("--scale-up", action="store_true", help="values times a power of ten, so that the least has a digit before the point")
     either = c.add_mutually_exclusive_group()
     either.add_argument("--percentile", type=float, help="of zeros, for bins without data")
     either.add_argument("--occupancy", type=float)
@@ -105,6 +116,31 @@ def read_maps(spark, a):
     return hic.hic_map(spark, a.input, *a.chromosomes, size, a.norm) if a.chromosomes else hic.hic_container(spark, a.input, size, a.norm)
 
 
+def store_track(rows, a, output: str) -> None:
+    sizes = [to_binsize(r) for r in a.resolutions]
+    wide = tracks.bin_intervals(tracks.disjoint(rows, a.combine), sizes, tuple(a.methods))
+    container.write_track(tracks.long_form(wide, None, tuple(a.methods)), output)
+
+
+def encode(spark: SparkSession, a) -> list[str]:
+    """The names of the track stores that were made. Of each experiment and type the file with
+    most replicates counts; stores that are there already are left out."""
+    files = text.signal_types(text.encode_files(spark, a.input, a.assembly, a.assays))
+    chosen = tracks.choose_replicates(files, ["experiment", "type"]).orderBy("file").collect()  # one row per file
+    made = []
+    for r in chosen:
+        name = "-".join(x for x in (r["type"], r["experiment"], r["file"]) if x)
+        if container.exists(spark, f"{a.output}/{name}"):
+            continue
+        store_track(bigwig.bigwig(spark, f"{a.files}/{r['file']}.bigWig"), a, f"{a.output}/{name}")
+        made.append(name)
+    return made
+
+
+#: Settings that matter here.
+SETTINGS = ("spark.checkpoint.dir", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")
+
+
 def run(spark: SparkSession, argv: list[str]) -> None:
     a = parser().parse_args(argv)
     if a.command in ("coo", "paircoo", "homer", "bincontact", "hic"):
@@ -114,23 +150,29 @@ def run(spark: SparkSession, argv: list[str]) -> None:
             rows = bigwig.bigwig(spark, a.input, a.chrom)
         else:
             rows = text.wig(spark, a.input, a.chrom) if a.command == "wig" else text.bed(spark, a.input, a.column, a.chrom)
-        sizes = [to_binsize(r) for r in a.resolutions]
-        wide = tracks.bin_intervals(tracks.disjoint(rows, a.combine), sizes, tuple(a.methods))
-        container.write_track(tracks.long_form(wide, None, tuple(a.methods)), a.output)
+        store_track(rows, a, a.output)
+    elif a.command == "encode":
+        print("\n".join(encode(spark, a)))
+    elif a.command == "config":
+        for name in SETTINGS:
+            print(f"{name} = {spark.conf.get(name, None)}")
+        if a.clean_scratch:
+            print(f"{clean_scratch(spark)} folders removed")
     elif a.command == "normalise":
         rows = threshold(as_cells(spark, a.input), a.vmin, a.vmax)
         if a.method in ("ic", "kr"):
             rows = finest(rows)
         if a.percentile is not None or a.occupancy is not None:
             rows = masks.drop_missing(rows, masks.missing_bins(rows, a.percentile, a.occupancy))
+        up = scale_up if a.scale_up else lambda x: x
         if a.method == "vc":
-            container.write_cells(normalise.coverage(rows, a.sqrt), a.output)
+            container.write_cells(up(normalise.coverage(rows, a.sqrt)), a.output)
         elif a.method == "mcfs":
-            container.write_cells(normalise.over_expected(rows, a.stats, a.kind), a.output)
+            container.write_cells(up(normalise.over_expected(rows, a.stats, a.kind)), a.output)
         elif a.method == "ic":
-            container.add_map(normalise.correct(rows, a.tolerance or 1e-4, a.iterations), a.output)
+            container.add_map(up(normalise.correct(rows, a.tolerance or 1e-4, a.iterations)), a.output)
         elif a.method == "kr":
-            container.add_map(normalise.balance(rows, a.tolerance or 1e-12), a.output)
+            container.add_map(up(normalise.balance(rows, a.tolerance or 1e-12)), a.output)
         else:
             raise SystemExit(f"unknown method {a.method}: vc, mcfs, ic or kr")
     elif a.command == "correlate":

@@ -22,6 +22,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/binweave-{name}-{uuid.uuid4().hex}"
 
 
+def clean_scratch(spark: SparkSession) -> int:
+    """Removes the tables that runs have left below spark.checkpoint.dir; returns how many. Not
+    for use while a run is on."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        return 0
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/binweave-*")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in files.globStatus(at) or ()]
+    for path in found:
+        files.delete(path, True)
+    return len(found)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written and read again: lineage ends here, and readers share one computation."""
     path = shared_path(df.sparkSession, name)

@@ -42,6 +42,11 @@ def _folder(spark: SparkSession, path: str, name: str | None = None):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _folder(spark, path)
+    return files.exists(at)
+
+
 def drop_map(spark: SparkSession, path: str, name: str) -> None:
     """Remove a map with all its levels."""
     for part in (CELLS, BINS, META):

@@ -100,7 +100,8 @@ def test_encode_table(spark, tmp_path):
     assert len(got) == 7 and all(r["type"] == r["want"] for r in got)
 
 
-def test_bigwig(spark, tmp_path):
+def bigwig_file(path):
+    """A file of two chromosomes with blocks of all three kinds."""
     from binweave.sources import bigwig
 
     def block(number, start, kind, items, step=0, span=1):
@@ -117,14 +118,79 @@ def test_bigwig(spark, tmp_path):
     root = at + 48
     first = root + 4 + 2 * 24
     index = struct.pack("<IIQIIIIQII", bigwig.INDEX, 2, 3, 0, 0, 1, 999, at, 1, 0) + struct.pack("<BBH", 0, 0, 2) + struct.pack("<IIIIQ", 0, 0, 0, 999, first) + struct.pack("<IIIIQ", 1, 0, 1, 999, first + len(one)) + one + two
-    p = str(tmp_path / "x.bw")
-    with open(p, "wb") as f:
+    with open(path, "wb") as f:
         f.write(struct.pack("<IHHQQQHHQQIQ", bigwig.MAGIC, 4, 0, 64, 64 + len(tree), at, 0, 0, 0, 0, 4096, 0) + tree + b"".join(data) + index)
+
+
+def test_bigwig(spark, tmp_path):
+    from binweave.sources import bigwig
+
+    p = str(tmp_path / "x.bw")
+    bigwig_file(p)
     got = [(r["chrom"], r["start"], r["end"], r["value"]) for r in bigwig.bigwig(spark, p).orderBy("seq").collect()]
     assert sorted(got) == [("chr1", 0, 5, 1.5), ("chr1", 7, 9, 2.0), ("chr1", 100, 110, 3.0), ("chr1", 120, 130, 4.0), ("chrX", 50, 54, 5.0), ("chrX", 70, 74, 6.0)]
     assert bigwig.bigwig(spark, p, "chrX").count() == 2 and bigwig.chromosome_sizes(p) == {"chr1": 1000, "chrX": 500}
 
 
+def test_encode_and_config_commands(spark, tmp_path, capsys):
+    from binweave.__main__ import run
+
+    head = "File accession\tFile format\tOutput type\tExperiment accession\tAssay\tExperiment target\tBiological replicate(s)\tAssembly\tFile download URL\n"
+    row = "F{0}\tbigWig\tsignal p-value\tE1\tChIP-seq\tCTCF-human\t{1}\t{2}\tu\n"
+    table = put(tmp_path, "m.tsv", head + row.format(1, "1", "hg19") + row.format(2, "1, 2", "hg19") + row.format(3, "1, 2, 3", "mm9"))
+    for k in (1, 2):
+        bigwig_file(str(tmp_path / f"F{k}.bigWig"))
+    out = str(tmp_path / "enc")
+    run(spark, ["encode", table, out, "--files", str(tmp_path), "-r", "1kb", "-m", "max"])
+    assert os.listdir(out) == ["signal-CTCF-E1-F2"] and "signal-CTCF-E1-F2" in capsys.readouterr().out
+    got = {(r["chrom"], r["bin"]): r["v"] for r in container.read_track(spark, f"{out}/signal-CTCF-E1-F2").collect()}
+    assert got == {("chr1", 0): 4.0, ("chrX", 0): 6.0}
+    run(spark, ["encode", table, out, "--files", str(tmp_path), "-r", "1kb"])
+    assert capsys.readouterr().out.strip() == ""
+    run(spark, ["config"])
+    assert "spark.checkpoint.dir" in capsys.readouterr().out
+
+
+def test_track_catalogue(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [("chr1", 10, "max", 0, 1.0), ("chr1", 20, "max", 0, 2.0), ("chr1", 20, "min", 0, 2.0), ("chr2", 10, "max", 3, 1.0)]
+    container.write_track(spark.createDataFrame(rows, "chrom string, binsize long, name string, bin long, v double"), path)
+    assert container.track_sizes(spark, path, "chr1") == [10, 20] and container.track_names(spark, path, "chr1", 20) == ["max", "min"]
+    assert container.has_track(spark, path, "chr2", 10, "max") and not container.has_track(spark, path, "chr2", 20)
+    for wanted in (("chr3",), ("chr1", 30), ("chr1", 10, "min")):
+        with pytest.raises(container.TrackNotFound):
+            container.track_entries(spark, path, *wanted)
+
+
+def test_a_map_is_replaced_by_what_it_held(spark, tmp_path):
+    path = str(tmp_path / "c")
+    container.add_map(C.from_matrix(spark, np.ones((20, 20)), "a b", 10), path, stop=8)
+    own = container.load_map(spark, path, "a b").withColumn("v", C.F.col("v") * 2)
+    container.add_map(own, path, stop=8)
+    assert {r["v"] for r in container.load_map(spark, path, "a b", 10).collect()} == {2.0}
+    assert sorted(r["binsize"] for r in container.read_meta(spark, path).collect()) == [10, 20, 40]
+    broken = container.load_map(spark, path, "a b").withColumn("v", C.F.raise_error(C.F.lit("broken")).cast("double"))
+    with pytest.raises(Exception, match="broken"):
+        container.add_map(broken, path, None)
+    assert container.load_map(spark, path, "a b", 10).count() == 400
+
+
+def test_levels_that_are_there_are_left_out(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    m = rng.random((12, 12))
+    source, target = str(tmp_path / "s"), str(tmp_path / "t")
+    container.add_map(C.from_matrix(spark, m + m.T, "a", 10), source, stop=8)
+    container.correlate_container(spark, source, target)
+    first = {(r["map"], r["binsize"]): r["maxvalue"] for r in container.read_meta(spark, target).collect()}
+    assert len(first) == 2
+    container.add_map(C.from_matrix(spark, m @ m.T, "b", 10), source, stop=8)
+    container.correlate_container(spark, source, target)
+    both = {(r["map"], r["binsize"]): r["maxvalue"] for r in container.read_meta(spark, target).collect()}
+    assert len(both) == 4 and both.items() >= first.items()
+    want = np.corrcoef(m + m.T)[3, 1]
+    assert abs(container.load_map(spark, target, "a", 10).where("i = 3 AND j = 1").first()["v"] - want) < 6e-5
+
+
 def test_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("one.txt", "0 10 1\n10 10 2\n")
