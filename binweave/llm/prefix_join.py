@@ -183,9 +183,9 @@ BITS = 1 << 26
 
 def shared_tokens(sig: DataFrame) -> DataFrame:
     """Rows (token, grp, place) of prefix shingles, without those that one document alone has
-    in its prefix, as far as a bitmap of fixed size tells. Counting takes 32 bits of each
+    in its prefix, as far as a bitmap of fixed size tells. Counting takes 31 bits of each
     shingle; where the bitmap fills up, more rows stay and none is lost."""
-    each = sig.select(F.explode("prefix").alias("token")).select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
+    each = sig.select(F.explode("prefix").alias("token")).select(F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("low"))
     twice = each.groupBy("low").count().where("count > 1")
     bit = F.col("low").bitwiseAND(F.lit(BITS - 1))
     words = twice.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(low & 63 AS INT))")).alias("bits"))
@@ -270,7 +270,9 @@ class Verifier:
 #: Members of a posting that are paired with each other at once; larger ones go by hubs.
 SMALL = 8
 #: Times as many hubs a posting has in the next round.
-GROWTH = 8
+GROWTH = 16
+#: Pairs for each row of the open postings up to which all that are left are verified.
+LAST = 64
 
 
 def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: int, hubs: int) -> list[DataFrame]:
@@ -301,13 +303,18 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
     most = F.col("count") + F.least("la", "lb") + F.greatest(behind("na"), behind("nb"))
     pairs = together.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
     checked = materialise(pairs, "pairs")
-    labels = [materialise(components(verifier.links(checked)), "labels")]
+    labels = [components(verifier.links(checked))]
+    # 15 bits of each shingle, and how many of them are alike: enough for an upper bound
+    bits = F.transform("prefix", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short"))
     prefixes = prefixes.join(missing.select("node"), "node", "left_semi").groupBy("node").agg(F.first("prefix").alias("prefix"))
-    prefixes = materialise(prefixes, "prefixes")
+    prefixes = prefixes.select("node", F.array_distinct(bits).alias("bits"), F.size("prefix").alias("p"))
+    prefixes = materialise(prefixes.select("node", "bits", (F.col("p") - F.size("bits")).alias("alike")), "prefixes")
 
     def near(pairs: DataFrame) -> DataFrame:
-        of = lambda x: prefixes.select(F.col("node").alias(x), F.col("prefix").alias(f"p{x}"))
-        common = F.size(F.array_intersect("pa", "pb"))
+        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        held = materialise(prefixes.join(wanted, "node", "left_semi"), "compared")
+        of = lambda x: held.select(F.col("node").alias(x), F.col("bits").alias(f"p{x}"), F.col("alike").alias(f"d{x}"))
+        common = F.size(F.array_intersect("pa", "pb")) + F.least("da", "db")
         most = common + F.greatest(behind("na"), behind("nb"))
         both = pairs.join(of("a"), "a").join(of("b"), "b")
         return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "ca", "cb")
@@ -315,17 +322,17 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
     # where a shingle is the first that two sets share, what follows it bounds the rest
     rest = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     first = (100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))
-    seen = large.join(missing, "node").select("token", "node", "n", "place", "large", F.col("node").alias("comp"))
+    seen = relabelled(large.join(missing, "node").select("token", "node", "n", "place", "large", F.col("node").alias("comp")), labels[0])
     while True:
         # postings that join components, with the components so far
-        seen = materialise(relabelled(seen, labels[-1]), "seen")
+        seen = materialise(seen, "seen")
         mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
         mixed = materialise(mixed.select("token", "size"), "mixed")
         rows, most_pairs = mixed.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
         if not rows:
             break
         seen = seen.join(mixed.select("token"), "token", "left_semi")
-        last = most_pairs <= SMALL * rows
+        last = most_pairs <= LAST * rows
         side = lambda x, y, *more: seen.select("token", F.col("node").alias(x), F.col("n").alias(f"n{y}"), F.col("comp").alias(f"c{y}"), F.col("place").alias(f"p{y}"), *more)
         left = side("x", "a", "large")
         if not last:
@@ -343,15 +350,20 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
         sides = (("x", "y", "a"), ("y", "x", "b"), ("na", "nb", "na"), ("nb", "na", "nb"), ("ca", "cb", "ca"), ("cb", "ca", "cb"))
         pairs = pairs.select(*[F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in sides]).distinct()
         pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"), "candidates")
-        checked = checked.unionByName(pairs.select("a", "b"))
-        pairs = materialise(near(pairs), "pairs")
-        found = verifier.links(pairs.select("a", "b")).join(pairs, ["a", "b"])
-        # links between components merge them
-        labels.append(materialise(components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "labels"))
+        label = None
+        if not pairs.isEmpty():
+            checked = checked.unionByName(pairs.select("a", "b"))
+            pairs = materialise(near(pairs), "pairs")
+            if not pairs.isEmpty():
+                # links between components merge them
+                found = verifier.links(pairs.select("a", "b")).join(pairs, ["a", "b"])
+                label = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+                labels.append(label)
         if last:
             break
         # all pairs of a hub in its posting are verified now: it leaves the posting
         seen = seen.join(left.select("token", F.col("x").alias("node")), ["token", "node"], "left_anti")
+        seen = seen if label is None else relabelled(seen, label)
     return labels
 
 

@@ -138,6 +138,7 @@ def brute_components(pairs):
 @pytest.mark.parametrize("frequent,small", [(2, 16), (32, 16), (32, 2)])
 def test_near_components(make, corpus, monkeypatch, frequent, small):
     monkeypatch.setattr(prefix_join, "SMALL", small)
+    monkeypatch.setattr(prefix_join, "LAST", small // 4)
     monkeypatch.setattr(prefix_join, "FREQUENT", frequent)
     pairs = [(1000 - i, t) for i, t in enumerate(corpus)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in prefix_join.near_components(make(pairs)).collect()}
@@ -146,6 +147,7 @@ def test_near_components(make, corpus, monkeypatch, frequent, small):
 
 def test_near_chain_in_rounds(make, monkeypatch):
     monkeypatch.setattr(prefix_join, "SMALL", 0)
+    monkeypatch.setattr(prefix_join, "LAST", 0)
     # each text is near the next one only: the component needs links that hubs don't give
     w = [f"w{k}" for k in range(400)]
     pairs = [(k, " ".join(w[k * 6 : k * 6 + 110])) for k in range(40)]
@@ -183,6 +185,7 @@ def test_near_pairs_of_equal_size(make, seed):
 def test_hubs_of_unlinked_copies(make, monkeypatch):
     # a passage that is most of each text, none of which are linked: hubs leave, all pairs are checked
     monkeypatch.setattr(prefix_join, "SMALL", 2)
+    monkeypatch.setattr(prefix_join, "LAST", 2)
     monkeypatch.setattr(prefix_join, "FREQUENT", 2)
     shared = " ".join(f"s{k}" for k in range(100))
     pairs = [(k, shared + " " + " ".join(f"w{k}x{m}" for m in range(20 + k % 3))) for k in range(24)]
