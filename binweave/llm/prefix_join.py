@@ -215,7 +215,8 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     """One row per document: key, n_shingles, component_id, the smallest key that links
     reach. Documents without words are linked with nothing, not even with each other;
     equal sets are linked; rows that repeat are linked with each other; a null key never
-    is a component_id unless no document of the component has another. No rows, no rows."""
+    is a component_id unless no document of the component has another. Very long texts are
+    compared whole. Only key and text are read of docs. No rows, no rows."""
     sig = signatures(docs, text, key, words, percent)
     filled = sig.where("n > 0")
     members = materialise(filled.groupBy("grp", "node", "n").agg(F.min("key").alias("key")), "members")

@@ -93,7 +93,10 @@ class _Label:
 
 
 def shard_groups(groups: DataFrame, shards: int = SHARDS, block_rows: int = 20_000, fan_in: int = 512) -> DataFrame:
-    """Rows (gkey, bytes), one per group, with the group's shard: columns gkey, shard."""
+    """Rows (gkey, bytes), one per group, with the group's shard: columns gkey, shard. Groups of
+    equal bytes go by their key, so reruns agree; a key that comes twice, or a null one, is a
+    caller's mistake; a group longer than a shard's share has that shard to itself; no rows,
+    no rows."""
     groups = materialise(groups, "groups")
     n = groups.count()
     nodes = max(1, -(-n // block_rows))
@@ -123,7 +126,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str =
     from 0 in its shard), grown_shard (null).
 
     Size is the text's UTF-8 bytes plus 8; a null text counts as the empty one and joins
-    its group. Rows that repeat get slots of their own. An empty table gives no rows."""
+    its group. Rows that repeat get slots of their own, also those of a null key. Very long
+    texts count whole. Only key and text are read of docs. An empty table gives no rows."""
     rows = docs.select(
         F.col(f"`{key}`").alias(key),
         (utf8_bytes(text) + 8).alias("size"),

@@ -132,7 +132,8 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     null an empty one. Of records with equal payloads of at least ``least`` bytes that with
     the smallest key is the response and the others revisit it; smaller payloads are all
     responses. Rows that repeat the smallest key are responses too; a null key comes last,
-    and if a payload has no other it stays a response."""
+    and if a payload has no other it stays a response. A very long payload has an archive of
+    its own; other columns aren't read; no pages, no archives."""
     rows = pages.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{key}`").alias("order"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
     firsts = rows.groupBy("digest").agg(F.min("order").cast("string").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # a table of its own: the join can be split where one payload has many rows

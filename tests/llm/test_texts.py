@@ -377,6 +377,31 @@ def test_shards(make, corpus):
     assert sharding.shard(make(texts).limit(0)).count() == 0
 
 
+def test_shards_odd_rows(make):
+    long = "long text " * 200_000
+    rows = [(1, "same"), (1, "same"), (1, "other"), (None, "same"), (None, None), (7, long), (8, ""), (9, long)]
+    got = sharding.shard(make(rows)).collect()
+    assert len(got) == len(rows) and sorted(r["size"] for r in got) == sorted(len((t or "").encode()) + 8 for _, t in rows)
+    where, slots = {}, {}
+    for r in got:
+        where.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(len(x) == 1 for x in where.values()) and len(where) == 4
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_very_long_texts_elsewhere(make, spark):
+    long = "word " * 400_000
+    docs = make([(1, long), (2, None), (1, long)])
+    rows = media.media_columns(media.store_media(docs)).collect()
+    assert {r["track"]["payload_bytes"] for r in rows} == {2_000_000, 64} and all(r["track"]["error"] is None for r in rows)
+    table = warc.write_archives(docs.selectExpr("doc_id AS page_id", "source AS url", "text AS html"))
+    normal = warc.normalise(table)
+    assert sorted(r["payload_bytes"] for r in warc.read_records(normal.blocks, normal.index).collect()) == [0, 2_000_000, 2_000_000]
+    mixed = {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()}
+    assert mixed == {1: 400_000, 2: 0}
+
+
 @pytest.mark.parametrize("block_rows,fan_in", [(10_000, 512), (50, 4), (20, 2)])
 def test_differencing_levels(spark, block_rows, fan_in):
     rnd = random.Random(1)
