@@ -84,8 +84,8 @@ def with_p(correlations: DataFrame) -> DataFrame:
 
 def correlate_blocks(a: DataFrame, b: DataFrame, size: int, step: int = 1, kind: str = "pearson", offset: int | None = 1, binsize: int = 1, on: tuple[str, ...] = ()) -> DataFrame:
     """Correlation within squares of ``size`` bins that slide along the diagonal by ``step``:
-    (start, centre, corr). Blocks end before the map does. Each cell goes to the blocks that
-    hold both its bins."""
+    (start, centre, corr). Blocks end before the map does. Each cell counts in the blocks that
+    hold both its bins; a block without variance has 0."""
     rows = paired(a, b, offset, None, on)
     ends = a.groupBy(*on).agg((F.greatest(F.max("i"), F.max("j")) + 1).alias("na"))
     endb = b.groupBy(*on).agg((F.greatest(F.max("i"), F.max("j")) + 1).alias("nb"))
@@ -93,11 +93,25 @@ def correlate_blocks(a: DataFrame, b: DataFrame, size: int, step: int = 1, kind:
     n = F.least("na", "nb")
     low = F.greatest(F.lit(0), F.ceil((F.greatest("i", "j") - size + 1) / step)) * step
     high = F.least(F.least("i", "j"), n - size - 1)
-    rows = rows.where(low <= high).withColumn("start", F.explode(F.sequence(low.cast("long"), high.cast("long"), F.lit(step).cast("long"))))
+    rows = rows.select("*", low.cast("long").alias("low"), high.cast("long").alias("high")).where("low <= high")
+    starts = F.explode(F.sequence("low", "high", F.lit(step).cast("long"))).alias("start")
     if kind == "spearman":
-        rows = mean_ranks(rows, [*on, "start"], ["a", "b"])
-    r = F.when(F.count("*") > 10, F.corr("a", "b")).otherwise(0.0)
-    return rows.groupBy(*on, "start").agg(F.coalesce(r, F.lit(0.0)).alias("corr")).select(*on, "start", ((F.col("start") + size / 2) * binsize).alias("centre"), "corr")
+        rows = mean_ranks(rows.select(*on, "a", "b", starts), [*on, "start"], ["a", "b"])
+        r = F.when(F.count("*") > 10, F.corr("a", "b")).otherwise(0.0)
+        found = rows.groupBy(*on, "start").agg(F.coalesce(r, F.lit(0.0)).alias("corr"))
+    else:
+        # cells of the same blocks are summed before they go to their blocks
+        a, b = F.col("a"), F.col("b")
+        sums = {"n": F.lit(1), "sa": a, "sb": b, "saa": a * a, "sbb": b * b, "sab": a * b}
+        last = F.col("low") + F.floor((F.col("high") - F.col("low")) / step) * step
+        rows = rows.groupBy(*on, "low", last.alias("high")).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+        rows = rows.select(*on, *sums, starts).groupBy(*on, "start").agg(*[F.sum(k).alias(k) for k in sums])
+        spread = lambda x: F.col("n") * F.col(f"s{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}")
+        flat = F.greatest(spread("a") / (F.col("n") * F.col("saa")), F.lit(0.0)) * F.greatest(spread("b") / (F.col("n") * F.col("sbb")), F.lit(0.0)) <= 1e-24
+        r = (F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(spread("a") * spread("b"))
+        known = (F.col("n") > 10) & (F.col("saa") > 0) & (F.col("sbb") > 0)
+        found = rows.select(*on, "start", F.when(known, F.when(flat, 0.0).otherwise(r)).otherwise(0.0).alias("corr"))
+    return found.select(*on, "start", ((F.col("start") + size / 2) * binsize).alias("centre"), "corr")
 
 
 def correlate_bins(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:

@@ -92,10 +92,10 @@ def cm_smallest_map(spark, d):
     return N.smallest_map(C.meta(cells(spark, d)))
 
 
-@query("SELECT map, row_number() OVER (ORDER BY map)::INT AS rank FROM (SELECT map FROM cells WHERE i < 20 INTERSECT SELECT map FROM cells WHERE v > 1760)")
+@query("SELECT map, row_number() OVER (ORDER BY map)::INT AS rank FROM (SELECT map FROM cells INTERSECT SELECT map FROM cells WHERE v > 1760)")
 def cm_common_maps(spark, d):
     c = cells(spark, d)
-    return N.common_maps(c.where("i < 20"), c.where("v > 1760"))
+    return N.common_maps(c, C.threshold(c, 1760))
 
 
 @query("SELECT map, 50::BIGINT AS binsize, unnest(range(0, n)) AS i, unnest(range(0, n)) * 50 AS tick FROM size")
@@ -223,10 +223,13 @@ _AXIS = "ax AS (SELECT map, n, unnest(range(0, n)) AS i FROM size), zc AS (SELEC
 
 
 def sparse(spark, d):
-    return cells(spark, d).where("v > 900 AND (i + j) % 7 <> 0")
+    """Cells that aren't well below their map's mean: a map with gaps."""
+    c = written(cells(spark, d), "cells")
+    mean = c.groupBy("map").agg((0.9 * F.avg("v")).alias("least"))
+    return c.join(mean, "map").where("v > least").select(*C.CELL)
 
 
-_SPARSE = ", sp AS (SELECT * FROM cells WHERE v > 900 AND (i + j) % 7 <> 0), size2 AS (SELECT map, greatest(max(i), max(j)) + 1 AS n FROM sp GROUP BY map), ax AS (SELECT map, n, unnest(range(0, n)) AS i FROM size2), zc AS (SELECT ax.map, ax.i, ax.n, count(c.j) AS held, coalesce(bool_or(c.i = c.j), false) AS diag FROM ax LEFT JOIN sp c ON c.map = ax.map AND c.i = ax.i GROUP BY 1, 2, 3) "
+_SPARSE = ", sp AS (SELECT cells.* FROM cells JOIN (SELECT map, 0.9 * avg(v) AS least FROM cells GROUP BY 1) m ON m.map = cells.map WHERE v > least), size2 AS (SELECT map, greatest(max(i), max(j)) + 1 AS n FROM sp GROUP BY map), ax AS (SELECT map, n, unnest(range(0, n)) AS i FROM size2), zc AS (SELECT ax.map, ax.i, ax.n, count(c.j) AS held, coalesce(bool_or(c.i = c.j), false) AS diag FROM ax LEFT JOIN sp c ON c.map = ax.map AND c.i = ax.i GROUP BY 1, 2, 3) "
 
 
 @query(_SPARSE + "SELECT map, 50::BIGINT AS binsize, i, held = 0 AS no_data FROM zc")
