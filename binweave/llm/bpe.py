@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, lean, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes, about, of slices and merges that a worker keeps, twice: a full generation becomes
@@ -400,6 +400,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: st
     kind = "struct<ids:array<int>,offsets:array<int>>" if offsets else "struct<ids:array<int>>"
 
     @F.pandas_udf(kind)
+    @lean
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = encoder(path or default_path())
         length = np.zeros(max(coder.bytes_of) + 1, dtype=np.int32)
@@ -433,6 +434,7 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, out: str
     """rows with the bytes that the ids stand for; null ids give null."""
 
     @F.pandas_udf("binary")
+    @lean
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = encoder(path or default_path())
         for x in batches:
@@ -446,6 +448,7 @@ def digest(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     the ids decode to), without sending ids and bytes through Spark. Null is empty."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @lean
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = encoder(path or default_path())
         as_text = coder.text_of.__getitem__

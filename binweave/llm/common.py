@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +47,24 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+@functools.lru_cache(1)
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of a task's batches, that hands memory which allocators keep for later
+    back to the system when the task ends: Spark keeps workers for the next stages."""
+
+    @functools.wraps(run)
+    def lean_run(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
+
+    return lean_run
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df below the shared folder and read it back: cuts the lineage so that a lost
     executor costs a reread, and lets several readers use rows that were computed once."""
@@ -63,9 +85,11 @@ def utf8_bytes(text: str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def _pack(texts: pd.Series) -> pd.Series:
+@lean
+def _pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     c = zstandard.ZstdCompressor(level=3)
-    return pd.Series([c.compress((t or "").encode()) for t in texts], dtype=object)
+    for texts in batches:
+        yield pd.Series([c.compress((t or "").encode()) for t in texts], dtype=object)
 
 
 def packed(text: Column) -> Column:

@@ -7,12 +7,14 @@ verdict joins back to the documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialise
+from .common import WORD, documents, lean, materialise
 from .hashing import byte_steps, byte_values, fold, is_white, mix64, span_hashes
 from .shrink import LEAST_WEIGHT, MOST_WEIGHT, posterior, prior_weight
 
@@ -85,11 +87,12 @@ def text_stats(text: Column) -> Column:
     """A struct of the measures of a text column; null counts as the empty text. Lines and
     windows are compared by 64-bit hashes, long texts whole."""
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [measure(group) for _, group in byte_steps(texts.tolist())]
-        return pd.DataFrame(np.concatenate([np.zeros((0, len(STATS)), dtype=np.int64), *found]), columns=STATS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [measure(group) for _, group in byte_steps(texts.tolist())]
+            yield pd.DataFrame(np.concatenate([np.zeros((0, len(STATS)), dtype=np.int64), *found]), columns=STATS)
 
-    return F.pandas_udf(run, ", ".join(f"{c} long" for c in STATS))(text)
+    return F.pandas_udf(lean(run), ", ".join(f"{c} long" for c in STATS))(text)
 
 
 def base_failed(s: Column) -> Column:

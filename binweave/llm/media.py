@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, lean, materialise
 
 SAMPLE = 64
 CHUNK_SAMPLES = 64
@@ -345,8 +345,10 @@ def store_media(docs: DataFrame, text: str = "text", out: str = "media") -> Data
     stay; a column named as the result is replaced, others pass; an empty table stays empty."""
 
     @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([write_media(pad(t)) for t in texts], dtype=object)
+    @lean
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([write_media(pad(t)) for t in texts], dtype=object)
 
     return docs.withColumn(out, run(F.col(text)))
 

@@ -8,7 +8,7 @@ size form one group; groups meet in the postings of prefix shingles, and only po
 that join two groups, or groups that hold two different sets, are expanded to members.
 
 Members of a large posting are not paired with each other. In rounds, each posting picks
-hubs, one and then GROWTH times as many, and its members of other components whose size and
+hubs, one and then GROWTH times as many, from its smaller components, and its members of other components whose size and
 places allow it are verified against them, by exact intersection of whole sets. Links merge
 components; pairs within a component need no check, as they can't change it, and a hub
 leaves its posting, as all its pairs there are done. It ends when no posting joins two
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, packed, unpack
+from .common import documents, lean, materialise, packed, unpack
 from .graph import components
 from .hashing import BASE, U, byte_steps, fold, mix64, word_hashes
 
@@ -98,7 +98,7 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
         if size:
             yield close()
 
-    counts = docs.select(F.col(text).alias("text")).mapInPandas(count, "token long, n long")
+    counts = docs.select(F.col(text).alias("text")).mapInPandas(lean(count), "token long, n long")
     counts = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
     tokens, n = top["token"].to_numpy().view(U), top["n"].to_numpy()
@@ -148,7 +148,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    out = materialise(rows.mapInPandas(run, f"key {kind}, n long, node long, grp long, prefix array<long>"), "signatures")
+    out = materialise(rows.mapInPandas(lean(run), f"key {kind}, n long, node long, grp long, prefix array<long>"), "signatures")
     held.destroy()
     return out
 
@@ -174,7 +174,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: i
 
     rows = docs.select(F.col(f"`{key}`").alias("__key"), packed(F.col(text)).alias("packed"))
     rows = rows.join(wanted.hint(hint) if hint else wanted, F.col("__key").eqNullSafe(F.col("key"))).select("packed", "node")
-    return rows.mapInPandas(run, "node long, shingles array<long>")
+    return rows.mapInPandas(lean(run), "node long, shingles array<long>")
 
 
 #: Bits of the map of shingles that come twice: what is sent to all executors has this size.
@@ -206,7 +206,7 @@ def shared_tokens(sig: DataFrame) -> DataFrame:
             place = np.arange(1, len(row) + 1) - (np.cumsum(count) - count)[row]
             yield pd.DataFrame({"token": token[keep], "grp": pdf["grp"].to_numpy()[row[keep]], "place": place[keep]})
 
-    out = materialise(sig.select("grp", "prefix").mapInPandas(run, "token long, grp long, place long").distinct(), "tokens")
+    out = materialise(sig.select("grp", "prefix").mapInPandas(lean(run), "token long, grp long, place long").distinct(), "tokens")
     held.destroy()
     return out
 
@@ -271,7 +271,7 @@ class Verifier:
 #: Members of a posting that are paired with each other at once; larger ones go by hubs.
 SMALL = 8
 #: Times as many hubs a posting has in the next round.
-GROWTH = 16
+GROWTH = 8
 #: Pairs for each row of the open postings up to which all that are left are verified.
 LAST = 64
 
@@ -323,34 +323,43 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
     # where a shingle is the first that two sets share, what follows it bounds the rest
     rest = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     first = (100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))
-    seen = relabelled(large.join(missing, "node").select("token", "node", "n", "place", "large", F.col("node").alias("comp")), labels[0])
+    others = materialise(small.groupBy("node").agg(F.count("*").alias("small")), "others")
+    seen = large.join(missing, "node").join(others, "node", "left")
+    seen = relabelled(seen.select("token", "node", "n", "place", "large", F.coalesce("small", F.lit(0)).alias("small"), F.col("node").alias("comp")), labels[0])
     while True:
         # postings that join components, with the components so far
         seen = materialise(seen, "seen")
-        mixed = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-        mixed = materialise(mixed.select("token", "size"), "mixed")
-        rows, most_pairs = mixed.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
+        per = seen.groupBy("token", "comp").count().groupBy("token")
+        per = per.agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"), F.max_by("comp", "count").alias("main"), F.count("*").alias("comps"))
+        mixed = materialise(per.where("comps > 1").select("token", "main", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")), "mixed")
+        rows, open_pairs = mixed.agg(F.sum("m"), F.sum("pairs")).first()
         if not rows:
             break
-        seen = seen.join(mixed.select("token"), "token", "left_semi")
-        last = most_pairs <= LAST * rows
-        side = lambda x, y, *more: seen.select("token", F.col("node").alias(x), F.col("n").alias(f"n{y}"), F.col("comp").alias(f"c{y}"), F.col("place").alias(f"p{y}"), *more)
-        left = side("x", "a", "large")
+        seen = seen.join(mixed.select("token", "main"), "token")
+        last = hubs > 1 and open_pairs <= LAST * rows  # a first hub merges most copies
+        side = lambda x, y: seen.select("token", "main", F.col("node").alias(x), *[F.col(c).alias(f"{a}{y}") for c, a in (("n", "n"), ("comp", "c"), ("place", "p"), ("large", "l"), ("small", "s"))])
+        left = side("x", "a").where("ca <> main")  # pairs of components have a member outside the largest
         if not last:
             # one hub for each share of a posting; first the node that shares most, as the
-            # original of many copies does
-            rank = F.struct(-F.col("large"), "x") if hubs == 1 else F.struct(F.xxhash64("x", F.lit(hubs)), "x")
-            hub = F.min_by(F.struct("x", "na", "ca", "pa"), rank).alias("hub")
+            # original of many copies does, then nodes outside the largest component
+            left = side("x", "a") if hubs == 1 else left
+            rank = F.struct(-F.col("la"), "x") if hubs == 1 else F.struct(F.xxhash64("x", F.lit(hubs)), "x")
+            hub = F.min_by(F.struct("x", "na", "ca", "pa", "sa"), rank).alias("hub")
             left = left.withColumn("share", F.pmod(F.xxhash64("x"), F.lit(hubs))).groupBy("token", "share").agg(hub)
             left = materialise(left.select("token", "hub.*"), "hubs")
             hubs *= GROWTH
-        pairs = left.join(side("y", "b"), "token").where((F.col("ca") != F.col("cb")) & fits & first)
-        if last:
-            pairs = pairs.where("x < y")
+        pairs = left.drop("main", "la").join(side("y", "b").drop("lb"), "token").where((F.col("ca") != F.col("cb")) & fits)
+        pairs = pairs.where("cb = main OR x < y") if last else pairs.where(first)
         swap = F.col("x") > F.col("y")
-        sides = (("x", "y", "a"), ("y", "x", "b"), ("na", "nb", "na"), ("nb", "na", "nb"), ("ca", "cb", "ca"), ("cb", "ca", "cb"))
-        pairs = pairs.select(*[F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in sides]).distinct()
-        pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"), "candidates")
+        sides = (("x", "y", "a"), ("y", "x", "b"), *((f"{c}{y}", f"{c}{z}", f"{c}{y}") for c in "ncs" for y, z in ("ab", "ba")))
+        ends = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in sides]
+        shared = F.when((F.col("pa") == 0) & (F.col("pb") == 0), F.least("na", "nb")).otherwise(1)
+        pairs = pairs.select(*ends, first.alias("first"), shared.alias("shared")).groupBy(*[c for _, _, c in sides]).agg(F.bool_or("first").alias("first"), F.sum("shared").alias("count"))
+        if last:
+            # here all large postings that two sets share count
+            most = F.col("count") + F.least("sa", "sb") + F.greatest(behind("na"), behind("nb"))
+            pairs = pairs.where(F.col("first") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))))
+        pairs = materialise(pairs.select("a", "b", "na", "nb", "ca", "cb").join(checked, ["a", "b"], "left_anti"), "candidates")
         label = None
         if not pairs.isEmpty():
             checked = checked.unionByName(pairs.select("a", "b"))
@@ -363,7 +372,7 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
         if last:
             break
         # all pairs of a hub in its posting are verified now: it leaves the posting
-        seen = seen.join(left.select("token", F.col("x").alias("node")), ["token", "node"], "left_anti")
+        seen = seen.drop("main").join(left.select("token", F.col("x").alias("node")), ["token", "node"], "left_anti")
         seen = seen if label is None else relabelled(seen, label)
     return labels
 

@@ -15,13 +15,14 @@ hash); everything else covers all documents.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, lean, materialise
 from .host_rules import SPACES, SYMBOLS
 from .mixing import uniform
 from .shrink import posterior, prior_weight
@@ -142,10 +143,11 @@ def scores(model: Model, text: Column) -> Column:
     """A struct of probabilities; of null and empty texts too, as their form has it. Texts
     that repeat score alike; very long ones are scored whole."""
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({h: 1 / (1 + np.exp(-x)) for h, x in model.score(texts).items()})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame({h: 1 / (1 + np.exp(-x)) for h, x in model.score(texts).items()})
 
-    return F.pandas_udf(run, "quality double, toxic double")(text)
+    return F.pandas_udf(lean(run), "quality double, toxic double")(text)
 
 
 def logit(p: Column) -> Column:

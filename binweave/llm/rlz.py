@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, unpack
+from .common import documents, lean, unpack
 from .hashing import word_hashes
 from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, windows_to_spans, with_rows, with_spans
 
@@ -130,28 +130,30 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     have 35 words; very long texts are searched whole, and a period is one row; other
     columns pass, whatever their names; an empty table stays empty."""
 
-    def run(packed: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for p, s in zip(packed, found):
-            data, s = unpack(p), span_array(s)
-            out.append((b" ".join(kept_words(data.split(), s)) if len(s) else data).decode())
-        return pd.Series(out, dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for packed, found in batches:
+            out = []
+            for p, s in zip(packed, found):
+                data, s = unpack(p), span_array(s)
+                out.append((b" ".join(kept_words(data.split(), s)) if len(s) else data).decode())
+            yield pd.Series(out, dtype=object)
 
     out = spans(docs, text, key)
-    return out.withColumn(text, F.pandas_udf(run, "string")("__packed", "__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn(text, F.pandas_udf(lean(run), "string")("__packed", "__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_rlz_dedup(spark, sf_dir) -> DataFrame:
     found = spans(documents(spark, sf_dir).select("doc_id", "text"))
 
-    def run(packed: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, s in zip(packed, found):
-            words, s = unpack(p).split(), span_array(s)
-            out.append((len(words), int((s[:, 1] - s[:, 0]).sum()), hashlib.sha256(b" ".join(kept_words(words, s))).hexdigest()))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for packed, found in batches:
+            out = []
+            for p, s in zip(packed, found):
+                words, s = unpack(p).split(), span_array(s)
+                out.append((len(words), int((s[:, 1] - s[:, 0]).sum()), hashlib.sha256(b" ".join(kept_words(words, s))).hexdigest()))
+            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
 
-    return found.withColumn("x", F.pandas_udf(run, "n_words long, n_removed long, kept_sha256 string")("__packed", "__spans")).select("doc_id", "x.*")
+    return found.withColumn("x", F.pandas_udf(lean(run), "n_words long, n_removed long, kept_sha256 string")("__packed", "__spans")).select("doc_id", "x.*")
 
 
 SQL = r"""

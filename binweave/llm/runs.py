@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, unpack
+from .common import lean, materialise, packed, unpack
 from .hashing import U, byte_steps, fold, mix64, powers, span_hashes
 
 
@@ -158,7 +158,7 @@ def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
                         out.append((ids[begin + i], head[a:b].ravel(), r.gram[a:b].view(np.int64), r.content[a:b].view(np.int64)))
                 yield pd.DataFrame(out, columns=["row", "head", "gram", "content"])
 
-    found = materialise(docs.select("__row", "text").mapInPandas(find, "row long, head array<int>, gram array<long>, content array<long>"), "runs")
+    found = materialise(docs.select("__row", "text").mapInPandas(lean(find), "row long, head array<int>, gram array<long>, content array<long>"), "runs")
     place = lambda k: F.col("head")[F.col("p") * 3 + k]
     at = found.select("row", "head", F.posexplode("gram").alias("p", "gram"))
     again = F.count("*") + F.count_if(place(2) > 0) > 1
@@ -193,7 +193,7 @@ def _pieces(kinds: DataFrame, texts: DataFrame, how: Passages) -> DataFrame:
                 out += [(x["gram"], x["content"], x["whole"], [x["gram"]], piece) for x, piece in zip(wanted, pieces)]
             yield pd.DataFrame(out, columns=["gram", "content", "whole", "used", "piece"])
 
-    pieces = materialise(texts.join(wanted, "row").select("packed", "wanted").mapInPandas(cut, PIECES), "pieces")
+    pieces = materialise(texts.join(wanted, "row").select("packed", "wanted").mapInPandas(lean(cut), PIECES), "pieces")
     hot = materialise(hot, "hot")
     return pieces.join(hot, "gram", "left") if not hot.isEmpty() else pieces.withColumn("hot", F.lit(None).cast("boolean"))
 
@@ -250,12 +250,12 @@ def _resolved(pieces: DataFrame, how: Passages) -> DataFrame:
     level, links, resolved = 0, [], []
     while True:
         blocks = pieces.where("hot IS NULL").drop("used").repartition("gram").sortWithinPartitions("gram", "content")
-        resolved.append(materialise(blocks.mapInPandas(resolve, span), "resolved"))
+        resolved.append(materialise(blocks.mapInPandas(lean(resolve), span), "resolved"))
         hot = pieces.where("hot")
         if hot.isEmpty():
             break
         level += 1
-        subs = materialise(hot.mapInPandas(anchored(level), f"parent long, of long, first int, {PIECES}"), "anchored")
+        subs = materialise(hot.mapInPandas(lean(anchored(level)), f"parent long, of long, first int, {PIECES}"), "anchored")
         links.append(subs.select("parent", "of", "first", "gram", "content"))
         kinds = subs.groupBy("gram", "content").agg((F.bool_or("whole") | (F.count("*") > 1)).alias("whole"), F.min("used").alias("used"), F.min("piece").alias("piece"))
         kinds = materialise(kinds, "pieces")

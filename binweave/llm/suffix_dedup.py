@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, unpack
+from .common import documents, lean, unpack
 from .hashing import byte_values
 from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, windows_to_spans, with_rows, with_spans
 
@@ -201,21 +201,23 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     these have 200 bytes or more; very long texts are searched whole, and a period is one
     row; other columns pass, whatever their names; an empty table stays empty."""
 
-    def run(packed: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([without(unpack(p), span_array(s)).decode("utf-8", "ignore") for p, s in zip(packed, found)], dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for packed, found in batches:
+            yield pd.Series([without(unpack(p), span_array(s)).decode("utf-8", "ignore") for p, s in zip(packed, found)], dtype=object)
 
     out = spans(docs, text, key)
-    return out.withColumn(text, F.pandas_udf(run, "string")("__packed", "__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn(text, F.pandas_udf(lean(run), "string")("__packed", "__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_suffix_dedup(spark, sf_dir) -> DataFrame:
     found = spans(documents(spark, sf_dir).select("doc_id", "text"))
 
-    def run(packed: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, s in zip(packed, found):
-            data, s = unpack(p), span_array(s)
-            out.append((len(data), int((s[:, 1] - s[:, 0]).sum()), len(s), hashlib.sha256(without(data, s)).hexdigest()))
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for packed, found in batches:
+            out = []
+            for p, s in zip(packed, found):
+                data, s = unpack(p), span_array(s)
+                out.append((len(data), int((s[:, 1] - s[:, 0]).sum()), len(s), hashlib.sha256(without(data, s)).hexdigest()))
+            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.withColumn("x", F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")("__packed", "__spans")).select("doc_id", "x.*")
+    return found.withColumn("x", F.pandas_udf(lean(run), "n_bytes long, n_removed long, n_spans long, kept_sha256 string")("__packed", "__spans")).select("doc_id", "x.*")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import lean, materialise, small_batches
 
 #: Bytes of records after which an archive is closed; a longer record has one of its own.
 ARCHIVE = 8 << 20
@@ -162,7 +162,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
         if deflate:
             yield close()
 
-    return rows.mapInPandas(run, "archive string, content binary")
+    return rows.mapInPandas(lean(run), "archive string, content binary")
 
 
 class Normalised(NamedTuple):
@@ -216,7 +216,7 @@ def normalise(archives: DataFrame) -> Normalised:
             yield from members(name, (bytes(c) for _, _, c in group if c is not None))
 
     kind = f"archive string, block long, start long, content binary, index {ENTRY}, error string, records long"
-    out = materialise(rows.mapInPandas(run, kind), "warc-normal", compression="uncompressed")
+    out = materialise(rows.mapInPandas(lean(run), kind), "warc-normal", compression="uncompressed")
     index = out.select("archive", "block", F.explode("index").alias("x")).select("archive", "block", "x.*")
     return Normalised(
         out.where("size(index) > 0").select("archive", "block", "start", "content"),
@@ -256,7 +256,7 @@ def read_records(blocks: DataFrame, index: DataFrame) -> DataFrame:
 
     wanted = index.groupBy(F.col("archive").alias("__a"), F.col("block").alias("__b")).agg(F.collect_list(F.struct("offset", "length", "record_id", "record_type")).alias("wanted"))
     both = blocks.join(wanted, F.col("archive").eqNullSafe(F.col("__a")) & (F.col("block") == F.col("__b")))
-    return both.select("content", "start", "wanted").mapInPandas(run, kind)
+    return both.select("content", "start", "wanted").mapInPandas(lean(run), kind)
 
 
 def op4_warc_normalise(spark, sf_dir) -> DataFrame:
