@@ -349,7 +349,7 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
             left = materialise(left.select("token", "hub.*"), "hubs")
             hubs *= GROWTH
         pairs = left.drop("main", "la").join(side("y", "b").drop("lb"), "token").where((F.col("ca") != F.col("cb")) & fits)
-        pairs = pairs.where("cb = main OR x < y") if last else pairs.where(first)
+        pairs = pairs.where("cb = main OR x < y") if last else pairs
         swap = F.col("x") > F.col("y")
         sides = (("x", "y", "a"), ("y", "x", "b"), *((f"{c}{y}", f"{c}{z}", f"{c}{y}") for c in "ncs" for y, z in ("ab", "ba")))
         ends = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in sides]
@@ -371,7 +371,8 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
                 labels.append(label)
         if last:
             break
-        # all pairs of a hub in its posting are verified now: it leaves the posting
+        # all pairs of a hub in its posting are settled now: it leaves the posting. (If places
+        # ruled some of them out here, the last round would count too few postings for them.)
         seen = seen.drop("main").join(left.select("token", F.col("x").alias("node")), ["token", "node"], "left_anti")
         seen = seen if label is None else relabelled(seen, label)
     return labels
