@@ -65,27 +65,45 @@ class SingleMapSource(DataSource):
         return SingleMapReader(self.options)
 
 
+#: Bins per side of a single-map file, at most.
+SIDE = 50_000
+
+
 def read_single(spark: SparkSession, path: str, **options) -> DataFrame:
     spark.dataSource.register(SingleMapSource)
     return spark.read.format("single_map").options(path=path, **options).load()
 
 
 def save_single(cells: DataFrame, path: str, compress: bool = False) -> None:
-    """Write one small map, with all its zeros; an existing file is kept as #name.1#, .2#, ..."""
+    """Write one map, with all its zeros, as one file on the driver's machine, which the format
+    asks for; an existing file is kept as #name.1#, .2#, ... Cells come in order, a partition
+    at a time, and the driver holds one row of the matrix; maps of over SIDE bins are refused."""
     m = meta(cells).first()
     n = max(m["nx"], m["ny"])
-    out = np.zeros((n, n), dtype=np.float32)
-    for r in cells.toLocalIterator():
-        out[r["i"], r["j"]] = r["v"]
+    if n > SIDE:
+        raise ValueError(f"single-map files are for {SIDE} bins per side at most; use a container")
     data = f"{os.path.splitext(os.path.basename(path))[0]}.npbin{'.gz' if compress else ''}"
     folder = os.path.dirname(os.path.abspath(path))
     for name in (os.path.basename(path), data):
         if os.path.exists(os.path.join(folder, name)):
             k = next(k for k in range(1, 10**6) if not os.path.exists(os.path.join(folder, f"#{name}.{k}#")))
             os.rename(os.path.join(folder, name), os.path.join(folder, f"#{name}.{k}#"))
+    row, at, bits = np.zeros(n, dtype=np.float32), 0, []
     with (gzip.open if compress else open)(os.path.join(folder, data), "wb") as f:
-        f.write(out.tobytes())
-    about = {"path2matrix": data, "binsize": m["binsize"], "title": f"{m['map']}_vs_{m['map']}", "xlabel": m["map"], "ylabel": m["map"], "shape": [n, n], "minvalue": m["minvalue"], "maxvalue": m["maxvalue"], "bNoData": "".join("01"[not row.any()] for row in out), "bLog": False, "dtype": "float32"}
+
+        def close() -> None:
+            f.write(row.tobytes())
+            bits.append("01"[not row.any()])
+            row[:] = 0
+
+        for r in cells.select("i", "j", "v").orderBy("i", "j").toLocalIterator():
+            while at < r["i"]:
+                close()
+                at += 1
+            row[r["j"]] = r["v"]
+        for _ in range(at, n):
+            close()
+    about = {"path2matrix": data, "binsize": m["binsize"], "title": f"{m['map']}_vs_{m['map']}", "xlabel": m["map"], "ylabel": m["map"], "shape": [n, n], "minvalue": m["minvalue"], "maxvalue": m["maxvalue"], "bNoData": "".join(bits), "bLog": False, "dtype": "float32"}
     with open(path, "w") as f:
         json.dump(about, f, indent=1)
 
