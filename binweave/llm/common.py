@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import os
@@ -65,6 +66,9 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return lean_run
 
 
+_scratch: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df below the shared folder and read it back: cuts the lineage so that a lost
     executor costs a reread, and lets several readers use rows that were computed once."""
@@ -72,9 +76,34 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/binweave-{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    for paths in _scratch[-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def last_table() -> str:
+    """The path of the table that was written last within the innermost scratch()."""
+    return _scratch[-1][-1]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Tables written inside go at the end, but for the paths that are put into the set. What is
+    returned must depend on those alone: all else has been read for the last time."""
+    kept: set[str] = set()
+    _scratch.append([])
+    try:
+        yield kept
+    finally:
+        for path in _scratch.pop():
+            if path in kept:
+                for paths in _scratch[-1:]:
+                    paths.append(path)
+                continue
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

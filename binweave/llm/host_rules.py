@@ -114,12 +114,14 @@ def host_rates(hosts: DataFrame, host: str = "__host") -> DataFrame:
     return hosts.select(host, "n", "failed", posterior(F.col("failed"), F.col("n"), mean, weight).alias("rate"))
 
 
-def judged(rows: DataFrame, stats: str = "__stats", host: str = "source") -> DataFrame:
-    """rows, which hold the measures in a struct column, with the struct __rules in its place.
-    They are read twice: pass a written table."""
-    s = F.col(stats)
+def judged(rows: DataFrame, measured: DataFrame | None = None, host: str = "source") -> DataFrame:
+    """rows, which hold the measures in a struct column __stats, with the struct __rules in its
+    place. measured: a table of just (__host, __stats) for all rows; without it rows
+    themselves, which then are read twice, should be a written table."""
+    stats, s = "__stats", F.col("__stats")
     failed = base_failed(s) | soft_failed(s)
-    hosts = rows.groupBy(F.col(f"`{host}`").alias("__host")).agg(F.count("*").alias("n"), F.sum(failed.cast("long")).alias("failed"))
+    hosts = rows.select(F.col(f"`{host}`").alias("__host"), s) if measured is None else measured
+    hosts = hosts.groupBy("__host").agg(F.count("*").alias("n"), F.sum(failed.cast("long")).alias("failed"))
     rates = host_rates(materialise(hosts, "hosts")).select(F.col("__host").alias("__h"), F.col("rate").alias("__rate"))
     rows = rows.join(rates, F.col(f"`{host}`").eqNullSafe(F.col("__h")), "left")
     kept = ~failed & (F.coalesce(F.col("__rate"), F.lit(0.0)) <= MAX_HOST_RATE)
@@ -135,9 +137,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
     lines, or if its host's shrunk failure rate is over one half. A null host is a host of
     its own; null and empty texts have no words and fail; very long texts are measured
     whole; an empty table stays empty; rows that repeat are judged alike and count as often
-    as they come; columns whose names clash with internal ones pass unchanged. Texts are
-    measured once: the rows are written and read again for the verdict."""
-    return judged(materialise(docs.withColumn("__stats", text_stats(F.col(text))), "measured"), host=host)
+    as they come; columns whose names clash with internal ones pass unchanged. Rows of any
+    width pass, so texts are measured once for the hosts and once for the result rather than
+    written; who needs the measures alone writes these and calls ``judged``."""
+    stats = text_stats(F.col(text)).alias("__stats")
+    measured = materialise(docs.select(F.col(f"`{host}`").alias("__host"), stats), "measured")
+    return judged(docs.withColumn("__stats", text_stats(F.col(text))), measured=measured, host=host)
 
 
 def op10_host_rules(spark, sf_dir) -> DataFrame:

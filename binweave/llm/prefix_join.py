@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, lean, materialise, packed, unpack
+from .common import documents, last_table, lean, materialise, packed, scratch, unpack
 from .graph import components
 from .hashing import BASE, U, byte_steps, fold, mix64, word_hashes
 
@@ -217,7 +217,13 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     equal sets are linked; rows that repeat are linked with each other; a null key never
     is a component_id unless no document of the component has another. Very long texts are
     compared whole. Only key and text are read of docs. No rows, no rows."""
+    with scratch(docs.sparkSession) as kept:
+        return _near_components(docs, text, key, words, percent, hubs, kept)
+
+
+def _near_components(docs: DataFrame, text: str, key: str, words: int, percent: int, hubs: int, kept: set[str]) -> DataFrame:
     sig = signatures(docs, text, key, words, percent)
+    kept.add(last_table())
     filled = sig.where("n > 0")
     members = materialise(filled.groupBy("grp", "node", "n").agg(F.min("key").alias("key")), "members")
     # postings that join groups, and groups of several sets
@@ -232,7 +238,9 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
         nodes = relabelled(nodes, label)
     least = materialise(nodes.groupBy("comp").agg(F.min("key").alias("component")), "least")
     nodes = nodes.select("node", "comp").distinct().join(least, "comp").select("node", "component")
-    out = sig.select("key", "n", "node").join(materialise(nodes, "components"), "node", "left")
+    nodes = materialise(nodes, "components")
+    kept.add(last_table())
+    out = sig.select("key", "n", "node").join(nodes, "node", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key")).alias("component_id"))
 
 
@@ -385,6 +393,14 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
     that stays, stay too. Very long texts are compared whole; columns whose names clash with
     internal ones pass unchanged."""
     rows = docs.withColumn("__row", F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(":"), F.col(text)))
+    with scratch(docs.sparkSession) as kept:
+        gone = _surplus(rows, text, key, options)
+        kept.add(last_table())
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _surplus(rows: DataFrame, text: str, key: str, options: dict) -> DataFrame:
+    """The __row of each row that another one of its component stands for."""
     found = near_components(rows.select("__row", F.col(text).alias("text")), "text", "__row", **options)
     # the components of more than one row, and the row of each that stays
     found = materialise(found.select("__row", F.col("component_id").alias("comp")).distinct(), "classes")
@@ -393,8 +409,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
     members = materialise(found.join(several, "comp").join(keys, "__row").distinct(), "copies")
     best = F.min(F.struct(F.col("key").isNull(), "key", "__row"))["__row"].alias("stays")
     stays = materialise(members.groupBy("comp").agg(best), "stays")
-    gone = materialise(members.join(stays, "comp").where("__row <> stays").select("__row").distinct(), "gone")
-    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return materialise(members.join(stays, "comp").where("__row <> stays").select("__row").distinct(), "gone")
 
 
 def op2_prefix_join(spark, sf_dir) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, packed, unpack
+from .common import last_table, lean, materialise, packed, scratch, unpack
 from .hashing import U, byte_steps, fold, mix64, powers, span_hashes
 
 
@@ -142,6 +142,13 @@ LEVELS = 6
 def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
     """Rows (__row, spans) from rows (__row, text): the places, in symbols, that are covered
     by a window which also starts anywhere else in the texts. Spans may overlap."""
+    with scratch(docs.sparkSession) as kept:
+        spans = materialise(_repeated_spans(docs, how), "spans")
+        kept.add(last_table())
+    return spans
+
+
+def _repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
     window = how.window
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
