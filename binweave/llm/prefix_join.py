@@ -228,10 +228,12 @@ def _near_components(docs: DataFrame, text: str, key: str, words: int, percent:
     members = materialise(filled.groupBy("grp", "node", "n").agg(F.min("key").alias("key")), "members")
     # postings that join groups, and groups of several sets
     postings = shared_tokens(filled)
-    shared = postings.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    crowded = members.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp", F.col("grp").alias("token"), F.lit(0).cast("long").alias("place"))
-    posted = postings.join(materialise(shared, "shared"), "token", "left_semi").select("grp", "token", "place").unionByName(crowded)
-    posted = materialise(posted.join(members.select("grp", "node", "n"), "grp").select("token", "node", "n", "place"), "postings")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
+    shared = postings.join(sizes, "grp").groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.sum("size").alias("size"))
+    shared = materialise(shared.where("lo < hi").select("token", "size"), "shared")
+    crowded = sizes.where("size > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).cast("long").alias("place"), "size")
+    posted = postings.join(shared, "token").unionByName(crowded).join(members.select("grp", "node", "n"), "grp")
+    posted = materialise(posted.select("token", "node", "n", "place", "size"), "postings")
     verifier = Verifier(docs, text, key, words, percent, members.select("key", "node"))
     nodes = members.select("node", F.col("node").alias("comp"), "key")
     for label in _link(posted, filled.select("node", "prefix"), verifier, percent, hubs):
@@ -279,7 +281,7 @@ class Verifier:
 #: Members of a posting that are paired with each other at once; larger ones go by hubs.
 SMALL = 8
 #: Times as many hubs a posting has in the next round.
-GROWTH = 8
+GROWTH = 64
 #: Pairs for each row of the open postings up to which all that are left are verified.
 LAST = 64
 
@@ -299,10 +301,12 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
     common and what is behind the one that ends first bounds the rest. Only pairs that pass
     are verified by whole sets."""
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    counts = materialise(posted.groupBy("token").count(), "counts")
-    large = materialise(posted.join(counts.where(F.col("count") > SMALL), "token", "left_semi"), "large")
-    missing = materialise(large.groupBy("node").agg(F.count("*").alias("large")), "missing")
-    small = posted.join(counts.where(F.col("count") <= SMALL), "token", "left_semi").join(missing, "node", "left")
+    is_small = F.col("size") <= SMALL
+    counts = posted.groupBy("node").agg(F.count_if(~is_small).alias("large"), F.count_if(is_small).alias("small"))
+    counts = materialise(counts, "counts")
+    missing = counts.where("large > 0")
+    large = posted.where(~is_small).drop("size")
+    small = posted.where(is_small).join(missing, "node", "left")
     shared = F.when(F.col("place") == 0, F.col("n")).otherwise(1).alias("shared")
     small = materialise(small.select("token", "node", "n", F.coalesce("large", F.lit(0)).alias("large"), shared), "small")
     side = lambda x, *more: small.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("large").alias(f"l{x}"), *more)
@@ -331,9 +335,8 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
     # where a shingle is the first that two sets share, what follows it bounds the rest
     rest = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     first = (100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))
-    others = materialise(small.groupBy("node").agg(F.count("*").alias("small")), "others")
-    seen = large.join(missing, "node").join(others, "node", "left")
-    seen = relabelled(seen.select("token", "node", "n", "place", "large", F.coalesce("small", F.lit(0)).alias("small"), F.col("node").alias("comp")), labels[0])
+    seen = large.join(missing, "node").select("token", "node", "n", "place", "large", "small", F.col("node").alias("comp"))
+    seen = relabelled(seen, labels[0])
     while True:
         # postings that join components, with the components so far
         seen = materialise(seen, "seen")
