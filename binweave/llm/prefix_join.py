@@ -283,7 +283,7 @@ SMALL = 8
 #: Times as many hubs a posting has in the next round.
 GROWTH = 64
 #: Pairs for each row of the open postings up to which all that are left are verified.
-LAST = 64
+LAST = 8
 
 
 def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: int, hubs: int) -> list[DataFrame]:
@@ -302,9 +302,7 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
     are verified by whole sets."""
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     is_small = F.col("size") <= SMALL
-    counts = posted.groupBy("node").agg(F.count_if(~is_small).alias("large"), F.count_if(is_small).alias("small"))
-    counts = materialise(counts, "counts")
-    missing = counts.where("large > 0")
+    missing = materialise(posted.where(~is_small).groupBy("node").agg(F.count("*").alias("large")), "missing")
     large = posted.where(~is_small).drop("size")
     small = posted.where(is_small).join(missing, "node", "left")
     shared = F.when(F.col("place") == 0, F.col("n")).otherwise(1).alias("shared")
@@ -335,7 +333,7 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
     # where a shingle is the first that two sets share, what follows it bounds the rest
     rest = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     first = (100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))
-    seen = large.join(missing, "node").select("token", "node", "n", "place", "large", "small", F.col("node").alias("comp"))
+    seen = large.join(missing, "node").select("token", "node", "n", "place", "large", F.col("node").alias("comp"))
     seen = relabelled(seen, labels[0])
     while True:
         # postings that join components, with the components so far
@@ -348,29 +346,23 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
             break
         seen = seen.join(mixed.select("token", "main"), "token")
         last = hubs > 1 and open_pairs <= LAST * rows  # a first hub merges most copies
-        side = lambda x, y: seen.select("token", "main", F.col("node").alias(x), *[F.col(c).alias(f"{a}{y}") for c, a in (("n", "n"), ("comp", "c"), ("place", "p"), ("large", "l"), ("small", "s"))])
+        side = lambda x, y: seen.select("token", "main", F.col("node").alias(x), *[F.col(c).alias(f"{a}{y}") for c, a in (("n", "n"), ("comp", "c"), ("place", "p"), ("large", "l"))])
         left = side("x", "a").where("ca <> main")  # pairs of components have a member outside the largest
         if not last:
             # one hub for each share of a posting; first the node that shares most, as the
             # original of many copies does, then nodes outside the largest component
             left = side("x", "a") if hubs == 1 else left
             rank = F.struct(-F.col("la"), "x") if hubs == 1 else F.struct(F.xxhash64("x", F.lit(hubs)), "x")
-            hub = F.min_by(F.struct("x", "na", "ca", "pa", "sa"), rank).alias("hub")
+            hub = F.min_by(F.struct("x", "na", "ca", "pa"), rank).alias("hub")
             left = left.withColumn("share", F.pmod(F.xxhash64("x"), F.lit(hubs))).groupBy("token", "share").agg(hub)
             left = materialise(left.select("token", "hub.*"), "hubs")
             hubs *= GROWTH
-        pairs = left.drop("main", "la").join(side("y", "b").drop("lb"), "token").where((F.col("ca") != F.col("cb")) & fits)
+        pairs = left.drop("main", "la").join(side("y", "b").drop("lb"), "token").where((F.col("ca") != F.col("cb")) & fits & first)
         pairs = pairs.where("cb = main OR x < y") if last else pairs
         swap = F.col("x") > F.col("y")
-        sides = (("x", "y", "a"), ("y", "x", "b"), *((f"{c}{y}", f"{c}{z}", f"{c}{y}") for c in "ncs" for y, z in ("ab", "ba")))
-        ends = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in sides]
-        shared = F.when((F.col("pa") == 0) & (F.col("pb") == 0), F.least("na", "nb")).otherwise(1)
-        pairs = pairs.select(*ends, first.alias("first"), shared.alias("shared")).groupBy(*[c for _, _, c in sides]).agg(F.bool_or("first").alias("first"), F.sum("shared").alias("count"))
-        if last:
-            # here all large postings that two sets share count
-            most = F.col("count") + F.least("sa", "sb") + F.greatest(behind("na"), behind("nb"))
-            pairs = pairs.where(F.col("first") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))))
-        pairs = materialise(pairs.select("a", "b", "na", "nb", "ca", "cb").join(checked, ["a", "b"], "left_anti"), "candidates")
+        sides = (("x", "y", "a"), ("y", "x", "b"), *((f"{c}{y}", f"{c}{z}", f"{c}{y}") for c in "nc" for y, z in ("ab", "ba")))
+        pairs = pairs.select(*[F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in sides]).distinct()
+        pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"), "candidates")
         label = None
         if not pairs.isEmpty():
             checked = checked.unionByName(pairs.select("a", "b"))
@@ -382,8 +374,8 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
                 labels.append(label)
         if last:
             break
-        # all pairs of a hub in its posting are settled now: it leaves the posting. (If places
-        # ruled some of them out here, the last round would count too few postings for them.)
+        # all pairs of a hub whose first common shingle this is are verified now: it leaves the
+        # posting
         seen = seen.drop("main").join(left.select("token", F.col("x").alias("node")), ["token", "node"], "left_anti")
         seen = seen if label is None else relabelled(seen, label)
     return labels
