@@ -235,6 +235,8 @@ def _resolved(pieces: DataFrame, how: Passages) -> DataFrame:
     def anchored(level: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
+                if not len(pdf):
+                    continue
                 data = pdf["piece"].tolist()
                 values, at = how.symbols(data)
                 used = np.array(pdf["used"].tolist(), dtype=np.int64).reshape(len(pdf), -1).view(U)
