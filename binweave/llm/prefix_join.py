@@ -108,13 +108,15 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
 
 def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: key, n_shingles, node (a hash of the whole set), grp (a hash of
-    prefix and size) and the prefix. Null and empty texts have n_shingles 0 and no prefix."""
+    prefix and size), the prefix and a bitmap of it (WORDS_OF_MAP longs, and in one more how
+    many of its shingles fell on a bit that another one had). Null and empty texts have
+    n_shingles 0 and no prefix."""
     held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, counts = held.value
         for pdf in batches:
-            sizes, nodes, groups, prefixes = [], [], [], []
+            sizes, nodes, groups, prefixes, maps = [], [], [], [], []
             for h, at in shingle_sets(pdf["text"].tolist(), words):
                 n = np.diff(at)
                 owner = np.repeat(np.arange(len(n)), n)
@@ -135,6 +137,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
                 groups.append(mix64((whole[ends] - whole[at[:-1]]) * BASE + n.astype(U)))
                 signed = h.view(np.int64)
                 prefixes += [signed[a:b] for a, b in zip(at[:-1].tolist(), ends.tolist())]
+                maps += list(_bitmaps(h, at, p))
             if sizes:
                 yield pd.DataFrame(
                     {
@@ -143,16 +146,33 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
                         "node": np.concatenate(nodes).view(np.int64),
                         "grp": np.concatenate(groups).view(np.int64),
                         "prefix": prefixes,
+                        "map": maps,
                     }
                 )
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    out = materialise(rows.mapInPandas(lean(run), f"key {kind}, n long, node long, grp long, prefix array<long>"), "signatures")
+    out = materialise(rows.mapInPandas(lean(run), f"key {kind}, n long, node long, grp long, prefix array<long>, map array<long>"), "signatures")
     held.destroy()
     return out
 
 
+#: Longs of a prefix's bitmap.
+WORDS_OF_MAP = 16
+
+
+def _bitmaps(h: np.ndarray, at: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """A row for each text: the bitmap of its first p shingles, and p less the bits it has."""
+    owner = np.repeat(np.arange(len(p)), p)
+    first = np.repeat(at[:-1] - (np.cumsum(p) - p), p) + np.arange(len(owner))
+    bit = h[first] & U(64 * WORDS_OF_MAP - 1)
+    out = np.zeros((len(p), WORDS_OF_MAP + 1), dtype=U)
+    np.bitwise_or.at(out, (owner, (bit >> U(6)).astype(np.int64)), U(1) << (bit & U(63)))
+    held = np.unique(owner * (64 * WORDS_OF_MAP) + bit.astype(np.int64)) // (64 * WORDS_OF_MAP)
+    out[:, -1] = (p - np.bincount(held, minlength=len(p))).astype(U)
+    return out.view(np.int64)
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: int, hint: str | None = None) -> DataFrame:
     """Rows (node, shingles) for wanted (key, node): the documents of the keys, if their
     sets are the nodes'."""
@@ -236,7 +256,7 @@ def _near_components(docs: DataFrame, text: str, key: str, words: int, percent:
     posted = materialise(posted.select("token", "node", "n", "place", "size"), "postings")
     verifier = Verifier(docs, text, key, words, percent, members.select("key", "node"))
     nodes = members.select("node", F.col("node").alias("comp"), "key")
-    for label in _link(posted, filled.select("node", "prefix"), verifier, percent, hubs):
+    for label in _link(posted, filled.select("node", "map"), verifier, percent, hubs):
         nodes = relabelled(nodes, label)
     least = materialise(nodes.groupBy("comp").agg(F.min("key").alias("component")), "least")
     nodes = nodes.select("node", "comp").distinct().join(least, "comp").select("node", "component")
@@ -286,7 +306,7 @@ GROWTH = 64
 LAST = 8
 
 
-def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: int, hubs: int) -> list[DataFrame]:
+def _link(posted: DataFrame, maps: DataFrame, verifier: Verifier, percent: int, hubs: int) -> list[DataFrame]:
     """Tables (node, label), one for each round: a node's component is its label by the first,
     that label's label by the second, and so on; what has no label keeps its own.
 
@@ -297,9 +317,10 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
     that can't reach the similarity by this go unverified. A group's members (place 0) share
     their whole prefixes, whose shingles needn't have postings: these pairs are verified.
 
-    Of pairs from large postings the prefixes themselves are compared first: what they have in
-    common and what is behind the one that ends first bounds the rest. Only pairs that pass
-    are verified by whole sets."""
+    Of pairs from large postings the bitmaps of the prefixes are compared as they meet: bits in
+    common, and shingles that share a bit with another one, bound what the prefixes have in
+    common, and that and what is behind the one that ends first bounds the rest. Only pairs
+    that pass are rows, and are verified by whole sets."""
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     is_small = F.col("size") <= SMALL
     missing = materialise(posted.where(~is_small).groupBy("node").agg(F.count("*").alias("large")), "missing")
@@ -315,25 +336,15 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
     pairs = together.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
     checked = materialise(pairs, "pairs")
     labels = [components(verifier.links(checked))]
-    # 15 bits of each shingle, and how many of them are alike: enough for an upper bound
-    bits = F.transform("prefix", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short"))
-    prefixes = prefixes.join(missing.select("node"), "node", "left_semi").groupBy("node").agg(F.first("prefix").alias("prefix"))
-    prefixes = prefixes.select("node", F.array_distinct(bits).alias("bits"), F.size("prefix").alias("p"))
-    prefixes = materialise(prefixes.select("node", "bits", (F.col("p") - F.size("bits")).alias("alike")), "prefixes")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        held = materialise(prefixes.join(wanted, "node", "left_semi"), "compared")
-        of = lambda x: held.select(F.col("node").alias(x), F.col("bits").alias(f"p{x}"), F.col("alike").alias(f"d{x}"))
-        common = F.size(F.array_intersect("pa", "pb")) + F.least("da", "db")
-        most = common + F.greatest(behind("na"), behind("nb"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b")
-        return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "ca", "cb")
-
+    bits = [f"m{k}" for k in range(WORDS_OF_MAP + 1)]
+    maps = maps.join(missing.select("node"), "node", "left_semi").groupBy("node").agg(F.first("map").alias("map"))
+    maps = materialise(maps.select("node", *[F.col("map")[k].alias(m) for k, m in enumerate(bits)]), "maps")
+    common = sum((F.bit_count(F.col(f"a{m}").bitwiseAND(F.col(f"b{m}"))) for m in bits[:-1]), F.least(f"a{bits[-1]}", f"b{bits[-1]}"))
+    alike = (100 + percent) * (common + F.greatest(behind("na"), behind("nb"))) >= percent * (F.col("na") + F.col("nb"))
     # where a shingle is the first that two sets share, what follows it bounds the rest
     rest = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     first = (100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))
-    seen = large.join(missing, "node").select("token", "node", "n", "place", "large", F.col("node").alias("comp"))
+    seen = large.join(missing, "node").join(maps, "node").select("token", "node", "n", "place", "large", *bits, F.col("node").alias("comp"))
     seen = relabelled(seen, labels[0])
     while True:
         # postings that join components, with the components so far
@@ -346,18 +357,18 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
             break
         seen = seen.join(mixed.select("token", "main"), "token")
         last = hubs > 1 and open_pairs <= LAST * rows  # a first hub merges most copies
-        side = lambda x, y: seen.select("token", "main", F.col("node").alias(x), *[F.col(c).alias(f"{a}{y}") for c, a in (("n", "n"), ("comp", "c"), ("place", "p"), ("large", "l"))])
+        side = lambda x, y: seen.select("token", "main", F.col("node").alias(x), *[F.col(c).alias(f"{a}{y}") for c, a in (("n", "n"), ("comp", "c"), ("place", "p"), ("large", "l"))], *[F.col(m).alias(f"{y}{m}") for m in bits])
         left = side("x", "a").where("ca <> main")  # pairs of components have a member outside the largest
         if not last:
             # one hub for each share of a posting; first the node that shares most, as the
             # original of many copies does, then nodes outside the largest component
             left = side("x", "a") if hubs == 1 else left
             rank = F.struct(-F.col("la"), "x") if hubs == 1 else F.struct(F.xxhash64("x", F.lit(hubs)), "x")
-            hub = F.min_by(F.struct("x", "na", "ca", "pa"), rank).alias("hub")
+            hub = F.min_by(F.struct("x", "na", "ca", "pa", *[f"a{m}" for m in bits]), rank).alias("hub")
             left = left.withColumn("share", F.pmod(F.xxhash64("x"), F.lit(hubs))).groupBy("token", "share").agg(hub)
             left = materialise(left.select("token", "hub.*"), "hubs")
             hubs *= GROWTH
-        pairs = left.drop("main", "la").join(side("y", "b").drop("lb"), "token").where((F.col("ca") != F.col("cb")) & fits & first)
+        pairs = left.drop("main", "la").join(side("y", "b").drop("lb"), "token").where((F.col("ca") != F.col("cb")) & fits & first & alike)
         pairs = pairs.where("cb = main OR x < y") if last else pairs
         swap = F.col("x") > F.col("y")
         sides = (("x", "y", "a"), ("y", "x", "b"), *((f"{c}{y}", f"{c}{z}", f"{c}{y}") for c in "nc" for y, z in ("ab", "ba")))
@@ -366,12 +377,10 @@ def _link(posted: DataFrame, prefixes: DataFrame, verifier: Verifier, percent: i
         label = None
         if not pairs.isEmpty():
             checked = checked.unionByName(pairs.select("a", "b"))
-            pairs = materialise(near(pairs), "pairs")
-            if not pairs.isEmpty():
-                # links between components merge them
-                found = verifier.links(pairs.select("a", "b")).join(pairs, ["a", "b"])
-                label = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-                labels.append(label)
+            # links between components merge them
+            found = verifier.links(pairs.select("a", "b")).join(pairs, ["a", "b"])
+            label = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            labels.append(label)
         if last:
             break
         # all pairs of a hub whose first common shingle this is are verified now: it leaves the
