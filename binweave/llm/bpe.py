@@ -32,7 +32,7 @@ from .common import documents, lean, small_batches
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes, about, of slices and merges that a worker keeps, twice: a full generation becomes
 #: the old one, and what is used again moves to the new one.
-CACHE = 16 << 20
+CACHE = 8 << 20
 #: Bytes of a cached slice and its ids besides its characters and 8 for each id.
 ENTRY = 250
 #: Code points that one vectorised step takes. Longer texts are cut in front of a single space
