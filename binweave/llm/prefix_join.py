@@ -256,7 +256,7 @@ def _near_components(docs: DataFrame, text: str, key: str, words: int, percent:
     posted = materialise(posted.select("token", "node", "n", "place", "size"), "postings")
     verifier = Verifier(docs, text, key, words, percent, members.select("key", "node"))
     nodes = members.select("node", F.col("node").alias("comp"), "key")
-    for label in _link(posted, filled.select("node", "map"), verifier, percent, hubs):
+    for label in _link(posted, filled.select("node", "prefix", "map"), verifier, percent, hubs):
         nodes = relabelled(nodes, label)
     least = materialise(nodes.groupBy("comp").agg(F.min("key").alias("component")), "least")
     nodes = nodes.select("node", "comp").distinct().join(least, "comp").select("node", "component")
@@ -320,7 +320,8 @@ def _link(posted: DataFrame, maps: DataFrame, verifier: Verifier, percent: int,
     Of pairs from large postings the bitmaps of the prefixes are compared as they meet: bits in
     common, and shingles that share a bit with another one, bound what the prefixes have in
     common, and that and what is behind the one that ends first bounds the rest. Only pairs
-    that pass are rows, and are verified by whole sets."""
+    that pass are rows; these are held against the prefixes themselves, and what is left
+    against the whole sets."""
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     is_small = F.col("size") <= SMALL
     missing = materialise(posted.where(~is_small).groupBy("node").agg(F.count("*").alias("large")), "missing")
@@ -337,8 +338,21 @@ def _link(posted: DataFrame, maps: DataFrame, verifier: Verifier, percent: int,
     checked = materialise(pairs, "pairs")
     labels = [components(verifier.links(checked))]
     bits = [f"m{k}" for k in range(WORDS_OF_MAP + 1)]
-    maps = maps.join(missing.select("node"), "node", "left_semi").groupBy("node").agg(F.first("map").alias("map"))
-    maps = materialise(maps.select("node", *[F.col("map")[k].alias(m) for k, m in enumerate(bits)]), "maps")
+    # 15 bits of each shingle, and how many of them are alike: enough for an upper bound
+    short = F.array_distinct(F.transform("of.prefix", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short")))
+    maps = maps.join(missing.select("node"), "node", "left_semi").groupBy("node").agg(F.first(F.struct("prefix", "map")).alias("of"))
+    maps = maps.select("node", *[F.col("of.map")[k].alias(m) for k, m in enumerate(bits)], short.alias("short"), F.size("of.prefix").alias("p"))
+    maps = materialise(maps, "maps")
+    prefixes, maps = maps.select("node", "short", (F.col("p") - F.size("short")).alias("alike")), maps.select("node", *bits)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        held = materialise(prefixes.join(wanted, "node", "left_semi"), "compared")
+        of = lambda x: held.select(F.col("node").alias(x), F.col("short").alias(f"p{x}"), F.col("alike").alias(f"d{x}"))
+        most = F.size(F.array_intersect("pa", "pb")) + F.least("da", "db") + F.greatest(behind("na"), behind("nb"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "ca", "cb")
+
     common = sum((F.bit_count(F.col(f"a{m}").bitwiseAND(F.col(f"b{m}"))) for m in bits[:-1]), F.least(f"a{bits[-1]}", f"b{bits[-1]}"))
     alike = (100 + percent) * (common + F.greatest(behind("na"), behind("nb"))) >= percent * (F.col("na") + F.col("nb"))
     # where a shingle is the first that two sets share, what follows it bounds the rest
@@ -377,6 +391,7 @@ def _link(posted: DataFrame, maps: DataFrame, verifier: Verifier, percent: int,
         label = None
         if not pairs.isEmpty():
             checked = checked.unionByName(pairs.select("a", "b"))
+            pairs = materialise(near(pairs), "pairs")
             # links between components merge them
             found = verifier.links(pairs.select("a", "b")).join(pairs, ["a", "b"])
             label = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
