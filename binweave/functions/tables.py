@@ -43,6 +43,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes that a Python worker gets at once, at most.
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers get at once, by settings of the session; lower ones stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name, None)
+        if not (now or "").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes the files of a table that ``written`` made and nothing will read again."""
+    spark = table.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_ranges(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """rows in ranges of (keys, order), a written table with the range's number in __range:
     ranges are even in rows, so windows within one are bounded, whatever the keys hold."""

@@ -1,23 +1,20 @@
 """Normalisers: coverage, distance expectation, iterative correction, Knight-Ruiz.
 
-The iterative ones keep the cells fixed and iterate on one number per bin: a sweep is one
-join of the cells with that vector and one sum per row; the vectors (as long as a map's
-side, not its cells) and the scalars stay with the driver.
+The iterative ones keep the cells where they are and iterate on tables of one row per bin
+(``vectors``): a sweep is one join of the cells with such a vector and one sum per row, for all
+maps at once. The driver gets sums and limits, a few numbers for each map.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import dropped, written
 from .cells import CELL, KEY
-
-#: Bins of all maps together up to which a vector is sent to every executor.
-MOST_BROADCAST = 2_000_000
+from .vectors import Matrix, State, merged, picked
 
 
 def row_sums(cells: DataFrame) -> DataFrame:
@@ -65,71 +62,45 @@ def over_expected(cells: DataFrame, stats: str = "median", kind: str = "o/e") ->
     return both.select(*KEY, "i", "j", v.alias("v")).where("v <> 0")
 
 
-Vectors = dict[tuple, np.ndarray]
-
-
-def _numbered(cells: DataFrame) -> dict[tuple, np.ndarray]:
-    """Bins with cells of each map: as many numbers as the maps have bins."""
-    pdf = cells.select(*KEY, "i").distinct().toPandas()
-    return {k: np.sort(g["i"].to_numpy()) for k, g in pdf.groupby(list(KEY))}
-
-
-def _frame(spark, index: Vectors, x: Vectors, name: str, of: str = "i") -> DataFrame:
-    parts = [pd.DataFrame({"map": k[0], "binsize": k[1], of: index[k], name: x[k]}) for k in index]
-    return spark.createDataFrame(pd.concat(parts), f"map string, binsize long, {of} long, {name} double")
-
-
-def _times(cells: DataFrame, index: Vectors) -> Callable[[Vectors], Vectors]:
-    """x -> A x for every map at once: one job. The vector has one number per bin; it is sent
-    to every executor if there are no more than MOST_BROADCAST of them."""
-    few = sum(map(len, index.values())) <= MOST_BROADCAST
-
-    def run(x: Vectors) -> Vectors:
-        v = _frame(cells.sparkSession, index, x, "x", "j")
-        v = F.broadcast(v) if few else v
-        pdf = cells.join(v, [*KEY, "j"]).groupBy(*KEY, "i").agg(F.sum(F.col("v") * F.col("x")).alias("s")).toPandas()
-        out = {k: np.zeros(len(index[k])) for k in index}
-        for k, g in pdf.groupby(list(KEY)):
-            out[k][np.searchsorted(index[k], g["i"].to_numpy())] = g["s"].to_numpy()
-        return out
-
-    return run
-
-
 def correction_bias(cells: DataFrame, tol: float = 1e-4, iterations: int = 500) -> DataFrame:
     """Iterative correction: the bias B of each bin, for which v / (B_i B_j) has even row
     sums and the original total. A sweep: s = row sums of the corrected map, d = s over the
     mean of its non-zero entries, B times d, rescaled to the total. It ends when the
     L1 change of B is below tol, tested after the sweep, or after iterations + 2 sweeps.
-    A sweep is one job: its row sums also give the total after the sweep before, and with
+    A sweep is one product: its row sums also give the total after the sweep before, and with
     it that sweep's scale."""
-    index = _numbered(cells)
-    times = _times(cells.persist(), index)
-    b = {k: np.ones(len(v)) for k, v in index.items()}
+    a = Matrix(cells)
+    state = State(a.bins().withColumn("b", F.lit(1.0)))
     total: dict[tuple, float] = {}
-    moving, scaled = set(index), set()
-    for sweep in range(iterations + 3):
-        inverse = {k: 1 / v for k, v in b.items()}
-        sums = times(inverse)
-        for k in [k for k in index if k not in scaled]:
-            s = sums[k] * inverse[k]
-            now = s.sum()
+    moving, finished, s = set(state.scalars(n=F.count("*"))), [], F.col("s")
+    left = iterations + 3
+    while moving or total:
+        left -= 1
+        state.write(merged(state.rows, a.times(state.rows, 1 / F.col("b"))).withColumn("s", s / F.col("b")))
+        sums = state.scalars(now=F.sum("s"), mean=F.avg(F.when(s != 0, s)))
+        numbers = {}
+        for k, of in sums.items():
             # the scale of the sweep before; row sums change by its square
-            scale = np.sqrt(now / total.setdefault(k, now)) if total.get(k, now) else 1.0
-            b[k] = b[k] * scale
-            if k not in moving or sweep == iterations + 2:
-                scaled.add(k)
-                continue
-            s = s / (scale * scale) if scale else s
-            d = s / s[s != 0].mean() if (s != 0).any() else np.ones(len(s))
-            d[d == 0] = 1
-            b[k], old = b[k] * d, b[k]
-            if np.abs(b[k] - old).sum() < tol:
-                moving.discard(k)
-        if len(scaled) == len(index):
+            first = total.setdefault(k, of["now"])
+            numbers[k] = {"scale": math.sqrt(of["now"] / first) if first else 1.0, "mean": of["mean"] or 0.0}
+        # a map at rest, or after the last sweep, has its scale and is done
+        done = [k for k in sums if k not in moving or not left]
+        if done:
+            finished.append(written(state.given(numbers, picked(state.rows, done)).select(*KEY, "i", (F.col("b") * F.col("scale")).alias("b")), "bias"))
+        if len(done) == len(sums):
             break
-    cells.unpersist()
-    return _frame(cells.sparkSession, index, b, "b")
+        ratio = F.when((F.col("mean") == 0) | (s == 0), 1.0).otherwise(s / F.col("mean"))
+        held = state.given(numbers, picked(state.rows, done, inside=False)).withColumn("was", F.col("b") * F.col("scale"))
+        state.write(held.select(*KEY, "i", (F.col("was") * ratio).alias("b"), F.abs(F.col("was") * (ratio - 1)).alias("step")))
+        change = state.scalars(change=F.sum("step"))
+        moving -= {k for k, of in change.items() if of["change"] < tol}
+        state.write(state.rows.drop("step"))
+    a.close()
+    dropped(state.rows)
+    out = finished[0] if finished else cells.select(*KEY, "i", F.lit(1.0).alias("b")).where("false")
+    for more in finished[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def divide(cells: DataFrame, bias: DataFrame) -> DataFrame:
@@ -147,67 +118,59 @@ def balancing_vector(cells: DataFrame, tol: float = 1e-12, delta: float = 0.1, m
     """Knight-Ruiz: x > 0 for which x_i v_ij x_j has row sums 1. Newton's method on
     x * (A x) = 1; each step solves (diag(Ax / x) + A) w = 1 / x - A x approximately by
     conjugate gradients with the diagonal as preconditioner, in the scaled variable
-    y = w / x, and stays within [delta, most] of the last x (Knight and Ruiz, 2013)."""
-    index = _numbered(cells)
-    times = _times(cells.persist(), index)
-    x = {k: np.ones(len(v)) for k, v in index.items()}
-    state = {k: {"eta": 0.1, "r": None} for k in index}
-    product = times(x)
-    open_maps = set()
-    for k in index:
-        r = 1 - x[k] * product[k]
-        state[k] |= {"v": x[k] * product[k], "r": r, "norm": float(r @ r), "last": float(r @ r)}
-        if state[k]["norm"] > tol * tol:
-            open_maps.add(k)
+    y = w / x, and stays within [delta, most] of the last x (Knight and Ruiz, 2013).
+
+    x, v = x * (A x), y, the residual q and the direction p are columns of one table."""
+    a = Matrix(cells)
+    x, v, y, q, p, w = map(F.col, "xvyqpw")
+    state = State(merged(a.bins().withColumn("x", F.lit(1.0)), a.times(a.bins(), F.lit(1.0))).select(*KEY, "i", "x", F.col("s").alias("v")))
+    norms = {k: of["n"] for k, of in state.scalars(n=F.sum((1 - v) * (1 - v))).items()}
+    eta = dict.fromkeys(norms, 0.1)
+    open_maps = {k for k in norms if norms[k] > tol * tol}
     for _ in range(rounds):
         if not open_maps:
             break
-        inner = {}
-        for k in open_maps:
-            s = state[k]
-            z = s["r"] / s["v"]
-            inner[k] = {"y": np.ones(len(z)), "r": s["r"].copy(), "z": z, "p": z.copy(), "rho": float(s["r"] @ z), "goal": max(s["eta"] ** 2 * s["norm"], tol * tol)}
-        active = {k for k in inner if inner[k]["rho"] > 0}
+        state.write(state.rows.select(*KEY, "i", "x", "v", F.lit(1.0).alias("y"), (1 - v).alias("q"), ((1 - v) / v).alias("p")))
+        rho = {k: of["rho"] for k, of in state.scalars(rho=F.sum(q * p)).items()}
+        goal = {k: max(eta[k] ** 2 * norms[k], tol * tol) for k in open_maps}
+        active = {k for k in open_maps if rho[k] > 0}
         while active:
-            ap = times({k: x[k] * inner[k]["p"] if k in active else np.zeros(len(x[k])) for k in index})
-            for k in list(active):
-                c, s = inner[k], state[k]
-                w = x[k] * ap[k] + s["v"] * c["p"]
-                alpha = c["rho"] / float(c["p"] @ w)
-                step = alpha * c["p"]
-                y = c["y"] + step
-                if y.min() <= delta or y.max() >= most:
+            rest, mine = picked(state.rows, active, inside=False), picked(state.rows, active)
+            mine = merged(mine, a.times(mine, x * p)).select(*KEY, "i", "x", "v", "y", "q", "p", (x * F.col("s") + v * p).alias("w"))
+            state.write(mine.unionByName(rest.withColumn("w", F.lit(0.0))))
+            found = state.scalars(picked(state.rows, active), pw=F.sum(p * w))
+            alpha = {k: {"alpha": rho[k] / of["pw"]} for k, of in found.items()}
+            step, r = F.col("alpha") * p, q - F.col("alpha") * w
+            room = F.min(F.when(step < 0, (delta - y) / step))
+            top = F.min(F.when(step > 0, (most - y) / step))
+            found = state.scalars(state.given(alpha, picked(state.rows, active)), low=F.min(y + step), high=F.max(y + step), rho=F.sum(r * r / v), room=room, top=top)
+            numbers = {k: {"go": 0.0, "alpha": 0.0, "beta": 0.0} for k in norms}
+            for k, of in found.items():
+                if of["low"] <= delta or of["high"] >= most:
                     # stop at the wall
-                    room = np.where(step < 0, (delta - c["y"]) / np.where(step < 0, step, 1), np.inf)
-                    top = np.where(step > 0, (most - c["y"]) / np.where(step > 0, step, 1), np.inf)
-                    c["y"] = c["y"] + max(0.0, min(room.min(), top.min(), 1.0)) * step
+                    numbers[k]["go"] = alpha[k]["alpha"] * max(0.0, min(1.0, *(of[c] for c in ("room", "top") if of[c] is not None)))
                     active.discard(k)
-                    continue
-                c["y"] = y
-                c["r"] = c["r"] - alpha * w
-                c["z"] = c["r"] / s["v"]
-                rho = float(c["r"] @ c["z"])
-                if rho <= c["goal"]:
+                elif of["rho"] <= goal[k]:
+                    numbers[k] |= {"go": alpha[k]["alpha"], "alpha": alpha[k]["alpha"]}
                     active.discard(k)
-                    continue
-                c["p"] = c["z"] + rho / c["rho"] * c["p"]
-                c["rho"] = rho
-        for k in open_maps:
-            x[k] = x[k] * inner[k]["y"]
-        product = times(x)
+                else:
+                    numbers[k] |= {"go": alpha[k]["alpha"], "alpha": alpha[k]["alpha"], "beta": of["rho"] / rho[k]}
+                    rho[k] = of["rho"]
+            held = state.given(numbers).withColumn("y", y + F.col("go") * p).withColumn("q", r)
+            state.write(held.select(*KEY, "i", "x", "v", "y", "q", (q / v + F.col("beta") * p).alias("p")))
+        state.write(state.rows.select(*KEY, "i", (x * y).alias("x")))  # y is 1 where a map is done
+        state.write(merged(state.rows, a.times(state.rows, x)).select(*KEY, "i", "x", (x * F.col("s")).alias("v")))
+        found = state.scalars(n=F.sum((1 - v) * (1 - v)))
         for k in list(open_maps):
-            s = state[k]
-            s["v"] = x[k] * product[k]
-            s["r"] = 1 - s["v"]
-            s["last"], s["norm"] = s["norm"], float(s["r"] @ s["r"])
-            eta = 0.9 * s["norm"] / s["last"] if s["last"] else 0.1
-            if 0.9 * s["eta"] ** 2 > 0.1:
-                eta = max(eta, 0.9 * s["eta"] ** 2)
-            s["eta"] = max(min(eta, 0.1), 0.5 * tol / np.sqrt(s["norm"]) if s["norm"] else 0.1)
-            if s["norm"] <= tol * tol:
+            last, norms[k] = norms[k], found[k]["n"]
+            new = 0.9 * norms[k] / last if last else 0.1
+            if 0.9 * eta[k] ** 2 > 0.1:
+                new = max(new, 0.9 * eta[k] ** 2)
+            eta[k] = max(min(new, 0.1), 0.5 * tol / math.sqrt(norms[k]) if norms[k] else 0.1)
+            if norms[k] <= tol * tol:
                 open_maps.discard(k)
-    cells.unpersist()
-    return _frame(cells.sparkSession, index, {k: 1 / v for k, v in x.items()}, "b")
+    a.close()
+    return state.rows.select(*KEY, "i", (1 / x).alias("b"))
 
 
 def balance(cells: DataFrame, tol: float = 1e-12, **options) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import before_range, in_ranges, null_safe
+from ..functions.tables import dropped, written
 from .cells import last_of
 
 #: Bin sizes that tracks are stored at, and ways to combine values: fixed values.
@@ -49,23 +51,100 @@ def bin_intervals(signal: DataFrame, binsizes: list[int], methods: tuple[str, ..
     return rows.withColumn("w", inside).groupBy("chrom", "binsize", "bin").agg(*[known[m].alias(m) for m in methods])
 
 
+#: Cuts of a part of a chromosome, which one task sweeps, and parts at most.
+CUTS, MOST_PARTS = 4096, 50_000
+
+
 def disjoint(signal: DataFrame, method: str = "mean") -> DataFrame:
     """Overlapping intervals (chrom, start, end, value, seq) cut where others begin or end;
-    what overlaps is combined by the running mean in input order, by max or by min.
-    Chains of overlapping intervals are found within ranges of starts and over the ranges'
-    ends and numbers, so a chromosome isn't one task's; a chain is."""
-    rows = in_ranges(signal, ["chrom"], ["start", "seq"])
-    order = Window.partitionBy("__range", "chrom").orderBy("start", "seq")
-    rows = null_safe(rows, before_range(rows, ["chrom"], F.max("end"), F.max), ["chrom", "__range"])
-    reach = F.greatest(F.coalesce("before", F.lit(-1)), F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
-    rows = rows.withColumn("new", F.when(F.col("start") >= reach, 1).otherwise(0)).drop("before")
-    rows = null_safe(rows, before_range(rows, ["chrom"], F.sum("new"), F.sum), ["chrom", "__range"])
-    chain = F.coalesce("before", F.lit(0)) + F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("chain", chain).drop("new", "before", "__range")
-    ends = rows.select("chrom", "chain", F.explode(F.array("start", "end")).alias("at")).distinct()
-    cuts = ends.withColumn("to", F.lead("at").over(Window.partitionBy("chrom", "chain").orderBy("at"))).where("to IS NOT NULL")
-    both = cuts.join(rows, ["chrom", "chain"]).where("start <= at AND to <= end")
-    return both.groupBy("chrom", F.col("at").alias("start"), F.col("to").alias("end")).agg(combined(method).alias("value"))
+    what overlaps is combined by the running mean in input order, by max or by min. Rows
+    without a chromosome and empty intervals cover nothing.
+
+    The cuts of a chromosome are ranged into parts of CUTS. An interval goes, clipped, to the
+    parts in which it begins and ends; the parts that it covers wholly are handed to it as nodes
+    of a binary tree over the parts, no more than two for each level. What covers the same
+    stretch of a part or node is combined first (of a mean the last FOLDED values), so neither
+    an interval over everything nor a place where all begin makes a task large: rows grow with
+    the input, times the tree's height. A part takes the nodes above it and is swept."""
+    signal = signal.where("chrom IS NOT NULL AND end >= start")
+    ends = written(signal.select("chrom", F.explode(F.array("start", "end")).alias("at")).distinct(), "cuts")
+    parts = max(1, min(MOST_PARTS, -(-ends.count() // CUTS)))
+    cuts = written(ends.repartitionByRange(parts, "chrom", "at").withColumn("__range", F.spark_partition_id()), "ranges")
+    dropped(ends)
+    # the parts of a chromosome, numbered from 0, and where each begins and the next one does
+    by_place = Window.partitionBy("chrom").orderBy("lo")
+    bounds = cuts.groupBy("chrom", "__range").agg(F.min("at").alias("lo"))
+    bounds = written(bounds.select("chrom", "__range", "lo", F.lead("lo").over(by_place).alias("hi"), (F.row_number().over(by_place) - 1).cast("long").alias("part")), "parts")
+    place = cuts.join(bounds, ["chrom", "__range"]).select("chrom", "at", "part", "lo")
+    of = lambda end: place.select("chrom", F.col("at").alias(end), F.col("part").alias(f"of_{end}"), F.col("lo").alias(f"lo_{end}"))
+    rows = signal.where("end > start").join(of("start"), ["chrom", "start"]).join(of("end"), ["chrom", "end"])
+    # an end where a part begins belongs to the part before
+    first, last = F.col("of_start"), F.when(F.col("end") == F.col("lo_end"), F.col("of_end") - 1).otherwise(F.col("of_end"))
+    none = F.lit(None).cast("long")
+    piece = lambda node, a, b, level=F.lit(0): F.struct(level.cast("int").alias("level"), node.cast("long").alias("node"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+    height = max(1, int(bounds.agg(F.max("part")).first()[0] or 0).bit_length())
+
+    def nodes(level: Column) -> Column:
+        wide = F.pow(F.lit(2.0), level)
+        low, high = F.ceil((F.col("first") + 1) / wide), F.floor(F.col("last") / wide)
+        found = F.array(F.when(low % 2 == 1, piece(low, none, none, level)), F.when(high % 2 == 1, piece(high - 1, none, none, level)))
+        return F.when(low < high, F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast(found_kind))
+
+    found_kind = "array<struct<level:int,node:bigint,a:bigint,b:bigint>>"
+    inside = F.array(piece(F.col("first"), F.col("start"), F.col("end")))
+    spread = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height)), nodes))
+    over = F.concat(F.array(piece(F.col("first"), F.col("start"), none), piece(F.col("last"), none, F.col("end"))), spread)
+    rows = rows.select("chrom", "start", "end", F.col("value").cast("double").alias("value"), "seq", first.alias("first"), last.alias("last"))
+    pieces = rows.select("chrom", "value", "seq", F.explode(F.when(F.col("first") == F.col("last"), inside).otherwise(over)).alias("x")).select("chrom", "x.*", "value", "seq")
+    pieces = written(_reduced(pieces, ["chrom", "level", "node", "a", "b"], method), "pieces")
+    level = F.explode(F.sequence(F.lit(0), F.lit(height))).alias("level")
+    under = bounds.select("chrom", "part", level).withColumn("node", F.floor(F.col("part") / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+    whole = _reduced(pieces.where("a IS NULL AND b IS NULL").join(under, ["chrom", "level", "node"]).select("chrom", F.col("part").alias("node"), "a", "b", "value", "seq"), ["chrom", "node", "a", "b"], method)
+    mine = pieces.where("a IS NOT NULL OR b IS NOT NULL").select("chrom", "node", "a", "b", "value", "seq").unionByName(whole)
+    marks = cuts.join(bounds, ["chrom", "__range"]).select("chrom", F.col("part").alias("node"), "at", "hi")
+
+    def sweep(cuts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(cuts["at"].to_numpy())
+        to = np.append(at[1:], cuts["hi"].iloc[0] if cuts["hi"].notna().all() else at[-1])
+        seen, out = np.zeros(len(at), dtype=bool), np.full(len(at), np.nan)
+        order = pieces.sort_values(["seq", "value"] if method == "mean" else ["value"], ascending=method != "min", kind="stable")
+        first = np.where(order["a"].isna(), 0, np.searchsorted(at, order["a"].fillna(0).to_numpy()))
+        last = np.where(order["b"].isna(), len(at), np.searchsorted(at, order["b"].fillna(0).to_numpy()))
+        for a, b, x in zip(first.tolist(), last.tolist(), order["value"].tolist()):
+            seen[a:b] = True
+            if method == "mean":
+                held = out[a:b]
+                if x != x:
+                    continue
+                fresh = np.isnan(held) | (held == 0)
+                out[a:b] = np.where(fresh, x, held if x == 0 else (held + x) / 2)
+            elif x == x and (method == "max" or x != 0):
+                out[a:b] = x
+        seen &= to > at
+        return pd.DataFrame({"chrom": cuts["chrom"].iloc[0], "start": at[seen], "end": to[seen], "value": pd.array(out[seen], dtype="Float64")}) if seen.any() else pd.DataFrame({"chrom": [], "start": [], "end": [], "value": []})
+
+    return marks.groupBy("chrom", "node").cogroup(mine.groupBy("chrom", "node")).applyInPandas(sweep_of(sweep), f"chrom {dict(signal.dtypes)['chrom']}, start long, end long, value double")
+
+
+def sweep_of(sweep):
+    """sweep for the parts that have both cuts and pieces."""
+
+    def run(cuts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        both = len(cuts) and len(pieces)
+        return sweep(cuts, pieces) if both else pd.DataFrame({"chrom": [], "start": [], "end": [], "value": []})
+
+    return run
+
+
+def _reduced(pieces: DataFrame, keys: list[str], method: str) -> DataFrame:
+    """Rows (keys, value, seq) of which no more are left for one key than the combination needs;
+    values that don't count leave one row, which still covers."""
+    if method != "mean":
+        x = F.col("value")
+        best = F.max(x) if method == "max" else F.min(F.when(x != 0, x))
+        return pieces.groupBy(*keys).agg(best.alias("value"), F.lit(None).cast("long").alias("seq"))
+    zero = pieces.where("value = 0 OR value IS NULL").groupBy(*keys).agg(F.max("value").alias("value"), F.min("seq").alias("seq"))
+    return last_of(pieces, keys, "seq", unless=F.col("value") == 0).where("value IS NOT NULL").unionByName(zero)
 
 
 def combined(method: str, value: str = "value", order: str = "seq") -> Column:

@@ -440,6 +440,29 @@ def cm_matpow2(spark, d):
     return rounded(M.power(M.transition(cells(spark, d)), 2), column="p")
 
 
+def _discounted(spark, d):
+    """The identity less half the transition matrix, which has an inverse for every map."""
+    p = written(M.transition(cells(spark, d)), "transition")
+    rows = p.select("map", "binsize", "i", "j", (F.col("p") / -2).alias("p")).unionByName(M.power(p, 0))
+    return rows.groupBy("map", "binsize", "i", "j").agg(F.sum("p").alias("p"))
+
+
+@query("SELECT DISTINCT map, binsize, i, i AS j, 1.0::DOUBLE AS p FROM cells")
+def cm_inverse(spark, d):
+    m = written(_discounted(spark, d), "matrix")
+    return rounded(M.multiply(m, M.power(m, -1)), column="p").where("p <> 0")
+
+
+@query(_P + ", q AS (SELECT p.map, p.i, sum(p) AS s FROM p GROUP BY 1, 2) SELECT map, 50::BIGINT AS binsize, i, round(2 * s, 9) AS p FROM q")
+def cm_inverse_row_sums(spark, d):
+    return rounded(M.power(_discounted(spark, d), -1).groupBy("map", "binsize", "i").agg(F.sum("p").alias("p")), column="p")
+
+
+@query(_P + ", p2 AS MATERIALIZED (SELECT a.map, a.i, b.j, sum(a.p * b.p) AS p FROM p a JOIN p b ON a.map = b.map AND a.j = b.i GROUP BY 1, 2, 3) SELECT a.map, 50::BIGINT AS binsize, a.i, b.j, round(sum(a.p * b.p), 9) AS p FROM p2 a JOIN p2 b ON a.map = b.map AND a.j = b.i GROUP BY 1, 3, 4")
+def cm_matpow4(spark, d):
+    return rounded(M.power(M.transition(cells(spark, d)), 4), column="p")
+
+
 # -- structure
 
 
@@ -586,6 +609,28 @@ def trk_intervals(spark, d):
     return rounded(R.bin_intervals(iv, [100, 250], ("amean", "max")), 6, "amean")
 
 
+_COVER = "iv AS (SELECT event_type AS chrom, user_id * 3 % 1000 AS s, 1000 + user_id * 7 % 977 AS e, round(value, 6) AS value, event_id AS seq FROM events), ct AS (SELECT DISTINCT chrom, s AS x FROM iv UNION SELECT DISTINCT chrom, e FROM iv), sg AS (SELECT chrom, x AS s, lead(x) OVER (PARTITION BY chrom ORDER BY x) AS e FROM ct)"
+
+
+def _covering(spark, d):
+    """An interval for each event, all of a chromosome with a place in common."""
+    user, e = F.col("user_id"), table(spark, d, "events")
+    return e.select(F.col("event_type").alias("chrom"), (user * 3 % 1000).alias("start"), (1000 + user * 7 % 977).alias("end"), F.round("value", 6).alias("value"), F.col("event_id").alias("seq"))
+
+
+def _disjoint(method, sql):
+    def f(spark, d):
+        return rounded(R.disjoint(_covering(spark, d), method), 6, "value")
+
+    f.__name__ = f"trk_disjoint_{method}"
+    QUERIES[f.__name__] = f
+    SQL[f.__name__] = f"WITH {_COVER} SELECT sg.chrom, sg.s AS start, sg.e AS \"end\", round({sql}, 6) AS value FROM sg JOIN iv ON iv.chrom = sg.chrom AND iv.s <= sg.s AND iv.e >= sg.e GROUP BY 1, 2, 3"
+
+
+for _m, _a in (("max", "max(value)"), ("min", "min(value) FILTER (WHERE value <> 0)"), ("mean", "list_reduce(list(value ORDER BY seq), lambda a, x: CASE WHEN a = 0 THEN x WHEN x = 0 THEN a ELSE (a + x) / 2 END)")):
+    _disjoint(_m, _a)
+
+
 # -- sources: the tables' rows, written in a format below the shared folder and read again
 
 
