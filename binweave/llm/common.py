@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import os
@@ -66,7 +67,8 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return lean_run
 
 
-_scratch: list[list[str]] = []
+#: Paths written within each open scratch() of this context: threads and tasks have their own.
+_scratch: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -76,14 +78,14 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/binweave-{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    for paths in _scratch[-1:]:
+    for paths in _scratch.get()[-1:]:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def last_table() -> str:
     """The path of the table that was written last within the innermost scratch()."""
-    return _scratch[-1][-1]
+    return _scratch.get()[-1][-1]
 
 
 @contextlib.contextmanager
@@ -91,19 +93,53 @@ def scratch(spark: SparkSession) -> Iterator[set[str]]:
     """Tables written inside go at the end, but for the paths that are put into the set. What is
     returned must depend on those alone: all else has been read for the last time."""
     kept: set[str] = set()
-    _scratch.append([])
+    outer, own = _scratch.get(), []
+    _scratch.set((*outer, own))
     try:
         yield kept
     finally:
-        for path in _scratch.pop():
+        _scratch.set(outer)
+        for path in own:
             if path in kept:
-                for paths in _scratch[-1:]:
+                for paths in outer[-1:]:
                     paths.append(path)
                 continue
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def guarded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """operator, a function of a DataFrame and of names or expressions of its columns, whose
+    internal columns begin with two underscores: columns of the caller's that do so have other
+    names meanwhile, and theirs again in the result, unless the operator returns a column of
+    that name itself."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        own = [c for c in docs.columns if c.startswith("__")]
+        if not own:
+            return operator(docs, *args, **options)
+        stem = "held"
+        while any(c.lower().startswith(stem) for c in docs.columns):
+            stem += "_"
+        away = {c: f"{stem}{k}" for k, c in enumerate(own)}
+        made: dict[str, Column] = {}
+
+        def moved(x):
+            if isinstance(x, Column):  # it may read such a column
+                name = f"{stem}x{len(made)}"
+                made[name] = x
+                return F.col(name)
+            return away.get(x, x) if isinstance(x, str) else x
+
+        args, options = [moved(x) for x in args], {k: moved(x) for k, x in options.items()}
+        out = operator(docs.withColumns(made).withColumnsRenamed(away), *args, **options).drop(*made)
+        out = out.drop(*[a for c, a in away.items() if c in out.columns])
+        return out.withColumnsRenamed({a: c for c, a in away.items() if a in out.columns})
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, lean, materialise
+from .common import WORD, documents, guarded, lean, materialise
 from .hashing import byte_steps, byte_values, fold, is_white, mix64, span_hashes
 from .shrink import LEAST_WEIGHT, MOST_WEIGHT, posterior, prior_weight
 
@@ -129,6 +129,7 @@ def judged(rows: DataFrame, measured: DataFrame | None = None, host: str = "sour
     return rows.withColumn("__rules", rules).drop(stats, "__h", "__rate")
 
 
+@guarded
 def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """docs with a struct column __rules: the measures, base_failed, host_rate and kept.
 

@@ -98,8 +98,8 @@ class Damaged(ValueError):
 DEPTH = 16
 
 
-def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start, end) of the content of every box, depth first. A box that is cut off
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, start, end) of the content of every box, and where its head begins, depth first. A box that is cut off
     ends with what holds it."""
     stack: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
     while stack:
@@ -117,7 +117,7 @@ def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
         if size < head:
             continue
         stop = min(end, start + size)
-        yield (*path, kind), start + head, stop
+        yield (*path, kind), start + head, stop, start
         stack.append((stop, end, path))
         if kind in NESTED and len(path) < DEPTH:
             stack.append((start + head, stop, (*path, kind)))
@@ -236,13 +236,26 @@ def _run(b: Box, defaults: dict[str, int], base: int, after: int, length: int) -
 class Track:
     def __init__(self):
         self.id, self.handler, self.codec, self.timescale, self.duration = None, None, None, None, 0
-        self.samples = self.keyframes = np.zeros((0, 2), dtype=np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.boxes: dict[bytes, Box] = {}
 
     def add(self, duration: int, samples: np.ndarray, keyframes: np.ndarray) -> None:
         self.duration += duration
-        self.samples = np.concatenate([self.samples, samples])
-        self.keyframes = np.concatenate([self.keyframes, keyframes])
+        self.parts.append((samples, keyframes))
+
+    @property
+    def samples(self) -> np.ndarray:
+        return self._joined(0)
+
+    @property
+    def keyframes(self) -> np.ndarray:
+        return self._joined(1)
+
+    def _joined(self, k: int) -> np.ndarray:
+        """The parts of fragments as one, joined when they are first asked for."""
+        if len(self.parts) > 1:
+            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts))]
+        return self.parts[0][k] if self.parts else np.zeros((0, 2), dtype=np.int64)
 
 
 def read_media(data: bytes) -> tuple[list[Track], str | None]:
@@ -256,13 +269,13 @@ def read_media(data: bytes) -> tuple[list[Track], str | None]:
     def versioned(box: Box, short: int, long: int) -> Box:
         return box.skip(long) if box.one("u1") == 1 else box.skip(short)
 
-    def visit(path: tuple[bytes, ...], a: int, b: int) -> None:
+    def visit(path: tuple[bytes, ...], a: int, b: int, begin: int) -> None:
         nonlocal fragment, moof
         kind, box = path[-1], Box(data, a, b)
         if kind == b"trak":
             tracks.append(Track())
         elif kind == b"moof":
-            moof = a - 8
+            moof = begin
         elif kind == b"traf":
             fragment = {"base": moof, "after": moof}
         elif kind == b"trex":
@@ -304,9 +317,9 @@ def read_media(data: bytes) -> tuple[list[Track], str | None]:
             track.add(*found)
 
     done = 0
-    for path, a, b in walk(data):
+    for path, a, b, begin in walk(data):
         try:
-            visit(path, a, b)
+            visit(path, a, b, begin)
         except Damaged as e:
             wrong.append(f"{path[-1].decode('latin-1')}: {e}")
         if path[-1] in (b"trak", b"moof", b"mdat") or b == len(data):

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialise
+from .common import WORD, documents, guarded, materialise
 
 SOURCE_WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -81,6 +81,7 @@ def source_targets(
     )
 
 
+@guarded
 def mix(
     docs: DataFrame,
     size: Column | None = None,
@@ -101,7 +102,7 @@ def mix(
     the budget ends gives the words that are still missing. Null text: size 0, taken 0. A
     null source is a source of its own. A null key draws one fixed number. Rows that repeat
     count as often as they come; very long texts count whole. Equal keys go by the row's
-    key, then by size. An empty table gives an empty result."""
+    key, then by size, then by a hash of the whole row. An empty table gives an empty result."""
     octave = (F.log2("__key") - LEAST_OCTAVE) * (buckets / OCTAVES)
     rows = (
         docs.withColumn("__size", word_count() if size is None else size)
@@ -139,7 +140,8 @@ def mix(
         (F.col("__epochs") * F.col("__size") + extra).cast("long").alias("taken"),
     )
     whole = out(rows.where(F.col("__cell") != F.col("__end")), F.when(F.col("__cell") < F.col("__end"), F.col("__size")).otherwise(0))
-    ordered = Window.partitionBy("__src").orderBy("__key", F.col(f"`{key}`"), "__size").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    ordered = Window.partitionBy("__src").orderBy("__key", F.col(f"`{key}`"), "__size", rest).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("__rest") - F.col("__before") - F.coalesce(F.sum("__size").over(ordered), F.lit(0))
     last = out(
         rows.where(F.col("__cell") == F.col("__end")).withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), left))),
@@ -148,6 +150,7 @@ def mix(
     return whole.unionByName(last)
 
 
+@guarded
 def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
     """One row for each time that the mix takes a document: whole texts, and for what is
     left below the size the first words of the text, joined by single spaces."""

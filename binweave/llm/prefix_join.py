@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, last_table, lean, materialise, packed, scratch, unpack
+from .common import documents, guarded, last_table, lean, materialise, packed, scratch, unpack
 from .graph import components
 from .hashing import BASE, U, byte_steps, fold, mix64, word_hashes
 
@@ -405,6 +405,7 @@ def _link(posted: DataFrame, maps: DataFrame, verifier: Verifier, percent: int,
     return labels
 
 
+@guarded
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs without all but one document of each component: that with the smallest key, a
     null key last. Documents without words all stay. A row is its key and text: rows of one

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, lean, materialise
+from .common import documents, guarded, lean, materialise
 from .host_rules import SPACES, SYMBOLS
 from .mixing import uniform
 from .shrink import posterior, prior_weight
@@ -188,6 +188,7 @@ def classified(scored: DataFrame, host: str = "source", path: str = "lang", scor
     return rows.withColumn("__quality", F.struct(*fields)).drop(score, "__h", "__p", "__post")
 
 
+@guarded
 def classify(docs: DataFrame, model: Model, text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
     """docs with a struct __quality: for each head the document's own probability, the
     posteriors of host and path, and the combined probability; and kept: quality at least

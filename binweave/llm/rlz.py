@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, lean, unpack
+from .common import documents, guarded, lean, unpack
 from .hashing import word_hashes
 from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, windows_to_spans, with_rows, with_spans
 
@@ -112,6 +112,7 @@ def parse(pieces: list[bytes], twice: np.ndarray) -> tuple[np.ndarray, np.ndarra
 PASSAGES = Passages(word_hashes, WINDOW, GRAM, cut, parse)
 
 
+@guarded
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs, text packed in __packed, with __spans: the repeated word spans of each text."""
     rows = with_rows(docs, text, key)
@@ -123,6 +124,7 @@ def kept_words(words: list[bytes], found: np.ndarray) -> list[bytes]:
     return [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
 
 
+@guarded
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with every repeated passage of 35 words or more taken out of the texts, its
     first place included; what stays of such a text is joined by single spaces, other texts

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, lean, unpack
+from .common import documents, guarded, lean, unpack
 from .hashing import byte_values
 from .runs import Passages, pair_ranks, ranks, repeated_spans, span_array, windows_to_spans, with_rows, with_spans
 
@@ -181,6 +181,7 @@ def repeated_suffixes(pieces: list[bytes], twice: np.ndarray) -> tuple[np.ndarra
 PASSAGES = Passages(byte_symbols, WINDOW, GRAM, cut, repeated_suffixes)
 
 
+@guarded
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs, text packed in __packed, with __spans: the repeated byte spans of each text."""
     rows = with_rows(docs, text, key)
@@ -194,6 +195,7 @@ def without(data: bytes, found: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
+@guarded
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with every repeated passage of 200 bytes or more taken out of the texts, its
     first place included. Where a cut splits a character, its other bytes go too. Null

@@ -23,6 +23,7 @@ import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,8 +37,6 @@ ARCHIVE = 8 << 20
 BLOCK = 1 << 20
 #: Bytes that are inflated at a time.
 PIECE = 1 << 16
-#: Bytes at most of a record's head, and of a whole record.
-HEAD, RECORD = 1 << 20, 1 << 30
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 
@@ -46,20 +45,25 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def name(key) -> str:
+    """A key as part of a URN."""
+    return quote(str(key), safe="")
+
+
 def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
     """A response record, or a revisit record: its HTTP head without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{name(page_id)}>",
         f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + " ".join((url or "urn:none").split()),
         "WARC-Payload-Digest: sha1:" + payload_digest(payload),
         "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{name(refers_to)}>"]
     block = http if revisit else http + payload
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -97,24 +101,23 @@ def inflate(pieces: Iterable[bytes]) -> Iterator[bytes]:
 
 
 def split_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and whole bytes of each record. What is held is one record at most
-    and one piece."""
+    """Header fields and whole bytes of each record. What is held is one record, of whatever
+    length its head and its block have, and one piece."""
     buffer = bytearray()
-    need, head = 0, None
+    need, head, seen = 0, None, 0
     for piece in pieces:
         buffer += piece
         while True:
             if head is None:
-                if (cut := buffer.find(b"\r\n\r\n")) < 0:
-                    if len(buffer) > HEAD:
-                        raise Damaged("record: no end of its head")
-                    break
-                if not buffer.startswith(b"WARC/"):
+                if not buffer.startswith(b"WARC/"[: len(buffer)]):
                     raise Damaged("record: not a WARC head")
+                if (cut := buffer.find(b"\r\n\r\n", seen)) < 0:
+                    seen = max(0, len(buffer) - 3)  # a long head is searched once
+                    break
                 head = fields(bytes(buffer[:cut]))
                 length = head.get("content-length", "")
-                if not length.isdecimal() or int(length) > RECORD:
-                    raise Damaged("record: no length, or too long")
+                if not length.isdecimal():
+                    raise Damaged("record: no length")
                 need = cut + 4 + int(length) + 4
             if len(buffer) < need:
                 break
@@ -122,7 +125,7 @@ def split_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], byt
                 raise Damaged("record: its length is wrong")
             yield head, bytes(buffer[:need])
             del buffer[:need]
-            head = None
+            head, seen = None, 0
     if buffer:
         raise Damaged("record: cut off")
 
@@ -178,7 +181,7 @@ def normalise(archives: DataFrame) -> Normalised:
     """Tables of the archives (archive, content), or (archive, seq, content) where one is
     several rows, rewritten so that each record is a gzip member of its own. An empty or null
     content has no records; a null name is a name; equal names without ``seq`` are archives of
-    their own; records of any length up to RECORD are kept whole; other columns go."""
+    their own; records and heads of any length are kept whole; other columns go."""
     whole = "seq" not in archives.columns
     rows = archives.select("archive", "content", *([] if whole else ["seq"]))
     if not whole:
@@ -260,7 +263,13 @@ def read_records(blocks: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def op4_warc_normalise(spark, sf_dir) -> DataFrame:
+    """Fails, rather than give fewer rows than pages, if an archive or a member can't be read."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     normal = normalise(materialise(write_archives(pages), "warc", compression="uncompressed"))
+    if problem := normal.problems.first():
+        raise ValueError(f"archive {problem['archive']} is damaged after {problem['records']} records: {problem['error']}")
+    if (have := normal.index.count()) != (want := pages.count()):
+        raise ValueError(f"{want} pages gave {have} records")
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(.*)>', 1) AS BIGINT)")
-    return read_records(normal.blocks, normal.index).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    whole = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("a member can't be read: "), "error"))).otherwise(F.col("record_type"))
+    return read_records(normal.blocks, normal.index).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", whole.alias("record_type"), page("refers_to").alias("refers_to"))

@@ -1,6 +1,7 @@
 """Tokens, media, archives, mixing, shards, rules, the classifier, the pipeline."""
 
 import base64
+import concurrent.futures
 import gzip
 import hashlib
 import random
@@ -12,7 +13,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from binweave.llm import bpe, host_rules, media, mixing, quality_eb, sharding, warc
+from pyspark.sql import functions as F
+
+from binweave.llm import bpe, host_rules, media, mixing, prefix_join, quality_eb, rlz, sharding, suffix_dedup, warc
 from binweave.llm.queries import oracle_sql, queries
 
 from ..conftest import same
@@ -106,7 +109,7 @@ def test_media_other_files():
     # a second container level, 64-bit sizes, unknown boxes in front
     tracks, error = media.read_media(media.box(b"free", b"abc") + f)
     assert tracks[0].samples.shape == (200, 2) and error is None
-    paths = {p[-1] for p, _, _ in media.walk(f)}
+    paths = {p[-1] for p, *_ in media.walk(f)}
     assert {b"ftyp", b"moov", b"trak", b"mdia", b"minf", b"stbl", b"stsz", b"stss", b"mdat"} <= paths
     deep = b""
     for _ in range(3000):
@@ -178,6 +181,23 @@ def test_media_fragments():
     assert (tracks[0].samples - at).tolist() == [[0, 5], [5, 11], [11, 15], [15, 19], [19, 23]] and (tracks[0].keyframes - at).tolist() == [[0, 5]]
 
 
+def test_media_fragment_with_a_long_head():
+    """A moof box whose size has 64 bits."""
+    empty = [media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(70))), media.full(b"stts", bytes(4)), media.full(b"stsc", bytes(4)), media.full(b"stsz", bytes(8)), media.full(b"stco", bytes(4))]
+    moov = media.box(b"moov", track_box(7, b"vide", empty), media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 7, 1, 20, 4, 0x10000))))
+
+    def moof(offset):
+        body = media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 7), flags=0x20000), media.full(b"trun", struct.pack(">IiII", 2, offset, 5, 6), flags=0x201))
+        return struct.pack(">I4sQ", 1, b"moof", len(body) + 16) + body
+
+    size = len(moof(0))
+    part = moof(size + 8) + media.box(b"mdat", bytes(11))
+    tracks, error = media.read_media(moov + part * 50)
+    at = len(moov) + size + 8
+    assert error is None and len(tracks[0].samples) == 100 and tracks[0].duration == 2000
+    assert (tracks[0].samples[:4] - at).tolist() == [[0, 5], [5, 11], [len(part), len(part) + 5], [len(part) + 5, len(part) + 11]]
+
+
 def test_media_query(spark, data):
     rows = {r["doc_id"]: r for r in queries()["op3_media_columns"](spark, data).collect()}
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
@@ -295,6 +315,102 @@ def test_warc_query(spark, data):
     assert want == sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], -1 if r["refers_to"] is None else r["refers_to"]) for r in got)
 
 
+def test_warc_query_keeps_long_heads(spark, tmp_path):
+    rows = [(1, "http://a/", "<p>one</p>", "x"), (2, "http://b/" + "q" * 3_000_000, "<p>two</p>", "x"), (3, None, "<p>one</p>", "x"), (4, "http://c/", "z" * 3_000_000, "x")]
+    pages(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries()["op4_warc_normalise"](spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [(1, 10, "response", None), (2, 10, "response", None), (3, 10, "revisit", 1), (4, 3_000_000, "response", None)]
+    r = [warc.record(k, "http://a/" + "q" * n, b"p") for k, n in enumerate((0, 5_000_000, 3))]
+    assert records_of(gzip.compress(b"".join(r))) == r and records_of(gzip.compress(r[1]), 50_000) == [r[1]]
+    odd = warc.normalise(warc.write_archives(spark.createDataFrame([("a b\r\n\r\nc>", "u", "x"), ("a", "u", "x")], "page_id string, url string, html string")))
+    assert sorted(x["record_id"] for x in warc.read_records(odd.blocks, odd.index).collect()) == ["<urn:page:a%20b%0D%0A%0D%0Ac%3E>", "<urn:page:a>"]
+
+
+def test_warc_query_fails_rather_than_lose_rows(spark, tmp_path, monkeypatch):
+    pages(spark, [(k, "u", "x" * k, "x") for k in range(40)]).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    write = warc.write_archives
+    monkeypatch.setattr(warc, "write_archives", lambda *a, **o: write(*a, **o).selectExpr("archive", "substring(content, 1, length(content) - 30) AS content"))
+    with pytest.raises(ValueError, match="damaged after"):
+        queries()["op4_warc_normalise"](spark, str(tmp_path))
+    monkeypatch.setattr(warc, "write_archives", lambda pages, **o: write(pages.where("page_id <> 3"), **o))
+    with pytest.raises(ValueError, match="40 pages gave 39"):
+        queries()["op4_warc_normalise"](spark, str(tmp_path))
+
+
+CLASHING = ["__row", "__spans", "__packed", "__stats", "__rate", "__host", "__key", "__size", "__src", "__cell", "__s", "__h", "__post", "__n", "held0"]
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda d: prefix_join.keep_one(d), lambda d: rlz.dedup(d), lambda d: suffix_dedup.dedup(d), lambda d: mixing.mix(d), lambda d: mixing.mix(d, F.length("__size").cast("long"), source="__src"),
+        lambda d: mixing.copies(mixing.mix(d)), lambda d: host_rules.judge(d), lambda d: host_rules.judge(d, host="__host"), lambda d: quality_eb.classify(d, quality_eb.Model({h: {} for h in quality_eb.HEADS}, {h: np.zeros(12) for h in quality_eb.HEADS})),
+    ],
+)
+def test_clashing_names_pass(make, corpus, operator):
+    docs = make(corpus[:12]).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    out = operator(docs)
+    assert set(docs.columns) - {"size"} <= set(out.columns)
+    rows = out.select("doc_id", *CLASHING).collect()
+    assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHING)
+
+
+def test_two_threads_keep_their_tables(make, corpus):
+    docs = make(corpus)
+    want = sorted(map(tuple, prefix_join.near_components(docs).collect()))
+    with concurrent.futures.ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(lambda _: sorted(map(tuple, prefix_join.near_components(docs).collect())), range(2)))
+    assert found == [want, want]
+
+
+def test_bpe_query(spark, data, coders):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries()["op5_bpe"](spark, data).collect()}
+    assert got.keys() == docs.keys()
+    for k, t in docs.items():
+        ids = coders[1].encode_ordinary(t)
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        assert (got[k]["n_tokens"], got[k]["ids_sha256"], got[k]["decoded_sha256"]) == want
+
+
+def test_shard_query(spark, data):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = queries()["op9_shard_kk"](spark, data).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    loads, slots, places = [0] * 24, [[] for _ in range(24)], {}
+    for r in got:
+        t = docs[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t.encode()) + 8, zlib.crc32(t.encode()), "bytes", None)
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        assert places.setdefault(t, r["shard"]) == r["shard"]
+    assert all(sorted(x) == list(range(len(x))) for x in slots)
+    groups = {}
+    for t in docs.values():
+        groups[t] = groups.get(t, 0) + len(t.encode()) + 8
+    # no group may be cut, so the largest one bounds what is possible
+    assert max(loads) - min(loads) <= max(0.02 * sum(loads) / 24, max(groups.values()) - min(loads))
+
+
+def test_quality_query(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    got = queries()["op1_quality_eb"](spark, data).toPandas().set_index("doc_id")
+    model = quality_eb.fit(docs, labels)
+    own = docs.toPandas().set_index("doc_id").loc[got.index]
+    z = model.score(own["text"])
+    logit = lambda x: np.log(np.clip(x, 1e-6, 1 - 1e-6) / (1 - np.clip(x, 1e-6, 1 - 1e-6)))
+    for h in quality_eb.HEADS:
+        p = 1 / (1 + np.exp(-z[h]))
+        assert np.allclose(got[f"doc_{h}"], p)
+        assert np.allclose(got[h], 1 / (1 + np.exp(-(logit(p) + logit(got[f"path_{h}"]) - logit(p.mean())))), atol=1e-9)
+        # a site has one posterior, between its own mean and that of what is above it
+        sites = got.assign(p=p, source=own["source"].fillna("?"), lang=own["lang"].fillna("?")).groupby(["source", "lang"])
+        assert (sites[f"path_{h}"].nunique() == 1).all()
+        mean, post, host = sites["p"].mean(), sites[f"path_{h}"].first(), sites[f"host_{h}"].first()
+        assert ((post >= np.minimum(mean, host) - 1e-9) & (post <= np.maximum(mean, host) + 1e-9)).all()
+
+
 def brute_mix(pairs, sources):
     names = sorted({s for s in sources.values()}, key=lambda s: (s is None, s))
     size = {k: len((t or "").encode().split()) for k, (_, t) in enumerate(pairs)}
