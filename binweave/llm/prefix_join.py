@@ -4,17 +4,17 @@ A document is the set of its distinct 5-word shingles, each a 64-bit hash. Shing
 put in one global order: those found in many documents last, by frequency, the others by
 hash. Two sets of Jaccard similarity t or more share one of the first
 ``n - ceil(t * n) + 1`` shingles (their prefixes). Documents with identical prefixes and
-size form one group; groups meet in the postings of prefix shingles, and only postings
-that join two groups, or groups that hold two different sets, are expanded to members.
+size form one group; postings of prefix shingles hold groups, pairs of groups are ruled out as
+they meet, and only those that pass are expanded to members, which are verified by whole sets.
 
-Members of a large posting are not paired with each other. In rounds, each posting picks
-hubs, one and then GROWTH times as many, from its smaller components, and its members of other components whose size and
-places allow it are verified against them, by exact intersection of whole sets. Links merge
+Groups of a large posting are not all paired with each other. In rounds, each posting picks
+hubs, one and then GROWTH times as many, from its smaller components, and its groups of other
+components whose size, places and bitmaps allow it are verified against them. Links merge
 components; pairs within a component need no check, as they can't change it, and a hub
 leaves its posting, as all its pairs there are done. It ends when no posting joins two
 components, or when the pairs left are no more than a fixed multiple of the rows; these are
 verified too, so no link between components is lost. Small postings, of which nearly all
-are, give their pairs at once.
+are, give their pairs of groups at once.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, guarded, last_table, lean, materialise, packed, scratch, unpack
@@ -108,9 +108,9 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
 
 def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: key, n_shingles, node (a hash of the whole set), grp (a hash of
-    prefix and size), the prefix and a bitmap of it (WORDS_OF_MAP longs, and in one more how
-    many of its shingles fell on a bit that another one had). Null and empty texts have
-    n_shingles 0 and no prefix."""
+    prefix and size), the prefix and a bitmap of the set, or of the prefix of one of more than
+    WHOLE shingles (WORDS_OF_MAP longs, and in one more how many of the shingles fell on a bit
+    that another one had). Null and empty texts have n_shingles 0 and no prefix."""
     held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,11 +137,12 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
                 groups.append(mix64((whole[ends] - whole[at[:-1]]) * BASE + n.astype(U)))
                 signed = h.view(np.int64)
                 prefixes += [signed[a:b] for a, b in zip(at[:-1].tolist(), ends.tolist())]
-                maps += list(_bitmaps(h, at, p))
+                maps += list(_bitmaps(h, at, np.where(n <= WHOLE, n, p)))
             if sizes:
                 yield pd.DataFrame(
                     {
                         "key": pdf["key"],
+                        "row": pdf["row"],
                         "n": np.concatenate(sizes),
                         "node": np.concatenate(nodes).view(np.int64),
                         "grp": np.concatenate(groups).view(np.int64),
@@ -150,15 +151,17 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
                     }
                 )
 
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), row_hash(F.col(f"`{key}`"), F.col(text)).alias("row"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    out = materialise(rows.mapInPandas(lean(run), f"key {kind}, n long, node long, grp long, prefix array<long>, map array<long>"), "signatures")
+    out = materialise(rows.mapInPandas(lean(run), f"key {kind}, row long, n long, node long, grp long, prefix array<long>, map array<long>"), "signatures")
     held.destroy()
     return out
 
 
-#: Longs of a prefix's bitmap.
+#: Longs of a bitmap.
 WORDS_OF_MAP = 16
+#: Shingles of a set up to which its bitmap is of all of them; larger ones' is of the prefix.
+WHOLE = 64 * WORDS_OF_MAP
 
 
 def _bitmaps(h: np.ndarray, at: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -173,9 +176,13 @@ def _bitmaps(h: np.ndarray, at: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def row_hash(key: Column, text: Column) -> Column:
+    return F.xxhash64(key.cast("string"), F.lit(":"), text)
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: int, hint: str | None = None) -> DataFrame:
-    """Rows (node, shingles) for wanted (key, node): the documents of the keys, if their
-    sets are the nodes'."""
+    """Rows (node, shingles) for wanted (row, node): the documents of these hashes of key and
+    text, if their sets are the nodes'."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -192,8 +199,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: i
             out = pd.DataFrame({"node": np.array(nodes, dtype=U).view(np.int64), "shingles": sets})
             yield out[out["shingles"].notna()]
 
-    rows = docs.select(F.col(f"`{key}`").alias("__key"), packed(F.col(text)).alias("packed"))
-    rows = rows.join(wanted.hint(hint) if hint else wanted, F.col("__key").eqNullSafe(F.col("key"))).select("packed", "node")
+    # by a hash of key and text, of which no two different texts of one key have the same
+    rows = docs.select(row_hash(F.col(f"`{key}`"), F.col(text)).alias("row"), packed(F.col(text)).alias("packed"))
+    rows = rows.join(wanted.hint(hint) if hint else wanted, "row").select("packed", "node")
     return rows.mapInPandas(lean(run), "node long, shingles array<long>")
 
 
@@ -245,18 +253,17 @@ def _near_components(docs: DataFrame, text: str, key: str, words: int, percent:
     sig = signatures(docs, text, key, words, percent)
     kept.add(last_table())
     filled = sig.where("n > 0")
-    members = materialise(filled.groupBy("grp", "node", "n").agg(F.min("key").alias("key")), "members")
-    # postings that join groups, and groups of several sets
+    members = materialise(filled.groupBy("grp", "node", "n").agg(F.min("key").alias("key"), F.min("row").alias("row")), "members")
+    # postings that join groups
     postings = shared_tokens(filled)
-    sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
-    shared = postings.join(sizes, "grp").groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.sum("size").alias("size"))
+    sizes = materialise(members.groupBy("grp", "n").agg(F.count("*").alias("members")), "sizes")
+    shared = postings.join(sizes, "grp").groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.sum("members").alias("size"))
     shared = materialise(shared.where("lo < hi").select("token", "size"), "shared")
-    crowded = sizes.where("size > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).cast("long").alias("place"), "size")
-    posted = postings.join(shared, "token").unionByName(crowded).join(members.select("grp", "node", "n"), "grp")
-    posted = materialise(posted.select("token", "node", "n", "place", "size"), "postings")
-    verifier = Verifier(docs, text, key, words, percent, members.select("key", "node"))
+    posted = materialise(postings.join(shared, "token").join(sizes, "grp").select("token", "grp", "n", "place", "size"), "postings")
+    verifier = Verifier(docs, text, key, words, percent, members.select("row", "node"))
     nodes = members.select("node", F.col("node").alias("comp"), "key")
-    for label in _link(posted, filled.select("node", "prefix", "map"), verifier, percent, hubs):
+    maps = filled.select("grp", "prefix", "map")
+    for label in Links(posted, members.select("grp", "node", "n"), sizes, maps, verifier, percent, hubs).labels:
         nodes = relabelled(nodes, label)
     least = materialise(nodes.groupBy("comp").agg(F.min("key").alias("component")), "least")
     nodes = nodes.select("node", "comp").distinct().join(least, "comp").select("node", "component")
@@ -276,8 +283,8 @@ class Verifier:
     """Verifies pairs of nodes by their whole sets, which are made from the texts when a
     node is first met."""
 
-    def __init__(self, docs, text, key, words, percent, keys):
-        self.docs, self.text, self.key, self.words, self.percent, self.keys = docs, text, key, words, percent, keys
+    def __init__(self, docs, text, key, words, percent, rows):
+        self.docs, self.text, self.key, self.words, self.percent, self.rows = docs, text, key, words, percent, rows
         self.sets = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -286,7 +293,7 @@ class Verifier:
         hint = "merge" if self.sets is None else None
         needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
         wanted = needed if self.sets is None else needed.join(self.sets.select("node"), "node", "left_anti")
-        keys = materialise(self.keys.join(wanted, "node", "left_semi"), "keys")
+        keys = materialise(self.rows.join(wanted, "node", "left_semi"), "keys")
         new = materialise(whole_sets(self.docs, keys, self.text, self.key, self.words, hint), "sets")
         sets = new if self.sets is None else new.unionByName(self.sets.join(needed, "node", "left_semi"))
         self.sets = new if self.sets is None else self.sets.unionByName(new)
@@ -298,111 +305,190 @@ class Verifier:
         return materialise(found.select("a", "b"), "links")
 
 
-#: Members of a posting that are paired with each other at once; larger ones go by hubs.
+#: Members of a posting or group that are paired with each other at once; larger ones go by hubs.
 SMALL = 8
 #: Times as many hubs a posting has in the next round.
 GROWTH = 64
-#: Pairs for each row of the open postings up to which all that are left are verified.
-LAST = 8
+#: Pairs for each row of the open postings up to which all that are left are met at once.
+LAST = 32
 
 
-def _link(posted: DataFrame, maps: DataFrame, verifier: Verifier, percent: int, hubs: int) -> list[DataFrame]:
-    """Tables (node, label), one for each round: a node's component is its label by the first,
-    that label's label by the second, and so on; what has no label keeps its own.
+class Links:
+    """``labels``: tables (node, label), one for each round. A node's component is its label by
+    the first, that label's label by the second, and so on; what has no label keeps its own.
 
-    Small postings give all their pairs, at most SMALL / 2 for each of their rows, with the
-    number of postings that a pair shares: all common shingles of two prefixes are there, but
-    for those with large postings, of which a node's number is known. With the set whose
+    Small postings give all their pairs of groups, at most SMALL / 2 for each of their rows, with
+    the number of postings that a pair shares: all common shingles of two prefixes are there, but
+    for those with large postings, of which a group's number is known. With the set whose
     prefix ends first, what is common is in both prefixes or behind that prefix; pairs
-    that can't reach the similarity by this go unverified. A group's members (place 0) share
-    their whole prefixes, whose shingles needn't have postings: these pairs are verified.
-
-    Of pairs from large postings the bitmaps of the prefixes are compared as they meet: bits in
-    common, and shingles that share a bit with another one, bound what the prefixes have in
-    common, and that and what is behind the one that ends first bounds the rest. Only pairs
-    that pass are rows; these are held against the prefixes themselves, and what is left
-    against the whole sets."""
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    is_small = F.col("size") <= SMALL
-    missing = materialise(posted.where(~is_small).groupBy("node").agg(F.count("*").alias("large")), "missing")
-    large = posted.where(~is_small).drop("size")
-    small = posted.where(is_small).join(missing, "node", "left")
-    shared = F.when(F.col("place") == 0, F.col("n")).otherwise(1).alias("shared")
-    small = materialise(small.select("token", "node", "n", F.coalesce("large", F.lit(0)).alias("large"), shared), "small")
-    side = lambda x, *more: small.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("large").alias(f"l{x}"), *more)
-    together = side("a", "shared").join(side("b"), "token").where((F.col("a") < F.col("b")) & fits)
-    together = together.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.sum("shared").alias("count"))
-    behind = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    most = F.col("count") + F.least("la", "lb") + F.greatest(behind("na"), behind("nb"))
-    pairs = together.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
-    checked = materialise(pairs, "pairs")
-    labels = [components(verifier.links(checked))]
-    bits = [f"m{k}" for k in range(WORDS_OF_MAP + 1)]
-    # 15 bits of each shingle, and how many of them are alike: enough for an upper bound
-    short = F.array_distinct(F.transform("of.prefix", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short")))
-    maps = maps.join(missing.select("node"), "node", "left_semi").groupBy("node").agg(F.first(F.struct("prefix", "map")).alias("of"))
-    maps = maps.select("node", *[F.col("of.map")[k].alias(m) for k, m in enumerate(bits)], short.alias("short"), F.size("of.prefix").alias("p"))
-    maps = materialise(maps, "maps")
-    prefixes, maps = maps.select("node", "short", (F.col("p") - F.size("short")).alias("alike")), maps.select("node", *bits)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        held = materialise(prefixes.join(wanted, "node", "left_semi"), "compared")
-        of = lambda x: held.select(F.col("node").alias(x), F.col("short").alias(f"p{x}"), F.col("alike").alias(f"d{x}"))
-        most = F.size(F.array_intersect("pa", "pb")) + F.least("da", "db") + F.greatest(behind("na"), behind("nb"))
+    that can't reach the similarity by this go unexpanded.
+
+    Of pairs from large postings the bitmaps are compared as they meet: bits in common, and
+    shingles that share a bit with another one, bound what the sets, or the prefixes, have in
+    common; behind prefixes, that and what follows the one that ends first bounds the rest.
+    Only pairs that pass are rows; these are held against the prefixes themselves, expanded to
+    members, and verified.
+
+    Members of one group share prefix, size and all bounds; they are verified with each other
+    before groups meet, in small groups all pairs, in large ones by hubs. A group whose members
+    aren't one component then takes part once for each of its components, its parts."""
+
+    def __init__(self, posted, members, sizes, maps, verifier: Verifier, percent: int, hubs: int):
+        self.members, self.verifier, self.percent, self.hubs = members, verifier, percent, hubs
+        self.checked: DataFrame | None = None
+        self.labels: list[DataFrame] = []
+        several = materialise(members.join(sizes.where("members > 1").select("grp", "members"), "grp"), "several")
+        is_small = F.col("size") <= SMALL
+        missing = materialise(posted.where(~is_small).groupBy("grp").agg(F.count("*").alias("large")), "missing")
+        pairs = self.expanded(self.small_pairs(posted.where(is_small), missing)).unionByName(self.paired(several.where(F.col("members") <= SMALL), "grp"))
+        self.verified(materialise(pairs.distinct(), "pairs"))
+        crowds = several.where(F.col("members") > SMALL)
+        if not crowds.isEmpty():
+            # a group is a posting of its members
+            rows = crowds.select(F.col("grp").alias("token"), F.col("node").alias("unit"), "n", F.lit(1).cast("long").alias("place"), F.lit(0).cast("long").alias("large"), F.col("node").alias("comp"))
+            self.rounds(self.current(rows), None, lambda pairs: pairs.select("a", "b", "ca", "cb"))
+        large = posted.where(~is_small).drop("size").join(missing, "grp")
+        if not missing.isEmpty():
+            short, bits = self.prefixes(maps, missing)
+            held = self.current(members.join(missing.select("grp"), "grp", "left_semi").withColumn("comp", F.col("node")))
+            self.parts = materialise(held.select("grp", "node", "comp"), "parts")
+            units = self.parts.select("grp", "comp").distinct()
+            rows = large.join(units, "grp").join(bits, "grp").withColumnRenamed("grp", "unit")
+            self.rounds(rows, short, self.members_of)
+
+    def current(self, rows: DataFrame) -> DataFrame:
+        """rows with the components so far in comp, which holds nodes."""
+        for label in self.labels:
+            rows = relabelled(rows, label)
+        return rows
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Links among the pairs (a, b) of nodes, which are remembered."""
+        self.checked = pairs.select("a", "b") if self.checked is None else self.checked.unionByName(pairs.select("a", "b"))
+        links = self.verifier.links(pairs.select("a", "b"))
+        if not self.labels:
+            self.labels.append(components(links))
+        return links
+
+    def behind(self, n: str) -> Column:
+        """Shingles of a set behind its prefix."""
+        return F.ceil(F.col(n) * self.percent / 100) - 1
+
+    def enough(self, common: Column) -> Column:
+        return (100 + self.percent) * common >= self.percent * (F.col("na") + F.col("nb"))
+
+    @property
+    def fits(self) -> Column:
+        return 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
+
+    def small_pairs(self, small: DataFrame, missing: DataFrame) -> DataFrame:
+        """Pairs of groups (a, b) that small postings don't rule out."""
+        small = materialise(small.join(missing, "grp", "left").select("token", "grp", "n", F.coalesce("large", F.lit(0)).alias("large")), "small")
+        side = lambda x: small.select("token", F.col("grp").alias(x), F.col("n").alias(f"n{x}"), F.col("large").alias(f"l{x}"))
+        together = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & self.fits)
+        together = together.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("count"))
+        most = F.col("count") + F.least("la", "lb") + F.greatest(self.behind("na"), self.behind("nb"))
+        return together.where(self.enough(most)).select("a", "b")
+
+    def expanded(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of nodes of pairs of groups."""
+        of = lambda x: self.members.select(F.col("grp").alias(x), F.col("node").alias(f"{x}{x}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b")
-        return both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "ca", "cb")
-
-    common = sum((F.bit_count(F.col(f"a{m}").bitwiseAND(F.col(f"b{m}"))) for m in bits[:-1]), F.least(f"a{bits[-1]}", f"b{bits[-1]}"))
-    alike = (100 + percent) * (common + F.greatest(behind("na"), behind("nb"))) >= percent * (F.col("na") + F.col("nb"))
-    # where a shingle is the first that two sets share, what follows it bounds the rest
-    rest = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    first = (100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))
-    seen = large.join(missing, "node").join(maps, "node").select("token", "node", "n", "place", "large", *bits, F.col("node").alias("comp"))
-    seen = relabelled(seen, labels[0])
-    while True:
-        # postings that join components, with the components so far
-        seen = materialise(seen, "seen")
-        per = seen.groupBy("token", "comp").count().groupBy("token")
-        per = per.agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"), F.max_by("comp", "count").alias("main"), F.count("*").alias("comps"))
-        mixed = materialise(per.where("comps > 1").select("token", "main", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")), "mixed")
-        rows, open_pairs = mixed.agg(F.sum("m"), F.sum("pairs")).first()
-        if not rows:
-            break
-        seen = seen.join(mixed.select("token", "main"), "token")
-        last = hubs > 1 and open_pairs <= LAST * rows  # a first hub merges most copies
-        side = lambda x, y: seen.select("token", "main", F.col("node").alias(x), *[F.col(c).alias(f"{a}{y}") for c, a in (("n", "n"), ("comp", "c"), ("place", "p"), ("large", "l"))], *[F.col(m).alias(f"{y}{m}") for m in bits])
-        left = side("x", "a").where("ca <> main")  # pairs of components have a member outside the largest
-        if not last:
-            # one hub for each share of a posting; first the node that shares most, as the
-            # original of many copies does, then nodes outside the largest component
-            left = side("x", "a") if hubs == 1 else left
-            rank = F.struct(-F.col("la"), "x") if hubs == 1 else F.struct(F.xxhash64("x", F.lit(hubs)), "x")
-            hub = F.min_by(F.struct("x", "na", "ca", "pa", *[f"a{m}" for m in bits]), rank).alias("hub")
-            left = left.withColumn("share", F.pmod(F.xxhash64("x"), F.lit(hubs))).groupBy("token", "share").agg(hub)
-            left = materialise(left.select("token", "hub.*"), "hubs")
-            hubs *= GROWTH
-        pairs = left.drop("main", "la").join(side("y", "b").drop("lb"), "token").where((F.col("ca") != F.col("cb")) & fits & first & alike)
-        pairs = pairs.where("cb = main OR x < y") if last else pairs
-        swap = F.col("x") > F.col("y")
-        sides = (("x", "y", "a"), ("y", "x", "b"), *((f"{c}{y}", f"{c}{z}", f"{c}{y}") for c in "nc" for y, z in ("ab", "ba")))
-        pairs = pairs.select(*[F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in sides]).distinct()
-        pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"), "candidates")
-        label = None
-        if not pairs.isEmpty():
-            checked = checked.unionByName(pairs.select("a", "b"))
-            pairs = materialise(near(pairs), "pairs")
-            # links between components merge them
-            found = verifier.links(pairs.select("a", "b")).join(pairs, ["a", "b"])
-            label = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            labels.append(label)
-        if last:
-            break
-        # all pairs of a hub whose first common shingle this is are verified now: it leaves the
-        # posting
-        seen = seen.drop("main").join(left.select("token", F.col("x").alias("node")), ["token", "node"], "left_anti")
-        seen = seen if label is None else relabelled(seen, label)
-    return labels
+        return both.select(F.least("aa", "bb").alias("a"), F.greatest("aa", "bb").alias("b"))
+
+    def paired(self, rows: DataFrame, by: str) -> DataFrame:
+        """Pairs of nodes that share ``by``."""
+        both = rows.select(by, F.col("node").alias("a")).join(rows.select(by, F.col("node").alias("b")), by)
+        return both.where("a < b").select("a", "b")
+
+    def prefixes(self, maps: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of each group that has large postings: 15 bits of each shingle of its prefix and how
+        many of them are alike, enough for an upper bound; and the bitmap."""
+        short = F.array_distinct(F.transform("of.prefix", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short")))
+        # members have one prefix, but each its own bitmap: bits of any count, as an upper bound
+        maps = maps.join(missing.select("grp"), "grp", "left_semi").groupBy("grp").agg(
+            F.first(F.struct("prefix")).alias("of"),
+            *[F.bit_or(F.col("map")[k]).alias(f"m{k}") for k in range(WORDS_OF_MAP)],
+            F.max(F.col("map")[WORDS_OF_MAP]).alias(f"m{WORDS_OF_MAP}"),
+        )
+        bits = [f"m{k}" for k in range(WORDS_OF_MAP + 1)]
+        maps = materialise(maps.select("grp", *bits, short.alias("short"), F.size("of.prefix").alias("p")), "maps")
+        return maps.select("grp", "short", (F.col("p") - F.size("short")).alias("alike")), maps.select("grp", *bits)
+
+    def near(self, pairs: DataFrame, short: DataFrame) -> DataFrame:
+        """Pairs of groups that their prefixes don't rule out."""
+        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct(), "wanted")
+        held = materialise(short.join(wanted, "grp", "left_semi"), "compared")
+        of = lambda x: held.select(F.col("grp").alias(x), F.col("short").alias(f"p{x}"), F.col("alike").alias(f"d{x}"))
+        most = F.size(F.array_intersect("pa", "pb")) + F.least("da", "db") + F.greatest(self.behind("na"), self.behind("nb"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(self.enough(most)).select("a", "b", "ca", "cb")
+
+    def members_of(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of nodes (a, b) with their components of pairs of parts of groups."""
+        of = lambda x: self.parts.select(F.col("grp").alias(x), F.col("comp").alias(f"c{x}"), F.col("node").alias(f"{x}{x}"))
+        both = pairs.join(of("a"), ["a", "ca"]).join(of("b"), ["b", "cb"])
+        swap = F.col("aa") > F.col("bb")
+        sides = (("aa", "bb", "a"), ("bb", "aa", "b"), ("ca", "cb", "ca"), ("cb", "ca", "cb"))
+        return both.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(c) for x, y, c in sides])
+
+    def rounds(self, seen: DataFrame, short: DataFrame | None, members_of) -> None:
+        """Rounds of hubs over rows (token, unit, comp, n, place, large), with bitmaps if there
+        are prefixes. members_of gives the pairs of nodes of pairs of units."""
+        bits = [f"m{k}" for k in range(WORDS_OF_MAP + 1)] if short is not None else []
+        passes = F.lit(True)
+        if bits:
+            common = sum((F.bit_count(F.col(f"a{m}").bitwiseAND(F.col(f"b{m}"))) for m in bits[:-1]), F.least(f"a{bits[-1]}", f"b{bits[-1]}"))
+            whole, part = (F.greatest("na", "nb") <= WHOLE), (F.least("na", "nb") > WHOLE)
+            # a bitmap of a set and one of a prefix can't be compared
+            alike = F.when(whole, self.enough(common)).when(part, self.enough(common + F.greatest(self.behind("na"), self.behind("nb")))).otherwise(True)
+            # where a shingle is the first that two sets share, what follows it bounds the rest
+            first = self.enough(1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")))
+            passes = self.fits & first & alike
+        hubs = self.hubs
+        while True:
+            # postings that join components, with the components so far
+            seen = materialise(seen, "seen")
+            per = seen.groupBy("token", "comp").count().groupBy("token")
+            per = per.agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"), F.max_by("comp", "count").alias("main"), F.count("*").alias("comps"))
+            mixed = materialise(per.where("comps > 1").select("token", "main", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")), "mixed")
+            rows, open_pairs = mixed.agg(F.sum("m"), F.sum("pairs")).first()
+            if not rows:
+                return
+            seen = seen.join(mixed.select("token", "main"), "token")
+            last = hubs > 1 and open_pairs <= LAST * rows  # a first hub merges most copies
+            side = lambda x, y: seen.select("token", "main", F.col("unit").alias(x), *[F.col(c).alias(f"{a}{y}") for c, a in (("n", "n"), ("comp", "c"), ("place", "p"), ("large", "l"))], *[F.col(m).alias(f"{y}{m}") for m in bits])  # noqa: E731, B023
+            left = side("x", "a").where("ca <> main")  # pairs of components have a member outside the largest
+            if not last:
+                # one hub for each share of a posting; first the unit that shares most, as the
+                # original of many copies does, then units outside the largest component
+                left = side("x", "a") if hubs == 1 else left
+                rank = F.struct(-F.col("la"), "x", "ca") if hubs == 1 else F.struct(F.xxhash64("x", "ca", F.lit(hubs)), "x", "ca")
+                hub = F.min_by(F.struct("x", "na", "ca", "pa", *[f"a{m}" for m in bits]), rank).alias("hub")
+                left = left.withColumn("share", F.pmod(F.xxhash64("x", "ca"), F.lit(hubs))).groupBy("token", "share").agg(hub)
+                left = materialise(left.select("token", "hub.*"), "hubs")
+                hubs *= GROWTH
+            # parts of one group have met in it
+            pairs = left.drop("main", "la").join(side("y", "b").drop("lb"), "token").where((F.col("ca") != F.col("cb")) & (F.col("x") != F.col("y")) & passes)
+            pairs = pairs.where("cb = main OR x < y") if last else pairs
+            swap = F.col("x") > F.col("y")
+            sides = (("x", "y", "a"), ("y", "x", "b"), *((f"{c}{y}", f"{c}{z}", f"{c}{y}") for c in "nc" for y, z in ("ab", "ba")))
+            pairs = materialise(pairs.select(*[F.when(swap, F.col(q)).otherwise(F.col(p)).alias(c) for p, q, c in sides]).distinct(), "candidates")
+            label = None
+            if not pairs.isEmpty():
+                found = members_of(pairs if short is None else self.near(pairs, short)).distinct()
+                found = materialise(found.join(self.checked, ["a", "b"], "left_anti"), "pairs")
+                # links between components merge them
+                links = self.verified(found).join(found, ["a", "b"])
+                label = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+                self.labels.append(label)
+                if short is not None:
+                    self.parts = materialise(relabelled(self.parts, label), "parts")
+            if last:
+                return
+            # all pairs of a hub whose first common shingle this is are verified now: it leaves the
+            # posting
+            seen = seen.drop("main").join(left.select("token", F.col("x").alias("unit"), F.col("ca").alias("comp")), ["token", "unit", "comp"], "left_anti")
+            seen = seen if label is None else relabelled(seen, label)
 
 
 @guarded
@@ -412,7 +498,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
     key with different texts are documents of their own, and rows that repeat the document
     that stays, stay too. Very long texts are compared whole; columns whose names clash with
     internal ones pass unchanged."""
-    rows = docs.withColumn("__row", F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(":"), F.col(text)))
+    rows = docs.withColumn("__row", row_hash(F.col(f"`{key}`"), F.col(text)))
     with scratch(docs.sparkSession) as kept:
         gone = _surplus(rows, text, key, options)
         kept.add(last_table())

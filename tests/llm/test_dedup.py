@@ -182,6 +182,55 @@ def test_near_pairs_of_equal_size(make, seed):
     assert all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(150))
 
 
+@pytest.mark.parametrize("small,last", [(0, 0), (2, 0), (8, 32)])
+def test_near_groups_that_are_not_one_component(make, monkeypatch, small, last):
+    """Sets of equal prefix and size whose frequent rest differs, with near copies of some."""
+    monkeypatch.setattr(prefix_join, "FREQUENT", 12)
+    monkeypatch.setattr(prefix_join, "SMALL", small)
+    monkeypatch.setattr(prefix_join, "LAST", last)
+    rnd = random.Random(11)
+    rest = [" ".join(f"r{k}x{m}" for m in range(40)) for k in range(5)]
+    texts = []
+    for u in range(25):
+        own = " ".join(f"u{u}x{m}" for m in range(60))
+        texts += [f"{own} {r}" for r in rest]
+        for _ in range(3):
+            words = f"{own} {rnd.choice(rest)}".split()
+            words[rnd.randrange(60, 100)] = "edit"
+            texts.append(" ".join(words))
+    pairs = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in prefix_join.near_components(make(pairs)).collect()}
+    assert got == brute_components(pairs)
+    sig = prefix_join.signatures(make(pairs)).where("n > 0").toPandas()
+    assert (sig.groupby("grp")["node"].nunique() > 1).sum() > 5
+
+
+def test_near_crowds(make, monkeypatch):
+    """Groups of many members, and sets on both sides of the size up to which bitmaps are of whole
+    sets."""
+    monkeypatch.setattr(prefix_join, "SMALL", 2)
+    monkeypatch.setattr(prefix_join, "LAST", 1)
+    rnd = random.Random(12)
+    texts = []
+    for u, size in enumerate((150, 150, 1010, 1040)):
+        base = [f"u{u}x{m}" for m in range(size)]
+        for _ in range(30):
+            words = list(base)
+            for _ in range(rnd.choice([1, 1, 2, size // 40])):
+                words[rnd.randrange(size)] = f"e{rnd.randrange(10**6)}"
+            texts.append(" ".join(words + ["tail"] * rnd.choice([0, 0, 1])))
+    pairs = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in prefix_join.near_components(make(pairs)).collect()}
+    assert got == brute_components(pairs)
+
+
+def test_whole_sets_of_null_keys(make):
+    """Rows of one key with different texts don't meet each other."""
+    docs = make([(None, f"text number {k} of very many") for k in range(300)])
+    sig = prefix_join.signatures(docs)
+    assert prefix_join.whole_sets(docs, sig.select("row", "node"), "text", "doc_id", 5).count() == 300
+
+
 def test_hubs_of_unlinked_copies(make, monkeypatch):
     # a passage that is most of each text, none of which are linked: hubs leave, all pairs are checked
     monkeypatch.setattr(prefix_join, "SMALL", 2)
