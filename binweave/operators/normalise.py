@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantile
 from ..functions.tables import dropped, written
 from .cells import CELL, KEY
 from .vectors import Matrix, State, merged, picked
@@ -44,6 +45,9 @@ def by_distance(cells: DataFrame, stats: str = "median", outliers: float | None
         from .stats import drop_outliers
 
         rows = drop_outliers(rows, [*keys, "d"], outliers)
+    if pool and stats == "median":
+        return quantile(rows, [*keys, "d"], F.col("v"), 0.5, "expected")
+    # a map's diagonal has no more values than bins
     how = F.median("v") if stats == "median" else F.avg("v")
     return rows.groupBy(*keys, "d").agg(how.alias("expected"))
 
@@ -71,13 +75,13 @@ def correction_bias(cells: DataFrame, tol: float = 1e-4, iterations: int = 500)
     it that sweep's scale."""
     a = Matrix(cells)
     state = State(a.bins().withColumn("b", F.lit(1.0)))
+    rows, b, s = state.rows, F.col("b"), F.col("s")
     total: dict[tuple, float] = {}
-    moving, finished, s = set(state.scalars(n=F.count("*"))), [], F.col("s")
-    left = iterations + 3
-    while moving or total:
-        left -= 1
-        state.write(merged(state.rows, a.times(state.rows, 1 / F.col("b"))).withColumn("s", s / F.col("b")))
+    moving, finished = None, []
+    for left in range(iterations + 2, -1, -1):
+        state.write(merged(rows, a.times(rows, 1 / b)).withColumn("s", s / b))
         sums = state.scalars(now=F.sum("s"), mean=F.avg(F.when(s != 0, s)))
+        moving = set(sums) if moving is None else moving
         numbers = {}
         for k, of in sums.items():
             # the scale of the sweep before; row sums change by its square
@@ -86,15 +90,14 @@ def correction_bias(cells: DataFrame, tol: float = 1e-4, iterations: int = 500)
         # a map at rest, or after the last sweep, has its scale and is done
         done = [k for k in sums if k not in moving or not left]
         if done:
-            finished.append(written(state.given(numbers, picked(state.rows, done)).select(*KEY, "i", (F.col("b") * F.col("scale")).alias("b")), "bias"))
+            finished.append(written(state.given(numbers, picked(state.rows, done)).select(*KEY, "i", (b * F.col("scale")).alias("b")), "bias"))
         if len(done) == len(sums):
             break
         ratio = F.when((F.col("mean") == 0) | (s == 0), 1.0).otherwise(s / F.col("mean"))
-        held = state.given(numbers, picked(state.rows, done, inside=False)).withColumn("was", F.col("b") * F.col("scale"))
-        state.write(held.select(*KEY, "i", (F.col("was") * ratio).alias("b"), F.abs(F.col("was") * (ratio - 1)).alias("step")))
-        change = state.scalars(change=F.sum("step"))
+        held = state.given(numbers, picked(state.rows, done, inside=False)).withColumn("was", b * F.col("scale"))
+        rows = held.select(*KEY, "i", (F.col("was") * ratio).alias("b"))
+        change = state.scalars(held, change=F.sum(F.abs(F.col("was") * (ratio - 1))))
         moving -= {k for k, of in change.items() if of["change"] < tol}
-        state.write(state.rows.drop("step"))
     a.close()
     dropped(state.rows)
     out = finished[0] if finished else cells.select(*KEY, "i", F.lit(1.0).alias("b")).where("false")
@@ -120,46 +123,50 @@ def balancing_vector(cells: DataFrame, tol: float = 1e-12, delta: float = 0.1, m
     conjugate gradients with the diagonal as preconditioner, in the scaled variable
     y = w / x, and stays within [delta, most] of the last x (Knight and Ruiz, 2013).
 
-    x, v = x * (A x), y, the residual q and the direction p are columns of one table."""
+    x, v = x * (A x), y, the residual q and the direction p are columns of one table. A step of
+    the inner loop is two jobs: the product, written with all it is made of, and the sums that
+    the next step needs. Maps that are done are left out of the products."""
     a = Matrix(cells)
     x, v, y, q, p, w = map(F.col, "xvyqpw")
-    state = State(merged(a.bins().withColumn("x", F.lit(1.0)), a.times(a.bins(), F.lit(1.0))).select(*KEY, "i", "x", F.col("s").alias("v")))
+    ones = a.bins().withColumn("x", F.lit(1.0))
+    state = State(merged(ones, a.times(ones, x)).select(*KEY, "i", "x", F.col("s").alias("v")))
     norms = {k: of["n"] for k, of in state.scalars(n=F.sum((1 - v) * (1 - v))).items()}
     eta = dict.fromkeys(norms, 0.1)
     open_maps = {k for k in norms if norms[k] > tol * tol}
     for _ in range(rounds):
         if not open_maps:
             break
-        state.write(state.rows.select(*KEY, "i", "x", "v", F.lit(1.0).alias("y"), (1 - v).alias("q"), ((1 - v) / v).alias("p")))
-        rho = {k: of["rho"] for k, of in state.scalars(rho=F.sum(q * p)).items()}
+        rows = state.rows.select(*KEY, "i", "x", "v", F.lit(1.0).alias("y"), (1 - v).alias("q"), ((1 - v) / v).alias("p"))
+        rho = {k: of["rho"] for k, of in state.scalars(rows, rho=F.sum(q * p)).items()}
+        rows = state.given({k: {"rho": r} for k, r in rho.items()}, rows)
         goal = {k: max(eta[k] ** 2 * norms[k], tol * tol) for k in open_maps}
         active = {k for k in open_maps if rho[k] > 0}
         while active:
-            rest, mine = picked(state.rows, active, inside=False), picked(state.rows, active)
-            mine = merged(mine, a.times(mine, x * p)).select(*KEY, "i", "x", "v", "y", "q", "p", (x * F.col("s") + v * p).alias("w"))
-            state.write(mine.unionByName(rest.withColumn("w", F.lit(0.0))))
-            found = state.scalars(picked(state.rows, active), pw=F.sum(p * w))
-            alpha = {k: {"alpha": rho[k] / of["pw"]} for k, of in found.items()}
+            some = len(active) < len(norms)
+            mine = picked(rows, active) if some else rows
+            state.write(merged(rows, a.times(mine, x * p)).withColumn("w", x * F.col("s") + v * p).drop("s"))
+            mine = picked(state.rows, active) if some else state.rows
+            # the step's length is a map's number
+            mine = mine.join(F.broadcast(mine.groupBy(*KEY).agg(F.sum(p * w).alias("pw"))), list(KEY)).withColumn("alpha", F.col("rho") / F.col("pw"))
             step, r = F.col("alpha") * p, q - F.col("alpha") * w
             room = F.min(F.when(step < 0, (delta - y) / step))
             top = F.min(F.when(step > 0, (most - y) / step))
-            found = state.scalars(state.given(alpha, picked(state.rows, active)), low=F.min(y + step), high=F.max(y + step), rho=F.sum(r * r / v), room=room, top=top)
-            numbers = {k: {"go": 0.0, "alpha": 0.0, "beta": 0.0} for k in norms}
+            found = state.scalars(mine, alpha=F.max("alpha"), low=F.min(y + step), high=F.max(y + step), rho=F.sum(r * r / v), room=room, top=top)
+            numbers = {k: {"go": 0.0, "alpha": 0.0, "beta": 0.0, "rho": rho[k]} for k in norms}
             for k, of in found.items():
                 if of["low"] <= delta or of["high"] >= most:
                     # stop at the wall
-                    numbers[k]["go"] = alpha[k]["alpha"] * max(0.0, min(1.0, *(of[c] for c in ("room", "top") if of[c] is not None)))
+                    numbers[k]["go"] = of["alpha"] * max(0.0, min(1.0, *(of[c] for c in ("room", "top") if of[c] is not None)))
                     active.discard(k)
-                elif of["rho"] <= goal[k]:
-                    numbers[k] |= {"go": alpha[k]["alpha"], "alpha": alpha[k]["alpha"]}
+                    continue
+                numbers[k] |= {"go": of["alpha"], "alpha": of["alpha"], "beta": of["rho"] / rho[k], "rho": of["rho"]}
+                rho[k] = of["rho"]
+                if of["rho"] <= goal[k]:
                     active.discard(k)
-                else:
-                    numbers[k] |= {"go": alpha[k]["alpha"], "alpha": alpha[k]["alpha"], "beta": of["rho"] / rho[k]}
-                    rho[k] = of["rho"]
-            held = state.given(numbers).withColumn("y", y + F.col("go") * p).withColumn("q", r)
-            state.write(held.select(*KEY, "i", "x", "v", "y", "q", (q / v + F.col("beta") * p).alias("p")))
-        state.write(state.rows.select(*KEY, "i", (x * y).alias("x")))  # y is 1 where a map is done
-        state.write(merged(state.rows, a.times(state.rows, x)).select(*KEY, "i", "x", (x * F.col("s")).alias("v")))
+            held = state.given(numbers, state.rows.drop("rho")).withColumn("y", y + F.col("go") * p).withColumn("q", r)
+            rows = held.select(*KEY, "i", "x", "v", "y", "q", (q / v + F.col("beta") * p).alias("p"), "rho")
+        rows = rows.select(*KEY, "i", (x * y).alias("x"))  # y is 1 where a map is done
+        state.write(merged(rows, a.times(rows, x)).select(*KEY, "i", "x", (x * F.col("s")).alias("v")))
         found = state.scalars(n=F.sum((1 - v) * (1 - v)))
         for k in list(open_maps):
             last, norms[k] = norms[k], found[k]["n"]

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import correlation_p
+from ..functions.quantiles import quantile
 from ..functions.tables import before_range, in_ranges, null_safe
 from .cells import KEY
 
@@ -16,9 +17,9 @@ from .cells import KEY
 def drop_outliers(rows: DataFrame, keys: list[str], limit: float = 3.5, value: str = "v") -> DataFrame:
     """Rows whose robust z-score 0.6745 |x - median| / MAD within their group is at most
     the limit; a MAD of 0 leaves the group as it is."""
-    centre = rows.groupBy(*keys).agg(F.median(value).alias("__m"))
+    centre = quantile(rows, keys, F.col(value), 0.5, "__m")
     near = rows.join(centre, keys)
-    spread = near.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("__m"))).alias("__mad"))
+    spread = quantile(near, keys, F.abs(F.col(value) - F.col("__m")), 0.5, "__mad")
     z = F.when(F.col("__mad") > 0, 0.6745 * F.abs(F.col(value) - F.col("__m")) / F.col("__mad")).otherwise(0.0)
     return near.join(spread, keys).where(z <= limit).select(*rows.columns)
 
@@ -36,11 +37,15 @@ def paired(a: DataFrame, b: DataFrame, offset: int | None = 1, cutoff: float | N
     if offset is not None:
         both = both.where(F.col("j") - F.col("i") > offset)
 
-    def with_limits(m: DataFrame, name: str, how: Column) -> DataFrame:
-        return m.groupBy(*on).agg(how.alias(f"l_{name}"), (F.greatest(F.max("i"), F.max("j")) + 1).alias(f"n_{name}"))
+    def with_limits(m: DataFrame, name: str) -> DataFrame:
+        found = F.when(F.col("v") != 0, F.col("v"))
+        ends = m.groupBy(*on).agg(F.min(found).alias(f"l_{name}"), (F.greatest(F.max("i"), F.max("j")) + 1).alias(f"n_{name}"))
+        if cutoff is None:
+            return ends
+        limit, ends = quantile(m, list(on), found, cutoff / 100, f"l_{name}"), ends.drop(f"l_{name}")
+        return ends.join(limit, list(on)) if on else ends.crossJoin(F.broadcast(limit))  # one row each
 
-    least = lambda: F.min(F.when(F.col("v") != 0, F.col("v"))) if cutoff is None else F.percentile(F.when(F.col("v") != 0, F.col("v")), F.lit(cutoff / 100))
-    la, lb = with_limits(a, "a", least()), with_limits(b, "b", least())
+    la, lb = with_limits(a, "a"), with_limits(b, "b")
     # one row for each pair of maps
     both = both.join(la, list(on)).join(lb, list(on)) if on else both.crossJoin(F.broadcast(la)).crossJoin(F.broadcast(lb))
     both = both.where((F.col("i") < F.least("n_a", "n_b")) & (F.col("j") < F.least("n_a", "n_b")))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantile
 from ..functions.tables import dropped, written
 from .cells import last_of
 
@@ -175,7 +176,7 @@ def long_form(wide: DataFrame, binsize: int | None = None, methods: tuple[str, .
 
 def percentile(track: DataFrame, q: float = 0.95) -> DataFrame:
     """Percentile of non-zero values: the usual upper limit of a plot."""
-    return track.where("v <> 0").groupBy("chrom", "binsize", "name").agg(F.percentile("v", F.lit(q)).alias("limit"))
+    return quantile(track.where("v <> 0"), ["chrom", "binsize", "name"], F.col("v"), q, "limit")
 
 
 def signs(track: DataFrame) -> DataFrame:

@@ -28,9 +28,16 @@ class Matrix:
         self.spark = cells.sparkSession
         i, j = ("j", "i") if turned else ("i", "j")
         self.stored = written(cells.select(*KEY, F.col(i).alias("i"), F.col(j).alias("j"), F.col(value).alias("v")), "matrix")
-        # a number of one's own: adaptive plans leave such partitions as they are
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.cells = self.stored.repartition(n, *KEY, "j").sortWithinPartitions(*KEY, "j").persist()
+        self.cells = self.stored.repartition(n, *KEY, "j").sortWithinPartitions(*KEY, "j")
+        # a cached plan that is adaptive doesn't tell joins how it is laid out
+        name = "spark.sql.adaptive.enabled"
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "false")
+        try:
+            self.cells = self.cells.persist()
+        finally:
+            self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
 
     def bins(self) -> DataFrame:
         """Bins that have cells: (map, binsize, i)."""
