@@ -210,7 +210,7 @@ BITS = 1 << 26
 
 
 def shared_tokens(sig: DataFrame) -> DataFrame:
-    """Rows (token, grp, place) of prefix shingles, without those that one document alone has
+    """Rows (token, grp, n, place) of prefix shingles, without those that one document alone has
     in its prefix, as far as a bitmap of fixed size tells. Counting takes 31 bits of each
     shingle; where the bitmap fills up, more rows stay and none is lost."""
     each = sig.select(F.explode("prefix").alias("token")).select(F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("low"))
@@ -232,9 +232,9 @@ def shared_tokens(sig: DataFrame) -> DataFrame:
             keep = (held.value[at >> U(6)] >> (at & U(63))) & U(1) == 1
             row = np.repeat(np.arange(len(pdf)), count)
             place = np.arange(1, len(row) + 1) - (np.cumsum(count) - count)[row]
-            yield pd.DataFrame({"token": token[keep], "grp": pdf["grp"].to_numpy()[row[keep]], "place": place[keep]})
+            yield pd.DataFrame({"token": token[keep], "grp": pdf["grp"].to_numpy()[row[keep]], "n": pdf["n"].to_numpy()[row[keep]], "place": place[keep]})
 
-    out = materialise(sig.select("grp", "prefix").mapInPandas(lean(run), "token long, grp long, place long").distinct(), "tokens")
+    out = materialise(sig.select("grp", "n", "prefix").mapInPandas(lean(run), "token long, grp long, n long, place long").distinct(), "tokens")
     held.destroy()
     return out
 
@@ -257,9 +257,12 @@ def _near_components(docs: DataFrame, text: str, key: str, words: int, percent:
     # postings that join groups
     postings = shared_tokens(filled)
     sizes = materialise(members.groupBy("grp", "n").agg(F.count("*").alias("members")), "sizes")
-    shared = postings.join(sizes, "grp").groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.sum("members").alias("size"))
+    # a posting's members; few groups have more than one, and only these are joined
+    more = materialise(sizes.where("members > 1").select("grp", (F.col("members") - 1).alias("more")), "more")
+    counted = postings.select("token", "grp").join(more, "grp", "left")
+    shared = counted.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), (F.count("*") + F.sum(F.coalesce("more", F.lit(0)))).alias("size"))
     shared = materialise(shared.where("lo < hi").select("token", "size"), "shared")
-    posted = materialise(postings.join(shared, "token").join(sizes, "grp").select("token", "grp", "n", "place", "size"), "postings")
+    posted = materialise(postings.join(shared, "token").select("token", "grp", "n", "place", "size"), "postings")
     verifier = Verifier(docs, text, key, words, percent, members.select("row", "node"))
     nodes = members.select("node", F.col("node").alias("comp"), "key")
     maps = filled.select("grp", "prefix", "map")
@@ -309,10 +312,18 @@ class Verifier:
 SMALL = 8
 #: Times as many hubs a posting has in the next round.
 GROWTH = 64
+#: Rows of a few numbers, and of a bitmap more, up to which a table is sent to all executors
+#: (some 50 MB); larger ones are shuffled.
+SENT, SENT_MAPS = 1 << 20, 1 << 17
 #: Pairs for each row of the open postings up to which all that are left are met at once.
 LAST = 32
 
 
+def sent(table: DataFrame, most: int) -> DataFrame:
+    """The written table, to be broadcast if it has no more rows than that."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 class Links:
     """``labels``: tables (node, label), one for each round. A node's component is its label by
     the first, that label's label by the second, and so on; what has no label keeps its own.
@@ -404,15 +415,16 @@ class Links:
     def prefixes(self, maps: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of each group that has large postings: 15 bits of each shingle of its prefix and how
         many of them are alike, enough for an upper bound; and the bitmap."""
-        short = F.array_distinct(F.transform("of.prefix", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short")))
+        short = F.array_distinct(F.transform("prefix", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short")))
+        maps = maps.select("grp", "map", F.struct(short.alias("short"), F.size("prefix").alias("p")).alias("of"))
         # members have one prefix, but each its own bitmap: bits of any count, as an upper bound
-        maps = maps.join(missing.select("grp"), "grp", "left_semi").groupBy("grp").agg(
-            F.first(F.struct("prefix")).alias("of"),
+        maps = maps.join(sent(missing.select("grp"), SENT), "grp", "left_semi").groupBy("grp").agg(
+            F.first("of").alias("of"),
             *[F.bit_or(F.col("map")[k]).alias(f"m{k}") for k in range(WORDS_OF_MAP)],
             F.max(F.col("map")[WORDS_OF_MAP]).alias(f"m{WORDS_OF_MAP}"),
         )
         bits = [f"m{k}" for k in range(WORDS_OF_MAP + 1)]
-        maps = materialise(maps.select("grp", *bits, short.alias("short"), F.size("of.prefix").alias("p")), "maps")
+        maps = materialise(maps.select("grp", *bits, "of.*"), "maps")
         return maps.select("grp", "short", (F.col("p") - F.size("short")).alias("alike")), maps.select("grp", *bits)
 
     def near(self, pairs: DataFrame, short: DataFrame) -> DataFrame:
@@ -454,7 +466,7 @@ class Links:
             rows, open_pairs = mixed.agg(F.sum("m"), F.sum("pairs")).first()
             if not rows:
                 return
-            seen = seen.join(mixed.select("token", "main"), "token")
+            seen = seen.join(sent(mixed.select("token", "main"), SENT), "token")
             last = hubs > 1 and open_pairs <= LAST * rows  # a first hub merges most copies
             side = lambda x, y: seen.select("token", "main", F.col("unit").alias(x), *[F.col(c).alias(f"{a}{y}") for c, a in (("n", "n"), ("comp", "c"), ("place", "p"), ("large", "l"))], *[F.col(m).alias(f"{y}{m}") for m in bits])  # noqa: E731, B023
             left = side("x", "a").where("ca <> main")  # pairs of components have a member outside the largest
@@ -468,7 +480,8 @@ class Links:
                 left = materialise(left.select("token", "hub.*"), "hubs")
                 hubs *= GROWTH
             # parts of one group have met in it
-            pairs = left.drop("main", "la").join(side("y", "b").drop("lb"), "token").where((F.col("ca") != F.col("cb")) & (F.col("x") != F.col("y")) & passes)
+            met = left.drop("main", "la")
+            pairs = (met if last else sent(met, SENT_MAPS)).join(side("y", "b").drop("lb"), "token").where((F.col("ca") != F.col("cb")) & (F.col("x") != F.col("y")) & passes)
             pairs = pairs.where("cb = main OR x < y") if last else pairs
             swap = F.col("x") > F.col("y")
             sides = (("x", "y", "a"), ("y", "x", "b"), *((f"{c}{y}", f"{c}{z}", f"{c}{y}") for c in "nc" for y, z in ("ab", "ba")))
@@ -487,7 +500,8 @@ class Links:
                 return
             # all pairs of a hub whose first common shingle this is are verified now: it leaves the
             # posting
-            seen = seen.drop("main").join(left.select("token", F.col("x").alias("unit"), F.col("ca").alias("comp")), ["token", "unit", "comp"], "left_anti")
+            gone = left.select("token", F.col("x").alias("unit"), F.col("ca").alias("comp"))
+            seen = seen.drop("main").join(sent(gone, SENT), ["token", "unit", "comp"], "left_anti")
             seen = seen if label is None else relabelled(seen, label)
 
 
