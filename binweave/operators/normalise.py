@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantile
@@ -56,7 +56,13 @@ def over_expected(cells: DataFrame, stats: str = "median", kind: str = "o/e") ->
     """Median (or mean) contact frequency scaling. o/e: v over its diagonal's value; o-e: v
     less that, 1 where it is below 0, zero cells stay zero. A diagonal whose expectation is
     0 passes unchanged. Only symmetric maps have distances; others are refused."""
-    expected = by_distance(cells, stats)
+    how = F.median("v") if stats == "median" else F.avg("v")
+    found = cells.where("v <> 0").groupBy(*KEY, F.abs(F.col("i") - F.col("j")).alias("d")).agg(how.alias("expected"), F.max("i").alias("__i"), F.max("j").alias("__j"))
+    # a window over a map's diagonals, no more than its bins
+    every = Window.partitionBy(*KEY)
+    uneven = F.max("__i").over(every) != F.max("__j").over(every)
+    refused = F.raise_error(F.concat(F.lit("map "), F.coalesce("map", F.lit("null")), F.lit(" is rectangular: it has no distances")))
+    expected = found.withColumn("__uneven", uneven).select(*KEY, "d", F.when(F.col("__uneven"), refused.cast("double")).otherwise(F.col("expected")).alias("expected"))
     both = cells.where("v <> 0").withColumn("d", F.abs(F.col("i") - F.col("j"))).join(expected, [*KEY, "d"], "left")
     if kind == "o/e":
         v = F.col("v") / F.col("expected")

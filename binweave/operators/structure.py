@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import written
+from . import tiles
 from .cells import KEY, shape
 
 #: Vectors of the subspace that is iterated for the first principal component, and rounds.
@@ -174,18 +175,34 @@ def correct_peaks(scores: DataFrame, cells: DataFrame, factor: float = 1.0) -> D
     return scores.join(m, [*KEY, "i"], "left").select(*KEY, "i", F.when(flip, -F.col("score")).otherwise(F.col("score")).alias("score"))
 
 
-def smooth(cells: DataFrame, passes: int = 1) -> DataFrame:
-    """3 x 3 mean, zeros counted, windows cut at the edges."""
-    n = shape(cells).select(*KEY, F.greatest("nx", "ny").alias("n"))
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    span = lambda c: F.least(F.col(c) + 2, F.col("n")) - F.greatest(F.col(c) - 1, F.lit(0))
-    for _ in range(passes):
-        moved = cells.select(*KEY, "i", "j", "v", F.explode(near).alias("o")).select(*KEY, (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), "v")
-        sums = moved.groupBy(*KEY, "i", "j").agg(F.sum("v").alias("v")).join(n, list(KEY)).where("i BETWEEN 0 AND n - 1 AND j BETWEEN 0 AND n - 1")
-        cells = sums.select(*KEY, "i", "j", (F.col("v") / (span("i") * span("j"))).alias("v"))
+def smooth(cells: DataFrame, passes: int = 1, side: int = tiles.SIDE) -> DataFrame:
+    """3 x 3 mean, zeros counted, windows cut at the edges. All passes go over dense tiles with a
+    margin of as many bins, so that there is one exchange; more passes than a tile has bins go
+    in several."""
+    while passes > 0:
+        some = min(passes, side)
+        passes -= some
+        cells = tiles.over_halos(cells, _box_means(some), some, side=side)
+        cells = written(cells, "smooth") if passes else cells
     return cells
 
 
+def _box_means(passes: int):
+    """A function for over_halos: so many passes of 3 x 3 means."""
+
+    def run(square: np.ndarray, i: int, j: int, n: int) -> np.ndarray:
+        rows, columns = i + np.arange(len(square)), j + np.arange(len(square))
+        span = lambda at: np.where((at >= 0) & (at < n), np.minimum(at + 2, n) - np.maximum(at - 1, 0), np.inf)
+        count = np.multiply.outer(span(rows), span(columns))  # outside the map all becomes 0
+        for _ in range(passes):
+            wide = np.pad(square, 1)
+            across = wide[:, :-2] + wide[:, 1:-1] + wide[:, 2:]
+            square = (across[:-2] + across[1:-1] + across[2:]) / count
+        return square
+
+    return run
+
+
 def off_diagonal_peaks(peaks: DataFrame, distance: int = 4) -> DataFrame:
     """Peaks (i, j) above the diagonal and more than ``distance`` bins from it."""
     return peaks.where(F.col("j") - F.col("i") > distance)

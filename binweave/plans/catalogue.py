@@ -673,11 +673,11 @@ def src_paired_coo(spark, d):
 @query("SELECT 'chr' || map AS map, binsize, i, j, v FROM cells")
 def src_matrix_file(spark, d):
     c = written(cells(spark, d), "cells")
-    # the header has as many entries as the maps have bins
-    bins = c.select("map", "i").distinct().select(F.concat_ws("-", "map", F.col("i") * 50).alias("x"))
-    head = bins.agg(F.array_sort(F.collect_list("x")).alias("head"))
+    # a header for each map, with as many entries as it has bins, as the format asks for
+    bins = c.select("map", "i").distinct().select("map", F.concat_ws("-", "map", F.col("i") * 50).alias("x"))
+    head = bins.groupBy("map").agg(F.array_sort(F.collect_list("x")).alias("head"))
     held = c.groupBy("map", "i").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "map", F.col("j") * 50), F.col("v").cast("string")))).alias("m"))
-    body = held.crossJoin(F.broadcast(head)).select(joined_text(F.lit("row"), F.concat_ws("-", "map", F.col("i") * 50), F.array_join(F.transform("head", lambda x: F.coalesce(F.try_element_at("m", x), F.lit("0"))), "\t"), by="\t"))
+    body = held.join(head, "map").select(joined_text(F.lit("row"), F.concat_ws("-", "map", F.col("i") * 50), F.array_join(F.transform("head", lambda x: F.coalesce(F.try_element_at("m", x), F.lit("0"))), "\t"), by="\t"))
     first = head.select(joined_text(F.lit("HiCMatrix"), F.lit("Regions"), F.array_join("head", "\t"), by="\t"))
     return X.homer(spark, put_lines(first.unionByName(body), "homer"), 50)
 
@@ -685,8 +685,8 @@ def src_matrix_file(spark, d):
 @query("SELECT 'chr' || map AS map, binsize, i + 1 AS i, j + 1 AS j, v FROM cells")
 def src_bins_and_contacts(spark, d):
     c = written(upper(spark, d), "cells")
-    number = F.dense_rank().over(Window.orderBy("map")) * 1_000_000 + F.col("i")
-    bins = C.axis(C.mirror(c)).select("map", "i").withColumn("cbin", number)  # one row per bin
+    names = c.select("map").distinct().withColumn("k", F.row_number().over(Window.orderBy("map")))  # one row per map
+    bins = C.axis(C.mirror(c)).select("map", "i").join(names, "map").select("map", "i", (F.col("k") * 1_000_000 + F.col("i")).alias("cbin"))
     bins = written(bins, "bins")
     one = put_lines(bins.select(joined_text(F.col("cbin"), F.col("map"), F.col("i") * 50, F.col("i") * 50 + 50, F.lit(1), by="\t")), "bins")
     ends = lambda x, n: bins.select("map", F.col("i").alias(x), F.col("cbin").alias(n))
@@ -711,18 +711,19 @@ def src_bed(spark, d):
     return X.bed(spark, path).drop("seq")
 
 
-def sections(rows: DataFrame, head: Callable, line: Callable) -> DataFrame:
+def sections(rows: DataFrame, head: Callable, line: Callable, gaps: bool = True) -> DataFrame:
     """Lines of a format in which a head says what the lines behind it are about: some of a
-    chromosome's rows make a section, so a chromosome isn't one task's."""
+    chromosome's rows make a section, so a chromosome isn't one task's. Without gaps a section
+    ends where the next interval doesn't follow at once."""
 
     def run(batches):
         last = None
         for pdf in batches:
             out = []
             for chrom, start, end, value in zip(pdf["chrom"], pdf["start"], pdf["end"], pdf["value"]):
-                if chrom != last:
+                if last is None or chrom != last[0] or not (gaps or start == last[1]):
                     out.append(head(chrom, start))
-                    last = chrom
+                last = chrom, end
                 out.append(line(chrom, start, end, value))
             yield pd.DataFrame({"value": out})
 
@@ -735,6 +736,12 @@ def src_wig_variable(spark, d):
     return X.wig(spark, put_lines(lines, "wig")).drop("seq")
 
 
+@query("SELECT * FROM iv", _IV)
+def src_wig_fixed(spark, d):
+    lines = sections(intervals(spark, d), lambda c, s: f"fixedStep chrom={c} start={s + 1} step=10 span=10", lambda c, s, e, v: f"{v!r}", gaps=False)
+    return X.wig(spark, put_lines(lines, "wig")).drop("seq")
+
+
 @query("SELECT * FROM iv", _IV)
 def src_wig_bedgraph(spark, d):
     lines = sections(intervals(spark, d), lambda c, s: f"#bedGraph section {c}:{s}-", lambda c, s, e, v: f"{c}\t{s}\t{e}\t{v!r}")
@@ -889,12 +896,14 @@ def cont_track(spark, d):
     return K_.read_track(spark, path)
 
 
-@query(", q AS (SELECT s AS start FROM (SELECT unnest(range(0, (SELECT min(n) FROM size WHERE map IN ('F', 'O')) - 10, 2)) AS s)) SELECT count(*) AS n FROM q")
 def cont_blocks(spark, d):
-    # every block of these maps has a correlation that isn't 0
     out = shared_path(spark, "blocks")
     K_.write_blocks(S.correlate_blocks(*_fo(spark, d), 10, 2, binsize=50), out)
-    return spark.read.schema("centre double, corr double").csv(out, sep="\t").agg(F.count("*").alias("n"))
+    return rounded(spark.read.schema("centre double, corr double").csv(out, sep="\t"), column="corr")
+
+
+QUERIES["cont_blocks"] = cont_blocks
+SQL["cont_blocks"] = f"SELECT centre, corr FROM ({SQL['cm_corr_block']}) WHERE corr <> 0"
 
 
 def queries() -> dict:

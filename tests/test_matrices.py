@@ -11,6 +11,7 @@ from binweave.functions.quantiles import quantile
 from binweave.operators import cells as C
 from binweave.operators import markov as M
 from binweave.operators import normalise as NM
+from binweave.operators import structure as T
 from binweave.operators import tiles as TL
 from binweave.operators import tracks as R
 from binweave.operators import vectors as V
@@ -189,3 +190,30 @@ def test_quantiles(spark, q):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
     assert quantile(df, [], F.col("v"), q).first()["quantile"] == pytest.approx(np.quantile([v for _, v in rows if v is not None], q), rel=1e-12)
     assert quantile(df.where("false"), ["k"], F.col("v"), q).count() == 0 and quantile(df.where("v IS NULL"), [], F.col("v"), q).count() == 0
+
+
+def test_rectangular_maps_have_no_distances(spark):
+    wide = C.from_matrix(spark, np.ones((2, 3)), "wide", 5)
+    square = C.from_matrix(spark, np.ones((3, 3)), "square", 5)
+    for kind in ("o/e", "o-e"):
+        assert NM.over_expected(square, kind=kind).count() == (9 if kind == "o/e" else 0)
+        with pytest.raises(Exception, match="map wide is rectangular"):
+            NM.over_expected(square.unionByName(wide), kind=kind).collect()
+
+
+@pytest.mark.parametrize("passes,side", [(1, 8), (3, 8), (3, 4), (5, 4)])
+def test_smoothing_over_tiles(spark, passes, side):
+    rnd = np.random.default_rng(passes)
+    a = np.where(rnd.random((21, 21)) < 0.2, rnd.random((21, 21)), 0)
+    a[20, 0] = 1
+    want = a
+    for _ in range(passes):
+        wide, ones = np.pad(want, 1), np.pad(np.ones_like(a), 1)
+        box = lambda x: sum(x[p : p + 21, q : q + 21] for p in range(3) for q in range(3))
+        want = box(wide) / box(ones)
+    both = C.from_matrix(spark, a, "m", 7).unionByName(C.from_matrix(spark, np.eye(3), "small", 7))
+    got = T.smooth(both, passes, side)
+    assert np.allclose(dense(got, 21), want) and dense(got, 3, name="small").all()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert passes > side or plan.count("REPARTITION_BY_COL") == 1
+    assert T.smooth(both, 0, side).count() == both.count() and T.smooth(both.where("false"), 1, side).count() == 0
