@@ -282,6 +282,10 @@ def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(to, "comp", "left").select(*[F.coalesce("__label", "comp").alias("comp") if c == "comp" else c for c in rows.columns])
 
 
+#: Shingles of all sets together up to which these are sent to all executors (32 MB).
+SENT_SHINGLES = 1 << 22
+
+
 class Verifier:
     """Verifies pairs of nodes by their whole sets, which are made from the texts when a
     node is first met."""
@@ -303,7 +307,10 @@ class Verifier:
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        a, b = (a.hint(hint), b.hint(hint)) if hint else (a, b)
+        if hint:
+            a, b = a.hint(hint), b.hint(hint)
+        elif (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= SENT_SHINGLES:
+            a, b = F.broadcast(a), F.broadcast(b)
         found = pairs.join(a, "a").join(b, "b").where(100 * both >= self.percent * (F.size("sa") + F.size("sb") - both))
         return materialise(found.select("a", "b"), "links")
 
@@ -358,13 +365,13 @@ class Links:
             # a group is a posting of its members
             rows = crowds.select(F.col("grp").alias("token"), F.col("node").alias("unit"), "n", F.lit(1).cast("long").alias("place"), F.lit(0).cast("long").alias("large"), F.col("node").alias("comp"))
             self.rounds(self.current(rows), None, lambda pairs: pairs.select("a", "b", "ca", "cb"))
-        large = posted.where(~is_small).drop("size").join(missing, "grp")
+        large = posted.where(~is_small).drop("size").join(sent(missing, SENT), "grp")
         if not missing.isEmpty():
             short, bits = self.prefixes(maps, missing)
             held = self.current(members.join(missing.select("grp"), "grp", "left_semi").withColumn("comp", F.col("node")))
             self.parts = materialise(held.select("grp", "node", "comp"), "parts")
-            units = self.parts.select("grp", "comp").distinct()
-            rows = large.join(units, "grp").join(bits, "grp").withColumnRenamed("grp", "unit")
+            units = materialise(self.parts.select("grp", "comp").distinct(), "units")
+            rows = large.join(sent(units, SENT), "grp").join(sent(bits, SENT_MAPS), "grp").withColumnRenamed("grp", "unit")
             self.rounds(rows, short, self.members_of)
 
     def current(self, rows: DataFrame) -> DataFrame:
@@ -394,7 +401,7 @@ class Links:
 
     def small_pairs(self, small: DataFrame, missing: DataFrame) -> DataFrame:
         """Pairs of groups (a, b) that small postings don't rule out."""
-        small = materialise(small.join(missing, "grp", "left").select("token", "grp", "n", F.coalesce("large", F.lit(0)).alias("large")), "small")
+        small = materialise(small.join(sent(missing, SENT), "grp", "left").select("token", "grp", "n", F.coalesce("large", F.lit(0)).alias("large")), "small")
         side = lambda x: small.select("token", F.col("grp").alias(x), F.col("n").alias(f"n{x}"), F.col("large").alias(f"l{x}"))
         together = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & self.fits)
         together = together.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("count"))
