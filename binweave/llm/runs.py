@@ -10,12 +10,14 @@ repeat. The operators resolve buckets, some of them in a block, by their own met
 the content itself, and every repeated span comes from there.
 
 A gram with too many contents for one task (a line found in many documents) has its
-windows anchored anew, by the least gram besides it, which parts its bucket; what is still
-too large is parted again. After LEVELS of that each window is a bucket of its own.
+windows anchored anew, by the two least grams besides it, which part its bucket; what is
+still too large is parted again, by the four next. In round LEVELS each window is a bucket of
+its own. The buckets of all rounds are resolved together.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -135,8 +137,11 @@ class Passages(NamedTuple):
 PART_CONTENTS = 1024
 #: Bytes of contents after which a block is closed.
 CHUNK = 1 << 18
-#: Times that a hot gram's windows are anchored anew before each is a bucket of its own.
-LEVELS = 6
+#: Rounds in which hot grams' windows are anchored anew, by 2, 4 ... grams at once; in the
+#: last each window is a bucket of its own.
+LEVELS = 3
+#: Contents that are anchored anew at once.
+ANEW = 256
 
 
 def repeated_spans(docs: DataFrame, how: Passages) -> DataFrame:
@@ -207,7 +212,7 @@ def _pieces(kinds: DataFrame, texts: DataFrame, how: Passages) -> DataFrame:
 
 def _resolved(pieces: DataFrame, how: Passages) -> DataFrame:
     """Rows (gram, content, start, end): the repeated spans of each content."""
-    span = "gram long, content long, start int, end int"
+    span = "level int, gram long, content long, start int, end int"
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows come bucket by bucket; a block is some buckets, none of them in parts
@@ -216,12 +221,13 @@ def _resolved(pieces: DataFrame, how: Passages) -> DataFrame:
 
         def close() -> pd.DataFrame:
             which, start, stop = how.resolve([x[3] for x in held], np.array([x[2] for x in held], dtype=bool))
+            level = np.array([x[4] for x in held], dtype=np.int32)[which]
             ids = np.array([x[:2] for x in held], dtype=np.int64)[which]
             held.clear()
-            return pd.DataFrame({"gram": ids[:, 0], "content": ids[:, 1], "start": start.astype(np.int32), "end": stop.astype(np.int32)})
+            return pd.DataFrame({"level": level, "gram": ids[:, 0], "content": ids[:, 1], "start": start.astype(np.int32), "end": stop.astype(np.int32)})
 
         for pdf in batches:
-            for x in zip(pdf["gram"].tolist(), pdf["content"].tolist(), pdf["whole"].tolist(), pdf["piece"]):
+            for x in zip(pdf["gram"].tolist(), pdf["content"].tolist(), pdf["whole"].tolist(), pdf["piece"], pdf["level"].tolist()):
                 if held and x[:2] == held[-1][:2]:
                     continue  # a document that repeats
                 if size > CHUNK and x[0] != held[-1][0]:
@@ -234,32 +240,39 @@ def _resolved(pieces: DataFrame, how: Passages) -> DataFrame:
 
     def anchored(level: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                data = pdf["piece"].tolist()
-                values, at = how.symbols(data)
-                used = np.array(pdf["used"].tolist(), dtype=np.int64).reshape(len(pdf), -1).view(U)
-                parents = pdf["gram"].to_numpy().view(U)
-                if level < LEVELS:
+            for batch in batches:
+                for k in range(0, len(batch), ANEW):
+                    yield anew(batch.iloc[k : k + ANEW])
+
+        def anew(pdf: pd.DataFrame) -> pd.DataFrame:
+            data = pdf["piece"].tolist()
+            values, at = how.symbols(data)
+            used = np.array(pdf["used"].tolist(), dtype=np.int64).reshape(len(pdf), -1).view(U)
+            key = parents = pdf["gram"].to_numpy().view(U)
+            if level < LEVELS:
+                text, first = np.arange(len(pdf)), np.zeros(len(pdf), dtype=np.int64)
+                for _ in range(1 << level):  # the runs are the next gram's texts
                     r = find_runs(values, at, how.window, how.gram, used)
-                else:  # each window by itself
-                    text = np.repeat(np.arange(len(pdf)), np.maximum(np.diff(at) - how.window + 1, 0))
-                    first = np.arange(len(text)) - np.searchsorted(text, text)
-                    h = span_hashes(values)(at[text] + first, at[text] + first + how.window)
-                    r = Runs(text, first, first, first, h, h)
-                key = fold([parents[r.text], r.gram]).view(np.int64)
-                out = {"parent": parents[r.text].view(np.int64), "of": pdf["content"].to_numpy()[r.text], "first": r.first, "gram": key, "content": r.content.view(np.int64), "whole": pdf["whole"].to_numpy()[r.text]}
-                cut = [how.cut(d, [(a, b + how.window) for a, b in zip(r.first[i:j].tolist(), r.last[i:j].tolist())]) for d, i, j in zip(data, *(np.searchsorted(r.text, np.arange(len(pdf)) + k) for k in (0, 1)))]
-                chain = np.concatenate([used[r.text], r.gram[:, None]], axis=1).view(np.int64)
-                yield pd.DataFrame(out | {"used": list(chain), "piece": [x for c in cut for x in c]})
+                    key, used = fold([key[r.text], r.gram]), np.concatenate([used[r.text], r.gram[:, None]], axis=1)
+                    text, first = text[r.text], first[r.text] + r.first
+                    size = r.last - r.first + how.window
+                    begin, at = at[r.text] + r.first, np.concatenate([[0], np.cumsum(size)])
+                    values = values[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
+                content, last = r.content, first + size - how.window
+            else:  # each window by itself
+                text = np.repeat(np.arange(len(pdf)), np.maximum(np.diff(at) - how.window + 1, 0))
+                first = last = np.arange(len(text)) - np.searchsorted(text, text)
+                content = span_hashes(values)(at[text] + first, at[text] + first + how.window)
+                key, used = fold([key[text], content]), np.concatenate([used[text], content[:, None]], axis=1)
+            out = {"parent": parents[text].view(np.int64), "of": pdf["content"].to_numpy()[text], "first": first, "gram": key.view(np.int64), "content": content.view(np.int64), "whole": pdf["whole"].to_numpy()[text]}
+            cut = [how.cut(d, [(a, b + how.window) for a, b in zip(first[i:j].tolist(), last[i:j].tolist())]) for d, i, j in zip(data, *(np.searchsorted(text, np.arange(len(pdf)) + k) for k in (0, 1)))]
+            return pd.DataFrame(out | {"used": list(used.view(np.int64)), "piece": [x for c in cut for x in c]})
 
         return run
 
-    level, links, resolved = 0, [], []
+    level, links, cold = 0, [], []
     while True:
-        blocks = pieces.where("hot IS NULL").drop("used").repartition("gram").sortWithinPartitions("gram", "content")
-        resolved.append(materialise(blocks.mapInPandas(lean(resolve), span), "resolved"))
+        cold.append(pieces.where("hot IS NULL").select(F.lit(level).alias("level"), "gram", "content", "whole", "piece"))
         hot = pieces.where("hot")
         if hot.isEmpty():
             break
@@ -271,12 +284,16 @@ def _resolved(pieces: DataFrame, how: Passages) -> DataFrame:
         sizes = kinds.groupBy("gram").agg(F.count("*").alias("n"), F.bool_or("whole").alias("any")).where("n > 1 OR any")
         sizes = materialise(sizes.select("gram", F.when(F.col("n") > PART_CONTENTS, True).alias("hot")), "sizes")
         pieces = kinds.join(sizes, "gram")
-    spans = resolved.pop()
+    blocks = functools.reduce(DataFrame.unionByName, cold).repartition("gram").sortWithinPartitions("gram", "content")
+    resolved = materialise(blocks.mapInPandas(lean(resolve), span), "resolved")
+    of = lambda level: resolved.where(F.col("level") == level).drop("level")
+    spans = of(level)
     while links:
         # spans of the parts are spans of what they are parts of
+        level -= 1
         link = links.pop().join(spans, ["gram", "content"])
         up = link.select(F.col("parent").alias("gram"), F.col("of").alias("content"), (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
-        spans = materialise(resolved.pop().unionByName(up), "resolved")
+        spans = of(level).unionByName(up)
     return spans
 
 

@@ -83,6 +83,26 @@ def test_hot_gram_is_no_tasks_own(make, monkeypatch, op, window):
         assert got[i] == {q for p in twice for q in range(p, p + window)}, i
 
 
+@pytest.mark.parametrize("op,window", [(suffix_dedup, 200), (rlz, 35)])
+def test_hot_grams_take_few_rounds(make, monkeypatch, op, window):
+    """A long passage in many texts, cut anywhere: a few rounds of anchoring, and one job that
+    resolves the buckets of all rounds."""
+    rnd = random.Random(11)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 6))) for _ in range(n))
+    line = text(60).split()
+    texts = [f"{text(8)} {' '.join(line[rnd.randint(0, 20) : rnd.randint(40, 60)])} {text(8)}" for _ in range(150)]
+    texts += [texts[3] + " " + text(3), texts[4]]
+    monkeypatch.setattr(runs, "PART_CONTENTS", 8)
+    written, write = Counter(), runs.materialise
+    monkeypatch.setattr(runs, "materialise", lambda df, name, **options: (written.update([name]), write(df, name, **options))[1])
+    symbols = [t.encode() if op is suffix_dedup else tuple(t.split()) for t in texts]
+    counts = counted(symbols, window)
+    got = spans_of(op.spans(make(texts)).collect(), "")
+    for i, s in enumerate(symbols):
+        assert got[i] == {p for p, m in enumerate(covered(s, window, counts)) if m}, i
+    assert 2 <= written["anchored"] <= 3 and written["resolved"] == 1
+
+
 @pytest.mark.parametrize("op", [suffix_dedup, rlz])
 def test_dedup_keeps_columns_and_rows(make, corpus, op):
     docs = make(corpus)
