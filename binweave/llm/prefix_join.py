@@ -182,13 +182,15 @@ def row_hash(key: Column, text: Column) -> Column:
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: int, hint: str | None = None) -> DataFrame:
     """Rows (node, shingles) for wanted (row, node): the documents of these hashes of key and
-    text, if their sets are the nodes'."""
+    text, if their sets are the nodes'. Texts are packed for a shuffle; where wanted is sent to
+    the texts there is none, and packing would give each task a second Python worker."""
+    stay = hint == "broadcast"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             nodes, sets = [], []
             asked = pdf["node"].to_numpy().view(U)
-            for h, at in shingle_sets([unpack(p).decode() for p in pdf["packed"]], words):
+            for h, at in shingle_sets(pdf["text"].tolist() if stay else [unpack(p).decode() for p in pdf["text"]], words):
                 n = np.diff(at).astype(U)
                 whole = np.zeros(len(h) + 1, dtype=U)
                 np.cumsum(mix64(h ^ U(0x5851F42D4C957F2D)), out=whole[1:])
@@ -200,8 +202,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: i
             yield out[out["shingles"].notna()]
 
     # by a hash of key and text, of which no two different texts of one key have the same
-    rows = docs.select(row_hash(F.col(f"`{key}`"), F.col(text)).alias("row"), packed(F.col(text)).alias("packed"))
-    rows = rows.join(wanted.hint(hint) if hint else wanted, "row").select("packed", "node")
+    rows = docs.select(row_hash(F.col(f"`{key}`"), F.col(text)).alias("row"), (F.col(text) if stay else packed(F.col(text))).alias("text"))
+    rows = rows.join(wanted.hint(hint) if hint else wanted, "row").select("text", "node")
     return rows.mapInPandas(lean(run), "node long, shingles array<long>")
 
 
@@ -301,7 +303,8 @@ class Verifier:
         needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
         wanted = needed if self.sets is None else needed.join(self.sets.select("node"), "node", "left_anti")
         keys = materialise(self.rows.join(wanted, "node", "left_semi"), "keys")
-        new = materialise(whole_sets(self.docs, keys, self.text, self.key, self.words, hint), "sets")
+        how = hint or ("broadcast" if keys.count() <= SENT else "merge")
+        new = materialise(whole_sets(self.docs, keys, self.text, self.key, self.words, how), "sets")
         sets = new if self.sets is None else new.unionByName(self.sets.join(needed, "node", "left_semi"))
         self.sets = new if self.sets is None else self.sets.unionByName(new)
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))

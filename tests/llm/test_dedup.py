@@ -251,6 +251,28 @@ def test_whole_sets_of_null_keys(make):
     assert prefix_join.whole_sets(docs, sig.select("row", "node"), "text", "doc_id", 5).count() == 300
 
 
+def test_later_sets_take_one_worker(make, monkeypatch):
+    """After the first round few sets are wanted: no task packs texts for another worker."""
+    docs = make([(k, " ".join(f"w{k // 2} {j}" for j in range(20)) + " x" * (k % 2)) for k in range(8)])
+    sig = prefix_join.signatures(docs)
+    node = {r["key"]: r["node"] for r in sig.collect()}
+    plans, write = [], prefix_join.materialise
+
+    def written(df, name, **options):
+        if name == "sets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, **options)
+
+    monkeypatch.setattr(prefix_join, "materialise", written)
+    with prefix_join.scratch(docs.sparkSession):
+        verifier = prefix_join.Verifier(docs, "text", "doc_id", 5, 80, sig.select("row", "node"))
+        for a, b, c in ((0, 1, 2), (4, 5, 6)):
+            pairs = docs.sparkSession.createDataFrame([(node[a], node[b]), (node[b], node[c])], "a long, b long")
+            assert [tuple(r) for r in verifier.links(pairs).collect()] == [(node[a], node[b])]
+    assert ["ArrowEvalPython" in p for p in plans] == [True, False]
+    assert all("MapInPandas" in p for p in plans)
+
+
 def test_hubs_of_unlinked_copies(make, monkeypatch):
     # a passage that is most of each text, none of which are linked: hubs leave, all pairs are checked
     monkeypatch.setattr(prefix_join, "SMALL", 2)
