@@ -4,6 +4,7 @@ import inspect
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from binweave.functions.quantiles import quantile
 from binweave.operators import cells as C
 from binweave.operators import markov as M
 from binweave.operators import normalise as NM
+from binweave.operators import packed as P
+from binweave.operators import stats as S
 from binweave.operators import structure as T
 from binweave.operators import tiles as TL
 from binweave.operators import tracks as R
@@ -217,3 +220,27 @@ def test_smoothing_over_tiles(spark, passes, side):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert passes > side or plan.count("REPARTITION_BY_COL") == 1
     assert T.smooth(both, 0, side).count() == both.count() and T.smooth(both.where("false"), 1, side).count() == 0
+
+
+def test_blocks_meet_those_with_common_columns(spark):
+    """Packed rows go to the pairs of blocks that share columns, not to all pairs."""
+    n, side = 40, 8
+    a = np.kron(np.eye(n), np.arange(1.0, side * side + 1).reshape(side, side) ** 2 % 17 + 1)
+    held = S.stored(C.from_matrix(spark, a, "m", 5), side, side)
+    cuts, sharing = S._sharing(held)
+    assert cuts.count() == held.count() == n and held.join(sharing, [*C.KEY, "bj"]).select(F.explode("others")).count() == n
+    got = {(r["i1"], r["i2"]): r["corr"] for r in S.correlation_matrix(C.from_matrix(spark, a, "m", 5)).collect()}
+    want = np.corrcoef(a[:side, :side])
+    assert len(got) == n * side * (side - 1) // 2 and all(i // side == j // side and np.isclose(c, want[i % side, j % side]) for (i, j), c in got.items())
+    assert S.correlation_matrix(C.from_matrix(spark, np.ones((9, 9)), "m", 5)).agg(F.min("corr"), F.max("corr")).first() == (0.0, 0.0)
+
+
+def test_packed_cells(spark, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK", 5)
+    rnd = np.random.default_rng(3)
+    a = np.where(rnd.random((30, 30)) < 0.4, rnd.normal(size=(30, 30)), 0)
+    got, rows = np.zeros((30, 30)), P.packed(C.from_matrix(spark, a, "m", 5), 7, 4).collect()
+    for r in rows:
+        i, j, v = P.cells_in(r["n"], pa.scalar(bytes(r["data"])))
+        got[i + 7 * r["bi"], j + 4 * r["bj"]] += v
+    assert np.array_equal(got, a) and sum(r["n"] for r in rows) == (a != 0).sum()
