@@ -342,3 +342,9 @@ def test_commands(spark, tmp_path):
     run(spark, ["bed", bed, str(tmp_path / "tracks"), "-r", "10b", "1kb", "-m", "amean", "max"])
     got = {(r["binsize"], r["name"], r["bin"]): r["v"] for r in container.read_track(spark, str(tmp_path / "tracks")).collect()}
     assert got[10, "max", 0] == 2.5 and got[10, "amean", 0] == (5 * 2.5 + 5 * 1.75) / 10 and got[1000, "max", 0] == 2.5
+
+
+def test_wide_lines_give_filled_fields_only(spark):
+    rows = [("r\tm-0\t" + "0\t" * 5000 + "2.5\t0\t0.0\t\t7", 3), ("r\tm-1\t0\t0", 4), ("r\tm-2\t1", 5), ("r\tm-3\t", 6), ("short", 7), ("r\tm-4", 8)]
+    got = text.filled_fields(spark.createDataFrame(rows, "value string, seq long")).collect()
+    assert sorted(map(tuple, got)) == [("m-0", 5000, "2.5", 3), ("m-0", 5002, "0.0", 3), ("m-0", 5003, "", 3), ("m-0", 5004, "7", 3), ("m-2", 0, "1", 5), ("m-3", 0, "", 6)]
