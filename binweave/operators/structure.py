@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import written
 from . import tiles
 from .cells import KEY, shape
+from .vectors import Matrix
 
 #: Vectors of the subspace that is iterated for the first principal component, and rounds.
 VECTORS, ROUNDS = 4, 40
@@ -53,8 +54,8 @@ def _small(spark, matrices: dict[tuple, np.ndarray], names: list[str]) -> DataFr
 
 def first_component(cells: DataFrame, tol: float = 1e-9) -> DataFrame:
     """Scores of the rows on their first principal component: subspace iteration on the rows
-    less the column means. Each half step is one join of the cells with a table of VECTORS
-    numbers per bin; the driver gets a VECTORS x VECTORS matrix for each map."""
+    less the column means. Each half step is a product of the packed cells with a table of
+    VECTORS numbers per bin; the driver gets a VECTORS x VECTORS matrix for each map."""
     spark, n = cells.sparkSession, VECTORS
     v, y = [f"v{k}" for k in range(n)], [f"y{k}" for k in range(n)]
     pairs = [(a, b) for a in range(n) for b in range(a + 1)]
@@ -79,6 +80,7 @@ def first_component(cells: DataFrame, tol: float = 1e-9) -> DataFrame:
         each = [sum((F.col(names[a]) * F.col(f"m{a}_{b}") for a in range(n)), F.lit(0.0)).alias(c) for b, c in enumerate(to)]
         return df.join(_small(spark, by, flat), list(KEY)).select(*KEY, *keep, *each)
 
+    across, down = Matrix(cells), Matrix(cells, turned=True)
     last: dict[tuple, float] = {}
     for _ in range(ROUNDS):
         # an orthonormal basis; directions that vanish become 0
@@ -88,7 +90,7 @@ def first_component(cells: DataFrame, tol: float = 1e-9) -> DataFrame:
             basis[key] = u @ np.diag([1 / np.sqrt(x) if x > 1e-12 * max(w.max(), 1e-300) else 0.0 for x in w])
         right = written(turned(right, v, basis, ["j", "mean"], v), "vectors")
         centre = right.groupBy(*KEY).agg(*[F.sum(F.col("mean") * F.col(c)).alias(f"c_{c}") for c in v])
-        left = cells.join(right, [*KEY, "j"]).groupBy(*KEY, "i").agg(*[F.sum(F.col("v") * F.col(c)).alias(f"s_{c}") for c in v])
+        left = across.products(right.withColumnRenamed("j", "i"), **{f"s_{c}": F.col(c) for c in v})
         left = written(left.join(centre, list(KEY)).select(*KEY, "i", *[(F.col(f"s_{a}") - F.col(f"c_{a}")).alias(b) for a, b in zip(v, y)]), "vectors")
         spread = gram(left, y)
         top = {k: float(np.linalg.eigvalsh(g)[-1]) for k, g in spread.items()}
@@ -96,22 +98,25 @@ def first_component(cells: DataFrame, tol: float = 1e-9) -> DataFrame:
             break
         last = top
         total = left.groupBy(*KEY).agg(*[F.sum(c).alias(f"t_{c}") for c in y])
-        back = cells.join(left, [*KEY, "i"]).groupBy(*KEY, "j").agg(*[F.sum(F.col("v") * F.col(c)).alias(f"s_{c}") for c in y])
+        back = down.products(left, **{f"s_{c}": F.col(c) for c in y}).withColumnRenamed("i", "j")
         back = back.join(right.select(*KEY, "j", "mean"), [*KEY, "j"]).join(total, list(KEY))
         right = written(back.select(*KEY, "j", "mean", *[(F.col(f"s_{b}") - F.col("mean") * F.col(f"t_{b}")).alias(a) for a, b in zip(v, y)]), "vectors")
+    across.close(), down.close()
     main = {k: np.linalg.eigh(g)[1][:, -1:] for k, g in spread.items()}
     return turned(left, y, main, ["i"], ["score"])
 
 
 def two_means(cells: DataFrame, rounds: int = 50) -> DataFrame:
     """Rows in two clusters by Lloyd's steps. They start from the row of largest norm and the
-    one farthest from it (the first of equals); a step is two joins with one pair of
-    numbers per bin, and it ends when no row moves."""
+    one farthest from it (the first of equals); a step is two products of the packed cells
+    with a pair of numbers per bin, and it ends when no row moves."""
+    across, down = Matrix(cells), Matrix(cells, turned=True)
+    of_j = lambda df: df.withColumnRenamed("j", "i")
     norms = written(cells.groupBy(*KEY, "i").agg(F.sum(F.col("v") * F.col("v")).alias("norm")), "norms")
     first = lambda c: F.max_by("i", F.struct(F.col(c), (-F.col("i")).alias("k")))
     a = norms.groupBy(*KEY).agg(first("norm").alias("a"))
     row = cells.join(a, list(KEY)).where("i = a").select(*KEY, "j", F.col("v").alias("w0"))
-    dots = cells.join(row, [*KEY, "j"]).groupBy(*KEY, "i").agg(F.sum(F.col("v") * F.col("w0")).alias("dot"))
+    dots = across.products(of_j(row), dot=F.col("w0"))
     far = norms.join(dots, [*KEY, "i"], "left").withColumn("d", F.col("norm") - 2 * F.coalesce("dot", F.lit(0.0)))
     b = far.groupBy(*KEY).agg(first("d").alias("b"))
     other = cells.join(b, list(KEY)).where("i = b").select(*KEY, "j", F.col("v").alias("w1"))
@@ -120,7 +125,7 @@ def two_means(cells: DataFrame, rounds: int = 50) -> DataFrame:
     labels = None
     for _ in range(rounds):
         size = centres.groupBy(*KEY).agg(*[F.sum(F.col(f"w{k}") * F.col(f"w{k}")).alias(f"n{k}") for k in (0, 1)])
-        dots = cells.join(centres, [*KEY, "j"]).groupBy(*KEY, "i").agg(*[F.sum(F.col("v") * F.col(f"w{k}")).alias(f"d{k}") for k in (0, 1)])
+        dots = across.products(of_j(centres), d0=F.col("w0"), d1=F.col("w1"))
         near = norms.join(dots, [*KEY, "i"], "left").join(size, list(KEY))
         distance = [F.col(f"n{k}") - 2 * F.coalesce(f"d{k}", F.lit(0.0)) for k in (0, 1)]
         new = written(near.select(*KEY, "i", F.when(distance[0] <= distance[1], 0).otherwise(1).alias("c")), "labels")
@@ -128,8 +133,9 @@ def two_means(cells: DataFrame, rounds: int = 50) -> DataFrame:
             break
         labels = new
         held = labels.groupBy(*KEY).agg(*[F.count_if(F.col("c") == k).alias(f"k{k}") for k in (0, 1)])
-        sums = cells.join(labels, [*KEY, "i"]).groupBy(*KEY, "j").agg(*[F.sum(F.when(F.col("c") == k, F.col("v"))).alias(f"s{k}") for k in (0, 1)])
+        sums = down.products(labels, **{f"s{k}": F.when(F.col("c") == k, 1.0).otherwise(0.0) for k in (0, 1)}).withColumnRenamed("i", "j")
         centres = written(sums.join(held, list(KEY)).select(*KEY, "j", *[F.coalesce(F.col(f"s{k}") / F.nullif(F.col(f"k{k}"), F.lit(0)), F.lit(0.0)).alias(f"w{k}") for k in (0, 1)]), "centres")
+    across.close(), down.close()
     return new.select(*KEY, "i", F.when(F.col("c") == 0, -1.0).otherwise(1.0).alias("score"))
 
 
