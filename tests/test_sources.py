@@ -348,3 +348,17 @@ def test_wide_lines_give_filled_fields_only(spark):
     rows = [("r\tm-0\t" + "0\t" * 5000 + "2.5\t0\t0.0\t\t7", 3), ("r\tm-1\t0\t0", 4), ("r\tm-2\t1", 5), ("r\tm-3\t", 6), ("short", 7), ("r\tm-4", 8)]
     got = text.filled_fields(spark.createDataFrame(rows, "value string, seq long")).collect()
     assert sorted(map(tuple, got)) == [("m-0", 5000, "2.5", 3), ("m-0", 5002, "0.0", 3), ("m-0", 5003, "", 3), ("m-0", 5004, "7", 3), ("m-2", 0, "1", 5), ("m-3", 0, "", 6)]
+
+
+def test_a_pyramid_computes_its_cells_once(spark, tmp_path):
+    seen, n = spark.sparkContext.accumulator(0), 40
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    cells = C.from_matrix(spark, np.ones((n, n)), "m", 10)
+    container.add_map(cells.mapInPandas(counted, cells.schema), f"file://{tmp_path}/store", stop=12)
+    assert seen.value == n * n
+    assert {r["binsize"] for r in container.read_meta(spark, f"file://{tmp_path}/store").collect()} == {10, 20, 40}
